@@ -4,21 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoweave.llm import embedding_dedup, warc
-from isoweave.llm.shared import table
+from isoweave.llm import embedding_dedup, language_id, mixing, warc
+from isoweave.llm.shared import crc_mod, table
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.new_folder(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), folder, least_bytes=0)
     return warc.read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op4_warc_archive)}
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return mixing.mix(docs, mixing.flattened_weights(docs))
+
+
+QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_language_id, op4_warc_archive, op7_pfair_mixing)}
 
 #: Where SQL expresses the whole result; the others are held against brute force in tests/llm.
 ORACLE_SQL = {}

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isoweave.llm.shared import work_dir
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base32(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else base64.b32encode(b).decode())
 
