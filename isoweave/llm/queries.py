@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoweave.llm import embedding_dedup, language_id, mixing, warc
+from isoweave.llm import decontaminate, embedding_dedup, language_id, mixing, toxicity, url_rules, warc
 from isoweave.llm.shared import crc_mod, table
 
 
+#: Curated (verdict, host and path) rules that every url is judged by.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -28,7 +36,15 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.flattened_weights(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_language_id, op4_warc_archive, op7_pfair_mixing)}
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_embedding_near_dedup, op3_language_id, op4_warc_archive, op7_pfair_mixing, op9_benchmark_leaks, op10_toxicity)}
 
 #: Where SQL expresses the whole result; the others are held against brute force in tests/llm.
 ORACLE_SQL = {}
