@@ -13,11 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.llm.shared import mix64
+from isoweave.llm.shared import Coder, mix64
 
 TOKEN = re.compile(r"[.!?\n]+|\w+(?:[.,]\d+)*|[%$€£]")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
@@ -54,21 +53,6 @@ def canonical(text: str) -> Iterator[tuple[str, int, str]]:
         opens = after_number = False
 
 
-class Coder:
-    """Template tokens as 64-bit words, remembered for the tokens met so far."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, token: str) -> int:
-        code = self.known.get(token)
-        if code is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            code = self.known[token] = xxhash.xxh64_intdigest(token)
-        return code
-
-
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
     h = np.zeros(max(0, len(codes) - size + 1), dtype=np.uint64)
     for k in range(size):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoweave.llm import class_lm, decontaminate, embedding_dedup, language_id, mixing, toxicity, url_rules, warc
+from isoweave.llm import class_lm, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, suffix_dedup, toxicity, url_rules, warc
 from isoweave.llm.shared import crc_mod, table
 
 
@@ -31,6 +31,10 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), size=5, threshold=0.8)
+
+
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
 
@@ -40,6 +44,10 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.flattened_weights(docs))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summary(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100))
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_embedding_near_dedup, op3_language_id, op4_warc_archive, op6_class_lm, op7_pfair_mixing, op9_benchmark_leaks, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_embedding_near_dedup, op3_language_id, op4_warc_archive, op5_jaccard_join, op6_class_lm, op7_pfair_mixing, op8_suffix_dedup, op9_benchmark_leaks, op10_toxicity)}
 
 #: Where SQL expresses the whole result; the others are held against brute force in tests/llm.
 ORACLE_SQL = {}

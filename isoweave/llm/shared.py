@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,21 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+class Coder:
+    """Tokens as 64-bit words, remembered for the tokens met so far."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, token: str) -> int:
+        code = self.known.get(token)
+        if code is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            code = self.known[token] = xxhash.xxh64_intdigest(token)
+        return code
+
+
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each of n nodes over the given links."""
     label = np.arange(n)
@@ -128,3 +144,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if seen == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def one_text_by_id(docs: DataFrame) -> DataFrame:
+    """doc_id (long, not null) and text: rows that repeat an id are one document with the smallest text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows
