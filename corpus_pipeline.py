@@ -1,12 +1,74 @@
-"""The corpus pipeline: each stage works on all that the one before kept."""
+"""The corpus pipeline: each stage works on all that the one before kept.
+
+Language ID, n-gram Jaccard join, suffix-order deduplication, benchmark decontamination, mixing.
+All stages but the last return the columns of documents. Rows with a null doc_id pass the stages
+that judge by id; of rows that repeat an id the Jaccard stage keeps one.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from isoweave.llm import decontaminate, jaccard_join, language_id, mixing, suffix_dedup
+from isoweave.llm.shared import crc_mod, staged, table
+
+#: Below this share of a language's regression target a text is no known language. One of four
+#: languages by chance alone would have 0.25, short clean texts have more.
+LEAST_LANGUAGE_SCORE = 0.1
+
+
+@F.pandas_udf(T.StringType())
+def text_of(kept: pd.Series) -> pd.Series:
+    """Kept bytes as text; parts of a character that a cut left behind are dropped."""
+    return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that are null, have no letters or resemble no known language."""
+    judged = language_id.identify(docs, crc_mod("doc_id", 4) == 2)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of linked documents."""
+    ids = jaccard_join.join(docs).where("kept").select("doc_id")
+    kept = docs.join(ids, "doc_id", "left_semi")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        order = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        kept = kept.groupBy("doc_id").agg(F.min(order).alias("_row")).select("doc_id", "_row.*")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts byte strings of 100 or more that occur earlier; documents with nothing left go."""
+    kept = suffix_dedup.remove_repeats(docs.where("doc_id is not null"), length=100).select("doc_id", text_of("kept").alias("text"))
+    named = docs.where("doc_id is not null").drop("text", "n_chars").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null")).where(F.trim("text") != "")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item, with its own or with other values."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Orders all documents by Pfair slots towards weights that favour small sources."""
+    return mixing.mix(docs, mixing.flattened_weights(docs))
+
 
-from isoweave.llm.shared import staged, table
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources", mix_sources),
+]
 
-STAGES: list = []
+#: No SQL for kernels, similarity joins and suffix orders: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
