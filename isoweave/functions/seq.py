@@ -70,7 +70,7 @@ def fixed2(x: pd.Series) -> pd.Series:
 
 def plain_number(x: Column) -> Column:
     """A weight without trailing zeros: 3 and 4.5."""
-    return F.format_string("%s", F.regexp_replace(F.format_number(x, "0.######"), r"\.$", ""))
+    return F.regexp_replace(F.call_function("format_number", x, F.lit("0.######")), r"\.$", "")
 
 
 def exon_lengths(starts: Column, ends: Column) -> Column:
