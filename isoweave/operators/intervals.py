@@ -16,7 +16,8 @@ def islands(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", to
     order = W.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col(start) > reach if touching else F.col(start) >= reach), 1).otherwise(0)
-    return df.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_opens")
+    # the sum takes equal intervals together, so their order doesn't matter
+    return df.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(order)).drop("_opens")
 
 
 def merge(df: DataFrame, keys: list[str], start: str = "s", end: str = "e", touching: bool = True) -> DataFrame:

@@ -250,7 +250,7 @@ def snap_junctions(get):
 
 # intervals and loci --------------------------------------------------------------------------
 def _merge_sql(source: str, s: str, e: str, keys: str, op: str) -> str:
-    return f"""SELECT {keys}, min(s) AS {s}, max(e) AS {e}, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+    return f"""SELECT {keys}, min(s) AS {s}, max(e) AS {e}, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, e) AS island FROM (
         SELECT *, CASE WHEN s {op} max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {source}) a) b GROUP BY {keys}, island"""
 
 
@@ -284,7 +284,7 @@ def assign_fuzzy_overlap(get):
     return loci.assign_overlap(t, loci.build(t), "+").select("tx", "start")
 
 
-ISLAND = """SELECT *, sum(fresh) OVER (PARTITION BY gene ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY gene ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
+ISLAND = """SELECT *, sum(fresh) OVER (PARTITION BY gene ORDER BY s, e) AS island FROM (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY gene ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
     SELECT 'g' || CAST(tx_start // 4000 AS VARCHAR) AS gene, tx_start AS s, tx_end AS e, max(tx) AS tx FROM {spans} GROUP BY ALL) a) b"""
 
 
