@@ -8,49 +8,133 @@ same value of the document.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.llm.shared import Coder, mix64
+from isoweave.llm.shared import mix64
 
-TOKEN = re.compile(r"[.!?\n]+|\w+(?:[.,]\d+)*|[%$€£]")
-NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 #: Unit words and number words that become placeholders.
-UNITS = frozenset("km m cm mm kg g mg t l ml km/h mph mile miles foot feet inch inches meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros pound pounds cent cents percent degree degrees % $ € £".split())
+UNITS = frozenset("km m cm mm kg g mg t l ml mph mile miles foot feet inch inches meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros pound pounds cent cents percent degree degrees".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-PIECE = 1 << 18  # tokens of a text that are held at once
-KINDS = ("", "number", "name", "unit")
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LETTERS = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
+PIECE = 1 << 20  # bytes that are looked at together
+NUMBER, NAME, UNIT = 1, 2, 3
+SLOTS = np.array([0, *(xxhash.xxh64_intdigest(k) for k in ("<number>", "<name>", "<unit>"))], dtype=np.uint64)
 
+_byte = np.arange(256)
+_digit = (_byte >= 48) & (_byte <= 57)
+_word = _digit | ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122)) | (_byte == 95) | (_byte >= 128)
+_ender = np.isin(_byte, [ord(c) for c in ".!?\n"])
+_symbol = np.isin(_byte, [ord(c) for c in "%$"])
 
-def canonical(text: str) -> Iterator[tuple[str, int, str]]:
-    """(template token, slot kind, own value) for each word of the whole text.
 
-    A capitalised word is a name unless it opens a sentence; a unit counts after a number.
+def lower(text: str) -> tuple[bytes, bytes]:
+    """UTF-8 of a text and of its lower case, byte by byte alike. Currency signs count as one."""
+    text = text.replace("€", "$").replace("£", "$")
+    raw, low = text.encode("utf-8", "replace"), text.lower().encode("utf-8", "replace")
+    if len(raw) != len(low):  # a letter whose lower case has another length stays as it is
+        keep = lambda c: c.lower() if len(c.lower().encode("utf-8", "replace")) == len(c.encode("utf-8", "replace")) else c
+        low = "".join(map(keep, text)).encode("utf-8", "replace")
+    return raw, low
+
+
+@dataclass
+class Words:
+    """The words of joined texts: template codes, slot kinds, byte ranges and the text of each."""
+
+    codes: np.ndarray
+    kinds: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    low: bytes
+
+    def value(self, i: int) -> str:
+        return self.low[self.start[i] : self.end[i]].decode("utf-8", "replace")
+
+
+class Canon:
+    """Cuts texts into words and puts placeholders for numbers, names and units, for all texts at once.
+
+    Words are runs of letters, digits and `_`; a `.` or `,` between digits belongs to its number; `%`
+    and `$` are words. A capitalised word is a name unless it opens a sentence (or its text); a unit
+    counts after a number.
     """
-    opens, after_number = True, False
-    for match in TOKEN.finditer(text):
-        w = match.group()
-        if w[0] in ".!?\n":
-            opens = True
-            continue
-        low = w.lower()
-        if NUMBER.fullmatch(w) or low in NUMBERS:
-            yield "<number>", 1, low
-            opens, after_number = False, True
-            continue
-        if low in UNITS and (after_number or not low[0].isalpha()):
-            yield "<unit>", 3, low
-        elif w[0].isupper() and not opens:
-            yield "<name>", 2, low
-        else:
-            yield low, 0, low
-        opens = after_number = False
+
+    def __init__(self) -> None:
+        self.power = self.back = np.ones(1, np.uint64)
+        self.units, self.numbers = (np.sort(np.array([self._code(w) for w in words], dtype=np.uint64)) for words in (UNITS, NUMBERS))
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n + 1:
+            grow = lambda x: np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, x, np.uint64)])
+            self.power, self.back = grow(MULTIPLY), grow(INVERSE)
+
+    def _hash(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._powers(len(low))
+        total = np.r_[np.uint64(0), np.cumsum(LETTERS[low] * self.power[: len(low)], dtype=np.uint64)]
+        return mix64((total[end] - total[start]) * self.back[start])
+
+    def _code(self, word: str) -> np.uint64:
+        low = np.frombuffer(word.encode(), np.uint8)
+        return self._hash(low, np.array([0]), np.array([len(low)]))[0]
+
+    def words(self, raw: bytes, low: bytes, ends: np.ndarray) -> Words:
+        """Words of the texts that end at `ends` in the joined bytes; no word crosses an end."""
+        b, lb = np.frombuffer(raw, np.uint8), np.frombuffer(low, np.uint8)
+        n = len(b)
+        if not n:
+            none = np.zeros(0, np.int64)
+            return Words(none.astype(np.uint64), none, none, none, none, low)
+        digit, word = _digit[b], _word[b]
+        # general and Latin-1 punctuation is made of bytes that letters have too
+        for at, size in ((np.flatnonzero(b == 0xC2), 2), (np.flatnonzero((b[:-1] == 0xE2) & (b[1:] >> 1 == 0x40)), 3)):
+            for k in range(size):
+                word[np.minimum(at + k, n - 1)] = False
+        joint = np.flatnonzero((b == 44) | (b == 46))
+        joint = joint[(joint > 0) & (joint < n - 1)]
+        joint = joint[digit[joint - 1] & digit[joint + 1]]
+        firsts = np.r_[0, ends[:-1]]
+        word[joint] = True
+        symbol = _symbol[b]
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[1:-1] = word[1:] != word[:-1]
+        edge[[0, n]] = True
+        edge[firsts] = True
+        edge[ends] = True
+        at = np.flatnonzero(symbol)
+        edge[at] = edge[at + 1] = True
+        cuts = np.flatnonzero(edge)
+        start, end = cuts[:-1], cuts[1:]
+        keep = word[start] | symbol[start]
+        start, end = start[keep], end[keep]
+        text = np.searchsorted(ends, start, side="right")
+        code = self._hash(lb, start, end)
+        ender = _ender[b]
+        ender[joint] = False
+        stops, other = np.r_[0, np.cumsum(ender)], np.r_[0, np.cumsum(~digit)]
+        joints = np.zeros(n + 1, dtype=np.int64)
+        joints[joint + 1] = 1
+        other = other - np.cumsum(joints)
+        new_text = np.r_[True, text[1:] != text[:-1]]
+        opens = new_text | (stops[start] > np.r_[0, stops[end[:-1]]])
+        find = lambda table: table[np.minimum(np.searchsorted(table, code), len(table) - 1)] == code
+        number = ((other[end] == other[start]) & digit[start]) | find(self.numbers)
+        after = np.r_[False, number[:-1]] & ~new_text
+        unit = ~number & (symbol[start] | (find(self.units) & after))
+        second = np.minimum(start + 1, n - 1)
+        capital = (b[start] != lb[start]) | ((b[start] >= 0xC0) & (b[second] != lb[second]))
+        name = ~number & ~unit & capital & ~opens
+        kind = np.select([number, name, unit], [NUMBER, NAME, UNIT], 0)
+        return Words(np.where(kind > 0, SLOTS[kind], code), kind, start, end, text, low)
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -60,17 +144,49 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
     return mix64(h ^ np.uint64(size))
 
 
-def _pieces(text: str, overlap: int) -> Iterator[tuple[int, list, list, list]]:
-    held: list[tuple[str, int, str]] = []
-    start = 0
-    for t in canonical(text):
-        held.append(t)
-        if len(held) >= PIECE:
-            yield start, *map(list, zip(*held))
-            start += len(held) - overlap
-            held = held[-overlap:] if overlap else []
+def _pieces(texts: list[str | None], canon: Canon, overlap: int) -> Iterator[tuple[Words, int, int, bool]]:
+    """(words, number of their first text, number of their first word in it, whether they go on) of
+    whole texts: short texts together, long ones in overlapping parts.
+
+    The first word of a later part lacks what stands before it; it is there for context only.
+    """
+    held, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        pair = lower(text or "")
+        if len(pair[0]) > PIECE:
+            if held:
+                yield _joined(held, canon), first, 0, False
+            yield from _parts(pair, i, canon, overlap)
+            held, first, size = [], i + 1, 0
+            continue
+        held.append(pair)
+        size += len(pair[0])
+        if size > PIECE:
+            yield _joined(held, canon), first, 0, False
+            held, first, size = [], i + 1, 0
     if held:
-        yield start, *map(list, zip(*held))
+        yield _joined(held, canon), first, 0, False
+
+
+def _joined(held: list[tuple[bytes, bytes]], canon: Canon) -> Words:
+    return canon.words(b"".join(r for r, _ in held), b"".join(x for _, x in held), np.cumsum([len(r) for r, _ in held]))
+
+
+def _parts(pair: tuple[bytes, bytes], i: int, canon: Canon, overlap: int) -> Iterator[tuple[Words, int, int, bool]]:
+    raw, low = pair
+    at = word = 0
+    while True:
+        end = min(len(raw), at + PIECE)
+        while end < len(raw) and raw[end] not in b" \n\t\r":
+            end += 1
+        found = canon.words(raw[at:end], low[at:end], np.array([end - at]))
+        yield found, i, word, at > 0
+        if end >= len(raw):
+            return
+        keep = min(len(found.start), overlap + 2)
+        step = int(found.start[-keep]) if 0 < keep < len(found.start) else end - at
+        word += len(found.start) - (keep if step < end - at else 0)
+        at += step
 
 
 def benchmark_windows(benchmark: DataFrame, size: int, least: int) -> DataFrame:
@@ -80,17 +196,17 @@ def benchmark_windows(benchmark: DataFrame, size: int, least: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Coder()
+        canon = Canon()
         for b in batches:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = list(canonical(text or ""))
-                w = min(size, len(t))
+                found = _joined([lower(text or "")], canon)
+                w = min(size, len(found.codes))
                 if w < least:
                     continue
-                h = windows(np.array([code(x[0]) for x in t], dtype=np.uint64), w)
+                h, kind, values = windows(found.codes, w), found.kinds, [found.value(i) for i in range(len(found.codes))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([item] * len(h), b.schema.field(0).type), pa.array(h.astype(np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(np.full(len(h), len(h), dtype=np.int32)), pa.array(np.full(len(h), w, dtype=np.int32)),
-                     pa.array([[x[1] for x in t[i : i + w]] for i in range(len(h))], pa.list_(pa.int32())), pa.array([[x[2] for x in t[i : i + w]] for i in range(len(h))], pa.list_(pa.string()))],
+                     pa.array([kind[i : i + w].tolist() for i in range(len(h))], pa.list_(pa.int32())), pa.array([values[i : i + w] for i in range(len(h))], pa.list_(pa.string()))],
                     ["item_id", "h", "at", "n", "size", "kinds", "slots"])
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, h long, at int, n int, size int, kinds array<int>, slots array<string>")
@@ -105,24 +221,24 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
     overlap = max(sizes, default=1) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Coder()
+        canon = Canon()
         bits = np.zeros(1 << 20, dtype=bool)
         if wanted is not None:
             bits[wanted & np.uint64((1 << 20) - 1)] = True
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for start, words, _, values in _pieces(text or "", overlap):
-                    codes = np.fromiter(map(code, words), dtype=np.uint64, count=len(words))
-                    for w in sizes:
-                        h = windows(codes, w)
-                        at = np.arange(len(h))
-                        if wanted is not None and len(wanted):
-                            at = np.flatnonzero(bits[h & np.uint64((1 << 20) - 1)])
-                            at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
-                        if len(at):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([doc] * len(at), pa.int64()), pa.array(h[at].astype(np.int64)), pa.array(at + start), pa.array([values[i : i + w] for i in at.tolist()], pa.list_(pa.string()))],
-                                ["doc_id", "h", "doc_at", "doc_slots"])
+            ids = np.asarray(b.column(0))
+            for found, first, word, goes_on in _pieces(b.column(1).to_pylist(), canon, overlap):
+                begins = np.searchsorted(found.text, np.arange(found.text[-1] + 1)) if len(found.text) else found.text
+                for w in sizes:
+                    h = windows(found.codes, w)
+                    at = np.flatnonzero(found.text[: len(h)] == found.text[w - 1 :])[1 if goes_on else 0 :]
+                    if wanted is not None and len(wanted):
+                        at = at[bits[h[at] & np.uint64((1 << 20) - 1)]]
+                        at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
+                    for k in range(0, len(at), 1 << 14):
+                        x = at[k : k + (1 << 14)]
+                        slots = pa.array([[found.value(j) for j in range(i, i + w)] for i in x.tolist()], pa.list_(pa.string()))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[first + found.text[x]]), pa.array(h[x].astype(np.int64)), pa.array(x - begins[found.text[x]] + word), slots], ["doc_id", "h", "doc_at", "doc_slots"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, doc_at long, doc_slots array<string>")
 
