@@ -44,8 +44,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts byte strings of 100 or more that occur earlier; documents with nothing left go."""
-    kept = suffix_dedup.remove_repeats(docs.where("doc_id is not null"), length=100).select("doc_id", text_of("kept").alias("text"))
-    named = docs.where("doc_id is not null").drop("text", "n_chars").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    other = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    kept = suffix_dedup.remove_repeats(docs.where("doc_id is not null"), length=100, keep=other)
+    named = kept.withColumn("text", text_of("kept")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null")).where(F.trim("text") != "")
 
 

@@ -315,31 +315,25 @@ def _repeats(contexts: DataFrame, length: int, parts: int) -> DataFrame:
     return contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "doc long, s long, e long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, n_bytes, spans and kept (bytes) for each row of `docs(doc_id, text)`.
+def _lowest(docs: DataFrame) -> DataFrame:
+    """Adds doc: the id as a number; a null id comes before all others."""
+    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
 
-    Texts are UTF-8 bytes, a null text is empty. Every byte is removed that is covered by a string of
-    `length` bytes (GRAM < length < 256) which also starts earlier: in a document with a smaller id,
-    or further to the front. `spans` are the maximal removed ranges, kept the other bytes, joined.
 
-    Rows that repeat an id are one document; if their texts differ, it has the smallest. A null id
-    comes before all others. Of equal texts the first stays, the others are removed as a whole if
-    they have `length` bytes. Long texts are read whole, in overlapping parts. Other columns are
-    ignored; an empty table gives an empty one.
-    """
+def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, bool]:
+    """(slim row of each document with its `keep` columns, result of each distinct text by its first document, ids repeat)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lowest = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc"), utf8("text").alias("text"))
+    rows = _lowest(docs.select("doc_id", utf8("text").alias("text"), *keep))
     repeated = rows.groupBy("doc").count().where("count > 1").limit(1).count() > 0
     if repeated:
-        rows = rows.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+        rows = rows.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), *[F.first(c).alias(c) for c in keep])
     size = F.octet_length("text").cast("long")
-    slim = rows.select("doc_id", "doc", F.sha2("text", 256).alias("same"), size.alias("n_bytes"), F.when(size < length, F.col("text")).alias("short"))
-    first = slim.groupBy("same").agg(F.min("doc").alias("first"))
-    # the only shuffle of whole texts; later steps read the table by its buckets
+    slim = rows.select("doc_id", "doc", *keep, F.sha2("text", 256).alias("same"), size.alias("n_bytes"), F.when(size < length, F.col("text")).alias("short"))
+    first = slim.groupBy("same").agg(F.min("doc").alias("doc"))
+    # later steps read the distinct texts by their buckets instead of shuffling them again
     name, path = f"texts_{uuid.uuid4().hex}", f"{work_dir(spark)}/texts-{uuid.uuid4().hex}"
-    unique = rows.select("doc", "text").join(first.select(F.col("first").alias("doc")), "doc", "left_semi")
+    unique = rows.select("doc", "text").join(first.select("doc"), "doc", "left_semi")
     unique.write.option("path", path).option("compression", "zstd").bucketBy(parts, "doc").saveAsTable(name)
     texts = spark.table(name)
 
@@ -360,19 +354,47 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 spans.append([{"start": s, "end": e} for s, e in merged])
                 edges = [0, *(x for m in merged for x in m), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["first", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc", "spans", "kept"])
+
+    done = texts.join(ranges, "doc", "left").select("doc", "text", "ranges").mapInArrow(cut, "doc long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return slim, done, repeated
+
 
-    done = texts.join(ranges, "doc", "left").select("doc", "text", "ranges").mapInArrow(cut, "first long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the `keep` columns, n_bytes, spans and kept (bytes) for each row of `docs(doc_id, text)`.
+
+    Texts are UTF-8 bytes, a null text is empty. Every byte is removed that is covered by a string of
+    `length` bytes (GRAM < length < 256) which also starts earlier: in a document with a smaller id,
+    or further to the front. `spans` are the maximal removed ranges, kept the other bytes, joined.
+
+    Rows that repeat an id are one document; if their texts differ, it has the smallest. A null id
+    comes before all others. Of equal texts the first stays, the others are removed as a whole if
+    they have `length` bytes. Long texts are read whole, in overlapping parts. Further columns are
+    ignored; an empty table gives an empty one.
+    """
+    slim, done, repeated = _cut(docs, length, keep)
     # of equal texts the first has a result of its own; later ones go as a whole or are too short to
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    result = slim.join(done.withColumnRenamed("first", "doc"), "doc", "left").select(
-        "doc", "doc_id", "n_bytes", F.coalesce("spans", F.when(F.col("n_bytes") >= length, whole).otherwise(none)).alias("spans"), F.coalesce("kept", "short", F.lit(b"")).alias("kept"))
-    if repeated:
-        result = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc")).join(result.drop("doc_id"), "doc")
-    return result.select("doc_id", "n_bytes", "spans", "kept")
+    result = slim.join(done, "doc", "left").select(
+        "doc", "doc_id", *keep, "n_bytes", F.coalesce("spans", F.when(F.col("n_bytes") >= length, whole).otherwise(none)).alias("spans"), F.coalesce("kept", "short", F.lit(b"")).alias("kept"))
+    return _by_row(docs.select("doc_id", *keep), result.drop(*keep) if repeated else result, repeated).select("doc_id", *keep, "n_bytes", "spans", "kept")
+
 
+def digests(docs: DataFrame, length: int = 100) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what remove_repeats() returns.
 
-def summary(removed: DataFrame) -> DataFrame:
+    Each text is summed up where it was cut, so that only the digests are joined.
+    """
+    slim, done, repeated = _cut(docs, length)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return removed.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    summed = done.select("doc", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    gone = F.col("n_bytes") >= length
+    result = slim.join(summed, "doc", "left").select(
+        "doc", "doc_id", "n_bytes", F.coalesce("n_removed", F.when(gone, F.col("n_bytes")).otherwise(0)).alias("n_removed"), F.coalesce("n_spans", gone.cast("long")).alias("n_spans"),
+        F.coalesce("kept_sha256", F.sha2(F.coalesce("short", F.lit(b"")), 256)).alias("kept_sha256"))
+    return _by_row(docs.select("doc_id"), result, repeated).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _by_row(docs: DataFrame, result: DataFrame, repeated: bool) -> DataFrame:
+    return _lowest(docs).join(result.drop("doc_id"), "doc") if repeated else result
