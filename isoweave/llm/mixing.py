@@ -1,10 +1,16 @@
 """Operator 7: mixing sources to target weights by Pfair scheduling, DataFrame functions only.
 
-Weights are whole numbers of slots in a cycle. A source with `a` of `A` slots owns, in each cycle,
-blocks k = 1..a with release time floor((k-1)A/a) and deadline ceil(kA/a). In every slot the
-released block with the earliest deadline runs. At the end of each cycle every source is exactly
-on target, so one cycle is scheduled and repeated, and at every slot each source has received its
-weight's share to within less than one block.
+A source of weight w (its share of all weights) owns blocks k = 0, 1, ... with release time
+floor(k/w) and deadline ceil((k+1)/w). In every slot the released block with the earliest deadline
+runs, so at every slot of the whole mix each source has received its share to within less than one
+block. Nothing is repeated: release and deadline come from the weights themselves, as whole numbers
+of a total that is as fine as 64 bits allow for the number of blocks (see `fine_weights`).
+
+Stretches of slots are scheduled apart from each other. Blocks with a deadline up to d are served as
+if there were no others, so how many of them wait doesn't depend on which of them ran before. Two
+schedules that have run equally many blocks by some slot are therefore the same from the last deadline
+of the blocks then released. A stretch begins that much earlier, with any such state, and its own
+slots are those of one schedule from slot 0.
 """
 
 from __future__ import annotations
@@ -13,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isoweave.llm.shared import staged
+
 
 def whole_weights(weights: DataFrame, cycle: int) -> DataFrame:
     """Slots by source: largest remainders to `cycle` slots, one slot at least.
@@ -32,28 +40,91 @@ def whole_weights(weights: DataFrame, cycle: int) -> DataFrame:
     return exact.withColumn("left", spare - F.sum("base").over(everyone)).select("source", (F.col("base") + 1 + F.when(F.row_number().over(order) <= F.col("left"), 1).otherwise(0)).cast("int").alias("slots"))
 
 
-def _schedule(slots: Column) -> Column:
-    """The cycle as an array: for each slot the index of the source whose block runs."""
-    a, total = slots, F.aggregate(slots, F.lit(0), lambda x, y: x + y)
-    start = F.struct(F.transform(a, lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("ran"))
+def fine_weights(weights: DataFrame, blocks: DataFrame) -> DataFrame:
+    """source, a, total: the share a/total of each source with a positive weight, as whole numbers.
+
+    `blocks(n)` has the number of all blocks in one row. `total` times that number stays below
+    2**62, so over the whole mix rounding moves a share by blocks**2 / 2**61 of a block at most
+    (4e-7 for a million blocks). Equal weights stay equal.
+    """
+    w = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight").cast("double"))
+    everyone = W.partitionBy(F.lit(0))
+    # a divisor first: the sum of large weights stays finite
+    shares = weights.select("source", w.alias("w")).where("w > 0").withColumn("w", F.col("w") / F.max("w").over(everyone))
+    finest = F.least(F.lit(float(1 << 50)), F.lit(float(1 << 61)) / (F.col("n") + 2))
+    whole = shares.crossJoin(F.broadcast(blocks.select("n"))).select("source", F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(everyone) * finest)).cast("long").alias("a"))
+    return whole.withColumn("total", F.sum("a").over(everyone))
+
+
+def _next(k: Column, a: Column, i: Column, total: Column) -> Column:
+    """Block k of source i; struct order is deadline, then source."""
+    due = (k + 1) * total
+    return F.struct(F.call_function("div", due + a - 1, a).alias("deadline"), i.alias("i"), F.call_function("div", k * total, a).alias("release"), k.alias("k"), a.alias("a"))
+
+
+def _whole(x: Column, by: Column) -> Column:
+    """Whole part of a quotient beyond 64 bits in its numerator."""
+    return F.call_function("div", x, by.cast("decimal(19,0)")).cast("long")
+
+
+def _due(k: str) -> Column:
+    """Deadline of block k of a row with a and total."""
+    return _whole((F.col(k) + 1).cast("decimal(19,0)") * F.col("total") + F.col("a") - 1, F.col("a"))
+
+
+def _until_due(a: Column, deadline: Column) -> Column:
+    """How many blocks of a source with share `a` have at most this deadline."""
+    return _whole(a.cast("decimal(19,0)") * deadline, F.col("total"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), which evaluates the value once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _stretch(a: Column, total: Column, begin: Column, first: Column, end: Column, part: int = 64) -> Column:
+    """Array of (i, k, at) for the slots from `first` up to `end`, by a schedule that starts at `begin`.
+
+    By `begin` each source has run its share rounded down; the blocks that lack are those with the
+    earliest deadlines.
+    """
+    floors = F.transform(a, lambda x, i: F.struct(F.call_function("div", begin * x, total).alias("k"), x.alias("a"), i.cast("long").alias("i")))
+    lack = begin - F.aggregate(floors, F.lit(0).cast("long"), lambda n, x: n + x["k"])
+    split = F.array_sort(F.transform(F.filter(floors, lambda x: (begin * x["a"]) % total > 0), lambda x: _next(x["k"], x["a"], x["i"], total)))
+    early = F.transform(F.slice(split, F.lit(1), lack.cast("int")), lambda x: x["i"])
+    start = _let(early, lambda e: F.transform(floors, lambda x: _next(x["k"] + F.when(F.array_contains(e, x["i"]), 1).otherwise(0).cast("long"), x["a"], x["i"], total)))
 
     def step(state: Column, t: Column) -> Column:
-        # struct order is deadline, then index; blocks that aren't released yet are left out
-        ready = F.transform(a, lambda n, i: F.when(
-            (F.get(state["done"], i) < n) & (F.floor(F.get(state["done"], i) * total / n) <= t),
-            F.struct(F.ceil((F.get(state["done"], i) + 1) * total / n).alias("deadline"), i.alias("i"))))
-        pick = F.array_min(F.filter(ready, lambda x: x.isNotNull()))["i"]
-        return F.struct(F.transform(state["done"], lambda n, i: n + F.when(i == pick, 1).otherwise(0)).alias("done"), F.concat(state["ran"], F.array(pick)).alias("ran"))
+        pick = F.array_min(F.filter(state["ahead"], lambda x: x["release"] <= t))
+        return _let(pick, lambda p: F.struct(
+            F.transform(state["ahead"], lambda x: F.when(x["i"] == p["i"], _next(x["k"] + 1, x["a"], x["i"], total)).otherwise(x)).alias("ahead"),
+            F.concat(state["ran"], F.array(F.struct(p["i"].alias("i"), p["k"].alias("k"), t.alias("at")))).alias("ran")))
+
+    none = F.array().cast("array<struct<i:bigint,k:bigint,at:bigint>>")
+
+    def steps(state: Column, t: Column) -> Column:
+        # parts keep the lists that grow by one short
+        to = F.least(t + part, end) - 1
+        run = F.aggregate(F.sequence(t, to), F.struct(state["ahead"].alias("ahead"), none.alias("ran")), step)
+        return _let(run, lambda r: F.struct(r["ahead"].alias("ahead"), F.concat(state["parts"], F.array(F.filter(r["ran"], lambda x: x["at"] >= first))).alias("parts")))
 
-    return F.aggregate(F.sequence(F.lit(0), total - 1), start, step, lambda s: s["ran"])
+    return F.aggregate(F.sequence(begin, end - 1, F.lit(part).cast("long")), F.struct(start.alias("ahead"), F.array().cast("array<array<struct<i:bigint,k:bigint,at:bigint>>>").alias("parts")), steps, lambda s: F.flatten(s["parts"]))
 
 
-def cycle_table(slots: DataFrame) -> DataFrame:
-    """source, slots, nth (0-based block in the cycle), at (slot in the cycle), size of the cycle."""
-    one = slots.agg(F.array_sort(F.collect_list(F.struct("source", "slots"))).alias("s"))
-    ran = one.where(F.size("s") > 0).select("s", _schedule(F.transform("s", lambda x: x["slots"])).alias("ran"))
-    each = ran.select("s", F.size("ran").alias("cycle"), F.posexplode("ran").alias("at", "i")).select(F.get("s", F.col("i"))["source"].alias("source"), F.get("s", F.col("i"))["slots"].alias("slots"), "at", "cycle")
-    return each.withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("at")) - 1)
+def schedule(shares: DataFrame, until: DataFrame, length: int = 2048) -> DataFrame:
+    """source, k and at for the slots below `until`: which block of which source runs in slot `at`.
+
+    `shares(source, a, total)` has one row for each source, `until(until)` one row. Stretches have
+    `length` slots, or twice the longest window of a block if that is more.
+    """
+    one = shares.agg(F.array_sort(F.collect_list(F.struct("source", "a"))).alias("s"), F.first("total").alias("total"), F.min("a").alias("least")).where(F.size("s") > 0)
+    window = F.call_function("div", F.col("total"), F.col("least")) + 2
+    cut = one.crossJoin(F.broadcast(until)).where("until > 0").withColumn("window", window).withColumn("length", F.greatest(F.lit(length).cast("long"), F.least(2 * F.col("window"), F.col("until"))))
+    firsts = cut.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("until") - 1, F.col("length"))))
+    # each stretch is a task of its own, however few bytes it has
+    dealt = firsts.repartition("first")
+    ran = dealt.select("s", F.explode(_stretch(F.transform("s", lambda x: x["a"]), F.col("total"), F.greatest(F.lit(0).cast("long"), F.col("first") - F.col("window")), F.col("first"), F.least(F.col("first") + F.col("length"), F.col("until")))).alias("b"))
+    return ran.select(F.get("s", F.col("b")["i"].cast("int"))["source"].alias("source"), F.col("b")["k"].alias("k"), F.col("b")["at"].alias("at"))
 
 
 def flattened_weights(docs: DataFrame, power: float = 0.5) -> DataFrame:
@@ -61,18 +132,20 @@ def flattened_weights(docs: DataFrame, power: float = 0.5) -> DataFrame:
     return docs.groupBy("source").agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int = 840, cells: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int | None = None, cells: int = 1024) -> DataFrame:
     """Orders `docs` so that every prefix of it holds the target weights.
 
     Adds source_rank, mix_slot, release, deadline, mix_pos and in_mix; columns of these names are
     replaced, all other columns stay. Blocks of `block` documents of a source are taken in an order
     that a hash of the row fixes. `in_mix` ends at the first slot whose source has no full block
-    left: up to there the deviation is below one block for each source. Later rows, and those of
-    sources without a positive weight (mix_slot null), are kept with in_mix false.
+    left: up to there the deviation from the weights is below one block for each source. Later
+    blocks follow by deadline, as far as their sources last, with in_mix false; rows of sources
+    without a positive weight are kept with mix_slot null. With `cycle` the targets are
+    `whole_weights(weights, cycle)` instead of the weights themselves.
 
     A null source is a source. Repeated rows are documents of their own. No source is collected
     into a task: rows are numbered inside `cells` hash cells of a source, whose starts come from
-    their counts. An empty table gives an empty one.
+    their counts, and stretches of slots are scheduled apart. An empty table gives an empty one.
     """
     own = ["source_rank", "mix_slot", "release", "deadline", "mix_pos", "in_mix"]
     base = docs.drop(*own)
@@ -83,24 +156,30 @@ def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int = 840, c
     inside = W.partitionBy("_src", "_cell").orderBy("_key", F.col("doc_id").asc_nulls_first())
     numbered = celled.withColumn("_in", F.row_number().over(inside)).join(starts, ["_src", "_cell"]).withColumn("source_rank", F.col("_start") + F.col("_in") - 1).drop("_start", "_in", "_cell", "_key")
 
-    plan = cycle_table(whole_weights(weights, cycle)).select(F.struct("source").alias("_src"), "slots", "nth", "at", "cycle")
-    by_source = plan.groupBy("_src").agg(F.first("slots").alias("slots"), F.first("cycle").alias("cycle"))
     totals = counts.groupBy("_src").agg(F.sum("n").alias("n"))
-    # the first slot that a source can't fill, over all sources with a weight
-    lack = (
-        by_source.join(totals, "_src", "left").withColumn("full", F.floor(F.coalesce("n", F.lit(0)) / block))
-        .withColumn("nth", (F.col("full") % F.col("slots")).cast("int")).join(plan.select("_src", "nth", "at"), ["_src", "nth"])
-        .agg(F.min(F.floor(F.col("full") / F.col("slots")) * F.col("cycle") + F.col("at")).alias("_end"))
+    targets = weights if cycle is None else whole_weights(weights, cycle).select("source", F.col("slots").alias("weight"))
+    # bounded tables from here on: one row for each source
+    blocks = totals.agg(F.coalesce(F.sum(F.ceil(F.col("n") / block)), F.lit(0)).alias("n"))
+    shares = staged(fine_weights(targets, blocks), "mix-shares")
+    by_source = staged(
+        shares.select(F.struct("source").alias("_src"), "a", "total").join(totals, "_src", "left")
+        .select("_src", "a", "total", F.floor(F.coalesce("n", F.lit(0)) / block).alias("full"), F.ceil(F.coalesce("n", F.lit(0)) / block).alias("blocks")), "mix-sources"
     )
-    k = F.floor(F.col("source_rank") / block)
+    # a source that can't fill a block lacks it before the block's deadline
+    until = by_source.agg(F.min(_due("full")).alias("until")).where("until is not null")
+    plan = staged(schedule(shares, until).select(F.struct("source").alias("_src"), F.col("k").alias("_k"), "at"), "mix-slots")
+    lack = plan.join(F.broadcast(by_source.select("_src", F.col("full").alias("_k"))), ["_src", "_k"]).agg(F.min("at").alias("_end"))
+    begun = plan.crossJoin(F.broadcast(lack)).where("at < _end").groupBy("_src").agg(F.count("*").alias("ran"))
+    rest = by_source.join(begun, "_src", "left").select("_src", "a", "total", F.coalesce("ran", F.lit(0)).cast("long").alias("ran"), "blocks")
+    others = rest.agg(F.array_sort(F.collect_list(F.struct("_src", "a", "ran", "blocks"))).alias("_all"))
+    before = F.aggregate("_all", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0).cast("long"), F.least(x["blocks"], _until_due(x["a"], F.col("deadline") - F.when(x["_src"] > F.col("_src"), 1).otherwise(0))) - x["ran"]))
     placed = (
-        numbered.join(F.broadcast(by_source), "_src", "left").withColumn("_k", k).withColumn("nth", F.pmod("_k", "slots").cast("int"))
-        .join(F.broadcast(plan.select("_src", "nth", "at")), ["_src", "nth"], "left")
-        .join(F.broadcast(lack))
-        .withColumn("mix_slot", F.floor(F.col("_k") / F.col("slots")) * F.col("cycle") + F.col("at"))
-        .withColumn("release", F.floor(F.col("_k") * F.col("cycle") / F.col("slots")))
-        .withColumn("deadline", F.ceil((F.col("_k") + 1) * F.col("cycle") / F.col("slots")))
+        numbered.withColumn("_k", F.floor(F.col("source_rank") / block)).join(F.broadcast(by_source.select("_src", "a", "total")), "_src", "left")
+        .join(plan, ["_src", "_k"], "left").join(F.broadcast(lack)).join(F.broadcast(others))
+        .withColumn("release", _whole(F.col("_k").cast("decimal(19,0)") * F.col("total"), F.col("a")))
+        .withColumn("deadline", _due("_k"))
+        .withColumn("in_mix", F.coalesce(F.col("at") < F.col("_end"), F.lit(False)))
+        .withColumn("mix_slot", F.when(F.col("in_mix"), F.col("at")).when(F.col("a").isNotNull(), F.col("_end") + before - 1))
         .withColumn("mix_pos", F.col("mix_slot") * block + F.pmod("source_rank", F.lit(block)))
-        .withColumn("in_mix", F.coalesce(F.col("mix_slot") < F.col("_end"), F.lit(False)))
     )
     return placed.select(*base.columns, *own)

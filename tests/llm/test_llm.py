@@ -220,6 +220,31 @@ def test_every_prefix_is_within_a_block_of_target(spark):
     assert mixing.mix(d.where("false"), w).count() == 0
 
 
+def test_deviation_from_the_given_weights_does_not_grow(spark):
+    hot = {"hot": (1000.0, 260), **{f"s{i:02}": (1e5**0.5, 70) for i in range(19)}}
+    many = {f"s{i:04}": (1.0 + i % 7 / 3, 3) for i in range(900)}
+    for sizes in (hot, many):
+        d = spark.createDataFrame([(i, s) for i, s in enumerate(x for x, (_, n) in sizes.items() for _ in range(n))], "doc_id long, source string")
+        w = spark.createDataFrame([(s, w) for s, (w, _) in sizes.items()], "source string, weight double")
+        got = mixing.mix(d, w, block=1).collect()
+        assert sorted(r.mix_pos for r in got) == list(range(len(got)))
+        mixed = sorted((r for r in got if r.in_mix), key=lambda r: r.mix_pos)
+        assert len(mixed) > 900 and [r.mix_slot for r in mixed] == list(range(len(mixed)))
+        total = sum(w for w, _ in sizes.values())
+        done = Counter()
+        for t, r in enumerate(mixed):
+            assert r.release <= r.mix_slot < r.deadline
+            done[r.source] += 1
+            assert all(abs(done[s] - (t + 1) * w / total) < 1 for s, (w, _) in sizes.items())
+
+
+def test_stretches_of_slots_are_one_schedule(spark):
+    shares = spark.createDataFrame([(s, a, 1000) for s, a in (("a", 501), ("b", 250), ("c", 200), ("d", 31), ("e", 18))], "source string, a long, total long")
+    until = spark.createDataFrame([(2500,)], "until long")
+    cut, whole = ([tuple(r) for r in mixing.schedule(shares, until, n).orderBy("at").collect()] for n in (1, 2500))
+    assert cut == whole and [at for _, _, at in whole] == list(range(2500))
+
+
 # 8 -------------------------------------------------------------------------------------------
 def brute_removed(texts, length):
     seen, out = set(), []
