@@ -1,13 +1,15 @@
 """Operator 9: benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, so a question that was asked again with other
-values has the same template. Template windows of documents and benchmark items meet in a hash
-join; a hit counts only if, along one alignment, every slot value of the item always went to the
-same value of the document.
+Numbers, names and units become typed placeholders, one for a run of words of one kind, so a question
+that was asked again with other values has the same template. Template windows of documents and
+benchmark items meet in a hash join; a hit counts only if, along one alignment, every slot value of the
+item always went to the same value of the document. An alignment may move to near diagonals, where a
+word was put in or left out.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.llm.shared import mix64
+from isoweave.llm.shared import mix64, sorted_groups
 
 #: Unit words and number words that become placeholders.
 UNITS = frozenset("km m cm mm kg g mg t l ml mph mile miles foot feet inch inches meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros pound pounds cent cents percent degree degrees".split())
@@ -58,7 +60,8 @@ class Words:
     low: bytes
 
     def value(self, i: int) -> str:
-        return self.low[self.start[i] : self.end[i]].decode("utf-8", "replace")
+        value = b" ".join(self.low[self.start[i] : self.end[i]].split())
+        return value.decode("utf-8", "replace") if len(value) <= 256 else xxhash.xxh3_128_hexdigest(value)
 
 
 class Canon:
@@ -66,10 +69,11 @@ class Canon:
 
     Words are runs of letters, digits and `_`; a `.` or `,` between digits belongs to its number; `%`
     and `$` are words. A capitalised word is a name unless it opens a sentence (or its text); a unit
-    counts after a number.
+    counts after a number. With `joined` a run of numbers or names inside a sentence is one word.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, joined: bool = False) -> None:
+        self.joined = joined
         self.power = self.back = np.ones(1, np.uint64)
         self.units, self.numbers = (np.sort(np.array([self._code(w) for w in words], dtype=np.uint64)) for words in (UNITS, NUMBERS))
 
@@ -134,6 +138,10 @@ class Canon:
         capital = (b[start] != lb[start]) | ((b[start] >= 0xC0) & (b[second] != lb[second]))
         name = ~number & ~unit & capital & ~opens
         kind = np.select([number, name, unit], [NUMBER, NAME, UNIT], 0)
+        if self.joined:
+            first = ~(np.r_[False, (kind[1:] == kind[:-1]) & (kind[1:] > 0)] & ~opens)
+            end = end[np.r_[np.flatnonzero(first)[1:], len(first)] - 1]
+            start, kind, code, text = start[first], kind[first], code[first], text[first]
         return Words(np.where(kind > 0, SLOTS[kind], code), kind, start, end, text, low)
 
 
@@ -176,10 +184,15 @@ def _parts(pair: tuple[bytes, bytes], i: int, canon: Canon, overlap: int) -> Ite
     raw, low = pair
     at = word = 0
     while True:
-        end = min(len(raw), at + PIECE)
-        while end < len(raw) and raw[end] not in b" \n\t\r":
-            end += 1
-        found = canon.words(raw[at:end], low[at:end], np.array([end - at]))
+        size = PIECE
+        while True:
+            end = min(len(raw), at + size)
+            while end < len(raw) and raw[end] not in b" \n\t\r":
+                end += 1
+            found = canon.words(raw[at:end], low[at:end], np.array([end - at]))
+            if not canon.joined or len(found.start) > overlap + 2 or end >= len(raw):
+                break
+            size *= 2  # a run of one kind fills the part
         yield found, i, word, at > 0
         if end >= len(raw):
             return
@@ -190,29 +203,33 @@ def _parts(pair: tuple[bytes, bytes], i: int, canon: Canon, overlap: int) -> Ite
 
 
 def benchmark_windows(benchmark: DataFrame, size: int, least: int) -> DataFrame:
-    """item_id, h, at, n (windows of the item), size, kinds and slots for each window.
+    """item_id, h, at, n (windows of the item), size, joined, kinds and slots for each window.
 
-    An item with fewer than `size` template tokens is one window, if it has `least` or more.
+    An item with fewer than `size` template tokens is one window, if it has `least` or more. One that
+    has `least` tokens only if runs of a kind aren't joined keeps them apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon()
+        canons = Canon(joined=True), Canon()
         for b in batches:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = _joined([lower(text or "")], canon)
-                w = min(size, len(found.codes))
+                for canon in canons:
+                    found = _joined([lower(text or "")], canon)
+                    w = min(size, len(found.codes))
+                    if w >= least:
+                        break
                 if w < least:
                     continue
                 h, kind, values = windows(found.codes, w), found.kinds, [found.value(i) for i in range(len(found.codes))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * len(h), b.schema.field(0).type), pa.array(h.astype(np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(np.full(len(h), len(h), dtype=np.int32)), pa.array(np.full(len(h), w, dtype=np.int32)),
+                    [pa.array([item] * len(h), b.schema.field(0).type), pa.array(h.astype(np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(np.full(len(h), len(h), dtype=np.int32)), pa.array(np.full(len(h), w, dtype=np.int32)), pa.array([canon.joined] * len(h)),
                      pa.array([kind[i : i + w].tolist() for i in range(len(h))], pa.list_(pa.int32())), pa.array([values[i : i + w] for i in range(len(h))], pa.list_(pa.string()))],
-                    ["item_id", "h", "at", "n", "size", "kinds", "slots"])
+                    ["item_id", "h", "at", "n", "size", "joined", "kinds", "slots"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, h long, at int, n int, size int, kinds array<int>, slots array<string>")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, h long, at int, n int, size int, joined boolean, kinds array<int>, slots array<string>")
 
 
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
+def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, joined: bool = True) -> DataFrame:
     """doc_id, h, doc_at and doc_slots of the windows of whole texts.
 
     `wanted` (sorted) leaves out the windows that can't join; without it all are returned.
@@ -221,7 +238,7 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
     overlap = max(sizes, default=1) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon()
+        canon = Canon(joined)
         bits = np.zeros(1 << 20, dtype=bool)
         if wanted is not None:
             bits[wanted & np.uint64((1 << 20) - 1)] = True
@@ -243,11 +260,58 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, doc_at long, doc_slots array<string>")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 4, coverage: float = 0.5, local_index: int = 1_000_000) -> DataFrame:
+def _chain(diagonals: list[tuple[int, list[int], list[tuple]]]) -> tuple[int, bool]:
+    """Most windows on an ordered chain over (shift, windows, (kind, item's value, document's value)),
+    and whether values differ along it. A diagonal whose values contradict the chain adds nothing."""
+    best = (0, True)
+    by_size = sorted(diagonals, key=lambda d: (-len(d[1]), d[0]))
+    for base in by_size:
+        place, values, ats = {}, {}, []
+        for shift, windows_, pairs in [base, *(d for d in by_size if d is not base)]:
+            new = []
+            for at in windows_:
+                k = bisect_left(ats, at)
+                if at not in place and (k == 0 or place[ats[k - 1]] < at + shift) and (k == len(ats) or at + shift < place[ats[k]]):
+                    new.append(at)
+            if not new or any(values.get((kind, own), other) != other for kind, own, other in pairs):
+                continue
+            place.update((at, at + shift) for at in new)
+            values.update(((kind, own), other) for kind, own, other in pairs)
+            ats = sorted(place)
+        best = max(best, (len(ats), any(own != other for (_, own), other in values.items())), key=lambda b: (b[0], not b[1]))
+    return best
+
+
+def _chained(diagonals: DataFrame, coverage: float, band: int) -> DataFrame:
+    """doc_id, item_id, hits, n and reworded of chains over diagonals at most 2 `band` shifts apart.
+
+    Diagonals meet in overlapping cells of shifts, so that a group is no larger than an item allows,
+    however often a document repeats it.
+    """
+    width = F.greatest(F.lit(1), F.least(F.lit(band), F.floor(F.col("n") / 2)))
+    cell = F.floor(F.col("shift") / width)
+    keys = ["doc_id", "item_id", "cell"]
+    dealt = diagonals.withColumn("cell", F.explode(F.array(cell, cell - 1)))
+    enough = dealt.groupBy(*keys).agg(F.count("*").alias("c"), F.sum(F.size("ats")).alias("most"), F.first("n").alias("n")).where((F.col("c") > 1) & (F.col("most") >= F.col("n") * coverage)).select(*keys)
+    rows = dealt.join(enough, keys).select(*keys, "shift", "n", "ats", "pairs").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, keys):
+            group = [(r["shift"], r["ats"], [(x["kinds"], x["slots"], x["doc_slots"]) for x in r["pairs"]]) for r in t.select(["shift", "ats", "pairs"]).to_pylist()]
+            hits, reworded = _chain(group)
+            head = t.slice(0, 1)
+            yield pa.RecordBatch.from_arrays([head.column("doc_id").combine_chunks(), head.column("item_id").combine_chunks(), pa.array([hits], pa.int32()), head.column("n").combine_chunks(), pa.array([reworded])], ["doc_id", "item_id", "hits", "n", "reworded"])
+
+    return rows.mapInArrow(run, "doc_id long, item_id long, hits int, n int, reworded boolean")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 4, coverage: float = 0.5, local_index: int = 1_000_000, band: int = 16) -> DataFrame:
     """doc_id, item_id, hits, coverage, reworded for each document that holds a benchmark item.
 
     A document holds an item if, along one alignment, `coverage` of the item's windows of `size`
     template tokens occur in it with consistent slots; `reworded` says that slot values differ.
+    Where words were put in or left out an alignment goes on, in order, on diagonals up to `band`
+    shifts away (half of the item's windows, if that is less).
     The benchmark's window hashes are given to the tasks that read documents, if there are at most
     `local_index` of them, to leave out other windows early; beyond that all windows are joined.
 
@@ -257,15 +321,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int
     """
     bench = benchmark_windows(benchmark, size, least)
     count = bench.select("h").distinct().count()
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
-    wanted = np.array([r["h"] for r in bench.select("h").distinct().collect()], dtype=np.int64).astype(np.uint64) if count <= local_index else None
-    hits = document_windows(docs.where("doc_id is not null"), sizes, wanted).join(bench, "h").distinct()
+    shapes = sorted((r["joined"], r["size"]) for r in bench.select("joined", "size").distinct().collect())
+    hits = None
+    for joined in sorted({j for j, _ in shapes} or {True}):
+        own = bench.where(F.col("joined") == joined)
+        wanted = np.array([r["h"] for r in own.select("h").distinct().collect()], dtype=np.int64).astype(np.uint64) if count <= local_index else None
+        met = document_windows(docs.where("doc_id is not null"), [w for j, w in shapes if j == joined], wanted, joined).join(own, "h").distinct()
+        hits = met if hits is None else hits.unionByName(met)
     differing = F.filter(F.arrays_zip("kinds", "slots", "doc_slots"), lambda x: x["kinds"] > 0)
-    shift = F.col("doc_at") - F.col("at")
-    # one row for each slot value of an aligned run: a second value of the document breaks it
-    aligned = hits.withColumn("shift", shift)
-    slots = aligned.select("doc_id", "item_id", "shift", F.explode(differing).alias("s")).groupBy("doc_id", "item_id", "shift", "s.kinds", "s.slots").agg(F.min("s.doc_slots").alias("low"), F.max("s.doc_slots").alias("high"))
-    broken = slots.groupBy("doc_id", "item_id", "shift").agg(F.max(F.col("low") != F.col("high")).alias("broken"), F.max(F.col("slots") != F.col("low")).alias("reworded"))
-    runs = aligned.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("at").alias("hits"), F.first("n").alias("n")).join(broken, ["doc_id", "item_id", "shift"], "left")
-    good = runs.where(~F.coalesce("broken", F.lit(False))).withColumn("coverage", F.col("hits") / F.col("n")).where(F.col("coverage") >= coverage)
-    return good.groupBy("doc_id", "item_id").agg(F.max("hits").cast("int").alias("hits"), F.max("coverage").alias("coverage"), F.min(F.coalesce("reworded", F.lit(False))).alias("reworded"))
+    # one row for each diagonal: a second value of the document for a slot value breaks it
+    diagonals = (
+        hits.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"))
+        .agg(F.first("n").alias("n"), F.sort_array(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set(differing))).alias("pairs"))
+        .where(F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kinds"], x["slots"])))) == F.size("pairs"))
+    )
+    straight = diagonals.select("doc_id", "item_id", F.size("ats").alias("hits"), "n", F.exists("pairs", lambda x: x["slots"] != x["doc_slots"]).alias("reworded"))
+    good = straight.unionByName(_chained(diagonals, coverage, band)).withColumn("coverage", F.col("hits") / F.col("n")).where(F.col("coverage") >= coverage)
+    return good.groupBy("doc_id", "item_id").agg(F.max("hits").cast("int").alias("hits"), F.max("coverage").alias("coverage"), F.min("reworded").alias("reworded"))

@@ -318,6 +318,27 @@ def test_leaks_with_other_values(spark):
     assert decontaminate.find_leaks(docs_of(spark, texts), bench.where("false")).count() == 0
 
 
+def test_leaks_with_longer_values_and_inserted_words(spark):
+    rng = random.Random(99)
+    plain = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(36)]
+    item = " ".join([*plain[:12], "Boston", *plain[12:24], "3", *plain[24:]])
+    bench = spark.createDataFrame([(7, item), (8, "alpha beta New York")], "item_id long, text string")
+    longer = item.replace("3", "twenty five").replace("Boston", "New York")
+    inserted, missing = (" ".join([*item.split()[:19], *w, *item.split()[k:]]) for w, k in ((["indeed"], 19), ([], 20)))
+    texts = [longer, inserted, missing, "so it is. " + longer + " and on. " + inserted, " ".join(item.split()[:14]), item, "we saw alpha beta New York there", "filler 7 8 9 " * 30 + inserted]
+    got = {(r.doc_id, r.item_id): (r.reworded, r.coverage) for r in decontaminate.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert set(got) == {(0, 7), (1, 7), (2, 7), (3, 7), (5, 7), (6, 8), (7, 7)}
+    assert got[0, 7] == (True, 1.0) and not got[1, 7][0] and not got[2, 7][0] and not got[6, 8][0]
+    assert 0.7 < got[1, 7][1] < 1 and 0.7 < got[2, 7][1] < 1
+
+
+def test_chains_keep_order_and_values():
+    a, b = (0, [0, 1, 2], [(2, "tom", "ann")]), (1, [6, 7], [(2, "tom", "ann")])
+    assert decontaminate._chain([a, b]) == (5, True)
+    assert decontaminate._chain([a, (1, [6, 7], [(2, "tom", "bob")])]) == (3, True)
+    assert decontaminate._chain([a, (-7, [6, 7], [])]) == (3, True)
+
+
 def test_template_words():
     found = decontaminate._joined([decontaminate.lower(t) for t in ("Tom paid 3,500.50 km. Then É 5 % of five miles, m", "“Ann” Élan, x.y 7kg")], decontaminate.Canon())
     got = [(found.value(i), int(k), int(t)) for i, (k, t) in enumerate(zip(found.kinds, found.text))]
