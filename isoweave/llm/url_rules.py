@@ -51,10 +51,12 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
     """Rules from `labelled(url, verdict)`: columns rule_id, antecedent, verdict, confidence, support.
 
     FP-growth finds the frequent combinations of URL tokens and verdict; a rule is a combination
-    that occurs in `min_support` of all labelled urls, in `min_count` of them at least, and in `min_confidence` of its occurrences
-    goes with one verdict. Rare tokens can't be in any rule and are dropped first.
+    that occurs in `min_support` of all urls, in `min_count` of them at least, and in `min_confidence` of its occurrences
+    goes with one verdict. Urls with a null verdict are unlabelled: they count among the occurrences
+    of their tokens, but for no verdict. Rare tokens can't be in any rule and are dropped first.
     """
-    rows = labelled.where("url is not null and verdict is not null").select(F.array_append(tokens(F.col("url")), F.concat(F.lit("verdict:"), F.col("verdict"))).alias("items"))
+    own = tokens(F.col("url"))
+    rows = labelled.where("url is not null").select(F.when(F.col("verdict").isNull(), own).otherwise(F.array_append(own, F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
     n = rows.count()
     min_support = min(1.0, max(min_support, min_count / max(n, 1)))
     common = rows.select(F.explode("items").alias("t")).groupBy("t").count().where(F.col("count") >= max(1.0, min_support * n))
@@ -91,12 +93,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | No
     """page_id, host, path, rule, verdict and mined_rule for every row of `pages(page_id, url)`.
 
     The longest curated rule decides. For the other urls the mined rules decide, learned from
-    `labels(url, verdict)`, or, without labels, from the urls that the curated rules fit. Where
-    none fires the verdict is allow. Null urls and urls without `://` have empty host and path and
+    `labels(url, verdict)`, or, without labels, from all urls: those that a curated rule fits have its
+    verdict, the others are unlabelled, so that what curated rules say of a few urls isn't carried
+    over to hosts or paths that most urls share without being judged. Where none fires the verdict
+    is allow. Null urls and urls without `://` have empty host and path and
     are allowed; very long urls are read whole; repeated rows get equal results; on an empty table
     nothing is mined. Other columns, whatever their names, are ignored.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("fit", curated(rules))
-    labelled = labels if labels is not None else rows.where("fit is not null").select("url", "fit.verdict")
+    labelled = labels.where("verdict is not null") if labels is not None else rows.select("url", "fit.verdict")
     judged = match(rows, mine(labelled, **limits))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "mined_verdict").alias("verdict"), F.when(F.col("fit").isNull(), F.nullif(F.coalesce("mined_rule", F.lit("")), F.lit(""))).alias("mined_rule"))

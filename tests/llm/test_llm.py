@@ -49,6 +49,17 @@ def test_mined_rules_generalise(spark):
     assert rules.where("confidence < 0.9").count() == 0
 
 
+def test_one_sided_curated_rules_block_no_unjudged_urls(spark):
+    urls = [f"http://a{i}.org/es/{i}" for i in range(60)] + [f"http://b{i}.org/fr/{i}" for i in range(60)] + [f"http://c{i}.net/es/{i}" for i in range(60)]
+    urls += [f"http://win{i}.casino.com/en/{i}" for i in range(60)] + ["http://new.casino.com/fr/1", None]
+    got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", "org/es/"), ("block", "com/en/")]).collect()}
+    assert all(got[i].verdict == "block" and got[i].mined_rule is None for i in (*range(60), *range(180, 240)))
+    assert all(got[i].verdict == "allow" and got[i].mined_rule is None for i in range(60, 180))
+    # nearly all urls of this host are judged, so a new one goes with them
+    assert got[240].verdict == "block" and "host:casino.com" in got[240].mined_rule
+    assert got[241].verdict == "allow"
+
+
 def test_urls_of_an_empty_table(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
