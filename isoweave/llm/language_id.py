@@ -1,80 +1,77 @@
 """Operator 3: language ID with string kernels.
 
 The kernel of two texts is the cosine of their blended-spectrum presence sets: all distinct
-character n-grams of length 1 to 3, over the folded alphabet. Landmark texts give a Nystroem
+character n-grams of length 1 to 3, in lower case, with one symbol for all that is no letter. Landmark texts give a Nystroem
 feature map; one ridge regression for each language against the rest is fitted in it. Kernel and
 regression are linear in the landmarks' n-grams, so scoring is one matrix product for each batch.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3)
-SYMBOLS = 64  # 0 stands for whatever is no letter, the last for letters outside the alphabet
-GRAMS = sum(SYMBOLS**n for n in ORDERS)
 CHUNK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+BITS = np.uint64(21)  # a code point and the symbol of all non-letters fit
+LETTER = regex.compile(r"\p{L}")
+LETTERS: list[np.ndarray] = []
 
 
-def fold_table(letters: str) -> np.ndarray:
-    """Symbol of each code point below 2**16; `letters` get symbols of their own."""
-    table = np.zeros(1 << 16, dtype=np.int32)
-    table[[i for i in range(1 << 16) if chr(i).isalpha()]] = SYMBOLS - 1
-    for k, c in enumerate(letters[: SYMBOLS - 2]):
-        if ord(c) < 1 << 16:
-            table[ord(c)] = k + 1
-    return table
+def letters() -> np.ndarray:
+    """Which code points are letters, made once in a process."""
+    if not LETTERS:
+        LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
+    return LETTERS[0]
 
 
-def mark(text: str, table: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """Sets the flag of each n-gram of the whole text; returns the ids it has set."""
-    seen = []
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def spectrum(text: str) -> np.ndarray:
+    """Sorted distinct n-grams of a whole text: every letter is a symbol of its own, all else is one symbol."""
+    parts = []
     for at in range(0, max(1, len(text)), CHUNK):
         code = np.frombuffer(text[at : at + CHUNK + ORDERS[-1] - 1].lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-        s = np.where(code < 1 << 16, table[code & 0xFFFF], SYMBOLS - 1)
-        gram, start = s, 0
-        for n in ORDERS:
-            if n > 1:
-                if len(s) < n:
-                    break
-                gram = gram[:-1] * SYMBOLS + s[n - 1 :]
-            ids = gram + start
-            fresh = ids[flags[ids] == 0]
-            flags[fresh] = 1
-            seen.append(fresh)
-            start += SYMBOLS**n
-    return np.concatenate(seen) if seen else np.zeros(0, dtype=np.int32)
-
-
-def presence(texts: list[str | None], table: np.ndarray, keep: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = np.where(letters()[np.minimum(code, 0x10FFFF)], code + np.uint32(2), np.uint32(1)).astype(np.uint64)
+        gram, found = s, [distinct(s)]
+        for n in ORDERS[1:]:
+            if len(s) < n:
+                break
+            gram = (gram[:-1] << BITS) | s[n - 1 :]
+            found.append(distinct(gram))
+        parts.append(np.concatenate(found))
+    return parts[0] if len(parts) == 1 else distinct(np.concatenate(parts))
+
+
+def presence(texts: list[str | None], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Presence of the `keep` n-grams by text, and each text's number of distinct n-grams."""
     out, sizes = np.zeros((len(texts), len(keep)), dtype=np.float32), np.zeros(len(texts))
     for k, t in enumerate(texts):
         if t:
-            ids = mark(t, table, flags)
-            out[k] = flags[keep]
-            sizes[k] = np.count_nonzero(flags)
-            flags[ids] = 0
+            ids = spectrum(t)
+            at = np.minimum(np.searchsorted(keep, ids), len(keep) - 1)
+            out[k, at[keep[at] == ids]] = 1
+            sizes[k] = len(ids)
     return out, sizes
 
 
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray
     keep: np.ndarray
     weights: np.ndarray  # by n-gram and language
 
-    def scores(self, texts: list[str | None], flags: np.ndarray) -> np.ndarray:
-        x, sizes = presence(texts, self.table, self.keep, flags)
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        x, sizes = presence(texts, self.keep)
         return (x @ self.weights) / np.sqrt(np.maximum(sizes, 1))[:, None]
 
 
@@ -97,32 +94,19 @@ def fit(train: DataFrame, landmarks: int = 48, rows: int = 1500, ridge: float =
         return None
     langs = sorted(counts)
 
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                c, n = np.unique(np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"c": c.astype(np.int64), "n": n.astype(np.int64)})
-
-    marks = _sample(train, counts, landmarks, seed)
-    seen = marks.select("text").mapInArrow(letters, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    alphabet = "".join(chr(r["c"]) for r in sorted(seen, key=lambda r: (-r["n"], r["c"])) if chr(r["c"]).isalpha())
-    table = fold_table(alphabet)
-
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(GRAMS, dtype=np.uint8)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = mark(text, table, flags)
-                flags[ids] = 0
-                yield pa.RecordBatch.from_pydict({"lang": [lang], "ids": pa.array([np.unique(ids).astype(np.int32)], pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "ids": pa.array([spectrum(text).astype(np.int64)], pa.list_(pa.int64()))})
 
-    found = sorted(marks.select("text", "lang").mapInArrow(grams, "lang string, ids array<int>").collect(), key=lambda r: (r["lang"], r["ids"]))
+    marks = _sample(train, counts, landmarks, seed)
+    found = sorted(marks.select("text", "lang").mapInArrow(grams, "lang string, ids array<long>").collect(), key=lambda r: (r["lang"], r["ids"]))
     if not found:
         return None
-    keep = np.unique(np.concatenate([np.asarray(r["ids"]) for r in found]))
+    keep = np.unique(np.concatenate([np.asarray(r["ids"], dtype=np.uint64) for r in found]))
     sets = np.zeros((len(found), len(keep)), dtype=np.float32)
     for k, r in enumerate(found):
-        sets[k, np.searchsorted(keep, r["ids"])] = 1
+        sets[k, np.searchsorted(keep, np.asarray(r["ids"], dtype=np.uint64))] = 1
     unit = sets / np.sqrt(sets.sum(axis=1))[:, None]
     kernel = (unit @ unit.T).astype(np.float64)
     value, vector = np.linalg.eigh(kernel)
@@ -130,31 +114,29 @@ def fit(train: DataFrame, landmarks: int = 48, rows: int = 1500, ridge: float =
     features = unit.T.astype(np.float64) @ (vector[:, large] / np.sqrt(value[large]))  # n-gram to Nystroem feature
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(GRAMS, dtype=np.uint8)
-        d = features.shape[1] + 1
+        d = features.shape[1]
         total = np.zeros((d, d + len(langs)))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                x, size = presence(part.column(0).to_pylist(), table, keep, flags)
-                z = np.hstack([(x @ features) / np.sqrt(np.maximum(size, 1))[:, None], np.ones((len(x), 1))])
+                x, size = presence(part.column(0).to_pylist(), keep)
+                z = (x @ features) / np.sqrt(np.maximum(size, 1))[:, None]
                 y = np.array([[lang == k for k in langs] for lang in part.column(1).to_pylist()], dtype=np.float64)
                 total += z.T @ np.hstack([z, y])
         yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
     parts = _sample(train, counts, rows, seed + 1).select("text", "lang").repartition(8).mapInArrow(sums, "total binary").collect()
-    d = features.shape[1] + 1
+    d = features.shape[1]
     total = sum(np.frombuffer(r["total"]).reshape(d, d + len(langs)) for r in parts)
     gram, aim = total[:, :d], total[:, d:]
-    # the constant feature only centres the targets; it is dropped again so that scores stay linear
-    solved = np.linalg.solve(gram[:-1, :-1] + ridge * np.trace(gram[:-1, :-1]) / max(1, d - 1) * np.eye(d - 1), aim[:-1])
-    return Model(langs, table, keep, (features @ solved).astype(np.float32))
+    solved = np.linalg.solve(gram + ridge * np.trace(gram) / d * np.eye(d), aim)
+    return Model(langs, keep, (features @ solved).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred (`und` for null or letterless texts) and score in 0 to 1, from `text` alone.
 
-    Any further columns stay; columns of these two names are replaced. Equal scores go to the
+    Any further columns stay; columns of these two names are replaced (mask them to keep them). Equal scores go to the
     language that sorts first.
     """
     base = docs.drop("lang_pred", "score")
@@ -164,12 +146,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     at = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(GRAMS, dtype=np.uint8)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
                 texts = b.column(at).to_pylist()
-                s = model.scores(texts, flags)
+                s = model.scores(texts)
                 best = s.argmax(axis=1)
                 known = np.array([bool(t and LETTER.search(t)) for t in texts])
                 pred = [model.langs[k] if ok else "und" for k, ok in zip(best, known)]

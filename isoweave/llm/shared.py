@@ -16,10 +16,12 @@ _own_folder: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named, as in tests."""
+    """The shared folder that the cluster names; one of its own only in local mode, where all tasks share a machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="isoweave-"))
     return "file://" + _own_folder[0]
@@ -37,6 +39,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def masked(df: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with every column but the needed ones under a name that no operator uses, and the new names by the old.
+
+    `df.withColumnsRenamed({new: old ...})` brings the names back, so that columns of any name come through.
+    """
+    names = {c: f"_extra_{i}" for i, c in enumerate(df.columns) if c not in needed}
+    return df.select(*needed, *[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def hot_join(rows: DataFrame, dim: DataFrame, keys: list[str], by: list[str], how: str = "inner", spread: int = 64, share: int = 2048) -> DataFrame:
+    """rows.join(dim, keys, how) for `rows` of which one key may hold a large part.
+
+    Keys with more than one in `share` of all rows are at most `share` in number, a bound that holds at any size.
+    Their rows are dealt, by a hash of the columns `by`, over `spread` copies of the key's few rows in `dim`; `how`
+    is inner or left.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = counts.where(F.col("_n") > F.lit(max(1000, total // share))).select(*keys, F.lit(True).alias("_hot"))
+    hot = rows.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    given = [c for c in rows.columns if c not in keys]
+    own = [c for c in dim.columns if c not in keys]
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int")).otherwise(0)).drop("_hot")
+    copied = dim.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(copied, [*keys, "_salt"], how).select(*keys, *given, *own)
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

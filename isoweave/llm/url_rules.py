@@ -6,17 +6,24 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoweave.llm.shared import hot_join, staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first `://`; null without one."""
+    return F.when(F.contains(url, F.lit("://")), F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1))
+
+
 def host(url: Column) -> Column:
     """From the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without one."""
-    return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
 
 
 def path(url: Column) -> Column:
     """What follows the host, up to `?`, `#` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def curated(rules: list[tuple[str, str]], host_col: str = "host", path_col: str = "path") -> Column:
@@ -64,15 +71,26 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
     kept = [r["t"] for r in common.select("t").collect()]
     slim = rows.select(F.array_intersect("items", F.array(*map(F.lit, kept)) if kept else F.array().cast("array<string>")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(slim).associationRules
-    return found.where(F.col("consequent")[0].startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:"))).select(
+    rules = found.where(F.col("consequent")[0].startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:"))).select(
         F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 9, 1 << 20).alias("verdict"), "confidence", "support"
     ).withColumn("rule_id", F.xxhash64("antecedent", "verdict"))
+    return pruned(staged(rules, "url-rules"))
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """Rules without those that add tokens to a rule of the same verdict and no lower confidence."""
+    need = F.size("antecedent")
+    small = rules.select(F.explode("antecedent").alias("token"), "verdict", F.col("rule_id").alias("small"), need.alias("need"), F.col("confidence").alias("sure"))
+    large = rules.select(F.explode("antecedent").alias("token"), "verdict", "rule_id", need.alias("n"), "confidence")
+    inside = large.join(small, ["token", "verdict"]).where((F.col("need") < F.col("n")) & (F.col("sure") >= F.col("confidence")))
+    idle = inside.groupBy("rule_id", "small", "need").count().where("count = need").select("rule_id").distinct()
+    return rules.join(idle, "rule_id", "left_anti")
 
 
 def match(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """Adds mined_verdict and mined_rule to `urls`, by an inverted index over the rules' tokens.
 
-    A rule fires if the url has all its tokens; highest confidence, then support, then more
+    `urls` has page_id and url. A rule fires if the url has all its tokens; highest confidence, then support, then more
     tokens, then the smaller antecedent decide. Urls are first reduced to the set of tokens that
     occur in rules, so each distinct set is looked up once, however many urls have it.
     """
@@ -86,7 +104,8 @@ def match(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
         .groupBy("_set", "rule_id", "need").count().where("count = need").join(rules, "rule_id")
         .groupBy("_set").agg(F.min_by(F.struct("verdict", "antecedent"), F.struct(-F.col("confidence"), -F.col("support"), -F.col("need"), "antecedent")).alias("_best"))
     )
-    return keyed.join(fired, "_set", "left").withColumn("mined_verdict", F.coalesce("_best.verdict", F.lit(default))).withColumn("mined_rule", F.array_join("_best.antecedent", " ")).drop("_set", "_best")
+    # one token set may belong to a third of all urls
+    return hot_join(keyed, fired, ["_set"], ["page_id", "url"], "left").withColumn("mined_verdict", F.coalesce("_best.verdict", F.lit(default))).withColumn("mined_rule", F.array_join("_best.antecedent", " ")).drop("_set", "_best")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, **limits: float) -> DataFrame:
@@ -97,8 +116,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | No
     verdict, the others are unlabelled, so that what curated rules say of a few urls isn't carried
     over to hosts or paths that most urls share without being judged. Where none fires the verdict
     is allow. Null urls and urls without `://` have empty host and path and
-    are allowed; very long urls are read whole; repeated rows get equal results; on an empty table
-    nothing is mined. Other columns, whatever their names, are ignored.
+    are allowed; very long urls are read whole; repeated rows count and are judged one by one, alike; ties
+    between rules are settled in match(); on an empty table nothing is mined. Other columns, whatever
+    their names, are ignored.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("fit", curated(rules))
     labelled = labels.where("verdict is not null") if labels is not None else rows.select("url", "fit.verdict")

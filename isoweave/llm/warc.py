@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isoweave.llm.shared import work_dir
+from isoweave.llm.shared import hot_join, work_dir
 
 
 @F.pandas_udf(T.StringType())
@@ -33,14 +33,20 @@ def http_head(payload_bytes: Column) -> Column:
 
 
 def warc_head() -> Column:
-    """WARC/1.1 header of a row with record_id, url, record_type, payload_digest, refers_to and http."""
+    """WARC/1.1 header of a row with page_id, url, record_type, payload_digest, refers_to and http.
+
+    White space and control characters of a url are percent-encoded, so that none ends its header
+    line; a null page_id is written as `null`.
+    """
     c = F.col
-    # a line break in a url would end its header line early
-    uri = F.regexp_replace(F.coalesce(c("url"), F.lit("")), "[\r\n]", "%0A")
+    uri = F.coalesce(c("url"), F.lit(""))
+    for code in (9, 10, 13, 32):
+        uri = F.replace(uri, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    uri = F.regexp_replace(uri, r"[\x00-\x1f\x7f]", "%1A")  # what is left counts as one, the substitute
     response = c("record_type") == "response"
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), c("record_type"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), c("record_id").cast("string"),
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(c("page_id").cast("string"), F.lit("null")),
         F.lit(">\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:"), c("payload_digest"),
         F.when(response, F.lit("")).otherwise(F.concat(
@@ -56,8 +62,10 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
 
     Of the records whose payload is the same and has `least_bytes` bytes or more, the one with the
     smallest page_id is the response and the others revisit it. A null html is an empty payload, a
-    null url an empty target. Further columns are ignored. Rows with one page_id and one payload
-    are the same capture: each is a record, all with the same headers. Copies are found by SHA-1,
+    null url an empty target. A null page_id is no response for others if a copy has an id; copies
+    without any id are all responses. Long payloads are stored whole; an empty table gives empty
+    archives. Further columns are ignored. Rows with one page_id and one payload are the same
+    capture: each is a record, all with the same headers. Copies are found by SHA-1,
     SHA-256 and length together, and the payload bytes are shuffled once, not with the record rows.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
@@ -67,11 +75,10 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
     first = slim.groupBy(*same).agg(F.min("page_id").alias("first_id"))
     own = (F.col("payload_bytes") < least_bytes) | F.col("page_id").eqNullSafe(F.col("first_id"))
     records = (
-        slim.join(first, same)
+        hot_join(slim, first, same, ["page_id", "url"])  # one payload may belong to a third of all pages
         .withColumn("record_type", F.when(own, "response").otherwise("revisit"))
         .withColumn("refers_to", F.when(~own, F.col("first_id")))
         .withColumn("payload_digest", base32(F.unhex("sha1")))
-        .withColumn("record_id", F.col("page_id"))
         .withColumn("http", http_head(F.col("payload_bytes")))
     )
     records.select(
@@ -82,18 +89,23 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
 
 
 def read_headers(spark, folder: str) -> DataFrame:
-    """One row for each record, read from its header bytes alone."""
+    """One row for each record, read from its header bytes alone.
+
+    Fields are read at the begin of a header line of their own, so a url can't pass for one.
+    """
     text = F.col("header").cast("string")
-    got = lambda pattern: F.regexp_extract(text, pattern, 1)
-    none = lambda c: F.when(c != "", c)
+    head = F.substring_index(text, "\r\n\r\n", 1)
+    got = lambda name, pattern: F.regexp_extract(head, rf"\r\n{name}: {pattern}(?=\r\n|$)", 1)
+    number = lambda c: F.when(c != "", c).try_cast("long")
     return spark.read.parquet(f"{folder}/records").select(
         "store_key", "header",
-        none(got(r"WARC-Record-ID: <urn:page:(-?\d+)>")).cast("long").alias("page_id"),
-        got(r"WARC-Type: (\w+)").alias("record_type"),
-        got(r"WARC-Target-URI: ([^\r\n]*)").alias("url"),
-        got(r"WARC-Payload-Digest: sha1:([A-Z2-7]+)").alias("header_digest"),
-        none(got(r"WARC-Refers-To: <urn:page:(-?\d+)>")).cast("long").alias("refers_to"),
-        none(got(r"(?s)\r\n\r\nHTTP/1\.1.*?\r\nContent-Length: (\d+)")).cast("long").alias("header_bytes"),
+        number(got("WARC-Record-ID", r"<urn:page:(-?\d+)>")).alias("page_id"),
+        got("WARC-Type", r"(\w+)").alias("record_type"),
+        got("WARC-Target-URI", r"([^\r\n]*)").alias("url"),
+        got("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("header_digest"),
+        number(got("WARC-Refers-To", r"<urn:page:(-?\d+)>")).alias("refers_to"),
+        number(got("Content-Length", r"(\d+)")).alias("block_bytes"),
+        number(F.regexp_extract(F.substring_index(text, "\r\n\r\n", -2), r"\r\nContent-Length: (\d+)", 1)).alias("header_bytes"),
     )
 
 
@@ -102,7 +114,7 @@ def reconstruct(spark, folder: str) -> DataFrame:
 
     Columns: page_id, record_type, record (the whole record), payload (full, for revisits too).
     """
-    joined = read_headers(spark, folder).join(spark.read.parquet(f"{folder}/payloads"), "store_key")
+    joined = hot_join(read_headers(spark, folder), spark.read.parquet(f"{folder}/payloads"), ["store_key"], ["header"], spread=16)
     end = F.lit("\r\n\r\n").cast("binary")
     return joined.select("page_id", "record_type", "payload", F.concat("header", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")), end).alias("record"))
 
@@ -111,13 +123,17 @@ def read_archive(spark, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and verified for each record.
 
     Length and digests are taken anew from the stored bytes, once for each payload; `verified`
-    says that they equal the store key and what the record's own header states.
+    says that they equal the store key and what the record's own header states, and that header and
+    payload give a block of the length that the record states.
     """
     stored = spark.read.parquet(f"{folder}/payloads").select("store_key", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1(F.col("payload")).alias("payload_digest"), (F.sha2("payload", 256) == F.col("store_key")).alias("sound"))
+    heads = read_headers(spark, folder)
+    http = F.octet_length("header") - F.octet_length(F.substring_index(F.col("header").cast("string"), "\r\n\r\n", 1)) - 4
+    held = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
     return (
-        read_headers(spark, folder).drop("header").join(stored, "store_key")
+        hot_join(heads.withColumn("http_bytes", http).drop("header"), stored, ["store_key"], ["page_id", "url"])
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url",
-                (F.col("sound") & (F.col("header_digest") == F.col("payload_digest")) & (F.col("header_bytes") == F.col("payload_bytes"))).alias("verified"))
+                (F.col("sound") & (F.col("header_digest") == F.col("payload_digest")) & (F.col("header_bytes") == F.col("payload_bytes")) & (F.col("block_bytes") == F.col("http_bytes") + held)).alias("verified"))
     )
 
 

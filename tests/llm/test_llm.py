@@ -34,6 +34,7 @@ def test_curated_rules(spark):
         ("x://example.net/de/8", "example.net", "/de/8", "example.net/de/8", "block"), ("x://other.net/de/8", "other.net", "/de/8", "net/de/", "allow"),
         ("x://notexample.net/de/8", "notexample.net", "/de/8", "net/de/", "allow"), ("x://b.org/es/#q", "b.org", "/es/", "org/es/", "block"),
         ("x://b.org?/es/", "b.org", "", None, "allow"), ("no scheme", "", "", None, "allow"), (None, "", "", None, "allow"), ("x://", "", "", None, "allow"), ("a://b://c/d", "b:", "//c/d", None, "allow"),
+        ("http://a.com?u=http://b.com/en/7", "a.com", "", None, "allow"), ("http://a.com#://b.org/es/", "a.com", "", None, "allow"), ("x://b.org/es/" + "y" * 300_000, "b.org", "/es/" + "y" * 300_000, "org/es/", "block"),
     ]
     df = spark.createDataFrame([(i, u[0], "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: r for r in url_rules.judge(df, queries.URL_RULES).collect()}
@@ -44,7 +45,7 @@ def test_curated_rules(spark):
 def test_mined_rules_generalise(spark):
     rows = [(f"http://win{i % 3}.casino.example.com/en/{i}", "block") for i in range(60)] + [(f"http://news.example.org/en/{i}", "allow") for i in range(60)]
     rules = url_rules.mine(spark.createDataFrame(rows, "url string, verdict string"))
-    urls = spark.createDataFrame([("http://new.casino.example.com/fr/1",), ("http://news.example.org/x",), ("http://else.where/x",), (None,)], "url string")
+    urls = spark.createDataFrame([(1, "http://new.casino.example.com/fr/1"), (2, "http://news.example.org/x"), (3, "http://else.where/x"), (4, None)], "page_id long, url string")
     assert [r.mined_verdict for r in url_rules.match(urls, rules).orderBy(F.col("url").isNull(), "url").collect()] == ["allow", "block", "allow", "allow"]
     assert rules.where("confidence < 0.9").count() == 0
 
@@ -107,7 +108,7 @@ def test_language_accuracy_on_held_out(spark):
 
 
 def test_language_edge_cases(spark):
-    texts = ["the cat and the hat", "der Hund und die Katze", None, "", "123 !?", "the cat " * 200_000]
+    texts = ["the cat and the hat", "der Hund und die Katze", None, "", "5² 10½ Ⅷ 3 !?", "the cat " * 200_000]
     rows = [(i, t, "de" if i == 1 else "en", "clash") for i, t in enumerate(texts)] + [(50 + i, f"the and {i}", "en", "x") for i in range(9)] + [(70 + i, f"der und {i}", "de", "x") for i in range(9)]
     got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string"), F.lit(False)).collect()}
     assert [got[i].lang_pred for i in range(6)] == ["en", "de", "und", "und", "und", "en"]
@@ -140,6 +141,20 @@ def test_archive_round_trip(spark, tmp_path):
     assert sorted(h["WARC-Record-ID"] for h in found) == sorted(f"<urn:page:{i}>" for i in got)
 
 
+def test_archive_of_hostile_urls_and_null_ids(spark, tmp_path):
+    urls = ["x://h/WARC-Refers-To: <urn:page:99>", "x://h/\r\nWARC-Refers-To: <urn:page:98>\r\n\r\nHTTP/1.1 Content-Length: 5", "x://h/WARC-Payload-Digest: sha1:AAAA", "x:\0\t y"]
+    pages = spark.createDataFrame([(i, u, f"body {i}", 0) for i, u in enumerate(urls)] + [(None, "u", "body 1", 0), (None, None, "alone", 0), (7, "u", "", 0), (7, "u", "", 0)], "page_id long, url string, html string, verified int")
+    folder = f"file://{tmp_path}/a"
+    warc.write_archive(pages, folder)
+    got = sorted((str(r.page_id), r.record_type, r.refers_to, r.verified) for r in warc.read_archive(spark, folder).collect())
+    assert got == [*((str(i), "response", None, True) for i in range(4)), ("7", "response", None, True), ("7", "response", None, True), ("None", "response", None, True), ("None", "revisit", 1, True)]
+    for r in warc.reconstruct(spark, folder).collect():
+        ((head, block),) = warc.parse_records([bytes(r.record)])
+        assert len(block) == int(head["Content-Length"]) and len(head) == (7 if r.record_type == "response" else 9)
+    warc.write_archive(pages.where("false"), f"file://{tmp_path}/b")
+    assert warc.read_archive(spark, f"file://{tmp_path}/b").count() == 0
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     warc.write_archive(pages, f"file://{tmp_path}/a", least_bytes=3)
