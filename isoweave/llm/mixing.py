@@ -15,11 +15,11 @@ slots are those of one schedule from slot 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isoweave.llm.shared import staged
+from isoweave.llm.shared import masked, staged
 
 
 def whole_weights(weights: DataFrame, cycle: int) -> DataFrame:
@@ -40,19 +40,19 @@ def whole_weights(weights: DataFrame, cycle: int) -> DataFrame:
     return exact.withColumn("left", spare - F.sum("base").over(everyone)).select("source", (F.col("base") + 1 + F.when(F.row_number().over(order) <= F.col("left"), 1).otherwise(0)).cast("int").alias("slots"))
 
 
-def fine_weights(weights: DataFrame, blocks: DataFrame) -> DataFrame:
+def fine_weights(weights: DataFrame, blocks: int) -> DataFrame:
     """source, a, total: the share a/total of each source with a positive weight, as whole numbers.
 
-    `blocks(n)` has the number of all blocks in one row. `total` times that number stays below
-    2**62, so over the whole mix rounding moves a share by blocks**2 / 2**61 of a block at most
-    (4e-7 for a million blocks). Equal weights stay equal.
+    `blocks` is the number of all blocks. `total` times that number stays below 2**62, so over the
+    whole mix rounding moves a share by blocks**2 / 2**61 of a block at most (4e-7 for a million
+    blocks). Equal weights stay equal.
     """
     w = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight").cast("double"))
     everyone = W.partitionBy(F.lit(0))
     # a divisor first: the sum of large weights stays finite
     shares = weights.select("source", w.alias("w")).where("w > 0").withColumn("w", F.col("w") / F.max("w").over(everyone))
-    finest = F.least(F.lit(float(1 << 50)), F.lit(float(1 << 61)) / (F.col("n") + 2))
-    whole = shares.crossJoin(F.broadcast(blocks.select("n"))).select("source", F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(everyone) * finest)).cast("long").alias("a"))
+    finest = min(float(1 << 50), float(1 << 61) / (blocks + 2))
+    whole = shares.select("source", F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(everyone) * F.lit(finest))).cast("long").alias("a"))
     return whole.withColumn("total", F.sum("a").over(everyone))
 
 
@@ -68,13 +68,13 @@ def _whole(x: Column, by: Column) -> Column:
 
 
 def _due(k: str) -> Column:
-    """Deadline of block k of a row with a and total."""
-    return _whole((F.col(k) + 1).cast("decimal(19,0)") * F.col("total") + F.col("a") - 1, F.col("a"))
+    """Deadline of block k of a row with _a and _total."""
+    return _whole((F.col(k) + 1).cast("decimal(19,0)") * F.col("_total") + F.col("_a") - 1, F.col("_a"))
 
 
 def _until_due(a: Column, deadline: Column) -> Column:
     """How many blocks of a source with share `a` have at most this deadline."""
-    return _whole(a.cast("decimal(19,0)") * deadline, F.col("total"))
+    return _whole(a.cast("decimal(19,0)") * deadline, F.col("_total"))
 
 
 def _let(value: Column, body) -> Column:
@@ -111,19 +111,19 @@ def _stretch(a: Column, total: Column, begin: Column, first: Column, end: Column
     return F.aggregate(F.sequence(begin, end - 1, F.lit(part).cast("long")), F.struct(start.alias("ahead"), F.array().cast("array<array<struct<i:bigint,k:bigint,at:bigint>>>").alias("parts")), steps, lambda s: F.flatten(s["parts"]))
 
 
-def schedule(shares: DataFrame, until: DataFrame, length: int = 2048) -> DataFrame:
+def schedule(shares: DataFrame, until: int, length: int = 2048) -> DataFrame:
     """source, k and at for the slots below `until`: which block of which source runs in slot `at`.
 
-    `shares(source, a, total)` has one row for each source, `until(until)` one row. Stretches have
-    `length` slots, or twice the longest window of a block if that is more.
+    `shares(source, a, total)` has one row for each source. Stretches have `length` slots, or twice
+    the longest window of a block if that is more.
     """
     one = shares.agg(F.array_sort(F.collect_list(F.struct("source", "a"))).alias("s"), F.first("total").alias("total"), F.min("a").alias("least")).where(F.size("s") > 0)
-    window = F.call_function("div", F.col("total"), F.col("least")) + 2
-    cut = one.crossJoin(F.broadcast(until)).where("until > 0").withColumn("window", window).withColumn("length", F.greatest(F.lit(length).cast("long"), F.least(2 * F.col("window"), F.col("until"))))
-    firsts = cut.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("until") - 1, F.col("length"))))
+    window, last = F.call_function("div", F.col("total"), F.col("least")) + 2, F.lit(until).cast("long")
+    cut = one.where(last > 0).withColumn("window", window).withColumn("length", F.greatest(F.lit(length).cast("long"), F.least(2 * F.col("window"), last)))
+    firsts = cut.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), last - 1, F.col("length"))))
     # each stretch is a task of its own, however few bytes it has
     dealt = firsts.repartition("first")
-    ran = dealt.select("s", F.explode(_stretch(F.transform("s", lambda x: x["a"]), F.col("total"), F.greatest(F.lit(0).cast("long"), F.col("first") - F.col("window")), F.col("first"), F.least(F.col("first") + F.col("length"), F.col("until")))).alias("b"))
+    ran = dealt.select("s", F.explode(_stretch(F.transform("s", lambda x: x["a"]), F.col("total"), F.greatest(F.lit(0).cast("long"), F.col("first") - F.col("window")), F.col("first"), F.least(F.col("first") + F.col("length"), last))).alias("b"))
     return ran.select(F.get("s", F.col("b")["i"].cast("int"))["source"].alias("source"), F.col("b")["k"].alias("k"), F.col("b")["at"].alias("at"))
 
 
@@ -132,54 +132,61 @@ def flattened_weights(docs: DataFrame, power: float = 0.5) -> DataFrame:
     return docs.groupBy("source").agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int | None = None, cells: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int | None = None, cell_rows: int = 65_536) -> DataFrame:
     """Orders `docs` so that every prefix of it holds the target weights.
 
     Adds source_rank, mix_slot, release, deadline, mix_pos and in_mix; columns of these names are
-    replaced, all other columns stay. Blocks of `block` documents of a source are taken in an order
-    that a hash of the row fixes. `in_mix` ends at the first slot whose source has no full block
-    left: up to there the deviation from the weights is below one block for each source. Later
-    blocks follow by deadline, as far as their sources last, with in_mix false; rows of sources
-    without a positive weight are kept with mix_slot null. With `cycle` the targets are
-    `whole_weights(weights, cycle)` instead of the weights themselves.
-
-    A null source is a source. Repeated rows are documents of their own. No source is collected
-    into a task: rows are numbered inside `cells` hash cells of a source, whose starts come from
-    their counts, and stretches of slots are scheduled apart. An empty table gives an empty one.
+    replaced, all other columns stay, whatever their names. Blocks of `block` documents of a source
+    are taken in an order that a digest of doc_id and source fixes. `in_mix` ends at the first slot
+    whose source has no full block left: up to there the deviation from the weights is below one
+    block for each source. Later blocks follow by deadline, as far as their sources last, with
+    in_mix false; rows of sources without a positive weight are kept with mix_slot null. With
+    `cycle` the targets are `whole_weights(weights, cycle)` instead of the weights themselves.
+
+    A null source is a source. Repeated rows are documents of their own, rows with a null id too.
+    Texts are not looked at. No source is collected into a task: rows are numbered inside cells of a
+    source with about `cell_rows` rows, whose starts come from their counts, and stretches of slots
+    are scheduled apart. Tables with one row for each source are the only ones that are broadcast.
+    An empty table gives an empty one.
     """
     own = ["source_rank", "mix_slot", "release", "deadline", "mix_pos", "in_mix"]
-    base = docs.drop(*own)
-    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "source")])
-    celled = base.withColumn("_key", key).withColumn("_cell", F.pmod("_key", F.lit(cells)).cast("int")).withColumn("_src", F.struct("source"))
-    counts = celled.groupBy("_src", "_cell").agg(F.count("*").alias("n"))
-    starts = counts.select("_src", "_cell", (F.sum("n").over(W.partitionBy("_src").orderBy("_cell")) - F.col("n")).alias("_start"))
+    order = docs.drop(*own).columns
+    base, names = masked(docs.drop(*own), "doc_id", "source")
+    cells = max(16, docs.count() // cell_rows)
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))).cast("binary"))
+    cell = F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(cells)).cast("int")
+    celled = base.withColumn("_key", key).withColumn("_cell", cell).withColumn("_src", F.struct("source"))
+    counts = celled.groupBy("_src", "_cell").agg(F.count("*").alias("_n"))
+    starts = counts.select("_src", "_cell", (F.sum("_n").over(W.partitionBy("_src").orderBy("_cell")) - F.col("_n")).alias("_start"))
     inside = W.partitionBy("_src", "_cell").orderBy("_key", F.col("doc_id").asc_nulls_first())
     numbered = celled.withColumn("_in", F.row_number().over(inside)).join(starts, ["_src", "_cell"]).withColumn("source_rank", F.col("_start") + F.col("_in") - 1).drop("_start", "_in", "_cell", "_key")
 
-    totals = counts.groupBy("_src").agg(F.sum("n").alias("n"))
+    totals = staged(counts.groupBy("_src").agg(F.sum("_n").alias("_n")), "mix-totals")
     targets = weights if cycle is None else whole_weights(weights, cycle).select("source", F.col("slots").alias("weight"))
     # bounded tables from here on: one row for each source
-    blocks = totals.agg(F.coalesce(F.sum(F.ceil(F.col("n") / block)), F.lit(0)).alias("n"))
-    shares = staged(fine_weights(targets, blocks), "mix-shares")
+    blocks = totals.agg(F.coalesce(F.sum(F.ceil(F.col("_n") / block)), F.lit(0))).first()[0]
+    shares = staged(fine_weights(targets, int(blocks)), "mix-shares")
     by_source = staged(
-        shares.select(F.struct("source").alias("_src"), "a", "total").join(totals, "_src", "left")
-        .select("_src", "a", "total", F.floor(F.coalesce("n", F.lit(0)) / block).alias("full"), F.ceil(F.coalesce("n", F.lit(0)) / block).alias("blocks")), "mix-sources"
+        shares.select(F.struct("source").alias("_src"), F.col("a").alias("_a"), F.col("total").alias("_total")).join(totals, "_src", "left")
+        .select("_src", "_a", "_total", F.floor(F.coalesce("_n", F.lit(0)) / block).alias("_full"), F.ceil(F.coalesce("_n", F.lit(0)) / block).alias("_blocks")), "mix-sources"
     )
     # a source that can't fill a block lacks it before the block's deadline
-    until = by_source.agg(F.min(_due("full")).alias("until")).where("until is not null")
-    plan = staged(schedule(shares, until).select(F.struct("source").alias("_src"), F.col("k").alias("_k"), "at"), "mix-slots")
-    lack = plan.join(F.broadcast(by_source.select("_src", F.col("full").alias("_k"))), ["_src", "_k"]).agg(F.min("at").alias("_end"))
-    begun = plan.crossJoin(F.broadcast(lack)).where("at < _end").groupBy("_src").agg(F.count("*").alias("ran"))
-    rest = by_source.join(begun, "_src", "left").select("_src", "a", "total", F.coalesce("ran", F.lit(0)).cast("long").alias("ran"), "blocks")
-    others = rest.agg(F.array_sort(F.collect_list(F.struct("_src", "a", "ran", "blocks"))).alias("_all"))
+    until = by_source.agg(F.min(_due("_full"))).first()[0] or 0
+    plan = staged(schedule(shares, until).select(F.struct("source").alias("_src"), F.col("k").alias("_k"), F.col("at").alias("_at")), "mix-slots")
+    end = plan.join(F.broadcast(by_source.select("_src", F.col("_full").alias("_k"))), ["_src", "_k"]).agg(F.min("_at")).first()[0]
+    last = F.lit(end).cast("long")
+    begun = plan.where(F.col("_at") < last).groupBy("_src").agg(F.count("*").alias("_ran"))
+    rest = by_source.join(begun, "_src", "left").select("_src", F.col("_a").alias("a"), F.coalesce("_ran", F.lit(0)).cast("long").alias("ran"), F.col("_blocks").alias("blocks"))
+    # what each source has left, next to every source: a row for each source, each as long as there are sources
+    others = rest.agg(F.array_sort(F.collect_list(F.struct("_src", "a", "ran", "blocks"))).alias("_all")).withColumn("_one", F.lit(0))
     before = F.aggregate("_all", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0).cast("long"), F.least(x["blocks"], _until_due(x["a"], F.col("deadline") - F.when(x["_src"] > F.col("_src"), 1).otherwise(0))) - x["ran"]))
     placed = (
-        numbered.withColumn("_k", F.floor(F.col("source_rank") / block)).join(F.broadcast(by_source.select("_src", "a", "total")), "_src", "left")
-        .join(plan, ["_src", "_k"], "left").join(F.broadcast(lack)).join(F.broadcast(others))
-        .withColumn("release", _whole(F.col("_k").cast("decimal(19,0)") * F.col("total"), F.col("a")))
+        numbered.withColumn("_k", F.floor(F.col("source_rank") / block)).withColumn("_one", F.lit(0)).join(F.broadcast(by_source.select("_src", "_a", "_total")), "_src", "left")
+        .join(plan, ["_src", "_k"], "left").join(F.broadcast(others), "_one")
+        .withColumn("release", _whole(F.col("_k").cast("decimal(19,0)") * F.col("_total"), F.col("_a")))
         .withColumn("deadline", _due("_k"))
-        .withColumn("in_mix", F.coalesce(F.col("at") < F.col("_end"), F.lit(False)))
-        .withColumn("mix_slot", F.when(F.col("in_mix"), F.col("at")).when(F.col("a").isNotNull(), F.col("_end") + before - 1))
+        .withColumn("in_mix", F.coalesce(F.col("_at") < last, F.lit(False)))
+        .withColumn("mix_slot", F.when(F.col("in_mix"), F.col("_at")).when(F.col("_a").isNotNull(), last + before - 1))
         .withColumn("mix_pos", F.col("mix_slot") * block + F.pmod("source_rank", F.lit(block)))
     )
-    return placed.select(*base.columns, *own)
+    return placed.select(*[F.col(names.get(c, c)).alias(c) for c in order], *own)

@@ -234,7 +234,7 @@ def test_every_prefix_is_within_a_block_of_target(spark):
     got = mixing.mix(d, w, block=4, cycle=40).collect()
     assert len(got) == len(rows) + 1 and len({r.doc_id for r in got}) == len(got)
     slots = {r.source: r.slots for r in mixing.whole_weights(w, 40).collect()}
-    assert sum(slots.values()) == 40
+    assert sum(slots.values()) == 40 and all(abs(n - w * 40 / 10) < 2 for n, w in zip((slots[s] for s in ("a", "b", "c", None)), (5, 3, 1, 1)))
     mixed = sorted((r for r in got if r.in_mix), key=lambda r: r.mix_pos)
     assert [r.mix_pos for r in mixed] == list(range(len(mixed))) and len(mixed) > 200
     done = Counter()
@@ -264,10 +264,19 @@ def test_deviation_from_the_given_weights_does_not_grow(spark):
             assert all(abs(done[s] - (t + 1) * w / total) < 1 for s, (w, _) in sizes.items())
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["slots", "nth", "at", "cycle", "a", "total", "n", "_k", "_src", "_all", "x y", "release"]
+    rows = [(i if i % 7 else None, f"s{i % 3}", *[f"{n}{i}" for n in names]) for i in range(60)] * 2
+    d = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in ["doc_id", "source", *names]).replace("`doc_id` string", "doc_id long"))
+    got = mixing.mix(d, mixing.flattened_weights(d)).collect()
+    assert sorted(str(r["doc_id"]) + r["at"] + r["x y"] for r in got) == sorted(str(r[0]) + r[4] + r[12] for r in rows)
+    assert sorted(r["mix_pos"] for r in got if r["in_mix"]) == list(range(sum(r["in_mix"] for r in got))) and len({r["mix_pos"] for r in got}) == 120
+    assert all(isinstance(r["release"], int) for r in got)
+
+
 def test_stretches_of_slots_are_one_schedule(spark):
     shares = spark.createDataFrame([(s, a, 1000) for s, a in (("a", 501), ("b", 250), ("c", 200), ("d", 31), ("e", 18))], "source string, a long, total long")
-    until = spark.createDataFrame([(2500,)], "until long")
-    cut, whole = ([tuple(r) for r in mixing.schedule(shares, until, n).orderBy("at").collect()] for n in (1, 2500))
+    cut, whole = ([tuple(r) for r in mixing.schedule(shares, 2500, n).orderBy("at").collect()] for n in (1, 2500))
     assert cut == whole and [at for _, _, at in whole] == list(range(2500))
 
 
