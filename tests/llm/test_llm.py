@@ -196,27 +196,59 @@ def test_jaccard_join_of_odd_tables(spark):
 
 
 # 6 -------------------------------------------------------------------------------------------
-def test_class_model_counts_and_sums_to_one(spark):
+def lm_tokens(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+    return [*low.split(), class_lm.END]
+
+
+@pytest.mark.parametrize("head", [3, 50, 50_000])
+def test_class_model_against_brute_force(spark, head):
     rng = random.Random(6)
-    texts = [prose(rng, rng.randrange(1, 60)) for _ in range(120)] + ["", None, "A\u00a0b  C\tÄ"]
-    d = docs_of(spark, texts)
-    got = {r.doc_id: r for r in class_lm.score(d, crc_mod("doc_id", 10) == 0, classes=4, clustered=20, classed=60, head=50).collect()}
-    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-    token = lambda t: [w for w in "".join(" " if c in "\t\n\x0b\x0c\r " else c for c in low(t)).split(" ") if w] + [None]
+    texts = [prose(rng, rng.randrange(1, 60)) for _ in range(120)] + ["", None, "A\u00a0b  C\tÄ", "unheardof words"]
+    d = docs_of(spark, [*texts, texts[0]], [*range(len(texts)), 0])
+    bounds = dict(classes=4, clustered=min(20, head), groups=5, classed=min(60, head), head=head)
+    got = {r.doc_id: r for r in class_lm.score(d, crc_mod("doc_id", 10) == 0, **bounds).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
-    c = Counter(w for i, t in enumerate(texts) if not held[i] for w in token(t))
+    rows = [lm_tokens(t) for t in texts]
+    train = [rows[i] for i in range(len(texts)) if not held[i]] + ([rows[0]] if not held[0] else [])
+    c = Counter(w for row in train for w in row)
     n, v = sum(c.values()), len(c)
-    for i, t in enumerate(texts):
-        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in token(t))
-        assert got[i].held_out == held[i] and got[i].n_tokens == len(token(t)) and got[i].n_known == sum(c[w] > 0 for w in token(t)) and got[i].train_tokens == n
+    for i, row in enumerate(rows):
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in row)
+        assert got[i].held_out == held[i] and got[i].n_tokens == len(row) and got[i].n_known == sum(c[w] > 0 for w in row) and got[i].train_tokens == n
         assert got[i].base_score == pytest.approx(base)
-    # one-word texts: over all words, the unknown one and the end, probabilities must sum to one
-    known = [w for w in c if w is not None]
-    more = [(10_000 + i, w) for i, w in enumerate([*known, "unheardof"])]
-    both = d.select("doc_id", "text", (crc_mod("doc_id", 10) == 0).alias("h")).unionByName(spark.createDataFrame([(i, w, True) for i, w in more], "doc_id long, text string, h boolean"))
-    s = {r.doc_id: r.score for r in class_lm.score(both, F.col("h"), classes=4, clustered=20, classed=60, head=50).collect()}
-    ends = 10 ** got[120].score  # the empty text is the end alone
-    assert sum(10 ** s[i] for i, _ in more) + ends <= 1.0 + 1e-6
+
+    # the model by plain counting, with the classes of exchange()
+    ranked = sorted((w for w in c if w != class_lm.END), key=lambda w: (-c[w], w))[:head]
+    single = ranked[: bounds["clustered"]]
+    unit = lambda w: single.index(w) if w in single else len(single) + 5 if w == class_lm.END else len(single) + class_lm.ending(w, 5)
+    big = np.zeros((len(single) + 6, len(single) + 6), dtype=np.int64)
+    for row in train:
+        for a, b in zip([class_lm.END, *row], row):
+            big[unit(a), unit(b)] += 1
+    k = min(4, len(single) + 5)
+    label = class_lm.exchange(big, k)
+    of = {w: label[unit(w)] for row in rows for w in row}
+    follow = np.zeros((k + 1, k + 1))
+    for i, j in np.ndindex(*big.shape):
+        follow[label[i], label[j]] += big[i, j]
+    given = follow + 0.5
+    fit = np.log(given / given.sum(1, keepdims=True))[:, :k] - np.log(given.sum(0) / given.sum())[None, :k]
+    moved = {}
+    for w in ranked[len(single) : bounds["classed"]]:
+        moved[w] = int(sum(fit[of[a]] for row in train for a, b in zip([class_lm.END, *row], row) if b == w).argmax())
+    of |= moved
+    links = np.full((k + 1, k + 1), 0.1)
+    for row in train:
+        for a, b in zip([class_lm.END, *row], row):
+            links[of[a], of[b]] += 1
+    mass, size = Counter(), Counter()
+    for w in c:
+        mass[of[w]] += c[w]
+        size[of[w]] += 1
+    for i, row in enumerate(rows):
+        p = sum(math.log10(links[of[a], of[b]] / links[of[a]].sum()) + (0 if b == class_lm.END else math.log10((c[b] + 0.1) / (mass[of[b]] + 0.1 * (size[of[b]] + 1)))) for a, b in zip([class_lm.END, *row], row))
+        assert got[i].score == pytest.approx(p)
 
 
 def test_class_model_without_training_rows(spark):
