@@ -260,6 +260,8 @@ def _mark(h: np.ndarray, ctx: np.ndarray, rank: np.ndarray, length: int) -> np.n
             break
         run = np.cumsum(prefix < side - a)
         fit = live[right[live] >= side - a]
+        if not len(fit):
+            continue
         key = block[fit] * (len(h) + 1) + run[fit]
         by = np.lexsort((rank[fit], key))
         key = key[by]
