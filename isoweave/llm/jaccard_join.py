@@ -3,8 +3,9 @@
 Every text is the set of its word shingles. A path samples shared tokens: at each step a set moves
 on to the smallest of its tokens under a hash, so two sets take the same step with the probability
 of their similarity. Sets that meet in a small bucket, or in one whose members are alike anyway,
-are compared one by one; other large buckets are split by further steps. Independent runs repeat
-this until a pair at the threshold is found with the target recall.
+are compared one by one; other large buckets are split by further steps, under hashes that the path
+chooses, so that runs stay independent of each other. They are repeated until a pair at the
+threshold is found with the target recall.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.llm.shared import Coder, components, list_array, mix64, one_text_by_id, roots, sorted_groups, staged
+from isoweave.llm.shared import Coder, components, hot_join, list_array, mix64, one_text_by_id, roots, sorted_groups, staged
 
 PIECE = 1 << 22
 STEP = np.uint64(0x9E3779B97F4A7C15)
+POOL = 31  # hashes that the later steps of all paths choose from; a prime
 
 
 def shingles(text: str, size: int, code: Coder) -> np.ndarray:
@@ -60,38 +62,53 @@ def _sketches(docs: DataFrame, size: int, steps: int, seed: int) -> DataFrame:
                 for i, text in enumerate(b.column(1).to_pylist()):
                     s = shingles(text, size, code)
                     same.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                    for k in range(steps):
-                        if len(s):
-                            low[i, k] = s[(((s ^ keys[0, k]) * keys[1, k]) >> np.uint64(20)).argmin()].astype(np.int64)
+                    wide = max(1, (1 << 18) // max(1, len(s)))
+                    for k in range(0, steps if len(s) else 0, wide):
+                        h = (s[None, :] ^ keys[0, k : k + wide, None]) * keys[1, k : k + wide, None]
+                        low[i, k : k + wide] = s[(h >> np.uint64(20)).argmin(axis=1)].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.string()), list_array(low.reshape(-1), np.full(b.num_rows, steps), pa.int64())], ["doc_id", "same", "steps"])
 
     return docs.mapInArrow(run, "doc_id long, same string, steps array<long>")
 
 
+def runs_needed(threshold: float, recall: float, branch: int, levels: int) -> int:
+    """Runs that find a pair at the threshold with the target recall.
+
+    A run keeps the pair if both sets take its first step and, at every further split, one of `branch`.
+    """
+    kept = threshold * (1 - (1 - threshold) ** branch) ** (levels - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept))) if kept < 1 else 1
+
+
+def _steps(runs: int, branch: int) -> Column:
+    """The next steps of a set on a path: which of its POOL hashes are used depends on the path."""
+    h, stride = F.pmod(F.xxhash64("path"), F.lit(POOL)), F.pmod(F.xxhash64(F.lit(1), "path"), F.lit(POOL - 1)) + 1
+    at = lambda j: (F.lit(runs) + F.pmod(h + j * stride, F.lit(POOL))).cast("int")
+    return F.array(*[F.get("steps", at(j)) for j in range(branch)])
+
+
 def _leaves(sketch: DataFrame, runs: int, branch: int, levels: int, small: int, alike: float) -> DataFrame:
     """path, rep, m: the buckets that are compared, with their sizes (2 or more)."""
     now = sketch.select("rep", F.posexplode(F.slice("steps", 1, runs)).alias("k", "t")).select("rep", F.xxhash64("k", "t").alias("path"))
     found = []
     for level in range(1, levels + 1):
         sizes = now.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
-        met = now.join(sizes, "path")
+        # one path may hold a third of all sets
+        met = staged(hot_join(now, sizes, ["path"], ["rep"]), "paths")
         if level == levels:
             found.append(met)
             break
-        met = staged(met, "paths")
         found.append(met.where(F.col("m") <= small))
         large = met.where(F.col("m") > small)
-        first = runs + (level - 1) * branch
         # sets of a large bucket that mostly take the same next steps aren't parted by more of them
-        steps = F.slice("steps", first + 1, branch)
-        ahead = large.join(sketch, "rep").select("path", "rep", "m", F.posexplode(steps).alias("k", "t"))
+        ahead = large.join(sketch, "rep").select("path", "rep", "m", F.posexplode(_steps(runs, branch)).alias("k", "t"))
         agree = ahead.groupBy("path", "k", "t").agg(F.count("*").alias("c"), F.first("m").alias("m")).groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / (F.first("m") * F.first("m") * branch)).alias("agree"))
-        judged = staged(large.join(agree, "path"), "large-paths")
+        judged = staged(hot_join(large, agree, ["path"], ["rep"]), "large-paths")
         found.append(judged.where(F.col("agree") >= alike).select("path", "rep", "m"))
         rest = judged.where(F.col("agree") < alike)
         if rest.isEmpty():
             break
-        now = rest.join(sketch, "rep").select("rep", "path", F.posexplode(steps).alias("k", "t")).select("rep", F.xxhash64("path", "k", "t").alias("path"))
+        now = staged(rest.join(sketch, "rep").select("rep", "path", F.posexplode(_steps(runs, branch)).alias("k", "t")).select("rep", F.xxhash64("path", "k", "t").alias("path")), "next-paths")
     out = found[0].select("path", "rep", "m")
     for f in found[1:]:
         out = out.unionByName(f.select("path", "rep", "m"))
@@ -155,8 +172,8 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float =
     Other columns are ignored; an empty table gives an empty one.
     """
     rows = one_text_by_id(docs)
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
-    sketched = staged(_sketches(rows, size, runs + (levels - 1) * branch, seed), "sketches")
+    runs = runs_needed(threshold, recall, branch, levels)
+    sketched = staged(_sketches(rows, size, runs + POOL, seed), "sketches")
     member = sketched.select("doc_id", "same").where("same is not null")
     reps = member.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     sketch = staged(sketched.select(F.col("doc_id").alias("rep"), "steps").join(reps.select("rep", "copies"), "rep"), "sets")
