@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, one for a run of words of on
 that was asked again with other values has the same template. Template windows of documents and
 benchmark items meet in a hash join; a hit counts only if, along one alignment, every slot value of the
 item always went to the same value of the document. An alignment may move to near diagonals, where a
-word was put in or left out.
+word was put in or left out. Names need a capital, so both sides are also held against each other with
+their names as plain words in lower case: a copy in other case is found by those.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.llm.shared import mix64, sorted_groups
+from isoweave.llm.shared import mix64, sorted_groups, staged
 
 #: Unit words and number words that become placeholders.
 UNITS = frozenset("km m cm mm kg g mg t l ml mph mile miles foot feet inch inches meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros pound pounds cent cents percent degree degrees".split())
@@ -48,32 +49,47 @@ def lower(text: str) -> tuple[bytes, bytes]:
     return raw, low
 
 
+#: Ways to write a template: runs of one kind as one placeholder, each word by itself, names as plain words.
+JOINED, PLAIN, FOLDED = 0, 1, 2
+
+
 @dataclass
 class Words:
-    """The words of joined texts: template codes, slot kinds, byte ranges and the text of each."""
+    """The words of joined texts: codes, slot kinds, byte ranges and the text of each; which open a sentence."""
 
     codes: np.ndarray
     kinds: np.ndarray
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray
+    opens: np.ndarray
     low: bytes
 
     def value(self, i: int) -> str:
         value = b" ".join(self.low[self.start[i] : self.end[i]].split())
         return value.decode("utf-8", "replace") if len(value) <= 256 else xxhash.xxh3_128_hexdigest(value)
 
+    def template(self, way: int) -> Words:
+        """Placeholders for codes; but for PLAIN a run of numbers or names inside a sentence is one word."""
+        kind = np.where(self.kinds == NAME, 0, self.kinds) if way == FOLDED else self.kinds
+        codes, start, end, text, opens = self.codes, self.start, self.end, self.text, self.opens
+        if way != PLAIN and len(kind):
+            first = ~(np.r_[False, (kind[1:] == kind[:-1]) & (kind[1:] > 0)] & ~opens)
+            if not first.all():
+                end = end[np.r_[np.flatnonzero(first)[1:], len(first)] - 1]
+                start, kind, codes, text, opens = start[first], kind[first], codes[first], text[first], opens[first]
+        return Words(np.where(kind > 0, SLOTS[kind], codes), kind, start, end, text, opens, self.low)
+
 
 class Canon:
-    """Cuts texts into words and puts placeholders for numbers, names and units, for all texts at once.
+    """Cuts texts into words and says which are numbers, names and units, for all texts at once.
 
     Words are runs of letters, digits and `_`; a `.` or `,` between digits belongs to its number; `%`
     and `$` are words. A capitalised word is a name unless it opens a sentence (or its text); a unit
-    counts after a number. With `joined` a run of numbers or names inside a sentence is one word.
+    counts after a number.
     """
 
-    def __init__(self, joined: bool = False) -> None:
-        self.joined = joined
+    def __init__(self) -> None:
         self.power = self.back = np.ones(1, np.uint64)
         self.units, self.numbers = (np.sort(np.array([self._code(w) for w in words], dtype=np.uint64)) for words in (UNITS, NUMBERS))
 
@@ -97,7 +113,7 @@ class Canon:
         n = len(b)
         if not n:
             none = np.zeros(0, np.int64)
-            return Words(none.astype(np.uint64), none, none, none, none, low)
+            return Words(none.astype(np.uint64), none, none, none, none, none.astype(bool), low)
         digit, word = _digit[b], _word[b]
         # general and Latin-1 punctuation is made of bytes that letters have too
         for at, size in ((np.flatnonzero(b == 0xC2), 2), (np.flatnonzero((b[:-1] == 0xE2) & (b[1:] >> 1 == 0x40)), 3)):
@@ -138,11 +154,7 @@ class Canon:
         capital = (b[start] != lb[start]) | ((b[start] >= 0xC0) & (b[second] != lb[second]))
         name = ~number & ~unit & capital & ~opens
         kind = np.select([number, name, unit], [NUMBER, NAME, UNIT], 0)
-        if self.joined:
-            first = ~(np.r_[False, (kind[1:] == kind[:-1]) & (kind[1:] > 0)] & ~opens)
-            end = end[np.r_[np.flatnonzero(first)[1:], len(first)] - 1]
-            start, kind, code, text = start[first], kind[first], code[first], text[first]
-        return Words(np.where(kind > 0, SLOTS[kind], code), kind, start, end, text, low)
+        return Words(code, kind, start, end, text, opens, low)
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -152,35 +164,40 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
     return mix64(h ^ np.uint64(size))
 
 
-def _pieces(texts: list[str | None], canon: Canon, overlap: int) -> Iterator[tuple[Words, int, int, bool]]:
-    """(words, number of their first text, number of their first word in it, whether they go on) of
-    whole texts: short texts together, long ones in overlapping parts.
+def _pieces(texts: list[str | None], canon: Canon, ways: list[int], overlap: int) -> Iterator[tuple[int, Words, int, int, bool]]:
+    """(way, its template, number of the first text, number of the first word in it, whether it goes
+    on) of whole texts: short texts together, long ones in overlapping parts.
 
     The first word of a later part lacks what stands before it; it is there for context only.
     """
     held, first, size = [], 0, 0
+
+    def short() -> Iterator[tuple[int, Words, int, int, bool]]:
+        if held:
+            found = _joined(held, canon)
+            yield from ((way, found.template(way), first, 0, False) for way in ways)
+
     for i, text in enumerate(texts):
         pair = lower(text or "")
         if len(pair[0]) > PIECE:
-            if held:
-                yield _joined(held, canon), first, 0, False
-            yield from _parts(pair, i, canon, overlap)
+            yield from short()
+            for way in ways:
+                yield from _parts(pair, i, canon, way, overlap)
             held, first, size = [], i + 1, 0
             continue
         held.append(pair)
         size += len(pair[0])
         if size > PIECE:
-            yield _joined(held, canon), first, 0, False
+            yield from short()
             held, first, size = [], i + 1, 0
-    if held:
-        yield _joined(held, canon), first, 0, False
+    yield from short()
 
 
 def _joined(held: list[tuple[bytes, bytes]], canon: Canon) -> Words:
     return canon.words(b"".join(r for r, _ in held), b"".join(x for _, x in held), np.cumsum([len(r) for r, _ in held]))
 
 
-def _parts(pair: tuple[bytes, bytes], i: int, canon: Canon, overlap: int) -> Iterator[tuple[Words, int, int, bool]]:
+def _parts(pair: tuple[bytes, bytes], i: int, canon: Canon, way: int, overlap: int) -> Iterator[tuple[int, Words, int, int, bool]]:
     raw, low = pair
     at = word = 0
     while True:
@@ -189,11 +206,11 @@ def _parts(pair: tuple[bytes, bytes], i: int, canon: Canon, overlap: int) -> Ite
             end = min(len(raw), at + size)
             while end < len(raw) and raw[end] not in b" \n\t\r":
                 end += 1
-            found = canon.words(raw[at:end], low[at:end], np.array([end - at]))
-            if not canon.joined or len(found.start) > overlap + 2 or end >= len(raw):
+            found = canon.words(raw[at:end], low[at:end], np.array([end - at])).template(way)
+            if way == PLAIN or len(found.start) > overlap + 2 or end >= len(raw):
                 break
             size *= 2  # a run of one kind fills the part
-        yield found, i, word, at > 0
+        yield way, found, i, word, at > 0
         if end >= len(raw):
             return
         keep = min(len(found.start), overlap + 2)
@@ -203,61 +220,64 @@ def _parts(pair: tuple[bytes, bytes], i: int, canon: Canon, overlap: int) -> Ite
 
 
 def benchmark_windows(benchmark: DataFrame, size: int, least: int) -> DataFrame:
-    """item_id, h, at, n (windows of the item), size, joined, kinds and slots for each window.
+    """item_id, way, h, at, n (windows of the item), size, kinds and slots for each window.
 
-    An item with fewer than `size` template tokens is one window, if it has `least` or more. One that
-    has `least` tokens only if runs of a kind aren't joined keeps them apart.
+    An item with fewer than `size` template words is one window, if it has `least` or more. One that
+    has `least` words only if runs of a kind aren't joined keeps them apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canons = Canon(joined=True), Canon()
+        canon = Canon()
         for b in batches:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for canon in canons:
-                    found = _joined([lower(text or "")], canon)
-                    w = min(size, len(found.codes))
-                    if w >= least:
-                        break
-                if w < least:
-                    continue
-                h, kind, values = windows(found.codes, w), found.kinds, [found.value(i) for i in range(len(found.codes))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * len(h), b.schema.field(0).type), pa.array(h.astype(np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(np.full(len(h), len(h), dtype=np.int32)), pa.array(np.full(len(h), w, dtype=np.int32)), pa.array([canon.joined] * len(h)),
-                     pa.array([kind[i : i + w].tolist() for i in range(len(h))], pa.list_(pa.int32())), pa.array([values[i : i + w] for i in range(len(h))], pa.list_(pa.string()))],
-                    ["item_id", "h", "at", "n", "size", "joined", "kinds", "slots"])
-
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, h long, at int, n int, size int, joined boolean, kinds array<int>, slots array<string>")
-
-
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, joined: bool = True) -> DataFrame:
-    """doc_id, h, doc_at and doc_slots of the windows of whole texts.
-
-    `wanted` (sorted) leaves out the windows that can't join; without it all are returned.
+                words = _joined([lower(text or "")], canon)
+                for ways in ((JOINED, PLAIN), (FOLDED,)):
+                    for way in ways:
+                        found = words.template(way)
+                        w = min(size, len(found.codes))
+                        if w >= least:
+                            break
+                    if w < least:
+                        continue
+                    h, kind, values = windows(found.codes, w), found.kinds, [found.value(i) for i in range(len(found.codes))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * len(h), b.schema.field(0).type), pa.array(np.full(len(h), way, dtype=np.int32)), pa.array(h.astype(np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(np.full(len(h), len(h), dtype=np.int32)), pa.array(np.full(len(h), w, dtype=np.int32)),
+                         pa.array([kind[i : i + w].tolist() for i in range(len(h))], pa.list_(pa.int32())), pa.array([values[i : i + w] for i in range(len(h))], pa.list_(pa.string()))],
+                        ["item_id", "way", "h", "at", "n", "size", "kinds", "slots"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, way int, h long, at int, n int, size int, kinds array<int>, slots array<string>")
+
+
+def document_windows(docs: DataFrame, sizes: dict[int, list[int]], wanted: dict[int, np.ndarray] | None) -> DataFrame:
+    """doc_id, way, h, doc_at and doc_slots of the windows of whole texts, of the sizes of each way.
+
+    `wanted` (sorted, for each way) leaves out the windows that can't join; without it all are returned.
     """
-    wanted = None if wanted is None else np.unique(wanted)
-    overlap = max(sizes, default=1) - 1
+    overlap = max((w for own in sizes.values() for w in own), default=1) - 1
+    low_bits = np.uint64((1 << 20) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon(joined)
-        bits = np.zeros(1 << 20, dtype=bool)
-        if wanted is not None:
-            bits[wanted & np.uint64((1 << 20) - 1)] = True
+        canon, bits = Canon(), {}
+        for way, own in (wanted or {}).items():
+            bits[way] = np.zeros(1 << 20, dtype=bool)
+            bits[way][own & low_bits] = True
         for b in batches:
             ids = np.asarray(b.column(0))
-            for found, first, word, goes_on in _pieces(b.column(1).to_pylist(), canon, overlap):
+            for way, found, first, word, goes_on in _pieces(b.column(1).to_pylist(), canon, list(sizes), overlap):
                 begins = np.searchsorted(found.text, np.arange(found.text[-1] + 1)) if len(found.text) else found.text
-                for w in sizes:
+                for w in sizes[way]:
                     h = windows(found.codes, w)
                     at = np.flatnonzero(found.text[: len(h)] == found.text[w - 1 :])[1 if goes_on else 0 :]
-                    if wanted is not None and len(wanted):
-                        at = at[bits[h[at] & np.uint64((1 << 20) - 1)]]
-                        at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
+                    if wanted is not None:
+                        own = wanted[way]
+                        at = at[bits[way][h[at] & low_bits]]
+                        at = at[own[np.minimum(np.searchsorted(own, h[at]), len(own) - 1)] == h[at]]
                     for k in range(0, len(at), 1 << 14):
                         x = at[k : k + (1 << 14)]
                         slots = pa.array([[found.value(j) for j in range(i, i + w)] for i in x.tolist()], pa.list_(pa.string()))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[first + found.text[x]]), pa.array(h[x].astype(np.int64)), pa.array(x - begins[found.text[x]] + word), slots], ["doc_id", "h", "doc_at", "doc_slots"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[first + found.text[x]]), pa.array(np.full(len(x), way, dtype=np.int32)), pa.array(h[x].astype(np.int64)), pa.array(x - begins[found.text[x]] + word), slots], ["doc_id", "way", "h", "doc_at", "doc_slots"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, doc_at long, doc_slots array<string>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, way int, h long, doc_at long, doc_slots array<string>")
 
 
 def _chain(diagonals: list[tuple[int, list[int], list[tuple]]]) -> tuple[int, bool]:
@@ -290,7 +310,7 @@ def _chained(diagonals: DataFrame, coverage: float, band: int) -> DataFrame:
     """
     width = F.greatest(F.lit(1), F.least(F.lit(band), F.floor(F.col("n") / 2)))
     cell = F.floor(F.col("shift") / width)
-    keys = ["doc_id", "item_id", "cell"]
+    keys = ["doc_id", "item_id", "way", "cell"]
     dealt = diagonals.withColumn("cell", F.explode(F.array(cell, cell - 1)))
     enough = dealt.groupBy(*keys).agg(F.count("*").alias("c"), F.sum(F.size("ats")).alias("most"), F.first("n").alias("n")).where((F.col("c") > 1) & (F.col("most") >= F.col("n") * coverage)).select(*keys)
     rows = dealt.join(enough, keys).select(*keys, "shift", "n", "ats", "pairs").repartition(*keys).sortWithinPartitions(*keys)
@@ -309,7 +329,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int
     """doc_id, item_id, hits, coverage, reworded for each document that holds a benchmark item.
 
     A document holds an item if, along one alignment, `coverage` of the item's windows of `size`
-    template tokens occur in it with consistent slots; `reworded` says that slot values differ.
+    template tokens occur in it with consistent slots; `reworded` says that slot values differ on the
+    alignment that covers most. Names count by their capitals, or as plain words whatever their case.
     Where words were put in or left out an alignment goes on, in order, on diagonals up to `band`
     shifts away (half of the item's windows, if that is less).
     The benchmark's window hashes are given to the tasks that read documents, if there are at most
@@ -319,22 +340,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int
     read whole, in pieces; repeated document ids are taken as one document; null ids are left out;
     empty tables give no rows; other columns are ignored.
     """
-    bench = benchmark_windows(benchmark, size, least)
-    count = bench.select("h").distinct().count()
-    shapes = sorted((r["joined"], r["size"]) for r in bench.select("joined", "size").distinct().collect())
-    hits = None
-    for joined in sorted({j for j, _ in shapes} or {True}):
-        own = bench.where(F.col("joined") == joined)
-        wanted = np.array([r["h"] for r in own.select("h").distinct().collect()], dtype=np.int64).astype(np.uint64) if count <= local_index else None
-        met = document_windows(docs.where("doc_id is not null"), [w for j, w in shapes if j == joined], wanted, joined).join(own, "h").distinct()
-        hits = met if hits is None else hits.unionByName(met)
+    bench = staged(benchmark_windows(benchmark, size, least), "benchmark-windows")
+    shapes = bench.groupBy("way", "size").count().orderBy("way", "size").collect()  # a few for each way
+    if not shapes:
+        shapes = [{"way": JOINED, "size": size}]
+    sizes: dict[int, list[int]] = {}
+    for r in shapes:
+        sizes.setdefault(r["way"], []).append(r["size"])
+    hashes = bench.select("way", "h").distinct()
+    wanted = None
+    if hashes.count() <= local_index:
+        got = hashes.toArrow()
+        way, h = np.asarray(got.column("way")), np.asarray(got.column("h")).astype(np.uint64)
+        wanted = {k: np.sort(h[way == k]) if (way == k).any() else np.zeros(1, np.uint64) for k in sizes}
+    hits = document_windows(docs.where("doc_id is not null"), sizes, wanted).join(bench, ["way", "h"]).distinct()
     differing = F.filter(F.arrays_zip("kinds", "slots", "doc_slots"), lambda x: x["kinds"] > 0)
     # one row for each diagonal: a second value of the document for a slot value breaks it
     diagonals = (
-        hits.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"))
+        hits.groupBy("doc_id", "item_id", "way", (F.col("doc_at") - F.col("at")).alias("shift"))
         .agg(F.first("n").alias("n"), F.sort_array(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set(differing))).alias("pairs"))
         .where(F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kinds"], x["slots"])))) == F.size("pairs"))
     )
     straight = diagonals.select("doc_id", "item_id", F.size("ats").alias("hits"), "n", F.exists("pairs", lambda x: x["slots"] != x["doc_slots"]).alias("reworded"))
     good = straight.unionByName(_chained(diagonals, coverage, band)).withColumn("coverage", F.col("hits") / F.col("n")).where(F.col("coverage") >= coverage)
-    return good.groupBy("doc_id", "item_id").agg(F.max("hits").cast("int").alias("hits"), F.max("coverage").alias("coverage"), F.min("reworded").alias("reworded"))
+    return good.groupBy("doc_id", "item_id").agg(F.max("hits").cast("int").alias("hits"), F.max("coverage").alias("coverage"), F.max_by("reworded", F.struct("coverage", ~F.col("reworded"))).alias("reworded"))

@@ -189,10 +189,28 @@ def test_jaccard_join_against_brute_force(spark):
     assert all(got[i].kept == (label[i] == i) for i in range(len(texts)))
 
 
+def test_jaccard_join_finds_pairs_behind_a_common_template(spark):
+    """Large mixed buckets are split many times; pairs near the threshold must survive that."""
+    rng = random.Random(55)
+    template = prose(rng, 60)
+    texts = []
+    for _ in range(300):
+        own = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(40)]
+        texts.append(f"{template} {' '.join(own)}")
+        own[rng.randrange(5, 35)] = "edit" + rng.choice(WORDS)  # five of 96 shingles change
+        own[rng.randrange(5, 35)] = "other" + rng.choice(WORDS)
+        texts.append(f"{template} {' '.join(own)}")
+    near, label = brute_links(texts)
+    got = {r.doc_id: r for r in jaccard_join.join(docs_of(spark, texts), small=8).collect()}
+    found, there = sum(got[i].n_links for i in range(len(texts))), sum(map(sum, near))
+    assert there > 500 and found >= 0.999 * there and all(got[i].n_links <= sum(near[i]) for i in range(len(texts)))
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert jaccard_join.join(docs_of(spark, ["x"]).where("false")).count() == 0
-    got = jaccard_join.join(docs_of(spark, ["a b c d e f", "a b c d e f", "zz yy xx ww vv", "q"], [1, 1, 2, None])).collect()
-    assert sorted((r.doc_id, r.n_links, r.class_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
+    long_ = prose(random.Random(2), 200_000)
+    got = jaccard_join.join(docs_of(spark, ["a b c d e f", "a b c d e f", "zz yy xx ww vv", "q", long_, long_ + " more"], [1, 1, 2, None, 3, 4])).collect()
+    assert sorted((r.doc_id, r.n_links, r.class_id) for r in got) == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3)]
 
 
 # 6 -------------------------------------------------------------------------------------------
@@ -399,6 +417,18 @@ def test_leaks_with_longer_values_and_inserted_words(spark):
     assert 0.7 < got[1, 7][1] < 1 and 0.7 < got[2, 7][1] < 1
 
 
+def test_leaks_in_other_case_and_odd_rows(spark):
+    rng = random.Random(98)
+    plain = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(30)]
+    item = " ".join(["How", *plain[:9], "Boston", *plain[9:20], "Mary Ann", *plain[20:], "42 km"])
+    bench = spark.createDataFrame([(7, item), (7, item), (9, ""), (None, "x y z")], "item_id long, text string")
+    other = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(400))
+    texts = [item.lower(), f"{other} {item.upper()}. {other}", other, item.replace("Boston", "Paris"), f"{other[:900]} {item.lower()} {other}" * 40, item.lower().replace("42 km", "7 miles"), item]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, item, "x"), (20, None, "x")]
+    got = {(r.doc_id, r.item_id): r.reworded for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string, h string"), bench).collect()}
+    assert got == {(0, 7): False, (1, 7): False, (3, 7): True, (4, 7): False, (5, 7): True, (6, 7): False}
+
+
 def test_chains_keep_order_and_values():
     a, b = (0, [0, 1, 2], [(2, "tom", "ann")]), (1, [6, 7], [(2, "tom", "ann")])
     assert decontaminate._chain([a, b]) == (5, True)
@@ -407,7 +437,7 @@ def test_chains_keep_order_and_values():
 
 
 def test_template_words():
-    found = decontaminate._joined([decontaminate.lower(t) for t in ("Tom paid 3,500.50 km. Then É 5 % of five miles, m", "“Ann” Élan, x.y 7kg")], decontaminate.Canon())
+    found = decontaminate._joined([decontaminate.lower(t) for t in ("Tom paid 3,500.50 km. Then É 5 % of five miles, m", "“Ann” Élan, x.y 7kg")], decontaminate.Canon()).template(decontaminate.PLAIN)
     got = [(found.value(i), int(k), int(t)) for i, (k, t) in enumerate(zip(found.kinds, found.text))]
     assert got == [("tom", 0, 0), ("paid", 0, 0), ("3,500.50", 1, 0), ("km", 3, 0), ("then", 0, 0), ("é", 2, 0), ("5", 1, 0), ("%", 3, 0), ("of", 0, 0), ("five", 1, 0), ("miles", 3, 0), ("m", 0, 0),
                    ("ann", 0, 1), ("élan", 2, 1), ("x", 0, 1), ("y", 0, 1), ("7kg", 0, 1)]
@@ -416,14 +446,16 @@ def test_template_words():
 def test_long_texts_are_coded_alike_in_parts(monkeypatch):
     text = " ".join(f"Word{i % 7} and {i} km. Then Bob" for i in range(300))
     canon = decontaminate.Canon()
-    ((whole, _, _, _),) = decontaminate._pieces([text], canon, 7)
+    ways = [decontaminate.JOINED, decontaminate.PLAIN, decontaminate.FOLDED]
+    whole = {way: found for way, found, _, _, _ in decontaminate._pieces([text], canon, ways, 7)}
     monkeypatch.setattr(decontaminate, "PIECE", 500)
-    parts = list(decontaminate._pieces([text], canon, 7))
-    assert len(parts) > 5
-    for found, _, word, goes_on in parts:
-        skip = 1 if goes_on else 0
-        assert (found.codes[skip:] == whole.codes[word + skip : word + len(found.codes)]).all()
-    assert parts[-1][2] + len(parts[-1][0].codes) == len(whole.codes)
+    for way in ways:
+        parts = list(decontaminate._pieces([text], canon, [way], 7))
+        assert len(parts) > 5
+        for _, found, _, word, goes_on in parts:
+            skip = 1 if goes_on else 0
+            assert (found.codes[skip:] == whole[way].codes[word + skip : word + len(found.codes)]).all()
+        assert parts[-1][3] + len(parts[-1][1].codes) == len(whole[way].codes)
 
 
 # 10 ------------------------------------------------------------------------------------------
