@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,28 +21,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, passes: int = 16, bits: int = 48, window: int = 48, block: int = 512, seed: int = 7) -> DataFrame:
+def passes_needed(rows: int, threshold: float, window: int, recall: float, least: int = 16) -> int:
+    """Passes after which a pair at the threshold has met with the target recall.
+
+    Two such vectors agree in a hash with 1 - angle / pi. Where directions are spread evenly, a pass
+    parts all vectors into runs of `window` by log2(rows / window) hashes; the pair meets if it
+    agrees in those.
+    """
+    agree = 1 - math.acos(threshold) / math.pi
+    met = agree ** max(0.0, math.log2(max(rows, 1) / window))
+    return max(least, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else least
+
+
+def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, recall: float = 0.99, bits: int = 62, window: int = 48, block: int = 512, seed: int = 7) -> DataFrame:
     """Links vectors whose cosine reaches `threshold`: columns vec_id, n_links, component_id, kept.
 
     Each pass orders all vectors by `bits` concatenated random-hyperplane hashes and compares every
-    vector with the `window` next ones. Verified links of all passes are united. A window bounds the
+    vector with the `window` next ones; the number of passes follows from that of vectors. Verified links of all passes are united. A window bounds the
     partners that a pass sees, so afterwards all pairs inside each component are compared in blocks
     of `block` vectors; n_links counts those, in double precision.
 
     Null vectors, zero vectors and those with null or non-finite components link with nothing.
     Vectors of different length don't link. Equal vectors are compared once and counted as often
     as they occur. Rows that repeat an id are one vector (the smallest by value); the result has
-    one row for each id, null included. Other columns are ignored.
+    one row for each id, null included. Long vectors are read whole; an empty table gives an empty
+    one. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = rows.where("vec_id is not null and v is not null and size(v) > 0").where(~bad).where(F.exists("v", lambda x: x != 0))
     # -0.0 and 0.0 are the same component
-    sound = sound.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("same", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256))
+    sound = sound.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("same", F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
     member = staged(sound.select("vec_id", "same", "v"), "vectors")
     reps = staged(member.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "vector-classes")
 
+    passes = passes_needed(reps.count(), threshold, window, recall)
+
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, values = lists(batch.column(1))
@@ -62,16 +78,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     ordered = staged(keys.sort("dim", "pass", "key", "rep").select("dim", "pass", "rep", F.monotonically_increasing_id().alias("place")), "vector-order")
     # partitions hold consecutive stretches of the order: their sizes turn places into ranks
     part = F.shiftrightunsigned("place", 33)
-    sizes = ordered.groupBy(part.alias("part")).count().collect()  # one row for each partition
-    at, start = 0, {}
-    for r in sorted(sizes):
-        start[r["part"]] = at
-        at += r["count"]
-    if not start:
-        start = {0: 0}
-    offset = F.element_at(F.create_map(*[F.lit(int(x)).cast("long") for kv in start.items() for x in kv]), part)
+    sizes = sorted(ordered.groupBy(part.alias("part")).count().collect())  # one row for each partition
+    starts = np.cumsum([0, *(r["count"] for r in sizes)]).tolist()
+    begin = spark.createDataFrame([(r["part"], n) for r, n in zip(sizes, starts)], "part long, begin long")
     span = max(4 * window, 256)
-    rank = ordered.withColumn("rank", offset + F.col("place").bitwiseAND((1 << 33) - 1)).withColumn("cell", F.floor(F.col("rank") / span).cast("long"))
+    rank = ordered.withColumn("part", part).join(F.broadcast(begin), "part").withColumn("rank", F.col("begin") + F.col("place").bitwiseAND((1 << 33) - 1)).withColumn("cell", F.floor(F.col("rank") / span).cast("long"))
     # the first rows of a cell are also the last partners of the cell before
     spread = rank.withColumn("cell", F.explode(F.when((F.col("rank") % span < window) & (F.col("cell") > 0), F.array("cell", F.col("cell") - 1)).otherwise(F.array("cell"))))
 
