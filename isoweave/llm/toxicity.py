@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoweave.llm.shared import staged
+
 WORD = re.compile(r"\w+")
 #: Pattern voters, beside the lexicon voters that are found in the training rows.
 PATTERNS = {
@@ -35,7 +37,7 @@ SPOOL = 200_000
 def features(text: str) -> set[str]:
     """Distinct words, prefixes of longer words, and patterns of a whole text."""
     words = set(WORD.findall(text.lower()))
-    found = {f"w:{w}" for w in words if len(w) <= 40}
+    found = {f"w:{w}" for w in words}
     found |= {f"p:{w[:PREFIX]}" for w in words if len(w) > PREFIX}
     return found | {k for k, p in PATTERNS.items() if p.search(text)}
 
@@ -62,24 +64,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic, and of each voter (the label last) its firing rates and its dependence.
 
     A voter that fires or stays silent together with others, more than the class explains, counts
-    for less: its log odds are divided by one plus the sum of its clear correlations.
+    for less: its log odds are divided by one plus the sum of its clear correlations. `weight` says
+    how many rows a row stands for.
     """
+    of = np.ones(len(gold)) if weight is None else weight
     v = np.hstack([votes, gold[:, None]]).astype(np.float64)
     p = np.where(gold > 0, 0.95, 0.05)
     share = np.ones(v.shape[1])
     for step in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        on = (p @ v + 0.5) / (p.sum() + 1)
-        off = ((1 - p) @ v + 0.5) / ((1 - p).sum() + 1)
+        prior = np.clip((of * p).sum() / of.sum(), 1e-3, 1 - 1e-3)
+        on = ((of * p) @ v + 0.5) / ((of * p).sum() + 1)
+        off = ((of * (1 - p)) @ v + 0.5) / ((of * (1 - p)).sum() + 1)
         if step in (rounds // 3, 2 * rounds // 3):
             mean = p[:, None] * on + (1 - p)[:, None] * off
             rest = v - mean
-            size = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            tie = (rest.T @ rest) / len(v) / np.outer(size, size)
+            size = np.sqrt(of @ rest**2 / of.sum()) + 1e-9
+            tie = (rest.T @ (of[:, None] * rest)) / of.sum() / np.outer(size, size)
             np.fill_diagonal(tie, 0)
             share = 1 / (1 + np.where(tie > 0.2, tie, 0).sum(axis=1))
         odds = np.log(prior / (1 - prior)) + v @ (share * np.log(on / off)) + (1 - v) @ (share * np.log((1 - on) / (1 - off)))
@@ -87,14 +91,14 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[
     return p, np.vstack([on, off]), share
 
 
-def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Newton steps on the expected log likelihood of the posterior labels."""
+def logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Newton steps on the expected log likelihood of the posterior labels; a row counts `weight` times."""
     z = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w = np.zeros(z.shape[1])
     keep = np.r_[np.full(x.shape[1], ridge), 1e-6]
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-        step = np.linalg.solve((z * (q * (1 - q) + 1e-6)[:, None]).T @ z + np.diag(keep), z.T @ (p - q) - keep * w)
+        step = np.linalg.solve((z * (weight * (q * (1 - q) + 1e-6))[:, None]).T @ z + np.diag(keep), z.T @ (weight * (p - q)) - keep * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -104,16 +108,22 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 25)
 def fit(train: DataFrame, rows: int = 12_000, voters: int = 192, least: int = 8, seed: int = 10) -> Model | None:
     """Learns from `train(doc_id, text, toxic)`; rows with a null label are left out.
 
-    Bounds: about `rows` labelled rows, chosen by hash (one for each distinct text), and `voters`
-    lexicon voters, the features with the strongest association with the labels that occur in
-    `least` texts or more. None if there is no labelled row.
+    Features are counted by label over all labelled rows, one for each distinct text. `voters` of
+    them become lexicon voters: those with the strongest association with the labels that occur in
+    `least` texts or more. Bound: the models are fitted on about `rows` rows, half of each label where
+    there are enough, chosen by hash and weighted back. None if there is no labelled row.
     """
     labelled = train.where("toxic is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    total = labelled.count()
-    if not total:
+    distinct = staged(labelled.groupBy(F.sha2("text", 256).alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "labelled-texts")
+    sizes = {r["toxic"]: r["count"] for r in distinct.groupBy("toxic").count().collect()}
+    all_n, all_k = sum(sizes.values()), sizes.get(1, 0)
+    if not all_n:
         return None
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) < F.lit(int(min(1.0, rows / total) * (1 << 20)))
-    sample = labelled.where(draw).groupBy(F.sha2("text", 256).alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    clean, toxic = sizes.get(0, 0), all_k
+    half = min(toxic, max(rows // 2, rows - clean))
+    drawn = {1: half / max(toxic, 1), 0: min(1.0, (rows - half) / max(clean, 1))}
+    bound = F.when(F.col("toxic") == 1, F.lit(int(drawn[1] * (1 << 20)))).otherwise(F.lit(int(drawn[0] * (1 << 20))))
+    sample = distinct.where(F.pmod(F.xxhash64(F.lit(seed), "same"), F.lit(1 << 20)) < bound)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, on = Counter(), Counter()
@@ -132,14 +142,12 @@ def fit(train: DataFrame, rows: int = 12_000, voters: int = 192, least: int = 8,
                     yield flush()
         yield flush()
 
-    sizes = sample.groupBy("toxic").count().collect()
-    all_n, all_k = sum(r["count"] for r in sizes), sum(r["count"] for r in sizes if r["toxic"])
     n, k = F.col("n"), F.col("k")
     # signed root of the log-likelihood ratio between the feature's share of toxic texts and all texts' share
     share, base = (k + 0.5) / (n + 1), (all_k + 0.5) / (all_n + 1)
     gain = n * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
     best = (
-        sample.select("text", "toxic").mapInArrow(counted, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        distinct.select("text", "toxic").mapInArrow(counted, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         .where((F.col("n") >= least) & (F.col("n") < all_n)).withColumn("gain", gain).orderBy(F.desc("gain"), "f").limit(voters).collect()
     )
     names = sorted({r["f"] for r in best} | set(PATTERNS))
@@ -156,8 +164,9 @@ def fit(train: DataFrame, rows: int = 12_000, voters: int = 192, least: int = 8,
         x[i, r["hits"]] = 1
     gold = np.array([r["toxic"] for r in got], dtype=np.float64)
     strong = [at[r["f"]] for r in best[: voters // 4]] + [at[f] for f in PATTERNS if f not in {r["f"] for r in best[: voters // 4]}]
-    posterior, _, _ = label_model(x[:, strong], gold)
-    weights, bias = logistic(x, posterior)
+    weight = 1 / np.where(gold > 0, max(drawn[1], 1e-9), max(drawn[0], 1e-9))
+    posterior, _, _ = label_model(x[:, strong], gold, weight)
+    weights, bias = logistic(x, posterior, weight)
     return Model(names, weights, bias)
 
 
@@ -179,8 +188,9 @@ def rate(docs: DataFrame, labels: DataFrame, held_out: Column, **bounds: int) ->
     """doc_id, held_out, score, predicted for every row of `docs`, after learning from the others.
 
     A null or empty text has the score of a text in which no voter fires; without labels all
-    scores are 0. A document with several label rows counts as toxic if one says so. Repeated rows
-    get equal results, null ids match no label, further columns are ignored.
+    scores are 0. A document with several label rows counts as toxic if one says so. Long texts are
+    read whole. Repeated rows get equal results, null ids match no label, an empty table gives an
+    empty one, further columns are ignored.
     """
     slim = docs.select("doc_id", "text")
     given = labels.select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -86,6 +86,23 @@ def test_vectors_against_brute_force(spark):
     assert all((got[i].n_links, got[i].kept) == (0, True) for i in range(9000, 9007))
 
 
+def test_recall_of_isolated_pairs(spark):
+    """Pairs just above the threshold in a crowd, held against brute force; passes grow with the rows."""
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((9000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((600, 24))
+    side -= (side * x[:600]).sum(1)[:, None] * x[:600]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.vstack([x, 0.953 * x[:600] + math.sqrt(1 - 0.953**2) * side])
+    got = {r.vec_id: r for r in embedding_dedup.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert all(got[i].n_links <= near[i].sum() for i in range(len(x)))
+    assert sum(r.n_links for r in got.values()) >= 0.98 * near.sum() >= 1100
+    assert embedding_dedup.passes_needed(10**9, 0.95, 48, 0.99) > 2 * embedding_dedup.passes_needed(10**6, 0.95, 48, 0.99)
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -477,6 +494,13 @@ def test_toxicity_separates_held_out_texts(spark):
     held = [i for i in range(600) if got[i].held_out]
     assert sum(got[i].predicted == toxic[i] for i in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values()) and got[600].predicted == 0
+    # a small sample, drawn by label, and features counted over all rows still do
+    few = {r.doc_id: r for r in toxicity.rate(d, labels, crc_mod("doc_id", 5) == 0, rows=120).collect()}
+    assert sum(few[i].predicted == toxic[i] for i in held) >= 0.95 * len(held)
+    long_ = docs_of(spark, [prose(rng, 150_000), prose(rng, 150_000) + " you moron scum", "a", "a"], [1000, 1001, 5, 5])
+    odd = toxicity.rate(d.unionByName(long_), labels, crc_mod("doc_id", 5) == 0).collect()
+    by_id = {r.doc_id: r.score for r in odd}
+    assert by_id[1001] > by_id[1000] and len({r.score for r in odd if r.doc_id == 5}) == 2
     assert {r.score for r in toxicity.rate(d, labels.where("false"), F.lit(False)).collect()} == {0.0}
     assert toxicity.rate(d.where("false"), labels.where("false"), F.lit(False)).count() == 0
 
@@ -488,5 +512,9 @@ def test_correlated_voters_count_for_less():
     one = fire(0.6, 0.2)
     votes = np.stack([fire(0.8, 0.05), fire(0.7, 0.1), one, one ^ (rng.random(4000) < 0.02)], axis=1).astype(float)
     p, rates, share = toxicity.label_model(votes, (y ^ (rng.random(4000) < 0.1)).astype(float))
-    assert ((p > 0.5) == y).mean() > 0.93 and share[2] < 0.75 < share[0]
+    assert ((p > 0.5) == y).mean() > 0.93 and share[2] < 0.75 < share[0]  # a tenth of the labels was wrong
+    few = np.r_[np.flatnonzero(y), np.flatnonzero(~y)[:400]]  # clean rows drawn thinner and weighted back
+    weight = np.where(y[few], 1.0, (~y).sum() / 400)
+    q, again, _ = toxicity.label_model(votes[few], y[few].astype(float), weight)
+    assert ((q > 0.5) == y[few]).mean() > 0.93 and abs(again[1, 0] - 0.05) < 0.05
     assert abs(rates[0, 0] - 0.8) < 0.1 and abs(rates[1, 0] - 0.05) < 0.05
