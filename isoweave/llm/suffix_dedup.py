@@ -2,12 +2,15 @@
 
 Content-chosen anchors (window minima of hashed grams) cut the suffixes down to those that can be
 part of a repeat: two equal strings of `length` bytes have the same anchor at the same place. Every
-shard of documents gives, for each anchor that occurs again, the suffix that starts there with the
-bytes that precede it. Where shards meet, their suffix orders are merged as Burrows-Wheeler
-transforms are: the interleave is refined one symbol at a time, and the round that parts two
-neighbours is their common prefix. Reading the preceding bytes one by one refines the same
-intervals to the left. An interval whose left and right reach add up to `length` is a repeated
-string; all its members but the earliest are removed. No suffix is sorted as a whole.
+shard of documents orders the suffixes at its anchors that occur again and sends them in that order,
+each with the bytes that precede it: a Burrows-Wheeler transform of the anchored suffixes, with
+`length` - GRAM preceding bytes in place of one. Where shards meet, the orders are merged as such
+transforms are: the interleave, at first shard after shard, is refined one symbol at a time by a
+stable pass that keeps each shard's order, and the round that parts two neighbours is their common
+prefix. Reading the preceding bytes one by one refines the same intervals to the left. An interval
+whose left and right reach add up to `length` is a repeated string; all its members but the earliest
+are removed. Transforms of whole shards would take `length` rounds over every byte of the corpus;
+the anchors leave about one suffix in 37 bytes, and only those whose gram repeats.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,14 +172,17 @@ def _repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
 
 
 def _contexts(placed: DataFrame, length: int) -> DataFrame:
-    """h, ctx, doc, at for the anchors `places` of each (doc, text, places).
+    """h, ctx, doc, at, shard, place for the anchors `places` of each (doc, text, places).
 
     ctx is the gram with up to length - GRAM bytes on either side, then how many there are on each.
-    Of equal contexts in a batch the earliest goes on; the others (ctx null, h spread) are repeats.
+    Rows of a shard (some 16 000 anchors of one task) come in the order of their suffixes, then of
+    the bytes before, read backwards; place counts them. Of equal contexts in a shard the earliest
+    goes on; the others (a short ctx, h spread) are repeats.
     """
     side = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, names = TaskContext.get().partitionId() << 32, ["h", "ctx", "doc", "at", "shard", "place"]
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -197,27 +204,31 @@ def _contexts(placed: DataFrame, length: int) -> DataFrame:
                     h = gram_hashes(ctx[:, side : side + GRAM])[:, 0].astype(np.int64)
                     d, a = doc[cut], at[cut]
                     order = np.lexsort((a, d))
-                    flat = np.ascontiguousarray(ctx[order]).view(f"V{ctx.shape[1]}")[:, 0]
+                    suffix_first = np.concatenate([ctx[:, side : side + length], ctx[:, side - 1 :: -1], ctx[:, -2:]], axis=1)
+                    flat = np.ascontiguousarray(suffix_first[order]).view(f"V{ctx.shape[1]}")[:, 0]
                     _, first = np.unique(flat, return_index=True)
-                    keep = np.zeros(len(d), dtype=bool)
-                    keep[order[first]] = True
-                    rest = ~keep
+                    keep = order[first]  # the shard's suffix order
                     body = np.ascontiguousarray(ctx[keep])
                     column = pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(np.arange(len(body) + 1, dtype=np.int32) * body.shape[1]), pa.py_buffer(body)])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[keep]), column, pa.array(d[keep]), pa.array(a[keep])], ["h", "ctx", "doc", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[keep]), column, pa.array(d[keep]), pa.array(a[keep]), pa.array(np.full(len(keep), shard)), pa.array(np.arange(len(keep), dtype=np.int32))], names)
+                    shard += 1
+                    rest = np.ones(len(d), dtype=bool)
+                    rest[keep] = False
                     if rest.any():
                         reach = np.concatenate([l[rest, None], r[rest, None]], axis=1).astype(np.uint8)
                         short = pa.array([x.tobytes() for x in reach], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(mix64((d[rest] * 31 + a[rest]).astype(np.uint64)).astype(np.int64)), short, pa.array(d[rest]), pa.array(a[rest])], ["h", "ctx", "doc", "at"])
+                        spread = mix64((d[rest] * 31 + a[rest]).astype(np.uint64)).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(spread), short, pa.array(d[rest]), pa.array(a[rest]), pa.array(np.zeros(len(spread), np.int64)), pa.array(np.zeros(len(spread), np.int32))], names)
 
-    return placed.mapInArrow(run, "h long, ctx binary, doc long, at long")
+    return placed.mapInArrow(run, "h long, ctx binary, doc long, at long, shard long, place int")
 
 
 def refine(block: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges the rows of all shards: their order, the common prefix with the row before (-1 in
     another block), by refining the interleave with one column of `symbols` in each round.
 
-    Rows come grouped by block. A row alone in its interval is left out of later rounds.
+    Rows come grouped by block, then shard after shard; a round deals each interval to its symbols and
+    keeps the order of the rows of one symbol, which are runs already if shards are ordered. A row alone in its interval is left out of later rounds.
     """
     n, depth = symbols.shape
     order = np.arange(n)
@@ -314,7 +325,7 @@ def _repeats(contexts: DataFrame, length: int, parts: int) -> DataFrame:
         if size:
             yield work([np.concatenate(c) for c in zip(*held)])
 
-    return contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "doc long, s long, e long")
+    return contexts.repartition(parts, "h").sortWithinPartitions("h", "shard", "place").mapInArrow(run, "doc long, s long, e long")
 
 
 def _lowest(docs: DataFrame) -> DataFrame:
@@ -338,6 +349,7 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = ()) -> tuple[Data
     unique = rows.select("doc", "text").join(first.select("doc"), "doc", "left_semi")
     unique.write.option("path", path).option("compression", "zstd").bucketBy(parts, "doc").saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, the name isn't needed beyond this plan
 
     places = _repeated_anchors(texts, length, parts).groupBy("doc").agg(F.array_sort(F.collect_list("at")).alias("places"))
     contexts = _contexts(texts.join(places, "doc").select("doc", "text", "places"), length)
