@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isoweave.llm import class_lm, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, suffix_dedup, toxicity, url_rules, warc
 from isoweave.llm.shared import crc_mod, table
-
+from isoweave.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 #: Curated (verdict, host and path) rules that every url is judged by.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -57,11 +57,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_rules, op2_embedding_near_dedup, op3_language_id, op4_warc_archive, op5_jaccard_join, op6_class_lm, op7_pfair_mixing, op8_suffix_dedup, op9_benchmark_leaks, op10_toxicity)}
-
-#: Where SQL expresses the whole result; the others are held against brute force in tests/llm.
-ORACLE_SQL = {
-    "op4_warc_archive": """SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes,
-        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(p), CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
-        CASE WHEN page_id = lead_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead_id THEN lead_id END AS refers_to, true AS verified
-        FROM (SELECT page_id, p, min(page_id) OVER (PARTITION BY p) AS lead_id FROM (SELECT page_id, coalesce(html, '') AS p FROM pages) a) b""",
-}
