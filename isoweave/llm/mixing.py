@@ -15,6 +15,8 @@ slots are those of one schedule from slot 0.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -177,12 +179,15 @@ def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int | None =
     last = F.lit(end).cast("long")
     begun = plan.where(F.col("_at") < last).groupBy("_src").agg(F.count("*").alias("_ran"))
     rest = by_source.join(begun, "_src", "left").select("_src", F.col("_a").alias("a"), F.coalesce("_ran", F.lit(0)).cast("long").alias("ran"), F.col("_blocks").alias("blocks"))
-    # what each source has left, next to every source: a row for each source, each as long as there are sources
-    others = rest.agg(F.array_sort(F.collect_list(F.struct("_src", "a", "ran", "blocks"))).alias("_all")).withColumn("_one", F.lit(0))
-    before = F.aggregate("_all", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0).cast("long"), F.least(x["blocks"], _until_due(x["a"], F.col("deadline") - F.when(x["_src"] > F.col("_src"), 1).otherwise(0))) - x["ran"]))
+    ordered = staged(rest.agg(F.array_sort(F.collect_list(F.struct("_src", "a", "ran", "blocks"))).alias("_all")).select(F.posexplode("_all").alias("i", "x")), "mix-rest")
+    left = [{"i": r["i"], "a": r["x"]["a"], "ran": r["x"]["ran"], "blocks": r["x"]["blocks"]} for r in ordered.collect()]
+    others = F.from_json(F.lit(json.dumps(left)), "array<struct<i:int,a:bigint,ran:bigint,blocks:bigint>>")
+    # blocks with an earlier deadline, or with the same one of an earlier source
+    before = F.aggregate(others, F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0).cast("long"), F.least(x["blocks"], _until_due(x["a"], F.col("deadline") - F.when(x["i"] > F.col("_i"), 1).otherwise(0))) - x["ran"]))
+    known = by_source.join(ordered.select(F.col("x._src").alias("_src"), F.col("i").alias("_i")), "_src").select("_src", "_a", "_total", "_i")
     placed = (
-        numbered.withColumn("_k", F.floor(F.col("source_rank") / block)).withColumn("_one", F.lit(0)).join(F.broadcast(by_source.select("_src", "_a", "_total")), "_src", "left")
-        .join(plan, ["_src", "_k"], "left").join(F.broadcast(others), "_one")
+        numbered.withColumn("_k", F.floor(F.col("source_rank") / block)).join(F.broadcast(known), "_src", "left")
+        .join(plan, ["_src", "_k"], "left")
         .withColumn("release", _whole(F.col("_k").cast("decimal(19,0)") * F.col("_total"), F.col("_a")))
         .withColumn("deadline", _due("_k"))
         .withColumn("in_mix", F.coalesce(F.col("_at") < last, F.lit(False)))
