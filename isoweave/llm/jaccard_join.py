@@ -23,6 +23,7 @@ from isoweave.llm.shared import Coder, components, hot_join, list_array, mix64,
 
 PIECE = 1 << 22
 STEP = np.uint64(0x9E3779B97F4A7C15)
+SOME, LOOKED_AT = 16, 12
 POOL = 31  # hashes that the later steps of all paths choose from; a prime
 
 
@@ -100,10 +101,13 @@ def _leaves(sketch: DataFrame, runs: int, branch: int, levels: int, small: int,
             break
         found.append(met.where(F.col("m") <= small))
         large = met.where(F.col("m") > small)
-        # sets of a large bucket that mostly take the same next steps aren't parted by more of them
-        ahead = large.join(sketch, "rep").select("path", "rep", "m", F.posexplode(_steps(runs, branch)).alias("k", "t"))
-        agree = ahead.groupBy("path", "k", "t").agg(F.count("*").alias("c"), F.first("m").alias("m")).groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / (F.first("m") * F.first("m") * branch)).alias("agree"))
-        judged = staged(hot_join(large, agree, ["path"], ["rep"]), "large-paths")
+        # sets of a large bucket that mostly take the same steps aren't parted by more of them; how much
+        # they agree is estimated from about SOME of them, which decides on the work, not on the result
+        some = large.where(F.pmod(F.xxhash64("path", "rep"), F.greatest(F.lit(1), F.floor(F.col("m") / SOME))) == 0)
+        taken = some.join(sketch, "rep").select("path", F.posexplode(F.slice("steps", runs + 1, LOOKED_AT)).alias("k", "t"))
+        c = F.col("c")
+        agree = taken.groupBy("path", "k", "t").agg(F.count("*").alias("c")).groupBy("path", "k").agg((F.sum(c * (c - 1)) / F.greatest(F.lit(1), F.sum("c") * (F.sum("c") - 1))).alias("agree")).groupBy("path").agg(F.avg("agree").alias("agree"))
+        judged = staged(hot_join(large, agree, ["path"], ["rep"], "left").na.fill(0.0, ["agree"]), "large-paths")
         found.append(judged.where(F.col("agree") >= alike).select("path", "rep", "m"))
         rest = judged.where(F.col("agree") < alike)
         if rest.isEmpty():
