@@ -105,16 +105,30 @@ def logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w[:-1], float(w[-1])
 
 
-def fit(train: DataFrame, rows: int = 12_000, voters: int = 192, least: int = 8, seed: int = 10) -> Model | None:
-    """Learns from `train(doc_id, text, toxic)`; rows with a null label are left out.
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """same, text and toxic: one document for each distinct text of `docs(doc_id, text)` that has a label.
+
+    Digests decide which documents these are, so texts are joined once, with a table of ids that is
+    written first: Spark sends it to all tasks if its size allows and shuffles otherwise. A row that
+    repeats both id and text counts as often as it occurs.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).alias("same")
+    given = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    slim = docs.where("doc_id is not null").select("doc_id", same)
+    chosen = staged(slim.join(given, "doc_id").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic")), "labelled-ids")
+    return staged(docs.select("doc_id", text.alias("text"), same).join(chosen, ["doc_id", "same"]).select("same", "text", "toxic"), "labelled-texts")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, voters: int = 192, least: int = 8, seed: int = 10) -> Model | None:
+    """Learns from `docs(doc_id, text)` and `labels(doc_id, toxic)`; null labels are left out.
 
     Features are counted by label over all labelled rows, one for each distinct text. `voters` of
     them become lexicon voters: those with the strongest association with the labels that occur in
     `least` texts or more. Bound: the models are fitted on about `rows` rows, half of each label where
     there are enough, chosen by hash and weighted back. None if there is no labelled row.
     """
-    labelled = train.where("toxic is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    distinct = staged(labelled.groupBy(F.sha2("text", 256).alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "labelled-texts")
+    distinct = labelled_texts(docs, labels)
     sizes = {r["toxic"]: r["count"] for r in distinct.groupBy("toxic").count().collect()}
     all_n, all_k = sum(sizes.values()), sizes.get(1, 0)
     if not all_n:
@@ -158,7 +172,7 @@ def fit(train: DataFrame, rows: int = 12_000, voters: int = 192, least: int = 8,
             hits = [sorted(at[f] for f in features(t) & at.keys()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.list_(pa.int32())), b.column(2)], ["same", "hits", "toxic"])
 
-    got = sorted(sample.select("same", "text", "toxic").mapInArrow(sparse, "same string, hits array<int>, toxic int").collect(), key=lambda r: r["same"])
+    got = sorted(sample.select(F.xxhash64("same").alias("same"), "text", "toxic").mapInArrow(sparse, "same long, hits array<int>, toxic int").collect(), key=lambda r: (r["same"], r["hits"]))
     x = np.zeros((len(got), len(names)), dtype=np.float32)
     for i, r in enumerate(got):
         x[i, r["hits"]] = 1
@@ -193,6 +207,5 @@ def rate(docs: DataFrame, labels: DataFrame, held_out: Column, **bounds: int) ->
     empty one, further columns are ignored.
     """
     slim = docs.select("doc_id", "text")
-    given = labels.select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(slim.where(~held_out).join(given, "doc_id"), **bounds)
+    model = fit(slim.where(~held_out), labels.select("doc_id", "toxic"), **bounds)
     return predict(slim, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
