@@ -71,13 +71,22 @@ def votes(cigar: str, md: str, seq: str, start: int) -> list[tuple[int, str]]:
     return out
 
 
-def pile(alignments: DataFrame) -> DataFrame:
-    """id, pos, allele, weight from `alignments(rname, flag, pos, cigar, md, seq, weight)`."""
+def pile(alignments: DataFrame, reads: int = 512) -> DataFrame:
+    """id, pos, allele, weight from `alignments(rname, flag, pos, cigar, md, seq, weight)`.
+
+    Votes are summed up over `reads` alignments at a time before they go on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(r, p, a, w) for r, pos, c, md, s, w in zip(b["rname"], b["pos"], b["cigar"], b["md"], b["seq"], b["weight"]) for p, a in votes(c, md, s, int(pos) - 1)]
-            yield pd.DataFrame(rows, columns=["id", "pos", "allele", "weight"])
+        for whole in batches:
+            for first in range(0, len(whole), reads):
+                b = whole.iloc[first : first + reads]
+                total: dict[tuple[str, int, str], float] = {}
+                for r, pos, c, md, s, w in zip(b["rname"], b["pos"], b["cigar"], b["md"], b["seq"], b["weight"]):
+                    for p, allele in votes(c, md, s, int(pos) - 1):
+                        key = (r, p, allele)
+                        total[key] = total.get(key, 0.0) + w
+                yield pd.DataFrame([(*k, w) for k, w in total.items()], columns=["id", "pos", "allele", "weight"])
 
     mapped = alignments.where("flag <> 4 and cigar is not null and md is not null and seq is not null").select("rname", "pos", "cigar", "md", "seq", F.col("weight").cast("double"))
     return mapped.mapInPandas(run, "id string, pos int, allele string, weight double")

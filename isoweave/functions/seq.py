@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,11 +30,18 @@ def best_primer_offset(seq: Column, primer: Column | str, max_error: float, last
 
     Windows shorter than the primer are not tried.
     """
-    p = F.lit(primer) if isinstance(primer, str) else primer
+    p = F.lit(primer.lower()) if isinstance(primer, str) else F.lower(primer)
     size = F.length(p)
-    tried = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda j: F.struct(edit_distance(F.substr(seq, j + 1, size), p).alias("d"), j.alias("j")))
-    fits = F.filter(tried, lambda x: (x["j"] + size <= F.length(seq)) & (x["d"] / size < max_error))
-    return F.array_min(fits)["j"]
+    # distances that can't win need not be exact
+    far = (max(0, math.ceil(max_error * len(primer)) - 1),) if isinstance(primer, str) else ()
+
+    def search(head: Column) -> Column:
+        places = F.when(F.length(head) >= size, F.sequence(F.lit(0), F.least(F.lit(last), F.length(head) - size)))
+        tried = F.transform(places, lambda j: F.struct(F.levenshtein(F.substr(head, j + 1, size), p, *far).alias("d"), j.alias("j")))
+        return F.array_min(F.filter(tried, lambda x: (x["d"] >= 0) & (x["d"] / size < max_error)))["j"]
+
+    # the part that is searched is cut out and lower-cased once
+    return F.get(F.transform(F.array(F.lower(F.substr(seq, F.lit(1), size + last))), search), F.lit(0))
 
 
 def anchor_hits(seq: Column, anchor: str) -> Column:

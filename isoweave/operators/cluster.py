@@ -132,11 +132,17 @@ def cluster(assigned: DataFrame, compat: bool = True, region: int = 100_000) ->
     return assigned.groupBy("chr", "strand", F.floor(F.col("start") / region).alias("cell")).applyInPandas(several, OUT.format(c=dict(assigned.dtypes)["chr"]))
 
 
-def number_loci(clustered: DataFrame) -> DataFrame:
-    """Adds gl, `GL.n`: loci numbered by the text chr_strand_start_end; the table of loci is small."""
+def number_loci(clustered: DataFrame, prefix: int = 12) -> DataFrame:
+    """Adds gl, `GL.n`: loci numbered by the text chr_strand_start_end.
+
+    Texts are ordered among those with the same first `prefix` letters; only the numbers of those
+    groups pass one order.
+    """
     lid = F.concat_ws("_", F.col("chr").cast("string"), F.coalesce("strand", F.lit("na")), F.col("start").cast("string"), F.col("end").cast("string"))
     named = clustered.withColumn("_lid", lid)
-    order = named.select("_lid").distinct().withColumn("gl", F.concat(F.lit("GL."), F.row_number().over(W.orderBy("_lid")).cast("string")))
+    loci = named.select("_lid").distinct().withColumn("_p", F.substring("_lid", 1, prefix))
+    before = loci.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
+    order = loci.join(before, "_p").select("_lid", F.concat(F.lit("GL."), (F.col("_before") + F.row_number().over(W.partitionBy("_p").orderBy("_lid"))).cast("string")).alias("gl"))
     return named.join(order, "_lid").drop("_lid")
 
 

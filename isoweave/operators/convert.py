@@ -49,16 +49,30 @@ def gff3_to_refflat(gff: DataFrame, lengths: DataFrame, use_best: bool = True, p
     own = parts.join(chosen.select("path", "tx"), "path")
     exons = collect_exons(own.where("feature = 'exon'"), "tx")
     cds = own.where("feature = 'CDS'").groupBy("tx").agg(F.min("s").alias("cds_start"), F.max("e").alias("cds_end"))
-    span = own.where("feature = 'exon'").groupBy("tx").agg(F.min(F.least("t1", "t2")).alias("read_start"), F.max(F.greatest("t1", "t2")).alias("read_end"), F.sum(F.col("e") - F.col("s")).alias("covered"))
+    span = own.where("feature = 'exon'").groupBy("tx").agg(F.min(F.least("t1", "t2")).alias("read_start"), F.max(F.greatest("t1", "t2")).alias("read_end"), F.min_by("strand", "line_no").alias("read_strand"), F.sum(F.col("e") - F.col("s")).alias("covered"))
     group = F.regexp_extract("tx", r"^(Isogroup_\d+)", 1)
     gene = F.when(group != "", group).otherwise(F.col("tx"))
     flat = chosen.join(exons, "tx").join(cds, "tx", "left").select(
         F.regexp_replace(gene, r"\|", "_").alias("gene"), "tx", "chr", "strand", "tx_start", "tx_end", F.coalesce("cds_start", "tx_start").alias("cds_start"), F.coalesce("cds_end", "tx_start").alias("cds_end"), "n_exon", "exon_starts", "exon_ends")
     share = 100 * (F.col("read_end") - F.col("read_start")) / F.col("len")
-    cov = chosen.join(span, "tx").join(lengths.select(F.col("id").alias("tx"), "len"), "tx").select("tx", F.round(share, 1).alias("pct"), "identity", "read_start", "read_end", "len", "covered", "coverage")
+    cov = chosen.join(span, "tx").join(lengths.select(F.col("id").alias("tx"), "len"), "tx").select("tx", F.round(share, 1).alias("pct"), "identity", "read_start", "read_end", "read_strand", "len", "covered", "coverage")
     return flat, cov
 
 
+def gff3_problems(gff: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(errors, multi) of `read_gff3` rows.
+
+    An error is an exon whose chr or strand differs from that of its path: path, feature, chr, strand
+    and those of the path. multi lists the transcripts that map to more than one place.
+    """
+    path = F.regexp_extract("attr_text", r"^ID=([\w.|]+);", 1)
+    mrna = gff.where("feature = 'mRNA'").where(path != "").select(path.alias("path"), F.col("chr").alias("path_chr"), F.col("strand").alias("path_strand"))
+    parts = gff.where("feature in ('exon', 'CDS')").select("chr", "strand", "feature", F.regexp_extract("attr_text", "Parent=([^;]+)", 1).alias("path"))
+    errors = parts.join(mrna, "path").where("chr <> path_chr or strand <> path_strand").distinct()
+    multi = mrna.groupBy(F.substring_index("path", ".mrna", 1).alias("tx")).count().where("count > 1").select("tx")
+    return errors, multi
+
+
 def gtf_to_refflat(gtf: DataFrame, compat: bool = True) -> DataFrame:
     """One row for each run of consecutive lines of a transcript; col 12 is the gene name.
 

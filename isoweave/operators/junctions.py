@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.functions.seq import introns
+from isoweave.functions.seq import introns, plain_number
 from isoweave.operators.intervals import islands
 
 JUNCTION = ["chr", "strand", "left", "right"]
@@ -105,3 +105,21 @@ def snapped(junctions: DataFrame, moves: DataFrame) -> DataFrame:
     return junctions.join(moves.select(*JUNCTION, "new_left", "new_right"), JUNCTION).drop("left", "right").withColumnsRenamed({"new_left": "left", "new_right": "right"})
 
 
+def known_report(known: DataFrame) -> DataFrame:
+    """Lines of the known junctions: chr, strand, left, right and the summed score."""
+    one = known.groupBy(*JUNCTION).agg(F.sum("score").alias("score"))
+    return one.select(F.concat_ws("\t", F.col("chr").cast("string"), "strand", F.col("left").cast("string"), F.col("right").cast("string"), plain_number(F.col("score"))).alias("value"))
+
+
+def junction_report(junctions: DataFrame, borders: DataFrame, sample: str = "sample", samples: list[str] | None = None) -> DataFrame:
+    """Junctions by sample with left_score, right_score (0 without a known border) and score, their sum."""
+    side = lambda name: borders.select("chr", "strand", F.col("pos").alias(name), F.col("score").alias(f"{name}_score"))
+    wide = expression(junctions, sample, samples)
+    scored = wide.join(side("left"), ["chr", "strand", "left"], "left").join(side("right"), ["chr", "strand", "right"], "left").na.fill(0.0, ["left_score", "right_score"])
+    return scored.withColumn("score", F.col("left_score") + F.col("right_score"))
+
+
+def exon_report(tx: DataFrame, samples: list[str] | None = None) -> DataFrame:
+    """Exons by role and sample, zeros filled; `tx` has sample."""
+    roles = exons_with_roles(tx).join(tx.select("tx", "sample"), "tx")
+    return roles.groupBy("chr", "strand", "role", "s", "e").pivot("sample", samples).count().na.fill(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -48,3 +49,29 @@ def whole_wells(reads: DataFrame, bad: Column, well: str = "well") -> DataFrame:
     return reads.join(reads.where(bad).select(well).distinct(), well, "left_anti")
 
 
+def on_known_references(alignments: DataFrame, references: DataFrame) -> DataFrame:
+    """Alignments to one of `references(id)`."""
+    return alignments.join(references.select(F.col("id").alias("rname")).distinct(), "rname", "left_semi")
+
+
+def in_well_order(subreads: DataFrame, well: str = "zmw", start: str = "start", rest: str = "id") -> DataFrame:
+    """Sorted by well and start as numbers, then by text."""
+    return subreads.orderBy(F.col(well).cast("long"), F.col(start).cast("long"), F.col(rest).cast("string"))
+
+
+def file_list(paths: DataFrame) -> DataFrame:
+    """Distinct paths of `paths(path)`, sorted."""
+    return paths.select("path").distinct().orderBy("path")
+
+
+def renamed_ids(trimmed: DataFrame, prefix: str, cell_rows: int = 100_000) -> DataFrame:
+    """id_map(id, new_id) of kept reads: `prefix` and a number by the order of the ids.
+
+    Numbers are counted in cells by a digest of the id, whose starts come from their sizes.
+    """
+    ids = trimmed.where("status = 'kept'").select("id").distinct()
+    cells = max(1, ids.count() // cell_rows)
+    dealt = ids.withColumn("_cell", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(cells)))
+    start = dealt.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", (F.sum("_n").over(W.orderBy("_cell")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.row_number().over(W.partitionBy("_cell").orderBy("id"))
+    return dealt.join(start, "_cell").select("id", F.concat(F.lit(prefix), number.cast("string")).alias("new_id"))

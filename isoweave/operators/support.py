@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoweave.functions.seq import overlap_length
-from isoweave.operators.intervals import first_by, neighbour_window, range_join
+from isoweave.operators.intervals import first_by, merge, neighbour_window, range_join
 
 KEYS = ["chr", "strand"]
 
@@ -42,24 +45,41 @@ def cage_support(tx: DataFrame, peaks: DataFrame, window: int = 50) -> DataFrame
     return near.join(best, "tx").where(F.col("_look.k") == F.col("_k")).select(*tx.columns, "peak_start", "peak_end", "peak_score", "dist")
 
 
-def cage_nearest(tx: DataFrame, peaks: DataFrame) -> DataFrame:
+def cage_nearest(tx: DataFrame, peaks: DataFrame, width: int = 1_000_000) -> DataFrame:
     """tx, dist, peak_start: the nearest peak on the strand, however far; then the smaller start.
 
     Both tables are put in one order of position; the nearest peaks are the last one that starts at
-    or before the site and the next one behind it, so no pair table is made. Peaks must not overlap.
+    or before the site and the next one behind it, so no pair table is made. The order is taken in
+    bins of `width`; what bins without a peak need comes from one row for each bin. Peaks must not
+    overlap.
     """
-
-
     t = tx.select(*KEYS, "tx", tss(F.col("strand"), F.col("tx_start"), F.col("tx_end")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("peak"))
     p = peaks.select(*KEYS, F.lit(None).cast(dict(tx.dtypes)["tx"]).alias("tx"), F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e")).alias("peak"))
-    order = W.partitionBy(*KEYS).orderBy("at", "kind", "peak")
-    both = t.unionByName(p).withColumn("before", F.last("peak", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("behind", F.first("peak", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
+    both = t.unionByName(p).withColumn("_bin", F.floor(F.col("at") / width))
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(earlier(w))
+    own, bins = W.partitionBy(*KEYS, "_bin"), W.partitionBy(*KEYS)
+    ends = both.groupBy(*KEYS, "_bin").agg(F.min("peak").alias("_low"), F.max("peak").alias("_high"))
+    far = ends.select(*KEYS, "_bin", last("_high", bins.orderBy("_bin")).alias("_left"), last("_low", bins.orderBy(F.desc("_bin"))).alias("_right"))
+    near = both.withColumn("before", last("peak", own.orderBy("at", "kind", "peak"))).withColumn("behind", last("peak", own.orderBy(F.desc("at"), F.desc("kind"), F.desc("peak"))))
+    out = near.where("kind = 1").join(far, [*KEYS, "_bin"]).withColumn("before", F.coalesce("before", "_left")).withColumn("behind", F.coalesce("behind", "_right"))
     d = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(signed_distance(F.col("strand"), F.col("at"), F.col(c)["s"], F.col(c)["e"])).alias("d"), F.col(c)["s"].alias("s"), F.col(c)["e"].alias("e")))
     best = F.array_min(F.filter(F.array(d("before"), d("behind")), lambda x: x.isNotNull()))
-    out = both.where("kind = 1").withColumn("best", best).where("best is not null")
+    out = out.withColumn("best", best).where("best is not null")
     return out.select("tx", signed_distance(F.col("strand"), F.col("at"), F.col("best.s"), F.col("best.e")).alias("dist"), F.col("best.s").alias("peak_start"))
 
 
+def cage_or_nearest(tx: DataFrame, peaks: DataFrame, window: int = 50) -> DataFrame:
+    """tx, peak_start, dist, supported: the peaks within `window`, or the nearest one where there is none.
+
+    The nearest peak is sought among the unions of overlapping peaks.
+    """
+    hits = cage_support(tx, peaks, window).select("tx", "peak_start", "dist", F.lit(True).alias("supported"))
+    unions = merge(peaks.select(*KEYS, "start", "end"), KEYS, "start", "end").drop("n")
+    rest = tx.join(hits.select("tx").distinct(), "tx", "left_anti")
+    return hits.unionByName(cage_nearest(rest, unions).select("tx", "peak_start", "dist", F.lit(False).alias("supported")))
+
+
 def last_exons(tx: DataFrame) -> DataFrame:
     """chr, strand, gene, s, e of each locus: on + the largest last start and end, on - the smallest
     first start and end."""
@@ -73,8 +93,11 @@ def covered(ranges: DataFrame, coverage: DataFrame, keys: list[str], width: int
     """Adds total: the sum of value over the bases of [s, e) of each range; clipped, not exploded."""
     c = coverage.select(*keys, F.col("start").alias("_cs"), F.col("end").alias("_ce"), "value")
     part = F.col("value") * F.greatest(F.least("e", "_ce") - F.greatest("s", "_cs"), F.lit(0))
-    joined = range_join(ranges.withColumn("_id", F.monotonically_increasing_id()), c, keys, F.lit(True), (F.col("s"), F.col("e")), (F.col("_cs"), F.col("_ce")), width, how="left")
-    return joined.groupBy(*ranges.columns, "_id").agg(F.coalesce(F.sum(part), F.lit(0)).alias("total")).drop("_id")
+    one = ranges.distinct()
+    joined = range_join(one, c, keys, F.lit(True), (F.col("s"), F.col("e")), (F.col("_cs"), F.col("_ce")), width)
+    sums = joined.groupBy(*[F.col(x).alias(f"_r_{x}") for x in ranges.columns]).agg(F.sum(part).alias("total"))
+    same = reduce(and_, [F.col(x).eqNullSafe(F.col(f"_r_{x}")) for x in ranges.columns])
+    return ranges.join(sums, same, "left").select(*ranges.columns, F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def full_3end(exons: DataFrame, coverage: DataFrame, window: int = 100, cutoff: float = 0.05, mincov: float = 1, reach: int = 10_000) -> DataFrame:
@@ -83,17 +106,30 @@ def full_3end(exons: DataFrame, coverage: DataFrame, window: int = 100, cutoff:
     Windows of `window` bases follow the 3' end in steps of half a window as long as their mean is
     above `cutoff` of the exon's; the locus is complete if coverage falls below `mincov` within two
     steps. Coverage values count as int(1 + value) and means as three decimals. `coverage` has one
-    value for each base and strand; only what lies within `reach` of the 3' end is looked at, and a
-    decay that goes on for longer is reported as not complete with reach as its extent.
+    value for each base and strand. What lies within `reach` of the 3' end is looked at first; loci
+    whose coverage goes on for longer are looked at again with eight times the reach, to its end.
+    Loci on a chr without any coverage are left out.
     """
+    known = exons.join(coverage.select("chr").distinct(), "chr", "left_semi")
+    done = None
+    while True:
+        found = _decay(known, coverage, window, cutoff, mincov, reach)
+        part = found.where("not _open").drop("_open")
+        done = part if done is None else done.unionByName(part)
+        rest = found.where("_open").select(*exons.columns)
+        if rest.isEmpty():
+            return done
+        known, reach = rest, 8 * reach
+
+
+def _decay(exons: DataFrame, coverage: DataFrame, window: int, cutoff: float, mincov: float, reach: int) -> DataFrame:
     value = F.floor(1 + F.col("value"))
     c = coverage.select(*KEYS, F.col("start").alias("_cs"), F.col("end").alias("_ce"), value.alias("_v"))
     plus = F.col("strand") == "+"
-    lo = F.when(plus, F.col("s")).otherwise(F.col("s") - reach)
-    hi = F.when(plus, F.col("e") + reach).otherwise(F.col("e"))
+    lo = F.when(plus, F.col("s")).otherwise(F.col("s") - reach - 2 * window)
+    hi = F.when(plus, F.col("e") + reach + 2 * window).otherwise(F.col("e"))
     joined = range_join(exons, c, KEYS, F.lit(True), (lo, hi), (F.col("_cs"), F.col("_ce")), 10_000, how="left")
-    known = coverage.select("chr").distinct()
-    grouped = joined.join(known, "chr", "left_semi").groupBy(*exons.columns).agg(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_cs", "_ce", "_v"))).alias("cov"))
+    grouped = joined.groupBy(*exons.columns).agg(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_cs", "_ce", "_v"))).alias("cov"))
     step = window // 2
 
     def decay(batches):
@@ -109,13 +145,29 @@ def full_3end(exons: DataFrame, coverage: DataFrame, window: int = 100, cutoff:
                     at = r.e - step + step * n if r.strand == "+" else r.s + step - step * n - window + 1
                     means.append(mean(at, at + window, window))
                 drop = next((i for i, m in enumerate(means) if m < mincov), 0)
-                rows.append((means, len(means) - 1, drop <= 2 and n * step < reach))
+                rows.append((means, len(means) - 1, drop <= 2, means[-1] > cutoff * level))
             out = b.drop(columns="cov")
-            out["means"], out["ext"], out["is_full"] = ([x[i] for x in rows] for i in range(3))
+            out["means"], out["ext"], out["is_full"], out["_open"] = ([x[i] for x in rows] for i in range(4))
             yield out
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in exons.schema.fields)
-    return grouped.mapInPandas(decay, f"{schema}, means array<double>, ext int, is_full boolean")
+    return grouped.mapInPandas(decay, f"{schema}, means array<double>, ext int, is_full boolean, _open boolean")
+
+
+def route_by_3end(tx: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Transcripts with status FLT or nonflt: the verdict on a locus holds for all its transcripts.
+
+    `verdicts` has chr, strand, gene and is_full, as full_3end() gives them; transcripts of loci
+    without a verdict are left out.
+    """
+    v = verdicts.select(*KEYS, "gene", "is_full")
+    return tx.join(v, [*KEYS, "gene"]).withColumn("status", F.when(F.col("is_full"), "FLT").otherwise("nonflt")).drop("is_full")
+
+
+def end_report(verdicts: DataFrame) -> DataFrame:
+    """Lines of the 3' end report: gene, chr, strand, s, e, extent, verdict and the means."""
+    means = F.array_join(F.transform("means", lambda m: F.format_string("%.3f", m)), ",")
+    return verdicts.select(F.concat_ws("\t", "gene", F.col("chr").cast("string"), "strand", *[F.col(c).cast("string") for c in ("s", "e", "ext")], F.when(F.col("is_full"), "FLT").otherwise("nonflt"), means).alias("value"))
 
 
 def flt_windows(borders: DataFrame, coverage: DataFrame, window: int = 1000, share: float = 0.05, compat: bool = True) -> DataFrame:
@@ -141,12 +193,14 @@ def flt_windows(borders: DataFrame, coverage: DataFrame, window: int = 1000, sha
     keys = wide.columns
     sums = met.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(is_in, F.col("value"))), F.lit(1.0)).alias("cov_in"), F.coalesce(F.max(F.when(~is_in, F.col("value"))), F.lit(0.0)).alias("cov_out"),
-        F.coalesce(F.sum(F.when(is_in, size * F.col("o1"))), F.lit(1)).alias("cnt_in"), F.coalesce(F.sum(F.when(~is_in, size * F.col("o2"))), F.lit(0)).alias("cnt_out"),
-        F.collect_list(F.struct("cs", "ce", "value")).alias("x"))
-    strong = F.filter("x", lambda v: v["value"] > share * F.greatest("cov_in", "cov_out"))
-    return sums.select(
+        F.coalesce(F.sum(F.when(is_in, size * F.col("o1"))), F.lit(1)).alias("cnt_in"), F.coalesce(F.sum(F.when(~is_in, size * F.col("o2"))), F.lit(0)).alias("cnt_out"))
+    # a second aggregation looks at the rows above a share of the peak that the first one has found
+    limit = sums.select(*[F.col(x).alias(f"_k_{x}") for x in keys], (share * F.greatest("cov_in", "cov_out")).alias("_limit"))
+    same = lambda p: reduce(and_, [F.col(x).eqNullSafe(F.col(f"{p}{x}")) for x in keys])
+    strong = met.join(limit, same("_k_")).where(F.col("value") > F.col("_limit")).groupBy(*[F.col(x).alias(f"_s_{x}") for x in keys]).agg(F.min("cs").alias("_l"), F.max(F.col("ce") - 1).alias("_r"))
+    return sums.join(strong, same("_s_"), "left").select(
         *keys, "cov_in", "cov_out", (F.col("cov_out") / F.col("cov_in")).alias("cov_ratio"), "cnt_in", "cnt_out", (F.col("cnt_out") / F.col("cnt_in")).alias("cnt_ratio"),
-        F.coalesce(F.array_min(F.transform(strong, lambda v: v["cs"])), F.lit(-1)).alias("new_left"), F.coalesce(F.array_max(F.transform(strong, lambda v: v["ce"] - 1)), F.lit(-1)).alias("new_right"))
+        F.coalesce("_l", F.lit(-1)).alias("new_left"), F.coalesce("_r", F.lit(-1)).alias("new_right"))
 
 
 def near_peak(reads: DataFrame, peaks: DataFrame, near: int = 100, width: int = 1000, compat: bool = True) -> DataFrame:

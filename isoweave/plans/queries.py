@@ -4,36 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoweave.functions import pileup, seq, trim
 from isoweave.operators import cluster, convert, intervals, junctions, loci, reads, runs, support, votes
-from isoweave.plans.inputs import load, oracle
+from isoweave.plans import cluster_isoforms as isoforms
+from isoweave.plans import formats as formats  # registers the queries of readers and writers
+from isoweave.plans.registry import ORACLE_SQL as ORACLE_SQL
+from isoweave.plans.registry import QUERIES as QUERIES
+from isoweave.plans.registry import query, transcripts
+from isoweave.sources.scratch import written
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 PRIMER = "ACGTTGCATTGCAC"
 
 
-def query(sql: str | None = None) -> Callable:
-    """Registers f(get) under its name; get(name) is a derived input or a table."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: load(spark, sf_dir, name))
-        if sql:
-            ORACLE_SQL[f.__name__] = oracle(sql)
-        return f
-
-    return add
-
-
-def transcripts(get: Callable) -> DataFrame:
-    exons = get("exons")
-    flat = convert.collect_exons(exons, "tx", "chr", "strand")
-    return flat.withColumn("gene", F.concat(F.lit("g"), F.floor(F.col("tx_start") / 2000).cast("string")))
-
-
 # votes ---------------------------------------------------------------------------------------
 RANKED = "SELECT id, pos, allele, weight, row_number() OVER (PARTITION BY id, pos ORDER BY weight DESC, allele) AS rn, sum(weight) OVER (PARTITION BY id, pos) AS total FROM {tallied}"
 BEST = f"SELECT id, pos, allele AS best, weight AS w, total, CASE WHEN allele = 'Del' THEN '' ELSE allele END AS out FROM ({RANKED}) r WHERE rn = 1"
@@ -115,7 +100,8 @@ def trim_reads(get):
     return trim.trim_reads(get("sequences").select(F.col("id").cast("string").alias("id"), "seq"), t)
 
 
-@query()
+@query("""SELECT CAST(id AS VARCHAR) AS id, CAST(pos AS INT) AS pos, CASE WHEN pos = 9 THEN substr(seq, 10, 2) WHEN pos = 20 THEN 'Del' WHEN pos BETWEEN 10 AND 19 THEN substr(seq, CAST(pos + 2 AS INT), 1) ELSE substr(seq, CAST(pos + 1 AS INT), 1) END AS allele, CAST(1 AS DOUBLE) AS weight
+    FROM (SELECT id, seq, unnest(range(0, length(seq))) AS pos FROM {sequences} WHERE length(seq) >= 40) x""")
 def pileup_votes(get):
     """Each read is aligned to itself with one inserted, one deleted and one mismatched base."""
     s = get("sequences").where(F.length("seq") >= 40).withColumn("n", F.length("seq"))
@@ -243,7 +229,20 @@ def rare_reads(get):
     return loci.rare_reads(junctions.read_junctions(transcripts(get)), _judged(get))
 
 
-@query()
+#: One greedy pass over each island of lefts, all islands at once: a step for each junction in its order.
+SNAP = """WITH RECURSIVE marked AS (SELECT j.*, a.pos IS NOT NULL AND b.pos IS NOT NULL AS known FROM {supported} j
+        LEFT JOIN {borders} a ON a.chr = j.chr AND a.strand = j.strand AND a.pos = j."left" LEFT JOIN {borders} b ON b.chr = j.chr AND b.strand = j.strand AND b.pos = j."right"),
+    cut AS (SELECT *, sum(fresh) OVER (PARTITION BY chr, strand ORDER BY "left") AS island FROM (SELECT *, CASE WHEN "left" - lag("left") OVER (PARTITION BY chr, strand ORDER BY "left") <= 10 THEN 0 ELSE 1 END AS fresh FROM marked) x),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY chr, strand, island ORDER BY n DESC, "left", "right") AS k FROM cut),
+    walk AS (SELECT chr, strand, island, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(l BIGINT, r BIGINT)[]) AS kept, CAST(NULL AS BIGINT) AS "left", CAST(NULL AS BIGINT) AS "right", CAST(NULL AS BIGINT) AS n, CAST(NULL AS STRUCT(l BIGINT, r BIGINT)) AS target FROM ranked WHERE k = 1
+        UNION ALL SELECT chr, strand, island, k, CASE WHEN near IS NULL THEN list_append(kept, own) ELSE kept END, "left", "right", n, coalesce(near, own) FROM (
+            SELECT r.chr, r.strand, r.island, r.k, w.kept, r."left", r."right", r.n, struct_pack(l := r."left", r := r."right") AS own,
+                CASE WHEN r.known THEN NULL ELSE list_min(list_filter(w.kept, lambda x: abs(x.l - r."left") <= 10 AND abs(x.r - r."right") <= 10)) END AS near
+            FROM walk w JOIN ranked r ON r.chr = w.chr AND r.strand = w.strand AND r.island = w.island AND r.k = w.k + 1) y)
+    SELECT chr, strand, "left", "right", n, target.l AS new_left, target.r AS new_right FROM walk WHERE k > 0"""
+
+
+@query(SNAP)
 def snap_junctions(get):
     return junctions.snap(junctions.support(junctions.read_junctions(transcripts(get))), junctions.border_scores(get("known")))
 
@@ -313,19 +312,11 @@ def unstranded_modes(get):
 
 def _assigned(get: Callable) -> DataFrame:
     """Reads with their locus, snapped junctions, rarity and peaks: what clustering takes."""
-    t = transcripts(get)
-    j = junctions.read_junctions(t)
-    counted = junctions.support(j)
-    borders = junctions.border_scores(get("known"))
-    moved = junctions.snapped(j, junctions.snap(counted, borders))
-    own = moved.groupBy("tx").agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias("junctions"))
-    rare = loci.rare_reads(moved, junctions.good(moved.groupBy(*junctions.JUNCTION).agg(F.count("*").alias("n")), borders, get("known")))
-    sound = t.join(rare.where("is_rare"), "tx", "left_anti")
-    placed = loci.drop_rare_loci(loci.assign_contained(t, loci.build(sound)), rare)
-    near = support.near_peak(placed, get("peaks"))
-    return near.join(own, "tx", "left").select(
-        "chr", "strand", "start", "end", F.col("tx").cast("string").alias("tx"), "tx_start", "tx_end", seq.exon_lengths(F.col("exon_starts"), F.col("exon_ends")).alias("size"), "is_rare", "cage",
-        F.coalesce("junctions", F.array().cast("array<struct<left:bigint,right:bigint>>")).alias("junctions"))
+    t = transcripts(get).withColumn("size", seq.exon_lengths(F.col("exon_starts"), F.col("exon_ends")))
+    t = written(t, "transcripts")
+    options = isoforms.Options()
+    placed, moved, _ = isoforms.place(t, get("known"), get("known"), options)
+    return isoforms.with_evidence(placed, moved, get("peaks"), options)
 
 
 @query()
@@ -338,6 +329,18 @@ def locus_report(get):
     return cluster.loci_report(cluster.cluster(_assigned(get)))
 
 
+@query()
+def isoform_plan(get):
+    """The whole plan with its routing; single-exon reads of every seventh transcript have no strand."""
+    t = transcripts(get)
+    size = seq.exon_lengths(F.col("exon_starts"), F.col("exon_ends"))
+    lengths = t.select(F.col("tx").alias("id"), (size + F.col("tx") % 60).alias("len"))
+    coverage = t.select(F.col("tx").alias("id"), (84 + F.col("tx") % 20).cast("double").alias("pct"))
+    strands = t.where("tx % 7 = 0 and n_exon = 1").select(F.col("tx").alias("id"), F.lit("na").alias("strand"))
+    found = isoforms.cluster_isoforms(t, lengths, get("known"), get("known"), get("peaks"), coverage, strands, isoforms.Options(min_length=90), samples=[])
+    return found.clusters.select("gl", "chr", "strand", "start", "end", "tx", "status", "tx_start", "tx_end", F.size("members").alias("n_members"))
+
+
 @query()
 def unstranded_reads(get):
     t = transcripts(get)
@@ -349,9 +352,12 @@ SITES = "(SELECT tx, chr, strand, CASE WHEN strand = '+' THEN tx_start ELSE tx_e
 DIST = "CASE WHEN site BETWEEN p.\"start\" AND p.\"end\" THEN 0 WHEN site < p.\"start\" THEN site - p.\"start\" ELSE site - p.\"end\" END * CASE WHEN t.strand = '+' THEN 1 ELSE -1 END"
 
 
-@query(f"""SELECT tx, peak_start, dist FROM (SELECT *, min(k) OVER (PARTITION BY tx) AS best FROM (SELECT DISTINCT t.tx, p."start" AS peak_start, {DIST} AS dist, l.k FROM {SITES} t JOIN (VALUES (0, 0), (1, -1), (2, 1)) l(k, d) ON true
+BAND = f"""SELECT tx, peak_start, dist FROM (SELECT *, min(k) OVER (PARTITION BY tx) AS best FROM (SELECT DISTINCT t.tx, p."start" AS peak_start, {DIST} AS dist, l.k FROM {SITES} t JOIN (VALUES (0, 0), (1, -1), (2, 1)) l(k, d) ON true
     JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chr, strand, "start" ORDER BY line_no DESC) AS rn FROM {{peaks}}) q WHERE rn = 1) p
-    ON t.chr = p.chr AND t.strand = p.strand AND site // 50 + l.d BETWEEN p."start" // 50 AND p."end" // 50 + 1) x WHERE abs(dist) <= 50) y WHERE k = best""")
+    ON t.chr = p.chr AND t.strand = p.strand AND site // 50 + l.d BETWEEN p."start" // 50 AND p."end" // 50 + 1) x WHERE abs(dist) <= 50) y WHERE k = best"""
+
+
+@query(BAND)
 def cage_band_join(get):
     return support.cage_support(transcripts(get), get("peaks")).select("tx", "peak_start", "dist")
 
@@ -381,23 +387,109 @@ def _borders(get: Callable) -> DataFrame:
 OVER = lambda s, e: f"CASE WHEN least(c.\"end\", {e}) > greatest(c.\"start\", {s}) THEN least(c.\"end\", {e}) - greatest(c.\"start\", {s}) + 1 ELSE -1 END"
 
 
-@query(f"""SELECT gl, win, coalesce(max(CASE WHEN o1 > 0 THEN value END), 1) AS cov_in, coalesce(max(CASE WHEN o1 <= 0 THEN value END), 0) AS cov_out, coalesce(sum(CASE WHEN o1 > 0 THEN size * o1 END), 1) AS cnt_in, coalesce(sum(CASE WHEN o1 <= 0 THEN size * o2 END), 0) AS cnt_out
-    FROM (SELECT b.gl, b.win, c.value, c."end" - c."start" AS size, {OVER('b."start"', 'b."end"')} AS o1, {OVER('b."start" - b.win', 'b."end" + b.win')} AS o2 FROM (
+WINDOWED = f"""SELECT * FROM (SELECT b.gl, b.chr, b.win, c."start" AS cs, c."end" AS ce, c.value, c."end" - c."start" AS size, {OVER('b."start"', 'b."end"')} AS o1, {OVER('b."start" - b.win', 'b."end" + b.win')} AS o2 FROM (
     SELECT *, CASE WHEN a IS NULL AND z IS NULL THEN CAST(trunc(("start" - "end") / 3.0) AS BIGINT) WHEN least(a, z) <= 2000 THEN CAST(trunc(least(a, z) / 3.0) AS BIGINT) ELSE 1000 END AS win FROM (
     SELECT chr, "start", "end", CAST(chr AS VARCHAR) || '_' || CAST("start" AS VARCHAR) AS gl, "start" - lag("end") OVER w AS a, lead("start") OVER w - "end" AS z FROM ({LOCI}) l WHERE strand = '+' WINDOW w AS (PARTITION BY chr ORDER BY "start")) g) b
-    JOIN {{coverage}} c ON b.chr = c.chr) x WHERE o1 > 0 OR o2 > 0 GROUP BY gl, win""")
+    JOIN {{coverage}} c ON b.chr = c.chr) x WHERE o1 > 0 OR o2 > 0"""
+
+
+@query(f"""SELECT gl, win, coalesce(max(CASE WHEN o1 > 0 THEN value END), 1) AS cov_in, coalesce(max(CASE WHEN o1 <= 0 THEN value END), 0) AS cov_out, coalesce(sum(CASE WHEN o1 > 0 THEN size * o1 END), 1) AS cnt_in, coalesce(sum(CASE WHEN o1 <= 0 THEN size * o2 END), 0) AS cnt_out
+    FROM ({WINDOWED}) x GROUP BY gl, win""")
 def flt_inside_outside(get):
     f = support.flt_windows(_borders(get), get("coverage"))
     return f.select("gl", "win", "cov_in", "cov_out", F.col("cnt_in").alias("cnt_in"), "cnt_out")
 
 
-@query()
+LAST = """(SELECT chr, strand, gene, CASE WHEN strand = '+' THEN max(ls) ELSE min(fs) END AS s, CASE WHEN strand = '+' THEN max(le) ELSE min(fe) END AS e FROM (
+    SELECT tx, chr, strand, 'g' || CAST(min(s) // 2000 AS VARCHAR) AS gene, max(s) AS ls, max(e) AS le, min(s) AS fs, min(e) AS fe FROM {exons} GROUP BY tx, chr, strand) x GROUP BY gene, chr, strand)"""
+#: One step of the walk beyond the 3' end after the other, for all loci at once.
+DECAY = f"""WITH RECURSIVE c AS (SELECT chr, strand, "start", "end", floor(1 + value) AS v FROM {{deep}}), x AS (SELECT * FROM {LAST} l WHERE chr IN (SELECT chr FROM c)),
+    exon AS (SELECT x.chr, x.strand, x.gene, x.s, x.e, CAST(printf('%.3f', coalesce(sum(v * greatest(least(x.e + 1, c."end") - greatest(x.s, c."start"), 0)), 0) / (x.e - x.s)) AS DOUBLE) AS level FROM x LEFT JOIN c ON c.chr = x.chr AND c.strand = x.strand AND c."start" < x.e + 1 AND c."end" > x.s GROUP BY x.chr, x.strand, x.gene, x.s, x.e),
+    walk AS (SELECT chr, strand, gene, s, e, level, CAST(0 AS INT) AS n, level AS mean FROM exon
+        UNION ALL SELECT w.chr, w.strand, w.gene, w.s, w.e, w.level, w.n + 1, CAST(printf('%.3f', coalesce(sum(v * greatest(least(place + 100, c."end") - greatest(place, c."start"), 0)), 0) / 100) AS DOUBLE) FROM (
+            SELECT *, CASE WHEN strand = '+' THEN e - 50 + 50 * (n + 1) ELSE s + 50 - 50 * (n + 1) - 99 END AS place FROM walk WHERE mean > 0.05 * level) w LEFT JOIN c ON c.chr = w.chr AND c.strand = w.strand AND c."start" < place + 100 AND c."end" > place GROUP BY w.chr, w.strand, w.gene, w.s, w.e, w.level, w.n),
+    verdict AS (SELECT chr, strand, gene, s, e, max(n) AS ext, level, min_by(mean, -n) AS last_mean, coalesce(min(CASE WHEN mean < 1 THEN n END), 0) <= 2 AS is_full FROM walk GROUP BY chr, strand, gene, s, e, level)"""
+
+
+def _deep(get: Callable) -> DataFrame:
+    return support.full_3end(support.last_exons(transcripts(get)), get("deep"), reach=500)
+
+
+@query(f"{DECAY} SELECT chr, strand, gene, s, e, ext, level, last_mean, is_full FROM verdict")
 def coverage_decay(get):
-    cov = get("coverage").withColumn("strand", F.lit("+"))
-    return support.full_3end(support.last_exons(transcripts(get)), cov)
+    means = F.col("means")
+    return _deep(get).select("chr", "strand", "gene", "s", "e", "ext", means[0].alias("level"), F.element_at(means, -1).alias("last_mean"), "is_full")
 
 
-@query()
+@query(f"{DECAY} SELECT t.tx, v.gene, CASE WHEN is_full THEN 'FLT' ELSE 'nonflt' END AS status FROM {{spans}} t JOIN verdict v ON v.chr = t.chr AND v.strand = t.strand AND v.gene = 'g' || CAST(t.tx_start // 2000 AS VARCHAR)")
+def full_length_routing(get):
+    return support.route_by_3end(transcripts(get), _deep(get)).select("tx", "gene", "status")
+
+
+UNIONS = """(SELECT chr, strand, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY chr, strand ORDER BY "start", "end") AS island FROM (
+    SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY chr, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {peaks}) a) b GROUP BY chr, strand, island)"""
+NEAREST = f"""SELECT tx, arg_min(dist, struct_pack(d := abs(dist), s := "start", e := "end")) AS dist, arg_min("start", struct_pack(d := abs(dist), s := "start", e := "end")) AS peak_start FROM (SELECT t.tx, p."start", p."end", {DIST} AS dist FROM {SITES} t JOIN {UNIONS} p ON t.chr = p.chr AND t.strand = p.strand) x GROUP BY tx"""
+
+
+@query(NEAREST)
 def cage_nearest(get):
     peaks = intervals.merge(get("peaks").select("chr", "strand", F.col("start").alias("s"), F.col("end").alias("e")), ["chr", "strand"])
-    return support.cage_nearest(transcripts(get), peaks.withColumnsRenamed({"s": "start", "e": "end"}))
+    return support.cage_nearest(transcripts(get), peaks.withColumnsRenamed({"s": "start", "e": "end"}), width=50_000)
+
+
+@query(f"""WITH hits AS ({BAND}) SELECT tx, peak_start, dist, true AS supported FROM hits UNION ALL SELECT tx, peak_start, dist, false FROM ({NEAREST}) n WHERE tx NOT IN (SELECT tx FROM hits)""")
+def cage_or_nearest(get):
+    return support.cage_or_nearest(transcripts(get), get("peaks"))
+
+
+# reports and lists ---------------------------------------------------------------------------
+@query(f"""SELECT j.chr, j.strand, j."left", j."right", count(CASE WHEN tx % 2 = 0 THEN 1 END) AS a, count(CASE WHEN tx % 2 = 1 THEN 1 END) AS b, coalesce(min(p.score), 0) AS left_score, coalesce(min(q.score), 0) AS right_score, coalesce(min(p.score), 0) + coalesce(min(q.score), 0) AS score
+    FROM {{junctions}} j LEFT JOIN {BORDERS} p ON j.chr = p.chr AND j.strand = p.strand AND j."left" = p.pos LEFT JOIN {BORDERS} q ON j.chr = q.chr AND j.strand = q.strand AND j."right" = q.pos GROUP BY j.chr, j.strand, j."left", j."right\"""")
+def junction_report(get):
+    j = junctions.read_junctions(transcripts(get)).withColumn("sample", F.when(F.col("tx") % 2 == 0, "a").otherwise("b"))
+    return junctions.junction_report(j, junctions.border_scores(get("known")), samples=["a", "b"])
+
+
+@query("""SELECT chr, strand, role, s, e, count(CASE WHEN tx % 2 = 0 THEN 1 END) AS a, count(CASE WHEN tx % 2 = 1 THEN 1 END) AS b FROM (
+    SELECT tx, chr, strand, role, s, CASE WHEN k = n AND strand = '-' THEN prev_e ELSE e END AS e FROM (SELECT *, CASE WHEN k = 1 THEN CASE WHEN strand = '+' THEN 'tss' ELSE 'end' END WHEN k = n THEN CASE WHEN strand = '+' THEN 'end' ELSE 'tss' END ELSE 'mid' END AS role
+    FROM (SELECT tx, chr, strand, s, e, row_number() OVER (PARTITION BY tx ORDER BY s) AS k, count(*) OVER (PARTITION BY tx) AS n, lag(e) OVER (PARTITION BY tx ORDER BY s) AS prev_e FROM {exons}) x WHERE n > 1) y) z GROUP BY ALL""")
+def exon_report(get):
+    return junctions.exon_report(transcripts(get).withColumn("sample", F.when(F.col("tx") % 2 == 0, "a").otherwise("b")), samples=["a", "b"])
+
+
+@query(f"""SELECT j.chr, j.strand, j."left", j."right", n, coalesce(a.score >= 20 AND b.score >= 20, false) AS is_good FROM {{supported}} j
+    LEFT JOIN {BORDERS} a ON j.chr = a.chr AND j.strand = a.strand AND j."left" = a.pos LEFT JOIN {BORDERS} b ON j.chr = b.chr AND j.strand = b.strand AND j."right" = b.pos""")
+def good_junction_forced(get):
+    """With force, both borders must be known with at least that score."""
+    return junctions.good(junctions.support(junctions.read_junctions(transcripts(get))), junctions.border_scores(get("known")), get("known"), force=20)
+
+
+@query('SELECT tx, chr, strand, k, "left", "right" FROM (SELECT *, CAST(row_number() OVER (PARTITION BY tx ORDER BY "left") - 1 AS INT) AS k FROM {junctions}) x WHERE "right" - "left" BETWEEN 105 AND 112')
+def junctions_of_length(get):
+    return junctions.length_between(junctions.read_junctions(transcripts(get)), 105, 112)
+
+
+@query(f"""SELECT chr, "start", "end", 'GL.' || CAST(row_number() OVER (ORDER BY CAST(chr AS VARCHAR) || '_' || strand || '_' || CAST("start" AS VARCHAR) || '_' || CAST("end" AS VARCHAR)) AS VARCHAR) AS gl FROM ({LOCI}) l""")
+def number_loci(get):
+    return cluster.number_loci(loci.build(transcripts(get)), prefix=4).select("chr", "start", "end", "gl")
+
+
+@query("SELECT l_suppkey AS rname, l_orderkey AS qname FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 9)")
+def known_reference_semi(get):
+    a = get("lineitem").select(F.col("l_suppkey").alias("rname"), F.col("l_orderkey").alias("qname"))
+    return reads.on_known_references(a, get("supplier").where("s_nationkey < 9").select(F.col("s_suppkey").alias("id")))
+
+
+@query("SELECT zmw, read_id FROM {subreads}")
+def well_order(get):
+    return reads.in_well_order(get("subreads"), "zmw", "movie", "read_id").select("zmw", "read_id")
+
+
+@query("SELECT DISTINCT 'shard_' || shard AS path FROM {votes}")
+def shard_list(get):
+    return reads.file_list(get("votes").select(F.concat(F.lit("shard_"), "shard").alias("path")))
+
+
+@query(f"SELECT gl, chr, new_left, new_right FROM (SELECT gl, chr, coalesce(min(CASE WHEN value > 0.05 * top THEN cs END), -1) AS new_left, coalesce(max(CASE WHEN value > 0.05 * top THEN ce - 1 END), -1) AS new_right FROM (SELECT *, greatest(coalesce(max(CASE WHEN o1 > 0 THEN value END) OVER (PARTITION BY gl), 1), coalesce(max(CASE WHEN o1 <= 0 THEN value END) OVER (PARTITION BY gl), 0)) AS top FROM ({WINDOWED}) w) t GROUP BY gl, chr) z")
+def flt_new_borders(get):
+    return support.flt_windows(_borders(get), get("coverage")).select("gl", "chr", "new_left", "new_right")

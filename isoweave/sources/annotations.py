@@ -19,9 +19,10 @@ def read_refflat(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def write_refflat(df: DataFrame, path: str, trailing_comma: bool = False) -> None:
+    """Eleven columns; a twelfth has the members or, for annotation files, the gene name."""
     csv = lambda c: F.concat(F.array_join(F.col(c).cast("array<string>"), ","), F.lit("," if trailing_comma else ""))
     plain = [F.col(c).cast("string") for c in REFFLAT[:9]]
-    last = [F.array_join("members", ",")] if "members" in df.columns else []
+    last = [F.array_join("members", ",")] if "members" in df.columns else ["gene_name"] if "gene_name" in df.columns else []
     df.select(F.concat_ws("\t", *plain, csv("exon_starts"), csv("exon_ends"), *last)).write.text(path)
 
 
@@ -45,12 +46,12 @@ def read_bed6(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def write_bed12(df: DataFrame, path: str, track: str) -> None:
-    """One file that opens with the track line."""
+    """Part files that make one BED file when joined in order: the first holds the track line alone."""
     spark = df.sparkSession
     csv = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    body = df.select(F.lit(1).alias("k"), F.concat_ws("\t", *[F.col(c).cast("string") for c in ("chr", "start", "end", "name", "score", "strand", "thick_start", "thick_end", "rgb", "n_blocks")], csv("sizes"), csv("starts")).alias("value"))
-    head = spark.range(1).select(F.lit(0).alias("k"), F.lit(f'track name="{track}" description="{track}"').alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    body = df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("chr", "start", "end", "name", "score", "strand", "thick_start", "thick_end", "rgb", "n_blocks")], csv("sizes"), csv("starts")).alias("value"))
+    head = spark.range(1, numPartitions=1).select(F.lit(f'track name="{track}" description="{track}"').alias("value"))
+    head.unionByName(body).write.text(path)
 
 
 def read_bedgraph(spark: SparkSession, paths: str | list[str], swap: bool = False) -> DataFrame:
@@ -104,6 +105,11 @@ def coverage_report(called: DataFrame) -> DataFrame:
     return called.select(F.concat_ws("\t", "id", F.col("covered").cast("string"), F.col("len").cast("string"), fixed2("ratio")).alias("value"))
 
 
+def write_mask(called: DataFrame, path: str) -> None:
+    """FASTA of the coverage masks."""
+    called.select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), "mask")).write.text(path)
+
+
 def read_spec(text: str, required: tuple[str, ...] = ()) -> dict[str, str]:
     """Tab-separated settings; lines without a key and a value are skipped."""
     rows = [line.split("\t") for line in text.splitlines()]

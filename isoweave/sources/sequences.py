@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoweave.sources.text import numbered
+
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """id (the whole header line) and seq; sequence lines are joined."""
@@ -17,15 +19,14 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """id, seq and qual of four-line records.
-
-    Records are told apart by their line number, which is the file's and not the partition's: the
-    lines are numbered once over the whole input.
-    """
-    numbered = spark.read.text(paths).rdd.zipWithIndex().map(lambda x: (x[1] // 4, x[1] % 4, x[0][0]))
-    rows = spark.createDataFrame(numbered, "record long, part long, value string")
-    wide = rows.groupBy("record").agg(*[F.max(F.when(F.col("part") == k, F.col("value"))).alias(n) for k, n in ((0, "id"), (1, "seq"), (3, "qual"))])
-    return wide.select(F.regexp_replace("id", "^@", "").alias("id"), "seq", "qual")
+    """id, seq and qual of four-line records, told apart by the line numbers of each file."""
+    rows = numbered(spark, paths).select("file", F.floor(F.col("n") / 4).alias("record"), (F.col("n") % 4).alias("part"), F.regexp_replace("value", "\r$", "").alias("value"))
+    wide = rows.where("part <> 2").groupBy("file", "record").agg(*[F.max(F.when(F.col("part") == k, F.col("value"))).alias(n) for k, n in ((0, "id"), (1, "seq"), (3, "qual"))])
+    return wide.where("seq is not null").select(F.regexp_replace("id", "^@", "").alias("id"), "seq", "qual")
+
+
+def write_fastq(df: DataFrame, path: str) -> None:
+    df.select(F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")).write.text(path)
 
 
 def write_fasta(df: DataFrame, path: str) -> None:

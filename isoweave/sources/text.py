@@ -7,12 +7,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, n (line number in its file, from 0), line_no (over all files, sorted by path) and value.
+
+    Files are read in splits, in parallel and in any order. A line's number is that of its split's
+    first line, summed up over the splits in front of it, plus its place in the split.
+    """
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")
+    raw = spark.read.text(paths).select(*at, F.monotonically_increasing_id().alias("_id"), "value")
+    splits = raw.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    # one row for each split of the input
+    before = lambda w: F.sum("_n").over(w) - F.col("_n")
+    starts = splits.select("file", "_block", "_first", before(W.partitionBy("file").orderBy("_block")).alias("_own"), before(W.orderBy("file", "_block")).alias("_all"))
+    place = F.col("_id") - F.col("_first")
+    return raw.join(starts, ["file", "_block"]).select("file", (F.col("_own") + place).alias("n"), (F.col("_all") + place).alias("line_no"), "value")
+
+
 def lines(spark: SparkSession, paths: str | list[str], skip: str | None = None) -> DataFrame:
     """line_no and value of every line; lines that match `skip` are left out.
 
-    line_no grows with the place in the files, without being dense: it decides what came first.
+    line_no counts the lines of all files, sorted by path, so it decides what came first.
     """
-    read = spark.read.text(paths).select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    read = numbered(spark, paths).select("line_no", F.regexp_replace("value", "\r$", "").alias("value"))
     return read.where(~F.col("value").rlike(skip)) if skip else read
 
 

@@ -14,5 +14,7 @@ def test_nothing_else_imports_the_training_data_operators():
 def test_entry_lists_queries(spark):
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+    from isoweave.plans.queries import ORACLE_SQL, QUERIES
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries()) and set(ORACLE_SQL) <= set(e.oracle_sql())
     assert e.entry(spark).count() > 0

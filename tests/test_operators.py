@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from isoweave.functions import seq
 from isoweave.operators import cluster, convert, intervals, junctions, loci, reads, runs, support, votes
+from isoweave.plans import cluster_isoforms
 
 
 def rows(df, *cols):
@@ -138,3 +139,119 @@ def test_primer_offset_and_anchor_places(spark):
     df = spark.createDataFrame([("TTACGTACGTACTT",), ("AC",)], "s string")
     got = df.select(seq.anchor_hits(F.col("s"), "ACGTAC").alias("h"), seq.best_primer_offset(F.col("s"), "ACGTAC", 0.2).alias("o")).collect()
     assert (got[0].h, got[0].o) == ([2, 6], 2) and (got[1].h, got[1].o) == ([], None)
+
+
+def test_left_range_join_keeps_equal_rows(spark):
+    a = spark.createDataFrame([(1, 0, 9), (1, 0, 9), (2, 0, 9), (2, 0, 9)], "k int, s long, e long")
+    b = spark.createDataFrame([(1, "p", 5, 6)], "k int, y string, u long, v long")
+    got = intervals.range_join(a, b, ["k"], F.lit(True), (F.col("s"), F.col("e")), (F.col("u"), F.col("v")), 10, how="left")
+    assert rows(got, "k", "y") == [(1, "p"), (1, "p"), (2, None), (2, None)]
+
+
+def test_islands_over_many_cells(spark):
+    import random
+
+    rng = random.Random(8)
+    iv = [(k, s, s + rng.choice((0, 5, 40, 300))) for k in "ab" for s in (rng.randrange(4000) for _ in range(120))]
+    for touching in (True, False):
+        want = set()
+        for k in "ab":
+            reach, island = None, 0
+            for s, e in sorted((s, e) for kk, s, e in iv if kk == k):
+                if reach is None or (s > reach if touching else s >= reach):
+                    island += 1
+                want.add((k, s, e, island))
+                reach = e if reach is None else max(reach, e)
+        d = spark.createDataFrame(iv, "k string, s long, e long")
+        got = intervals.islands(d, ["k"], touching=touching, width=50)
+        assert got.count() == len(iv) and {tuple(r) for r in got.select("k", "s", "e", "island").collect()} == want
+
+
+def test_decay_goes_on_to_the_end_of_coverage(spark):
+    x = spark.createDataFrame([("c", s, "g", 100_000, 101_000) for s in "+-"], "chr string, strand string, gene string, s long, e long")
+    cov = spark.createDataFrame([("c", "+", 100_000, 190_000, 9.0), ("c", "-", 20_000, 101_000, 9.0)], "chr string, strand string, start long, end long, value double")
+    got = {r.strand: r for r in support.full_3end(x, cov, reach=1000).collect()}
+    assert not got["+"].is_full and not got["-"].is_full
+    # 89 000 bases in steps of 50, then windows that reach beyond the end by half
+    assert abs(got["+"].ext - 89_000 / 50) <= 3 and abs(got["-"].ext - 80_000 / 50) <= 3 and got["+"].means[-1] == 0.0
+
+
+def test_ids_are_renamed_one_to_one(spark):
+    d = spark.createDataFrame([(f"r{i % 50}", "kept" if i % 3 else "discard") for i in range(200)], "id string, status string")
+    got = reads.renamed_ids(d, "N", cell_rows=10).collect()
+    assert sorted(r.id for r in got) == sorted({f"r{i % 50}" for i in range(200) if i % 3}) and sorted(int(r.new_id[1:]) for r in got) == list(range(1, len(got) + 1))
+
+
+def greedy_isoforms(reads_):
+    """Isoforms of one plus-strand locus as plain lists: what each read spans, compared one by one."""
+    slots = sorted({j for r in reads_ for j in r["junctions"]})
+    spans, bits = {}, {}
+    for r in reads_:
+        first = sum(1 for _, right in slots if r["s"] + 10 > right)
+        beyond = [k for k, (left, _) in enumerate(slots) if r["e"] < left]
+        spans[r["tx"]] = (first, beyond[0] if beyond else len(slots))
+        bits[r["tx"]] = [j in r["junctions"] for j in slots]
+    weight = lambda r: sum(2**k for k, b in enumerate(bits[r["tx"]]) if b)
+    order = sorted(reads_, key=lambda r: (spans[r["tx"]][0] - spans[r["tx"]][1], -weight(r), -r["size"], r["tx"]))
+    found, short = [], []
+    for r in order:
+        if not any(bits[r["tx"]]):
+            short.append(r["tx"])
+            continue
+        a, b = spans[r["tx"]]
+        alike = [c for c in found if bits[c[0]["tx"]][a:b] == bits[r["tx"]][a:b]]
+        near = [c for c in alike if abs(c[0]["e"] - r["e"]) < 100]
+        if near:
+            near[0].append(r)
+        else:
+            found.append([r])
+    return sorted(tuple(m["tx"] for m in c) for c in found), sorted(short)
+
+
+def test_isoforms_against_plain_lists(spark):
+    import random
+
+    rng = random.Random(12)
+    every = [(100 + 200 * k, 200 + 200 * k) for k in range(6)]
+    table, want = [], {}
+    for locus in range(12):
+        reads_ = []
+        for i in range(14):
+            a, b = sorted(rng.sample(range(7), 2))
+            j = [x for x in every[a:b] if rng.random() < 0.8]
+            s, e = (j[0][0] if j else every[a][0]) - rng.randrange(30, 90), (j[-1][1] if j else every[b - 1][1]) + rng.choice((30, 60, 90))
+            reads_.append({"tx": f"l{locus}r{i:02}", "s": s, "e": e, "junctions": j, "size": e - s})
+        want[locus * 10_000] = greedy_isoforms(reads_)
+        table += [("c", "+", locus * 10_000, locus * 10_000 + 5000, r["tx"], r["s"], r["e"], r["size"], False, False, r["junctions"]) for r in reads_]
+    d = spark.createDataFrame(table, "chr string, strand string, start long, end long, tx string, tx_start long, tx_end long, size long, is_rare boolean, cage boolean, junctions array<struct<left:long,right:long>>")
+    got = {}
+    for r in cluster.cluster(d).collect():
+        isoforms, short = got.setdefault(r.start, ([], []))
+        if r.status == "truncated":
+            short.append(r.tx)
+        else:
+            isoforms.append(tuple(r.members))
+    assert {k: (sorted(a), sorted(b)) for k, (a, b) in got.items()} == want
+
+
+def test_isoform_plan_routes_and_reports(spark, tmp_path):
+    def tx(name, strand, *exons):
+        return ("g", name, "c", strand, exons[0][0], exons[-1][1], len(exons), [s for s, _ in exons], [e for _, e in exons])
+
+    e = [(1000, 1200), (1300, 1500), (1600, 1900)]
+    rows_ = [tx("a_1", "+", *e), tx("a_2", "+", *e), tx("b_3", "+", (1000, 1200), (1305, 1500), (1600, 1900)), tx("b_4", "+", (1000, 1080)), tx("b_5", "+", (1000, 1200), (300_000, 300_400)), tx("c_6", None, (1100, 1400)), tx("c_7", None, (90_000, 90_400)), tx("c_8", "+", *e)]
+    t = spark.createDataFrame(rows_, "gene string, tx string, chr string, strand string, tx_start long, tx_end long, n_exon int, exon_starts array<long>, exon_ends array<long>").withColumn("cds_start", F.col("tx_start")).withColumn("cds_end", F.col("tx_start"))
+    lengths = t.select(F.col("tx").alias("id"), seq.exon_lengths(F.col("exon_starts"), F.col("exon_ends")).alias("len"))
+    known = spark.createDataFrame([("c", "+", 1200, 1300, 5.0), ("c", "+", 1500, 1600, 5.0)], "chr string, strand string, left long, right long, score double")
+    peaks = spark.createDataFrame([("c", "-", 5, 9, 1.0, 1)], "chr string, strand string, start long, end long, score double, line_no long")
+    coverage = t.select(F.col("tx").alias("id"), F.when(F.col("tx") == "c_8", 20.0).otherwise(99.0).alias("pct"))
+    got = cluster_isoforms.cluster_isoforms(t, lengths, known, known, peaks, coverage)
+    assert {r.tx: r.status for r in got.reads.collect()} == {"a_1": "used", "a_2": "used", "b_3": "used", "b_4": "short", "b_5": "long", "c_6": "used", "c_7": "used", "c_8": "lowcov"}
+    # b_3 snaps to the known junction; c_6 lies near the plus locus, c_7 near none
+    by = {r.tx: r for r in got.clusters.collect()}
+    assert by["a_1"].members == ["a_1", "a_2", "b_3"] and (by["a_1"].strand, by["a_1"].exon_starts) == ("+", [1000, 1300, 1600])
+    assert by["c_6"].status == "truncated" and (by["c_7"].status, by["c_7"].strand) == ("single", None)
+    assert {(r["left"], r["a"], r["b"], r["score"]) for r in got.junctions.collect()} == {(1200, 2, 1, 10.0), (1500, 2, 1, 10.0)}
+    got.write(f"file://{tmp_path}/out")
+    assert "a_1,a_2,b_3" in spark.read.text(f"file://{tmp_path}/out/cluster").first().value
+    assert [r.n_isoforms for r in got.loci.collect()] == [1]

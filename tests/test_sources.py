@@ -1,10 +1,14 @@
 """Readers and writers on small files."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from isoweave.functions.seq import fixed3, weight_of
 from isoweave.operators import convert, votes
-from isoweave.sources import alignments, annotations, sequences
+from isoweave.plans import correct
+from isoweave.sources import alignments, annotations, sequences, text
 
 
 def put(tmp_path, name, text):
@@ -24,6 +28,59 @@ def test_fastq(spark, tmp_path):
     assert sorted((r.id, r.seq, r.qual) for r in sequences.read_fastq(spark, path).collect()) == [("r1", "ACGT", "IIII"), ("r2", "GG", "II")]
 
 
+def test_lines_keep_their_order_over_files_and_splits(spark, tmp_path):
+    """Small splits of several files: records stay whole and numbers follow the files."""
+    want = []
+    for f, n in (("a.fq", 500), ("b.fq", 37), ("c.fq", 663)):
+        rows = [(f"{f}{i}", "ACGT" * (1 + i % 9), "I" * 4 * (1 + i % 9)) for i in range(n)]
+        (tmp_path / f).write_text("".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in rows))
+        want += rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = [(r.id, r.seq, r.qual) for r in sequences.read_fastq(spark, f"file://{tmp_path}/*.fq").collect()]
+        rows = text.lines(spark, f"file://{tmp_path}/*.fq").orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == sorted(want)
+    assert [r.line_no for r in rows] == list(range(4800)) and [r.value for r in rows[::4]] == [f"@{a}" for a, _, _ in want]
+
+
+def test_shipped_votes_give_the_shipped_reads(spark):
+    """With ISOWEAVE_GOLDEN naming a folder of corrected.mod, .fa, .cov and .cov1: votes replayed give the same texts."""
+    folder = os.environ.get("ISOWEAVE_GOLDEN")
+    if not folder:
+        pytest.skip("no golden folder is named")
+    read = lambda ending: open(f"{folder}/corrected.{ending}").read()
+    tallied = annotations.read_votes(spark, f"file://{folder}/corrected.mod")
+    piled = votes.pileup(tallied)
+    called = votes.consensus(piled)
+    (r,) = called.collect()
+    assert f">{r.id}\n{r.seq}\n" == read("fa") and r["mask"] == read("cov").split("\n")[1]
+    assert annotations.coverage_report(called).first().value == read("cov1").rstrip("\n")
+    first = lambda line: line.split("\t")[:5] + [sorted(line.split("\t")[5].split(";"))]
+    assert [first(x.value) for x in annotations.vote_report(piled).collect()] == [first(x) for x in read("mod").rstrip("\n").split("\n")]
+
+
+def test_settings_run(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    true = "".join(rng.choice("ACGT") for _ in range(400))
+    raw = true[:200] + true[201:]  # one base is missing
+    long_ = put(tmp_path, "long.fa", f">r one\n{raw}\n")
+    shards = [put(tmp_path, f"s{k}.fa", "".join(f">n{i}__3\n{true[i : i + 90]}\n" for i in range(k, 300, 20))) for k in (0, 10)]
+    listed = put(tmp_path, "list.txt", "\n".join([*shards, shards[0]]) + "\n")
+    out = f"file://{tmp_path}/out"
+    got = correct.run_settings(spark, f"PacBio_fasta\t{long_}\nIllumina_fasta_list\t{listed}\nOutput_folder\t{out}\n").collect()
+    assert [(r.id, r.seq) for r in got] == [("r one", true)]
+    assert sequences.read_fasta(spark, f"{out}/fa").first().seq == true
+    assert spark.read.text(f"{out}/cov1").first().value.split("\t")[0] == "r one"
+    with pytest.raises(ValueError):
+        correct.run_settings(spark, "Output_folder\tx\n")
+
+
 def test_sam_to_refflat(spark, tmp_path):
     path = put(tmp_path, "a.sam", "@HD\tx\nr1\t16\tchr1\t101\t0\t10M5N4M\t*\t0\t0\tACGTACGTACACGT\t*\tNM:i:0\tMD:Z:14\nr2\t4\t*\t0\t0\t*\t*\t0\t0\tAC\t*\n")
     sam = alignments.read_sam(spark, path)
