@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,27 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
-
+from isoweave.sources.scratch import shared_folder, written
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of its own only in local mode, where all tasks share a machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="isoweave-"))
-    return "file://" + _own_folder[0]
+    """The part of the shared folder that is this application's; it can go when its results are read."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and rereads it, which cuts the lineage for good."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
