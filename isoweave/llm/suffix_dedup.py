@@ -24,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.llm.shared import lists, mix64, utf8, work_dir
+from isoweave.llm.shared import lists, mix64, staged, utf8, work_dir
 
 GRAM = 28
 PIECE = 1 << 20
 SPOOL = 3_000_000
+OFTEN = 16  # counts below are left out: a hot gram has this many in nearly every task
+HOT = 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTES = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -99,7 +101,8 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, i
 
 
 def _repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
-    """doc, at: the anchors of `texts(doc, text)` whose gram occurs more than once.
+    """doc, at: the anchors of `texts(doc, text)` whose gram occurs more than once; and hot, times: how
+    often grams occur that are frequent in some task (doc and at are null there).
 
     A task sends each gram once, with a mark if it has met it again itself, so that no gram has
     more rows than there are tasks.
@@ -107,7 +110,7 @@ def _repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        names = ["part", "grams", "docs", "places"]
+        names = ["part", "grams", "docs", "places", "times"]
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
@@ -119,21 +122,24 @@ def _repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
             new = np.r_[True, h[1:] != h[:-1]]
             again = ~new | np.r_[h[1:] == h[:-1], False]
             known = np.flatnonzero(again)
-            rows = [[], [], [], []]
+            rows = [[], [], [], [], []]
             for k in range(0, len(known), 1 << 14):
                 x = known[k : k + (1 << 14)]
-                for r, v in zip(rows, (int(h[x[0]] % np.uint64(1 << 30)), None, doc[x].tobytes(), at[x].tobytes())):
+                for r, v in zip(rows, (int(h[x[0]] % np.uint64(1 << 30)), None, doc[x].tobytes(), at[x].tobytes(), None)):
                     r.append(v)
             one = np.flatnonzero(new)
+            times = np.diff(np.r_[one, len(h)])
             place = np.where(again[one], -1 - at[one], at[one])  # a negative place: known already
             part = (h[one] >> np.uint64(20)) % np.uint64(4 * parts)
             order = np.argsort(part, kind="stable")
-            one, place, part = one[order], place[order], part[order]
+            one, place, part, times = one[order], place[order], part[order], times[order]
             cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)] if len(part) else [0]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                for r, v in zip(rows, (int(part[a]), h[one[a:b]].tobytes(), doc[one[a:b]].tobytes(), place[a:b].tobytes())):
+                often = np.flatnonzero(times[a:b] >= OFTEN)
+                counted = np.stack([h[one[a:b]][often].astype(np.int64), times[a:b][often]]).tobytes() if len(often) else None
+                for r, v in zip(rows, (int(part[a]), h[one[a:b]].tobytes(), doc[one[a:b]].tobytes(), place[a:b].tobytes(), counted)):
                     r.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names)
 
         size = 0
         for batch in batches:
@@ -150,13 +156,21 @@ def _repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
                     size = 0
         yield from flush()
 
+    kinds = [("doc", pa.int64()), ("at", pa.int64()), ("hot", pa.int64()), ("times", pa.int64())]
+
+    def out(doc: np.ndarray | None, at: np.ndarray | None, hot: np.ndarray | None = None, times: np.ndarray | None = None) -> pa.RecordBatch:
+        n = len(doc) if doc is not None else len(hot)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x, t) for x, (_, t) in zip((doc, at, hot, times), kinds)], [k for k, _ in kinds])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            for _, grams, docs, places in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, grams, docs, places, times in zip(*(c.to_pylist() for c in batch.columns)):
                 doc, at = np.frombuffer(docs, np.int64), np.frombuffer(places, np.int64)
+                if times is not None:
+                    yield out(None, None, *np.frombuffer(times, np.int64).reshape(2, -1))
                 if grams is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at)], ["doc", "at"])
+                    yield out(doc, at)
                 else:
                     held.append((np.frombuffer(grams, np.uint64), doc, at))
         if held:
@@ -165,14 +179,68 @@ def _repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
             h, doc, at = h[order], doc[order], at[order]
             same = h[1:] == h[:-1]
             hit = (np.r_[False, same] | np.r_[same, False]) & (at >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(at[hit])], ["doc", "at"])
-
-    sent = texts.select("doc", "text").mapInArrow(shard, "part long, grams binary, docs binary, places binary")
-    return sent.repartition(parts, "part").mapInArrow(meet, "doc long, at long").distinct()
-
+            yield out(doc[hit], at[hit])
+
+    sent = texts.select("doc", "text").mapInArrow(shard, "part long, grams binary, docs binary, places binary, times binary")
+    return sent.repartition(parts, "part").mapInArrow(meet, "doc long, at long, hot long, times long")
+
+
+def _anchored(batch: pa.RecordBatch, side: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash of the gram, context, doc, at, bytes on the left, bytes on the right) for the anchors of
+    (doc, text, places), some 16 000 at a time."""
+    offsets, data = _bytes_of(batch.column(1))
+    sizes, places = lists(batch.column(2))
+    of = np.repeat(np.arange(batch.num_rows), np.diff(sizes))
+    if not len(of):
+        return
+    doc, at = np.asarray(batch.column(0))[of], places.astype(np.int64)
+    left = np.minimum(at, side)
+    right = np.minimum(offsets[of + 1] - offsets[of] - at - GRAM, side)
+    step = np.arange(-side, side + GRAM)
+    for k in range(0, len(of), 1 << 14):
+        cut = slice(k, k + (1 << 14))
+        l, r = left[cut], right[cut]
+        inside = (step >= -l[:, None]) & (step < GRAM + r[:, None])
+        where = np.where(inside, (offsets[of[cut]] + at[cut])[:, None] + step, offsets[0])
+        ctx = np.concatenate([np.where(inside, data[where], 0).astype(np.uint8), l[:, None].astype(np.uint8), r[:, None].astype(np.uint8)], axis=1)
+        yield gram_hashes(ctx[:, side : side + GRAM])[:, 0].astype(np.int64), ctx, doc[cut], at[cut], l, r
+
+
+def _hot_repeats(placed: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+    """doc, s, e: repeated strings around the anchors of the `hot` grams, found by the strings themselves.
+
+    A gram that very many suffixes share is not merged in one task: every string of `length` bytes
+    around it is a key of its own, by two 64-bit hashes, and the earliest start of each is a minimum
+    that is taken in the shards first.
+    """
+    side = length - GRAM
 
-def _contexts(placed: DataFrame, length: int) -> DataFrame:
-    """h, ctx, doc, at, shard, place for the anchors `places` of each (doc, text, places).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                for h, ctx, doc, at, l, r in _anchored(whole.slice(start, 512), side):
+                    x = np.flatnonzero(np.isin(h, hot))
+                    for i in range(0, len(x), 2048):
+                        y = x[i : i + 2048]
+                        body = ctx[y, :-2]
+                        before = side - np.arange(body.shape[1] - length + 1)  # bytes in front of the gram
+                        row, col = np.nonzero((before <= l[y, None]) & (side - before <= r[y, None]))
+                        one, two = gram_hashes(body, length), gram_hashes(body ^ np.uint8(0x5A), length)
+                        keys = np.stack([one[row, col].astype(np.int64), two[row, col].astype(np.int64), doc[y][row], at[y][row] - before[col]], axis=1)
+                        keys = keys[np.lexsort((keys[:, 3], keys[:, 2], keys[:, 1], keys[:, 0]))]
+                        first = np.r_[True, (keys[1:, :2] != keys[:-1, :2]).any(axis=1)]
+                        fresh = first | np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]  # one string has several anchors
+                        keys, first = keys[fresh], first[fresh]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in keys.T), pa.array(~first)], ["one", "two", "doc", "s", "later"])
+
+    strings = placed.mapInArrow(run, "one long, two long, doc long, s long, later boolean")
+    firsts = strings.where("not later").groupBy("one", "two").agg(F.min(F.struct("doc", "s")).alias("first"))
+    again = strings.where("not later").join(firsts, ["one", "two"]).where(F.struct("doc", "s") != F.col("first"))
+    return again.select("doc", "s").unionByName(strings.where("later").select("doc", "s")).withColumn("e", F.col("s") + length)
+
+
+def _contexts(placed: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """h, ctx, doc, at, shard, place for the anchors `places` of each (doc, text, places), without `hot` grams.
 
     ctx is the gram with up to length - GRAM bytes on either side, then how many there are on each.
     Rows of a shard (some 16 000 anchors of one task) come in the order of their suffixes, then of
@@ -185,24 +253,12 @@ def _contexts(placed: DataFrame, length: int) -> DataFrame:
         shard, names = TaskContext.get().partitionId() << 32, ["h", "ctx", "doc", "at", "shard", "place"]
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                offsets, data = _bytes_of(batch.column(1))
-                sizes, places = lists(batch.column(2))
-                of = np.repeat(np.arange(batch.num_rows), np.diff(sizes))
-                if not len(of):
-                    continue
-                doc, at = np.asarray(batch.column(0))[of], places.astype(np.int64)
-                left = np.minimum(at, side)
-                right = np.minimum(offsets[of + 1] - offsets[of] - at - GRAM, side)
-                for k in range(0, len(of), 1 << 14):
-                    cut = slice(k, k + (1 << 14))
-                    l, r = left[cut], right[cut]
-                    step = np.arange(-side, length)
-                    inside = (step >= -l[:, None]) & (step < GRAM + r[:, None])
-                    where = np.where(inside, (offsets[of[cut]] + at[cut])[:, None] + step, offsets[0])
-                    ctx = np.concatenate([np.where(inside, data[where], 0).astype(np.uint8), l[:, None].astype(np.uint8), r[:, None].astype(np.uint8)], axis=1)
-                    h = gram_hashes(ctx[:, side : side + GRAM])[:, 0].astype(np.int64)
-                    d, a = doc[cut], at[cut]
+                for h, ctx, d, a, l, r in _anchored(whole.slice(start, 512), side):
+                    if len(hot):
+                        own = ~np.isin(h, hot)
+                        h, ctx, d, a, l, r = (x[own] for x in (h, ctx, d, a, l, r))
+                    if not len(h):
+                        continue
                     order = np.lexsort((a, d))
                     suffix_first = np.concatenate([ctx[:, side : side + length], ctx[:, side - 1 :: -1], ctx[:, -2:]], axis=1)
                     flat = np.ascontiguousarray(suffix_first[order]).view(f"V{ctx.shape[1]}")[:, 0]
@@ -333,7 +389,7 @@ def _lowest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
 
 
-def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, bool]:
+def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = (), hot_rows: int = 50_000) -> tuple[DataFrame, DataFrame, bool]:
     """(slim row of each document with its `keep` columns, result of each distinct text by its first document, ids repeat)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -351,9 +407,16 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = ()) -> tuple[Data
     texts = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, the name isn't needed beyond this plan
 
-    places = _repeated_anchors(texts, length, parts).groupBy("doc").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    contexts = _contexts(texts.join(places, "doc").select("doc", "text", "places"), length)
-    ranges = _repeats(contexts, length, parts).distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ranges"))
+    again = staged(_repeated_anchors(texts, length, parts), "repeated-anchors")
+    total = again.where("doc is not null").count()
+    limit = max(hot_rows, total // HOT)  # at most HOT grams are above it
+    hot = np.array(sorted(r["hot"] for r in again.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("n")).where(F.col("n") > limit).collect()), dtype=np.int64)
+    places = again.where("doc is not null").select("doc", "at").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    placed = texts.join(places, "doc").select("doc", "text", "places")
+    found = _repeats(_contexts(placed, length, hot), length, parts)
+    if len(hot):
+        found = found.unionByName(_hot_repeats(placed, hot, length))
+    ranges = found.distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,7 +437,7 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = ()) -> tuple[Data
     return slim, done, repeated
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (), hot_rows: int = 50_000) -> DataFrame:
     """doc_id, the `keep` columns, n_bytes, spans and kept (bytes) for each row of `docs(doc_id, text)`.
 
     Texts are UTF-8 bytes, a null text is empty. Every byte is removed that is covered by a string of
@@ -383,10 +446,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
 
     Rows that repeat an id are one document; if their texts differ, it has the smallest. A null id
     comes before all others. Of equal texts the first stays, the others are removed as a whole if
-    they have `length` bytes. Long texts are read whole, in overlapping parts. Further columns are
-    ignored; an empty table gives an empty one.
+    they have `length` bytes. Long texts are read whole, in overlapping parts. Grams that occur more
+    than `hot_rows` times, and more often than one in HOT of all, are not merged in one task but split
+    by the strings around them. Further columns are ignored; an empty table gives an empty one.
     """
-    slim, done, repeated = _cut(docs, length, keep)
+    slim, done, repeated = _cut(docs, length, keep, hot_rows)
     # of equal texts the first has a result of its own; later ones go as a whole or are too short to
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -395,12 +459,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
     return _by_row(docs.select("doc_id", *keep), result.drop(*keep) if repeated else result, repeated).select("doc_id", *keep, "n_bytes", "spans", "kept")
 
 
-def digests(docs: DataFrame, length: int = 100) -> DataFrame:
+def digests(docs: DataFrame, length: int = 100, hot_rows: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what remove_repeats() returns.
 
     Each text is summed up where it was cut, so that only the digests are joined.
     """
-    slim, done, repeated = _cut(docs, length)
+    slim, done, repeated = _cut(docs, length, hot_rows=hot_rows)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     summed = done.select("doc", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     gone = F.col("n_bytes") >= length

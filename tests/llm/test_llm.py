@@ -375,6 +375,20 @@ def test_repeats_against_brute_force(spark):
     assert [(hashlib.sha256(kept[i].kept).hexdigest(), len(kept[i].spans)) for i in range(len(texts))] == [(e[3], e[2]) for e in expected]
 
 
+def test_repeats_of_hot_grams(spark, monkeypatch):
+    """A passage in most documents, cut at many places: its grams are split by the strings around them."""
+    rng = random.Random(88)
+    passage = prose(rng, 60)
+    texts = [prose(rng, 10) + passage[rng.randrange(0, 200) : rng.randrange(330, len(passage))] + prose(rng, 10) for _ in range(300)] + [prose(rng, 50) for _ in range(20)] + ["ab" * 300, passage]
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "HOT", 1 << 40)
+    whole = suffix_dedup._hot_repeats
+    monkeypatch.setattr(suffix_dedup, "_hot_repeats", lambda placed, hot, length: seen.append(len(hot)) or whole(placed, hot, length))
+    got = {r.doc_id: r for r in suffix_dedup.digests(docs_of(spark, texts), hot_rows=100).collect()}
+    assert seen and seen[0] > 5
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == brute_removed(texts, 100)
+
+
 def test_repeats_in_a_very_long_text(spark, monkeypatch):
     rng = random.Random(9)
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)  # parts overlap in this process only
