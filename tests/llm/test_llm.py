@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -61,6 +62,33 @@ def test_one_sided_curated_rules_block_no_unjudged_urls(spark):
     assert got[241].verdict == "allow"
 
 
+def test_mined_verdicts_against_brute_force(spark):
+    """All token combinations of all urls are counted one by one."""
+    rng = random.Random(31)
+    urls = [f"http://{rng.choice(['win', 'news', 'blog'])}.{rng.choice(['bet', 'shop'])}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['en', 'fr', 'es'])}/{rng.choice(['a', 'b'])}{rng.choice(['?q=1', '', '#x'])}" for _ in range(400)] + [None, "none"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    curated = [("block", "com/en/"), ("block", "win.bet.org/"), ("allow", "shop.net/"), ("block", "bet.net/es/a")]
+    limits = dict(min_support=0.01, min_confidence=0.55, min_count=5)
+    got = {r.page_id: r for r in url_rules.judge(df, curated, **limits).collect()}
+    tokens = {r.page_id: frozenset(r.t) for r in df.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    fit = {i: next((v for n, v in sorted(((len(r), v) for v, r in curated if got[i].rule == r), reverse=True)), None) for i in tokens}
+    n = sum(u is not None for u in urls)
+    least = max(0.01, 5 / n) * n
+    subsets = lambda s: (frozenset(c) for k in range(1, len(s) + 1) for c in itertools.combinations(sorted(s), k))
+    alone, both = Counter(), Counter()
+    for i, u in enumerate(urls):
+        for s in subsets(tokens[i]) if u is not None else ():
+            alone[s] += 1
+            both[s, fit[i]] += 1
+    rules = {(s, v): c / alone[s] for (s, v), c in both.items() if v and c >= least and c / alone[s] >= 0.55}
+    kept = {(s, v): p for (s, v), p in rules.items() if not any(w == v and q < s and rules[q, w] >= p for q, w in rules)}
+    assert len(kept) > 5
+    for i in tokens:
+        fires = sorted(((-p, -both[s, v] / n, -len(s), sorted(s)), v) for (s, v), p in kept.items() if s <= tokens[i])
+        assert got[i].verdict == (fit[i] or (fires[0][1] if fires else "allow")), urls[i]
+        assert got[i].mined_rule == (None if fit[i] or not fires else " ".join(fires[0][0][3]))
+
+
 def test_urls_of_an_empty_table(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
@@ -124,6 +152,33 @@ def test_language_accuracy_on_held_out(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_scores_against_plain_kernels(spark):
+    """Few rows: all of them are landmarks and training rows, and the kernel can be written down."""
+    rng = random.Random(33)
+    words = {"en": ["the", "and", "with", "house"], "de": ["der", "und", "mit", "Haus"], "ru": ["дом", "и", "с", "кот"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(6)) + rng.choice(["!", " 7"]), k) for i, k in enumerate(list(words) * 8)]
+    rows += [(100, "the cat", None), (101, "кот кот", None), (102, "Straße und", None), (103, "zzz", None), (104, "the cat", None)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(False)).collect()}
+
+    def grams(t):
+        s = "".join(c if c.isalpha() else "." for c in t.lower())
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    sets, train = {i: grams(t) for i, t, _ in rows}, [r for r in rows if r[2]]
+    langs = sorted(words)
+    k = lambda a, b: len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b]))
+    own = np.array([[k(a, b) for b, _, _ in train] for a, _, _ in train])
+    value, vector = np.linalg.eigh(own)
+    large = value > 1e-6 * value.max()
+    half = vector[:, large] / np.sqrt(value[large])
+    z = own @ half
+    y = np.array([[r[2] == x for x in langs] for r in train], dtype=float)
+    w = np.linalg.solve(z.T @ z + 1e-3 * np.trace(z.T @ z) / z.shape[1] * np.eye(z.shape[1]), z.T @ y)
+    for i, t, _ in rows:
+        s = np.array([k(i, b) for b, _, _ in train]) @ half @ w
+        assert got[i].lang_pred == langs[int(s.argmax())] and got[i].score == pytest.approx(min(1, max(0, s.max())), abs=1e-4)
+
+
 def test_language_edge_cases(spark):
     texts = ["the cat and the hat", "der Hund und die Katze", None, "", "5² 10½ Ⅷ 3 !?", "the cat " * 200_000]
     rows = [(i, t, "de" if i == 1 else "en", "clash") for i, t in enumerate(texts)] + [(50 + i, f"the and {i}", "en", "x") for i in range(9)] + [(70 + i, f"der und {i}", "de", "x") for i in range(9)]
@@ -460,6 +515,64 @@ def test_leaks_in_other_case_and_odd_rows(spark):
     assert got == {(0, 7): False, (1, 7): False, (3, 7): True, (4, 7): False, (5, 7): True, (6, 7): False}
 
 
+def test_straight_leaks_against_brute_force(spark):
+    """Templates by regular expressions, windows and alignments by plain loops."""
+    import re
+
+    rng = random.Random(97)
+    names, vocabulary = ["Tom", "Ann", "Boston"], [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)]
+    word = lambda: rng.choice([rng.choice(vocabulary)] * 7 + [rng.choice(names), str(rng.randrange(40)), f"{rng.randrange(40)} km"])
+    sentence = lambda n: " ".join([rng.choice(vocabulary), *(word() for _ in range(n))]) + "."
+    items = [sentence(rng.randrange(6, 25)) for _ in range(12)]
+    docs = []
+    for i in range(80):
+        a, swap = rng.choice(items), dict(zip(names, rng.sample([*names, "Paris", "Eve"], 3)))
+        a = " ".join(swap.get(w, w) for w in a.split()) if i % 3 else a
+        a = a.lower() if i % 4 == 0 else a
+        docs.append(f"{sentence(20)} {a[: rng.randrange(len(a) // 3, len(a) + 1)]} {sentence(9)}" if i % 5 else sentence(40))
+
+    def template(text, folded):
+        raw = [(m.group(), m.start()) for m in re.finditer(r"\d+|[a-zA-Z]+", text)]
+        out, run = [], None
+        for k, (w, at) in enumerate(raw):
+            opens = k == 0 or "." in text[raw[k - 1][1] : at]
+            unit = w.lower() == "km" and k > 0 and raw[k - 1][0].isdigit()
+            kind = "#" if w.isdigit() else "u" if unit else "n" if not folded and w[0].isupper() and not opens else ""
+            if kind and kind == run and not opens:
+                out[-1][1] += " " + w.lower()
+            else:
+                out.append([kind, w.lower()])
+            run = kind
+        return out
+
+    def straight(doc, item):
+        best = 0
+        for folded in (False, True):
+            d, b = template(doc, folded), template(item, folded)
+            size = min(8, len(b))
+            if size < 4:
+                continue
+            shape = lambda x: [k or v for k, v in x]
+            sd, sb = shape(d), shape(b)
+            for shift in range(-len(b), len(d)):
+                values, hits, sound = {}, 0, True
+                for at in range(len(b) - size + 1):
+                    if 0 <= at + shift <= len(d) - size and sb[at : at + size] == sd[at + shift : at + shift + size]:
+                        hits += 1
+                        for k in range(size):
+                            if b[at + k][0]:
+                                sound &= values.setdefault(tuple(b[at + k]), d[at + shift + k][1]) == d[at + shift + k][1]
+                if sound:
+                    best = max(best, hits / (len(b) - size + 1))
+        return best
+
+    want = {(i, j): c for i, d in enumerate(docs) for j, x in enumerate(items) if (c := straight(d, x)) >= 0.5}
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.find_leaks(docs_of(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(want) > 12 and set(want) <= set(got) and all(got[k] >= c - 1e-9 for k, c in want.items())
+    # beyond the straight alignments there are only chains, and those cover half of an item too
+    assert len(set(got) - set(want)) <= 0.25 * len(want) and all(c >= 0.5 for c in got.values())
+
+
 def test_chains_keep_order_and_values():
     a, b = (0, [0, 1, 2], [(2, "tom", "ann")]), (1, [6, 7], [(2, "tom", "ann")])
     assert decontaminate._chain([a, b]) == (5, True)
