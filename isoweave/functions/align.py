@@ -18,6 +18,7 @@ from isoweave.functions.seq import revcomp
 
 MATCH, MISMATCH, OPEN, EXTEND = 2, -6, 3, 3
 BATCH = 128
+CELLS = 1 << 25
 
 
 def align_batch(reads: list[str], windows: list[str]) -> list[tuple[int, int, str, str]]:
@@ -99,17 +100,19 @@ def seeds(seq: Column, k: int, step: Column) -> Column:
     return F.transform(places, lambda i: F.struct(F.substr(seq, i + 1, F.lit(k)).alias("kmer"), i.alias("at")))
 
 
-def align_reads(reads: DataFrame, refs: DataFrame, k: int = 12, band: int = 32) -> DataFrame:
+def align_reads(reads: DataFrame, refs: DataFrame, k: int = 12, band: int = 32, most: int = 5000) -> DataFrame:
     """SAM columns and weight for the best hit of each of `reads(id, seq, weight)` on each of `refs(id, seq)`.
 
     k-mers of the reads, on both strands and a read-length-dependent step apart, meet all k-mers of
     the references in a join. Of a read's diagonals on a reference, in bins of `band`, that with most
-    seeds is aligned (the smaller of two bins, the forward strand first).
+    seeds is aligned (the smaller of two bins, the forward strand first). k-mers that occur more than
+    `most` times in the references are no seeds, as in aligners with a limit of hits.
     """
     r = reads.select("id", "weight", F.explode(F.array(F.struct(F.lit(0).alias("flag"), F.col("seq").alias("s")), F.struct(F.lit(16).alias("flag"), revcomp(F.col("seq")).alias("s")))).alias("x")).select("id", "weight", "x.flag", F.col("x.s").alias("seq"))
     step = F.floor(1 + 0.5 * F.sqrt(F.length("seq"))).cast("int")
     q = r.select("id", "flag", F.inline(seeds(F.col("seq"), k, step))).withColumnRenamed("at", "q_at")
     t = refs.select(F.col("id").alias("ref"), F.inline(seeds(F.col("seq"), k, F.lit(1)))).withColumnRenamed("at", "t_at")
+    t = t.join(t.groupBy("kmer").count().where(F.col("count") > most).select("kmer"), "kmer", "left_anti")
     hits = q.join(t, "kmer").withColumn("bin", F.floor((F.col("t_at") - F.col("q_at")) / band))
     counted = hits.groupBy("id", "ref", "flag", "bin").agg(F.count("*").alias("n"))
     best = counted.groupBy("id", "ref").agg(F.min_by(F.struct("flag", "bin"), F.struct(-F.col("n"), F.col("flag"), F.col("bin"))).alias("b")).select("id", "ref", "b.flag", "b.bin")
@@ -119,8 +122,11 @@ def align_reads(reads: DataFrame, refs: DataFrame, k: int = 12, band: int = 32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), BATCH):
-                p = b.iloc[at : at + BATCH]
+            # the table of a batch has a cell for each read base and window base
+            wide = (b["seq"].str.len().max() + 1) * (b["window"].str.len().max() + 1) if len(b) else 1
+            size = int(max(1, min(BATCH, CELLS // wide)))
+            for at in range(0, len(b), size):
+                p = b.iloc[at : at + size]
                 got = align_batch(p["seq"].tolist(), p["window"].tolist())
                 out = pd.DataFrame({"qname": p["id"], "flag": p["flag"], "rname": p["ref"], "pos": [s + g[1] + 1 for s, g in zip(p["start"], got)], "cigar": [g[2] for g in got], "seq": p["seq"], "md": [g[3] for g in got], "score": [g[0] for g in got], "weight": p["weight"]})
                 yield out[[g[0] >= 20 + 8 * math.log(max(1, len(s))) for g, s in zip(got, p["seq"])]]
