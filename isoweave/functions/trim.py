@@ -106,10 +106,15 @@ class Trimmer:
     def segments(self, seq: str) -> list[tuple[str, int]]:
         """(segment, cut) between verified copies of the adapter; the rest has cut 0."""
         size, at, out = len(self.adapter3), 0, []
-        for found, anchor in self.hits(seq):
-            start = max(0, found - anchor)
+        starts = [max(0, found - anchor) for found, anchor in self.hits(seq)]
+        whole = [s for s in starts if s + size <= len(seq)]
+        codes = np.frombuffer(seq.lower().encode("latin-1", "replace"), np.uint8)
+        # all windows of full length in one go
+        known = dict(zip(whole, distances(self.rc3, codes[np.array(whole)[:, None] + np.arange(size)]).tolist())) if whole else {}
+        for start in starts:
             window = seq[start : start + size]
-            if (distance(window, self.rc3[: len(window)]) - unknown(window)) / len(window) >= self.error or at >= len(seq):
+            far = known[start] if start in known else distance(window, self.rc3[: len(window)])
+            if (far - unknown(window)) / len(window) >= self.error or at >= len(seq):
                 continue
             stop = start - at
             out.append((seq[at : at + stop] if stop >= 0 else seq[at : len(seq) + stop], 1))

@@ -80,3 +80,49 @@ def test_adapter_cuts_the_read():
 
 def test_short_reads_are_discarded():
     assert TRIM.read("r", "ACGT") == [("r", "ACGT", None, None, "discard")]
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a.lower(), 1):
+        row, before = [i], row
+        for j, y in enumerate(b.lower(), 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_segments_and_primers_against_plain_loops():
+    import random
+
+    rng = random.Random(21)
+    t = Trimmer(adapter3="AAGCAGTGGTATCAACGCAGAGTAC", adapter5="ACGTTGCATTGCAC", error=0.25, least=50)
+    back = t.adapter3[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    grams = [(i, back[i : i + 6]) for i in range(0, 20, 3)]
+    grams = [(i, g) for i, g in grams if [h for _, h in grams].count(g) == 1]
+
+    def noisy(x):
+        return "".join(rng.choice("ACGTn") if rng.random() < 0.08 else c for c in x)
+
+    for _ in range(60):
+        seq = "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 30)))
+        for _ in range(rng.randrange(5)):
+            seq += noisy(rng.choice([back, t.adapter5, t.adapter3, "A" * 20])) + "".join(rng.choice("ACGT") for _ in range(rng.randrange(90)))
+        hits = []
+        for i, g in grams:
+            for at in (k for k in range(len(seq) - 5) if seq[k : k + 6] == g):
+                if not any(abs((at - i) - (f - a)) <= 6 for f, a in hits):
+                    hits.append((at, i))
+        want, place = [], 0
+        for f, a in sorted(hits):
+            start = max(0, f - a)
+            window = seq[start : start + 25]
+            unknown = sum(c in "nN." for c in window)
+            if place < len(seq) and (plain_distance(window, back[: len(window)]) - unknown) / len(window) < 0.25:
+                stop = start - place
+                want.append((seq[place : place + stop] if stop >= 0 else seq[place : len(seq) + stop], 1))
+                place = place + start + 25
+        if place < len(seq):
+            want.append((seq[place:], 0))
+        assert t.segments(seq) == want
+        rates = [plain_distance(seq[j : j + 14], t.adapter5) / 14 for j in range(min(101, len(seq) - 13))]
+        assert t.primer(seq, t.adapter5) == (rates.index(min(rates)) if rates and min(rates) < 0.25 else None)

@@ -102,6 +102,30 @@ def test_unstranded_reads(spark):
     assert rows(loci.assign_unstranded(r, l), "tx", "strand", "start", "end") == [("a", "+", 0, 1000), ("b", None, 5100, 5300), ("d", None, 9000, 9100), ("e", None, 9000, 9100)]
 
 
+def test_unstranded_reads_against_one_greedy_pass(spark):
+    import random
+
+    rng = random.Random(17)
+    loci_ = [("c", s, k * 4000 + (0 if s == "+" else rng.choice((0, 1500))), k * 4000 + 1500) for k in range(12) for s in rng.choice((["+"], ["-"], ["+", "-"]))]
+    loci_ = [(c, s, a, b + 700) for c, s, a, b in loci_]
+    reads_ = [(f"r{i:03}", "c", a, a + rng.randrange(40, 900)) for i, a in enumerate(rng.randrange(0, 50_000) for _ in range(250))]
+    want, neutral = {}, {}
+    for tx, _, a, b in sorted(reads_, key=lambda r: (r[2], r[3], r[0])):
+        near = {s: sorted((x, y) for _, ss, x, y in loci_ if ss == s and b >= x - 10 and a <= y + 10) for s in "+-"}
+        if bool(near["+"]) != bool(near["-"]):
+            s = "+" if near["+"] else "-"
+            want[tx] = (s, *near[s][0])
+            continue
+        held = [x for x in sorted(neutral.items()) if near["+"] and x[0] <= a and b <= x[1]]
+        found = held or [x for x in sorted(neutral.items()) if b >= x[0] - 10 and a <= x[1] + 10]
+        if not found:
+            found = [(a // 100 * 100, b // 100 * 100 + 100)]
+            neutral[found[0][0]] = found[0][1]
+        want[tx] = (None, *found[0])
+    got = loci.assign_unstranded(spark.createDataFrame(reads_, "tx string, chr string, tx_start long, tx_end long"), spark.createDataFrame(loci_, "chr string, strand string, start long, end long"))
+    assert {r.tx: (r.strand, r.start, r.end) for r in got.collect()} == want
+
+
 def test_split_loci_renumbers(spark):
     t = spark.createDataFrame([("g", "a", 0, 10, 1), ("g", "b", 10, 20, 2), ("h", "c", 0, 10, 3), ("g", "d", 5, 8, 4)], "gene string, tx string, tx_start long, tx_end long, line_no long")
     assert rows(loci.split_loci(t), "tx", "gene") == [("a", "g.1"), ("b", "g.2"), ("c", "h"), ("d", "g.1")]
