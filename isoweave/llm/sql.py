@@ -62,4 +62,24 @@ OP8 = """WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS
     SELECT t.doc_id, CAST(length(t.t) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, t.t))) AS kept_sha256
     FROM texts t LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)"""
 
-ORACLE_SQL = {"op2_embedding_near_dedup": OP2, "op4_warc_archive": OP4, "op5_jaccard_join": OP5, "op7_pfair_mixing": OP7, "op8_suffix_dedup": OP8}
+#: All combinations of frequent tokens of all urls are counted; the rules are those of the registered query.
+OP1 = """WITH rules(verdict, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')),
+    cut AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+    parts AS (SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+    fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM parts JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id),
+    labels AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS l FROM parts),
+    tokens AS (SELECT page_id, url, list_distinct(list_concat(list_transform(range(1, len(l) + 1), lambda i: 'host:' || array_to_string(l[i:], '.')),
+        list_transform(list_filter(string_split(array_to_string(l[1 : len(l) - 2], '-'), '-'), lambda x: x <> ''), lambda x: 'word:' || x),
+        list_transform(list_filter(string_split_regex(lower(path), '[/._-]'), lambda x: x <> ''), lambda x: 'path:' || x),
+        list_transform(list_filter(string_split_regex(regexp_extract(url, '[?]([^#]*)', 1), '[&;]'), lambda x: x <> ''), lambda x: 'key:' || split_part(x, '=', 1)))) AS t FROM labels WHERE url IS NOT NULL),
+    bound AS (SELECT count(*) AS n, ceil(least(1, greatest(CAST(0.01 AS DOUBLE), CAST(20 AS DOUBLE) / count(*))) * count(*)) AS least_n FROM tokens),
+    common AS (SELECT t FROM (SELECT unnest(t) AS t FROM tokens) x GROUP BY t HAVING count(*) >= (SELECT least_n FROM bound)),
+    known AS (SELECT page_id, verdict, list_sort(list_filter(t, lambda x: list_contains(everything, x))) AS t FROM tokens LEFT JOIN fit USING (page_id) CROSS JOIN (SELECT list(t) AS everything FROM common) e),
+    sets AS (SELECT verdict, list_filter(t, lambda x, i: (m >> CAST(i - 1 AS INT)) & 1 = 1) AS s FROM (SELECT verdict, t, unnest(range(1, CAST(1 AS BIGINT) << len(t))) AS m FROM known) x),
+    counted AS (SELECT s, v.v, count(*) AS n, count(CASE WHEN verdict = v.v THEN 1 END) AS k FROM sets CROSS JOIN (VALUES ('allow'), ('block')) v(v) GROUP BY s, v.v),
+    mined AS (SELECT s, v, CAST(k AS DOUBLE) / n AS sure, CAST(k AS DOUBLE) / (SELECT n FROM bound) AS share FROM counted WHERE k >= (SELECT least_n FROM bound) AND CAST(k AS DOUBLE) / n >= 0.9),
+    pruned AS (SELECT * FROM mined m WHERE NOT EXISTS (SELECT 1 FROM mined q WHERE q.v = m.v AND q.sure >= m.sure AND len(q.s) < len(m.s) AND list_has_all(m.s, q.s))),
+    best AS (SELECT page_id, arg_min(struct_pack(v := v, s := s), struct_pack(a := -sure, b := -share, c := -len(s), d := s)) AS b FROM known JOIN pruned ON list_has_all(t, s) WHERE verdict IS NULL GROUP BY page_id)
+    SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, b.b.v, 'allow') AS verdict, array_to_string(b.b.s, ' ') AS mined_rule FROM parts p LEFT JOIN fit f USING (page_id) LEFT JOIN best b USING (page_id)"""
+
+ORACLE_SQL = {"op1_url_rules": OP1, "op2_embedding_near_dedup": OP2, "op4_warc_archive": OP4, "op5_jaccard_join": OP5, "op7_pfair_mixing": OP7, "op8_suffix_dedup": OP8}
