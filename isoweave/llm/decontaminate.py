@@ -28,7 +28,7 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LETTERS = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
-PIECE = 1 << 20  # bytes that are looked at together
+PIECE = 1 << 18  # bytes that are looked at together
 NUMBER, NAME, UNIT = 1, 2, 3
 SLOTS = np.array([0, *(xxhash.xxh64_intdigest(k) for k in ("<number>", "<name>", "<unit>"))], dtype=np.uint64)
 

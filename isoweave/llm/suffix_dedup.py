@@ -28,7 +28,7 @@ from isoweave.llm.shared import lists, mix64, staged, utf8, work_dir
 
 GRAM = 28
 PIECE = 1 << 20
-SPOOL = 3_000_000
+SPOOL = 1_000_000
 OFTEN = 16  # counts below are left out: a hot gram has this many in nearly every task
 HOT = 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +113,7 @@ def _repeated_anchors(texts: DataFrame, length: int, parts: int) -> DataFrame:
         names = ["part", "grams", "docs", "places", "times"]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
+            if not any(len(h) for h, _, _ in held):
                 return
             h, doc, at = (np.concatenate(x) for x in zip(*held))
             held.clear()
@@ -389,20 +389,22 @@ def _lowest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
 
 
-def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = (), hot_rows: int = 50_000) -> tuple[DataFrame, DataFrame, bool]:
-    """(slim row of each document with its `keep` columns, result of each distinct text by its first document, ids repeat)."""
+def _cut(docs: DataFrame, length: int, keep: tuple[str, ...], hot_rows: int) -> tuple[DataFrame, bool]:
+    """(doc, doc_id, the `keep` columns, n_bytes, spans and kept of each document, whether ids repeat).
+
+    Texts are written once, in buckets by document, with all that the result carries: later steps read
+    them there and no text is shuffled again.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _lowest(docs.select("doc_id", utf8("text").alias("text"), *keep))
     repeated = rows.groupBy("doc").count().where("count > 1").limit(1).count() > 0
     if repeated:
         rows = rows.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), *[F.first(c).alias(c) for c in keep])
-    size = F.octet_length("text").cast("long")
-    slim = rows.select("doc_id", "doc", *keep, F.sha2("text", 256).alias("same"), size.alias("n_bytes"), F.when(size < length, F.col("text")).alias("short"))
-    first = slim.groupBy("same").agg(F.min("doc").alias("doc"))
-    # later steps read the distinct texts by their buckets instead of shuffling them again
+    same, size = F.sha2("text", 256), F.octet_length("text").cast("long")
+    first = staged(rows.select("doc", same.alias("same")).groupBy("same").agg(F.min("doc").alias("doc")).select("doc"), "first-texts")
     name, path = f"texts_{uuid.uuid4().hex}", f"{work_dir(spark)}/texts-{uuid.uuid4().hex}"
-    unique = rows.select("doc", "text").join(first.select("doc"), "doc", "left_semi")
+    unique = rows.select("doc", "text", "doc_id", *keep).join(first, "doc", "left_semi")
     unique.write.option("path", path).option("compression", "zstd").bucketBy(parts, "doc").saveAsTable(name)
     texts = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, the name isn't needed beyond this plan
@@ -412,7 +414,7 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = (), hot_rows: int
     limit = max(hot_rows, total // HOT)  # at most HOT grams are above it
     hot = np.array(sorted(r["hot"] for r in again.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("n")).where(F.col("n") > limit).collect()), dtype=np.int64)
     places = again.where("doc is not null").select("doc", "at").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    placed = texts.join(places, "doc").select("doc", "text", "places")
+    placed = texts.select("doc", "text").join(places, "doc").select("doc", "text", "places")
     found = _repeats(_contexts(placed, length, hot), length, parts)
     if len(hot):
         found = found.unionByName(_hot_repeats(placed, hot, length))
@@ -420,8 +422,8 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = (), hot_rows: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, kept = [], []
-            for text, pieces in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            spans, kept, sizes = [], [], []
+            for text, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 merged: list[list[int]] = []
                 for p in pieces or ():
                     if merged and p["s"] <= merged[-1][1]:
@@ -431,10 +433,19 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...] = (), hot_rows: int
                 spans.append([{"start": s, "end": e} for s, e in merged])
                 edges = [0, *(x for m in merged for x in m), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc", "spans", "kept"])
-
-    done = texts.join(ranges, "doc", "left").select("doc", "text", "ranges").mapInArrow(cut, "doc long, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return slim, done, repeated
+                sizes.append(len(text))
+            spans_of = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(sizes, pa.int64()), spans_of, pa.array(kept, pa.binary())], [*batch.schema.names[2:], "n_bytes", "spans", "kept"])
+
+    carried = texts.select("doc", "doc_id", *keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields)
+    done = texts.join(ranges, "doc", "left").select("text", "ranges", *carried.columns).mapInArrow(cut, f"{kinds}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    # of equal texts the first is in `done`; later ones go as a whole or are too short to
+    long_enough = size >= length
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    others = rows.join(first, "doc", "left_anti").select("doc", "doc_id", *keep, size.alias("n_bytes"), F.when(long_enough, whole).otherwise(none).alias("spans"), F.when(long_enough, F.lit(b"")).otherwise(F.col("text")).alias("kept"))
+    return done.unionByName(others), repeated
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (), hot_rows: int = 50_000) -> DataFrame:
@@ -450,27 +461,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
     than `hot_rows` times, and more often than one in HOT of all, are not merged in one task but split
     by the strings around them. Further columns are ignored; an empty table gives an empty one.
     """
-    slim, done, repeated = _cut(docs, length, keep, hot_rows)
-    # of equal texts the first has a result of its own; later ones go as a whole or are too short to
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    result = slim.join(done, "doc", "left").select(
-        "doc", "doc_id", *keep, "n_bytes", F.coalesce("spans", F.when(F.col("n_bytes") >= length, whole).otherwise(none)).alias("spans"), F.coalesce("kept", "short", F.lit(b"")).alias("kept"))
+    result, repeated = _cut(docs, length, keep, hot_rows)
     return _by_row(docs.select("doc_id", *keep), result.drop(*keep) if repeated else result, repeated).select("doc_id", *keep, "n_bytes", "spans", "kept")
 
 
 def digests(docs: DataFrame, length: int = 100, hot_rows: int = 50_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what remove_repeats() returns.
-
-    Each text is summed up where it was cut, so that only the digests are joined.
-    """
-    slim, done, repeated = _cut(docs, length, hot_rows=hot_rows)
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what remove_repeats() returns."""
+    cut, repeated = _cut(docs, length, (), hot_rows)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    summed = done.select("doc", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    gone = F.col("n_bytes") >= length
-    result = slim.join(summed, "doc", "left").select(
-        "doc", "doc_id", "n_bytes", F.coalesce("n_removed", F.when(gone, F.col("n_bytes")).otherwise(0)).alias("n_removed"), F.coalesce("n_spans", gone.cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", F.sha2(F.coalesce("short", F.lit(b"")), 256)).alias("kept_sha256"))
+    result = cut.select("doc", "doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     return _by_row(docs.select("doc_id"), result, repeated).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
