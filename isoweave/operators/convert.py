@@ -16,6 +16,12 @@ def best_path(paths: DataFrame) -> DataFrame:
     return first_by(paths, ["tx"], F.desc("matches"), F.col("line_no"))
 
 
+def with_cds_by_strand(tx: DataFrame) -> DataFrame:
+    """Both CDS borders at the 5' end: the start on +, the end on -; transcripts of unknown strand go."""
+    site = F.when(F.col("strand") == "+", F.col("tx_start")).otherwise(F.col("tx_end"))
+    return tx.where("strand in ('+', '-')").withColumn("cds_start", site).withColumn("cds_end", site)
+
+
 def collect_exons(exons: DataFrame, *keys: str) -> DataFrame:
     """Starts and ends, each sorted by itself, their number and the outer borders."""
     out = exons.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("exon_starts"), F.array_sort(F.collect_list("e")).alias("exon_ends"))
@@ -27,7 +33,7 @@ def gff3_to_refflat(gff: DataFrame, lengths: DataFrame, use_best: bool = True, p
 
     A transcript is the id before `.mrna`; starts become 0-based. With `pacbio` a read of a well in
     which another read maps to two places is left out. Coverage has the aligned share of the read in
-    per cent, one decimal.
+    per cent, one decimal, the strand of the first exon line and the scores of all exons in file order.
     """
     a = lambda k: F.col("attrs")[k]
     named = renamed(gff.withColumn("chr", F.regexp_replace("chr", "_", "|")), names)
@@ -44,18 +50,18 @@ def gff3_to_refflat(gff: DataFrame, lengths: DataFrame, use_best: bool = True, p
         chosen = whole_wells(chosen.join(many, "tx").withColumn("well", F.when(well != "", well).otherwise(F.col("tx"))), F.col("n") > 1)
     target = F.split(a("Target"), " ")
     parts = named.where("feature in ('exon', 'CDS')").select(
-        "line_no", "feature", "strand", (F.col("start") - 1).alias("s"), F.col("end").alias("e"), F.coalesce(a("Parent"), F.regexp_extract("attr_text", "Parent=([^;]+)", 1)).alias("path"),
+        "line_no", "feature", "strand", "score", (F.col("start") - 1).alias("s"), F.col("end").alias("e"), F.coalesce(a("Parent"), F.regexp_extract("attr_text", "Parent=([^;]+)", 1)).alias("path"),
         F.get(target, F.lit(1)).cast("long").alias("t1"), F.get(target, F.lit(2)).cast("long").alias("t2"))
     own = parts.join(chosen.select("path", "tx"), "path")
     exons = collect_exons(own.where("feature = 'exon'"), "tx")
     cds = own.where("feature = 'CDS'").groupBy("tx").agg(F.min("s").alias("cds_start"), F.max("e").alias("cds_end"))
-    span = own.where("feature = 'exon'").groupBy("tx").agg(F.min(F.least("t1", "t2")).alias("read_start"), F.max(F.greatest("t1", "t2")).alias("read_end"), F.min_by("strand", "line_no").alias("read_strand"), F.sum(F.col("e") - F.col("s")).alias("covered"))
+    span = own.where("feature = 'exon'").groupBy("tx").agg(F.min(F.least("t1", "t2")).alias("read_start"), F.max(F.greatest("t1", "t2")).alias("read_end"), F.min_by("strand", "line_no").alias("read_strand"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "score"))), lambda x: x["score"]).alias("exon_scores"), F.sum(F.col("e") - F.col("s")).alias("covered"))
     group = F.regexp_extract("tx", r"^(Isogroup_\d+)", 1)
     gene = F.when(group != "", group).otherwise(F.col("tx"))
     flat = chosen.join(exons, "tx").join(cds, "tx", "left").select(
         F.regexp_replace(gene, r"\|", "_").alias("gene"), "tx", "chr", "strand", "tx_start", "tx_end", F.coalesce("cds_start", "tx_start").alias("cds_start"), F.coalesce("cds_end", "tx_start").alias("cds_end"), "n_exon", "exon_starts", "exon_ends")
     share = 100 * (F.col("read_end") - F.col("read_start")) / F.col("len")
-    cov = chosen.join(span, "tx").join(lengths.select(F.col("id").alias("tx"), "len"), "tx").select("tx", F.round(share, 1).alias("pct"), "identity", "read_start", "read_end", "read_strand", "len", "covered", "coverage")
+    cov = chosen.join(span, "tx").join(lengths.select(F.col("id").alias("tx"), "len"), "tx").select("tx", F.round(share, 1).alias("pct"), "identity", "read_start", "read_end", "read_strand", "len", "covered", "coverage", "exon_scores")
     return flat, cov
 
 

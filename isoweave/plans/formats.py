@@ -64,12 +64,13 @@ def _gff(get):
     first = F.col("k") * 100 + 1
     # one exon in fifty lies on the other strand than its path
     strand = F.when((F.col("tx") + F.col("k")) % 50 == 0, F.when(F.col("strand") == "+", "-").otherwise("+")).otherwise(F.col("strand"))
-    exons = parts.select("tx", "copy", (F.col("k") + 1).alias("k"), tabs("chrom", F.lit("x"), F.lit("exon"), F.col("x.exon_starts") + 1, "x.exon_ends", F.lit("99"), strand, F.lit("."), F.concat(F.lit("ID=e;Parent="), F.col("path"), F.lit(";Target=t "), first.cast("string"), F.lit(" "), (first + 79).cast("string"), F.lit(" +;"))))
-    lines = mrna.unionByName(exons).orderBy("tx", F.desc("copy"), "k").select("value")
+    exons = parts.select("tx", "copy", (F.col("k") + 1).alias("k"), tabs("chrom", F.lit("x"), F.lit("exon"), F.col("x.exon_starts") + 1, "x.exon_ends", 90 + F.col("k") % 10, strand, F.lit("."), F.concat(F.lit("ID=e;Parent="), F.col("path"), F.lit(";Target=t "), first.cast("string"), F.lit(" "), (first + 79).cast("string"), F.lit(" +;"))))
+    cds = t.where("tx % 4 = 0").select("tx", "copy", F.lit(99).alias("k"), tabs(chrom, F.lit("x"), F.lit("CDS"), F.col("tx_start") + 11, F.col("tx_end") - 10, F.lit("."), "strand", F.lit("0"), F.concat(F.lit("ID=c;Parent="), path, F.lit(";Target=t 1 9 +;"))))
+    lines = mrna.unionByName(exons).unionByName(cds).orderBy("tx", F.desc("copy"), "k").select("value")
     return alignments.read_gff3(lines.sparkSession, put(lines, "gff3"))
 
 
-@query("""SELECT 't' || CAST(tx AS VARCHAR) AS tx, 't' || CAST(tx AS VARCHAR) AS gene, 'chr' || CAST(chr AS VARCHAR) AS chr, strand, tx_start, tx_end, tx_start AS cds_start, tx_start AS cds_end, CAST(n_exon AS INT) AS n_exon, starts, ends
+@query("""SELECT 't' || CAST(tx AS VARCHAR) AS tx, 't' || CAST(tx AS VARCHAR) AS gene, 'chr' || CAST(chr AS VARCHAR) AS chr, strand, tx_start, tx_end, CASE WHEN tx % 4 = 0 THEN tx_start + 10 ELSE tx_start END AS cds_start, CASE WHEN tx % 4 = 0 THEN tx_end - 10 ELSE tx_start END AS cds_end, CAST(n_exon AS INT) AS n_exon, starts, ends
     FROM {spans} JOIN (SELECT tx, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS starts, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS ends FROM {exons} GROUP BY tx) x USING (tx)""")
 def gff3_to_refflat(get):
     lengths = transcripts(get).select(F.concat(F.lit("t"), F.col("tx").cast("string")).alias("id"), F.lit(1000).alias("len"))
@@ -79,10 +80,11 @@ def gff3_to_refflat(get):
 
 
 @query("""SELECT 't' || CAST(tx AS VARCHAR) AS tx, CAST(1 AS BIGINT) AS read_start, CAST((n - 1) * 100 + 80 AS BIGINT) AS read_end, covered, round(100 * (CAST((n - 1) * 100 + 80 AS BIGINT) - 1) / 1000.0, 1) AS pct, CAST(98.5 AS DOUBLE) AS identity,
-    read_strand FROM (SELECT tx, count(*) AS n, sum(e - s) AS covered, CASE WHEN tx % 50 = 0 THEN CASE WHEN min(strand) = '+' THEN '-' ELSE '+' END ELSE min(strand) END AS read_strand FROM {exons} GROUP BY tx) x""")
+    read_strand, scores FROM (SELECT tx, string_agg(CAST(90 + k % 10 AS VARCHAR), ',' ORDER BY k) AS scores, count(*) AS n, sum(e - s) AS covered, CASE WHEN tx % 50 = 0 THEN CASE WHEN min(strand) = '+' THEN '-' ELSE '+' END ELSE min(strand) END AS read_strand FROM (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY s) - 1 AS k FROM {exons}) e GROUP BY tx) x""")
 def gff3_coverage(get):
     lengths = transcripts(get).select(F.concat(F.lit("t"), F.col("tx").cast("string")).alias("id"), F.lit(1000).alias("len"))
-    return convert.gff3_to_refflat(_gff(get), lengths)[1].select("tx", "read_start", "read_end", "covered", "pct", "identity", "read_strand")
+    cov = convert.gff3_to_refflat(_gff(get), lengths)[1]
+    return cov.select("tx", "read_start", "read_end", "covered", "pct", "identity", "read_strand", F.array_join(F.col("exon_scores").cast("array<int>").cast("array<string>"), ",").alias("scores"))
 
 
 @query("""SELECT 't' || CAST(tx AS VARCHAR) || '.mrna' || CAST(copy AS VARCHAR) AS path, 'chr' || CAST(chr + 10 * (copy - 1) AS VARCHAR) AS chr, CASE WHEN strand = '+' THEN '-' ELSE '+' END AS strand, strand AS path_strand

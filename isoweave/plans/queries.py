@@ -14,6 +14,7 @@ from isoweave.plans import formats as formats  # registers the queries of reader
 from isoweave.plans.registry import ORACLE_SQL as ORACLE_SQL
 from isoweave.plans.registry import QUERIES as QUERIES
 from isoweave.plans.registry import query, transcripts
+from isoweave.sources import text
 from isoweave.sources.scratch import written
 
 PRIMER = "ACGTTGCATTGCAC"
@@ -156,8 +157,8 @@ def exon_collect(get):
 
 @query("SELECT tx, strand, CASE WHEN strand = '+' THEN min(s) ELSE max(e) END AS cds, sum(e - s) AS covered FROM {exons} GROUP BY tx, strand")
 def read_span_covered(get):
-    t = transcripts(get)
-    return t.select("tx", "strand", F.when(F.col("strand") == "+", F.col("tx_start")).otherwise(F.col("tx_end")).alias("cds"), seq.exon_lengths(F.col("exon_starts"), F.col("exon_ends")).alias("covered"))
+    t = convert.with_cds_by_strand(transcripts(get))
+    return t.select("tx", "strand", F.col("cds_start").alias("cds"), seq.exon_lengths(F.col("exon_starts"), F.col("exon_ends")).alias("covered"))
 
 
 @query("""SELECT run, min(tx) AS tx, count(*) AS n FROM (SELECT tx, sum(fresh) OVER (ORDER BY line_no) AS run FROM (
@@ -442,6 +443,19 @@ def cage_or_nearest(get):
     return support.cage_or_nearest(transcripts(get), get("peaks"))
 
 
+@query(f"""SELECT tx, EXISTS (SELECT 1 FROM {{peaks}} p WHERE p.chr = t.chr AND p.strand = t.strand AND p."start" // 1000 BETWEEN tx_start // 1000 - 1 AND tx_start // 1000 + 1 AND abs(p."start" - CASE WHEN t.strand = '+' THEN tx_start ELSE tx_end END) < 100) AS cage FROM {{spans}} t""")
+def peak_near_5end(get):
+    return support.near_peak(transcripts(get), get("peaks")).select("tx", "cage")
+
+
+@query("SELECT CASE WHEN chr % 2 = 0 THEN CAST(chr AS VARCHAR) ELSE 'new' || CAST(chr AS VARCHAR) END AS chr, 'chr' || CAST(chr AS VARCHAR) AS with_chr, CAST(chr AS VARCHAR) AS without_chr, count(*) AS n FROM {spans} GROUP BY chr")
+def chr_names(get):
+    """Names with and without chr, and renamed by a table that lists some."""
+    t = transcripts(get).withColumn("chr", F.col("chr").cast("string")).withColumn("with_chr", text.with_chr(F.col("chr"))).withColumn("without_chr", text.without_chr(F.col("with_chr")))
+    names = t.where("cast(chr as int) % 2 = 1").select(F.col("chr").alias("old"), F.concat(F.lit("new"), "chr").alias("new")).distinct()
+    return text.renamed(t, names).groupBy("chr", "with_chr", "without_chr").agg(F.count("*").alias("n"))
+
+
 # reports and lists ---------------------------------------------------------------------------
 @query(f"""SELECT j.chr, j.strand, j."left", j."right", count(CASE WHEN tx % 2 = 0 THEN 1 END) AS a, count(CASE WHEN tx % 2 = 1 THEN 1 END) AS b, coalesce(min(p.score), 0) AS left_score, coalesce(min(q.score), 0) AS right_score, coalesce(min(p.score), 0) + coalesce(min(q.score), 0) AS score
     FROM {{junctions}} j LEFT JOIN {BORDERS} p ON j.chr = p.chr AND j.strand = p.strand AND j."left" = p.pos LEFT JOIN {BORDERS} q ON j.chr = q.chr AND j.strand = q.strand AND j."right" = q.pos GROUP BY j.chr, j.strand, j."left", j."right\"""")

@@ -54,6 +54,11 @@ def with_chr(chrom: Column, prefix_only: bool = True) -> Column:
     return F.when(has, chrom).otherwise(F.concat(F.lit("chr"), chrom))
 
 
+def without_chr(chrom: Column) -> Column:
+    """Takes chr from the front of a name."""
+    return F.regexp_replace(chrom, "^chr", "")
+
+
 def renamed(df: DataFrame, names: DataFrame | None, column: str = "chr") -> DataFrame:
     """Replaces names by `names(old, new)`; names that are not listed stay."""
     if names is None:
