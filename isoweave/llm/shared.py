@@ -119,7 +119,7 @@ class Coder:
     def __call__(self, token: str) -> int:
         code = self.known.get(token)
         if code is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             code = self.known[token] = xxhash.xxh64_intdigest(token)
         return code
