@@ -101,14 +101,15 @@ def trim_reads(get):
     return trim.trim_reads(get("sequences").select(F.col("id").cast("string").alias("id"), "seq"), t)
 
 
-@query("""SELECT CAST(id AS VARCHAR) AS id, CAST(pos AS INT) AS pos, CASE WHEN pos = 9 THEN substr(seq, 10, 2) WHEN pos = 20 THEN 'Del' WHEN pos BETWEEN 10 AND 19 THEN substr(seq, CAST(pos + 2 AS INT), 1) ELSE substr(seq, CAST(pos + 1 AS INT), 1) END AS allele, CAST(1 AS DOUBLE) AS weight
-    FROM (SELECT id, seq, unnest(range(0, length(seq))) AS pos FROM {sequences} WHERE length(seq) >= 40) x""")
+@query("""SELECT CAST(id AS VARCHAR) AS id, CAST(pos AS INT) AS pos, CASE WHEN length(seq) < 40 THEN substr(seq, CAST(pos + 1 AS INT), 1) WHEN pos = 9 THEN substr(seq, 10, 2) WHEN pos = 20 THEN 'Del' WHEN pos BETWEEN 10 AND 19 THEN substr(seq, CAST(pos + 2 AS INT), 1) ELSE substr(seq, CAST(pos + 1 AS INT), 1) END AS allele, CAST(1 AS DOUBLE) AS weight
+    FROM (SELECT id, seq, unnest(range(0, length(seq))) AS pos FROM {sequences}) x""")
 def pileup_votes(get):
-    """Each read is aligned to itself with one inserted, one deleted and one mismatched base."""
-    s = get("sequences").where(F.length("seq") >= 40).withColumn("n", F.length("seq"))
-    a = s.select(
-        F.col("id").cast("string").alias("rname"), F.lit(0).alias("flag"), F.lit(1).alias("pos"), F.concat(F.lit("10M1I10M1D"), (F.col("n") - 21).cast("string"), F.lit("M")).alias("cigar"),
-        F.concat(F.lit("20^A3T"), (F.col("n") - 25).cast("string")).alias("md"), "seq", F.lit(1.0).alias("weight"))
+    """Each read is aligned to itself; longer ones with one inserted, one deleted and one mismatched base."""
+    s = get("sequences").withColumn("n", F.length("seq"))
+    n, long_ = F.col("n").cast("string"), F.col("n") >= 40
+    cigar = F.when(long_, F.concat(F.lit("10M1I10M1D"), (F.col("n") - 21).cast("string"), F.lit("M"))).otherwise(F.concat(n, F.lit("M")))
+    md = F.when(long_, F.concat(F.lit("20^A3T"), (F.col("n") - 25).cast("string"))).otherwise(n)
+    a = s.select(F.col("id").cast("string").alias("rname"), F.lit(0).alias("flag"), F.lit(1).alias("pos"), cigar.alias("cigar"), md.alias("md"), "seq", F.lit(1.0).alias("weight"))
     return pileup.pile(a).groupBy("id", "pos", "allele").agg(F.sum("weight").alias("weight"))
 
 
@@ -278,10 +279,13 @@ def assign_contained(get):
     return loci.assign_contained(t, loci.build(t)).select("tx", "start", "end")
 
 
-@query(f"""SELECT tx, min("start") AS "start" FROM (SELECT s.tx, l."start" FROM {{spans}} s JOIN ({LOCI}) l ON s.chr = l.chr AND l.strand = '+' AND s.tx_end >= l."start" - 10 AND s.tx_start <= l."end" + 10) x GROUP BY tx""")
+@query(f"""SELECT tx, strand, min("start") AS "start" FROM (SELECT s.tx, l.strand, l."start" FROM {{spans}} s JOIN ({LOCI}) l ON s.chr = l.chr AND s.tx_end >= l."start" - 10 AND s.tx_start <= l."end" + 10) x GROUP BY tx, strand""")
 def assign_fuzzy_overlap(get):
+    """The first locus of either strand near each read."""
     t = transcripts(get)
-    return loci.assign_overlap(t, loci.build(t), "+").select("tx", "start")
+    built = loci.build(t)
+    one = lambda s: loci.assign_overlap(t, built, s).select("tx", F.lit(s).alias("strand"), "start")
+    return one("+").unionByName(one("-"))
 
 
 ISLAND = """SELECT *, sum(fresh) OVER (PARTITION BY gene ORDER BY s, e) AS island FROM (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY gene ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
@@ -345,7 +349,7 @@ def isoform_plan(get):
 @query()
 def unstranded_reads(get):
     t = transcripts(get)
-    return loci.assign_unstranded(t.where("n_exon = 1"), loci.build(t.where("n_exon > 3")))
+    return loci.assign_unstranded(t.where("n_exon = 1"), loci.build(t.where("n_exon > 1")))
 
 
 # evidence ------------------------------------------------------------------------------------
@@ -381,8 +385,8 @@ def neighbour_window(get):
 
 
 def _borders(get: Callable) -> DataFrame:
-    b = loci.build(transcripts(get)).where("strand = '+'")
-    return b.select("chr", F.col("start").alias("left"), F.col("end").alias("right"), F.concat_ws("_", F.col("chr").cast("string"), F.col("start").cast("string")).alias("gl"), "strand", "start", "end")
+    b = loci.build(transcripts(get))
+    return b.select("chr", F.col("start").alias("left"), F.col("end").alias("right"), F.concat_ws("_", F.col("chr").cast("string"), "strand", F.col("start").cast("string")).alias("gl"), "strand", "start", "end")
 
 
 OVER = lambda s, e: f"CASE WHEN least(c.\"end\", {e}) > greatest(c.\"start\", {s}) THEN least(c.\"end\", {e}) - greatest(c.\"start\", {s}) + 1 ELSE -1 END"
@@ -390,7 +394,7 @@ OVER = lambda s, e: f"CASE WHEN least(c.\"end\", {e}) > greatest(c.\"start\", {s
 
 WINDOWED = f"""SELECT * FROM (SELECT b.gl, b.chr, b.win, c."start" AS cs, c."end" AS ce, c.value, c."end" - c."start" AS size, {OVER('b."start"', 'b."end"')} AS o1, {OVER('b."start" - b.win', 'b."end" + b.win')} AS o2 FROM (
     SELECT *, CASE WHEN a IS NULL AND z IS NULL THEN CAST(trunc(("start" - "end") / 3.0) AS BIGINT) WHEN least(a, z) <= 2000 THEN CAST(trunc(least(a, z) / 3.0) AS BIGINT) ELSE 1000 END AS win FROM (
-    SELECT chr, "start", "end", CAST(chr AS VARCHAR) || '_' || CAST("start" AS VARCHAR) AS gl, "start" - lag("end") OVER w AS a, lead("start") OVER w - "end" AS z FROM ({LOCI}) l WHERE strand = '+' WINDOW w AS (PARTITION BY chr ORDER BY "start")) g) b
+    SELECT chr, "start", "end", CAST(chr AS VARCHAR) || '_' || strand || '_' || CAST("start" AS VARCHAR) AS gl, "start" - lag("end") OVER w AS a, lead("start") OVER w - "end" AS z FROM ({LOCI}) l WINDOW w AS (PARTITION BY chr, strand ORDER BY "start")) g) b
     JOIN {{coverage}} c ON b.chr = c.chr) x WHERE o1 > 0 OR o2 > 0"""
 
 
