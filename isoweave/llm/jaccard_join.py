@@ -119,6 +119,33 @@ def _leaves(sketch: DataFrame, runs: int, branch: int, levels: int, small: int,
     return out
 
 
+def _cells(leaves: DataFrame, own: DataFrame, block: int) -> DataFrame:
+    """path, i, j, own, rep: the pairs of blocks in which the members of a bucket are compared.
+
+    Members whose smallest path is the same, and not this one, meet there already. Where they are many
+    they have blocks of their own, which are held against the other blocks but not among themselves;
+    so the buckets of a large group of near copies are compared once, and not in each run again.
+    """
+    low = own.select("rep", F.element_at("paths", 1).alias("low"))
+    rows = staged(leaves.join(low, "rep").select("path", "rep", "m", F.when(F.col("low") < F.col("path"), F.col("low")).alias("g")), "bucket-rows")
+    settled = rows.where("g is not null").groupBy("path", "g").agg(F.count("*").alias("c")).where(F.col("c") >= block)
+    shape = settled.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("g", F.ceil(F.col("c") / block).cast("int").alias("n")))).alias("groups"), F.sum("c").alias("c"))
+    # large paths alone have settled groups: one row for each
+    known = hot_join(rows, staged(shape, "bucket-shapes"), ["path"], ["rep"], "left")
+    groups = F.coalesce("groups", F.array().cast("array<struct<g:bigint,n:int>>"))
+    mixed = F.greatest(F.lit(1), F.ceil((F.col("m") - F.coalesce("c", F.lit(0))) / block)).cast("int")
+    before = lambda at: F.aggregate(F.slice(groups, F.lit(1), at), F.lit(0), lambda n, x: n + x["n"])
+    at = F.array_position(F.transform(groups, lambda x: x["g"]), F.coalesce("g", F.lit(0))).cast("int")
+    one = known.withColumn("at", F.when(F.col("g").isNull(), 0).otherwise(at)).withColumn("mixed", mixed).withColumn("all", mixed + before(F.size(groups)))
+    # blocks 0 to mixed - 1 hold the others, then come those of each settled group
+    first = F.when(F.col("at") > 0, F.col("mixed") + before(F.greatest(F.lit(0), F.col("at") - 1))).otherwise(0)
+    many = F.when(F.col("at") > 0, F.get(groups, F.col("at") - 1)["n"]).otherwise(F.col("mixed"))
+    dealt = one.withColumn("first", first).withColumn("many", many).withColumn("own", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("many")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda k: (F.col("at") == 0) | (k < F.col("first")) | (k >= F.col("first") + F.col("many")))
+    placed = dealt.withColumn("other", F.explode(others))
+    return placed.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
+
+
 def _first_here(path: int, lists: list[list[int]]) -> np.ndarray:
     """Pairs whose smallest common path is this one: each pair is compared in one bucket only."""
     n = len(lists)
@@ -182,11 +209,9 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float =
     reps = member.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     sketch = staged(sketched.select(F.col("doc_id").alias("rep"), "steps").join(reps.select("rep", "copies"), "rep"), "sets")
 
-    leaves = staged(_leaves(sketch.select("rep", "steps"), runs, branch, levels, small, alike), "buckets")
-    own = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("paths"))  # at most one for each run and branch
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    placed = leaves.distinct().withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = placed.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep").join(own, "rep")
+    leaves = staged(_leaves(sketch.select("rep", "steps"), runs, branch, levels, small, alike).distinct(), "buckets")
+    own = staged(leaves.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("paths")), "own-paths")  # at most one for each run and branch
+    cells = _cells(leaves, own, block).join(own, "rep")
     key = ["path", "i", "j"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
