@@ -25,7 +25,10 @@ class Locus:
         n = len(self.slots)
         for r in self.reads:
             used = [place[j] for j in r["junctions"]]
-            r["bits"] = "".join("1" if i in set(used) else "0" for i in range(n))
+            bits = bytearray(b"0" * n)
+            for i in used:
+                bits[i] = 49
+            r["bits"] = bits.decode()
             r["span"] = self.window(r)
             # whole numbers: the junction nearest to the 3' end weighs most, however many there are
             r["score"] = sum(1 << (i if self.plus else n - i) for i in used)
@@ -52,13 +55,19 @@ class Locus:
         """Isoforms (representative first) and truncated reads."""
         found: list[list[dict]] = []
         short: list[dict] = []
+        # for each window that reads span: clusters by what their representative has there, and how many are listed
+        listed: dict[tuple[int, int], tuple[dict[str, list[list[dict]]], list[int]]] = {}
         order = sorted(self.reads, key=lambda r: (-(r["span"][1] - r["span"][0]), -r["score"], -r["size"], r["tx"]))
         for r in order:
             if "1" not in r["bits"]:
                 short.append(r)
                 continue
             own = self.part(r["bits"], r["span"])
-            alike = [c for c in found if self.part(c[0]["bits"], r["span"]) == own]
+            by_part, seen = listed.setdefault(r["span"], ({}, [0]))
+            for c in found[seen[0] :]:
+                by_part.setdefault(self.part(c[0]["bits"], r["span"]), []).append(c)
+            seen[0] = len(found)
+            alike = by_part.get(own, [])
             cut_off = bool(alike) and not self.plus and own in ("", "0")
             if cut_off:
                 alike = []
