@@ -38,6 +38,7 @@ def test_curated_rules(spark):
         ("http://a.com?u=http://b.com/en/7", "a.com", "", None, "allow"), ("http://a.com#://b.org/es/", "a.com", "", None, "allow"), ("x://b.org/es/" + "y" * 300_000, "b.org", "/es/" + "y" * 300_000, "org/es/", "block"),
     ]
     df = spark.createDataFrame([(i, u[0], "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    assert url_rules.judge(df.unionByName(df), queries.URL_RULES).groupBy("page_id").count().where("count = 2").count() == len(urls)
     got = {r.page_id: r for r in url_rules.judge(df, queries.URL_RULES).collect()}
     for i, (_, host, path, rule, verdict) in enumerate(urls):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict)
@@ -181,8 +182,10 @@ def test_language_scores_against_plain_kernels(spark):
 
 def test_language_edge_cases(spark):
     texts = ["the cat and the hat", "der Hund und die Katze", None, "", "5² 10½ Ⅷ 3 !?", "the cat " * 200_000]
-    rows = [(i, t, "de" if i == 1 else "en", "clash") for i, t in enumerate(texts)] + [(50 + i, f"the and {i}", "en", "x") for i in range(9)] + [(70 + i, f"der und {i}", "de", "x") for i in range(9)]
-    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string"), F.lit(False)).collect()}
+    rows = [(i, t, "de" if i == 1 else "en", "clash") for i, t in enumerate(texts)] + [(0, texts[0], "en", "clash"), (None, texts[0], "en", "clash")] + [(50 + i, f"the and {i}", "en", "x") for i in range(9)] + [(70 + i, f"der und {i}", "de", "x") for i in range(9)]
+    every = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string"), F.lit(False)).collect()
+    got = {r.doc_id: r for r in every}
+    assert len(every) == len(rows) and len({(r.lang_pred, r.score) for r in every if r.doc_id in (0, None)}) == 1  # repeated rows are judged alike
     assert [got[i].lang_pred for i in range(6)] == ["en", "de", "und", "und", "und", "en"]
     empty = spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string")
     assert language_id.identify(empty, F.lit(False)).first().lang_pred == "und"
@@ -341,6 +344,17 @@ def test_class_model_against_brute_force(spark, head):
         assert got[i].score == pytest.approx(p)
 
 
+def test_class_model_of_a_very_long_text(spark):
+    long_ = "alpha beta  gamma\n" * 260_000  # more than one piece
+    got = {r.doc_id: r for r in class_lm.score(docs_of(spark, ["alpha beta", "beta gamma gamma", long_, long_ + "delta"]), F.col("doc_id") > 1).collect()}
+    c, n, v = {"alpha": 1, "beta": 2, "gamma": 2, class_lm.END: 2}, 7, 4
+    one = lambda w: math.log10((c.get(w, 0) + 0.1) / (n + 0.1 * (v + 1)))
+    base = 260_000 * sum(map(one, ("alpha", "beta", "gamma"))) + one(class_lm.END)
+    assert (got[2].n_tokens, got[2].n_known, got[2].train_tokens) == (780_001, 780_001, 7) and got[2].base_score == pytest.approx(base)
+    assert (got[3].n_tokens, got[3].n_known) == (780_002, 780_001) and got[3].base_score == pytest.approx(base + one("delta"))
+    assert got[3].score < got[2].score < 0
+
+
 def test_class_model_without_training_rows(spark):
     got = class_lm.score(docs_of(spark, ["a b", None]), F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
