@@ -117,8 +117,8 @@ def fit(train: DataFrame, landmarks: int = 48, rows: int = 1500, ridge: float =
         d = features.shape[1]
         total = np.zeros((d, d + len(langs)))
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
                 x, size = presence(part.column(0).to_pylist(), keep)
                 z = (x @ features) / np.sqrt(np.maximum(size, 1))[:, None]
                 y = np.array([[lang == k for k in langs] for lang in part.column(1).to_pylist()], dtype=np.float64)
@@ -147,8 +147,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 128):
-                b = whole.slice(start, 128)
+            for start in range(0, whole.num_rows, 64):
+                b = whole.slice(start, 64)
                 texts = b.column(at).to_pylist()
                 s = model.scores(texts)
                 best = s.argmax(axis=1)

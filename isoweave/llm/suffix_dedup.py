@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from isoweave.llm.shared import lists, mix64, staged, utf8, work_dir
 
 GRAM = 28
-PIECE = 1 << 20
+PIECE = 1 << 18
 SPOOL = 1_000_000
 OFTEN = 16  # counts below are left out: a hot gram has this many in nearly every task
 HOT = 4096
@@ -200,9 +200,13 @@ def _anchored(batch: pa.RecordBatch, side: int) -> Iterator[tuple[np.ndarray, ..
     for k in range(0, len(of), 1 << 14):
         cut = slice(k, k + (1 << 14))
         l, r = left[cut], right[cut]
-        inside = (step >= -l[:, None]) & (step < GRAM + r[:, None])
-        where = np.where(inside, (offsets[of[cut]] + at[cut])[:, None] + step, offsets[0])
-        ctx = np.concatenate([np.where(inside, data[where], 0).astype(np.uint8), l[:, None].astype(np.uint8), r[:, None].astype(np.uint8)], axis=1)
+        ctx = np.zeros((len(l), len(step) + 2), dtype=np.uint8)
+        ctx[:, -2], ctx[:, -1] = l, r
+        begin = offsets[of[cut]] + at[cut]
+        for i in range(0, len(l), 2048):
+            x = slice(i, i + 2048)
+            inside = (step >= -l[x, None]) & (step < GRAM + r[x, None])
+            ctx[x, :-2] = np.where(inside, data[np.where(inside, begin[x, None] + step, offsets[0])], 0)
         yield gram_hashes(ctx[:, side : side + GRAM])[:, 0].astype(np.int64), ctx, doc[cut], at[cut], l, r
 
 
@@ -389,7 +393,7 @@ def _lowest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
 
 
-def _cut(docs: DataFrame, length: int, keep: tuple[str, ...], hot_rows: int) -> tuple[DataFrame, bool]:
+def _cut(docs: DataFrame, length: int, keep: tuple[str, ...], hot_rows: int, as_text: bool = False) -> tuple[DataFrame, bool]:
     """(doc, doc_id, the `keep` columns, n_bytes, spans and kept of each document, whether ids repeat).
 
     Texts are written once, in buckets by document, with all that the result carries: later steps read
@@ -421,7 +425,7 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...], hot_rows: int) ->
     ranges = found.distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):
             spans, kept, sizes = [], [], []
             for text, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 merged: list[list[int]] = []
@@ -432,28 +436,30 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...], hot_rows: int) ->
                         merged.append([p["s"], p["e"]])
                 spans.append([{"start": s, "end": e} for s, e in merged])
                 edges = [0, *(x for m in merged for x in m), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 sizes.append(len(text))
             spans_of = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(sizes, pa.int64()), spans_of, pa.array(kept, pa.binary())], [*batch.schema.names[2:], "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(sizes, pa.int64()), spans_of, pa.array(kept, pa.string() if as_text else pa.binary())], [*batch.schema.names[2:], "n_bytes", "spans", "kept"])
 
-    carried = texts.select("doc", "doc_id", *keep)
+    carried, kind = texts.select("doc", "doc_id", *keep), "string" if as_text else "binary"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields)
-    done = texts.join(ranges, "doc", "left").select("text", "ranges", *carried.columns).mapInArrow(cut, f"{kinds}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    done = texts.join(ranges, "doc", "left").select("text", "ranges", *carried.columns).mapInArrow(cut, f"{kinds}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept {kind}")
     # of equal texts the first is in `done`; later ones go as a whole or are too short to
     long_enough = size >= length
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    others = rows.join(first, "doc", "left_anti").select("doc", "doc_id", *keep, size.alias("n_bytes"), F.when(long_enough, whole).otherwise(none).alias("spans"), F.when(long_enough, F.lit(b"")).otherwise(F.col("text")).alias("kept"))
+    others = rows.join(first, "doc", "left_anti").select("doc", "doc_id", *keep, size.alias("n_bytes"), F.when(long_enough, whole).otherwise(none).alias("spans"), F.when(long_enough, F.lit(b"")).otherwise(F.col("text")).cast(kind).alias("kept"))
     return done.unionByName(others), repeated
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (), hot_rows: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (), hot_rows: int = 50_000, as_text: bool = False) -> DataFrame:
     """doc_id, the `keep` columns, n_bytes, spans and kept (bytes) for each row of `docs(doc_id, text)`.
 
     Texts are UTF-8 bytes, a null text is empty. Every byte is removed that is covered by a string of
     `length` bytes (GRAM < length < 256) which also starts earlier: in a document with a smaller id,
-    or further to the front. `spans` are the maximal removed ranges, kept the other bytes, joined.
+    or further to the front. `spans` are the maximal removed ranges, kept the other bytes, joined;
+    with `as_text` as a string, without the parts of a character that a cut left behind.
 
     Rows that repeat an id are one document; if their texts differ, it has the smallest. A null id
     comes before all others. Of equal texts the first stays, the others are removed as a whole if
@@ -461,7 +467,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
     than `hot_rows` times, and more often than one in HOT of all, are not merged in one task but split
     by the strings around them. Further columns are ignored; an empty table gives an empty one.
     """
-    result, repeated = _cut(docs, length, keep, hot_rows)
+    result, repeated = _cut(docs, length, keep, hot_rows, as_text)
     return _by_row(docs.select("doc_id", *keep), result.drop(*keep) if repeated else result, repeated).select("doc_id", *keep, "n_bytes", "spans", "kept")
 
 
