@@ -9,10 +9,8 @@ Long texts are read whole. An empty table gives an empty one.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from isoweave.llm import decontaminate, jaccard_join, language_id, mixing, suffix_dedup
 from isoweave.llm.shared import crc_mod, masked, staged, table
@@ -22,12 +20,6 @@ from isoweave.llm.shared import crc_mod, masked, staged, table
 LEAST_LANGUAGE_SCORE = 0.1
 
 
-@F.pandas_udf(T.StringType())
-def text_of(kept: pd.Series) -> pd.Series:
-    """Kept bytes as text; parts of a character that a cut left behind are dropped."""
-    return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
-
-
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Documents with text, a doc_id that is never null, and their own columns under other names.
 
@@ -70,7 +62,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_chars is that of the text that is left.
     """
     rows, names = numbered(docs)
-    kept = suffix_dedup.remove_repeats(rows, length=100, keep=tuple(names.values())).withColumn("text", text_of("kept"))
+    kept = suffix_dedup.remove_repeats(rows, length=100, keep=tuple(names.values()), as_text=True).withColumnRenamed("kept", "text")
     if "n_chars" in names:
         kept = kept.withColumn(names["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
     return renamed(docs, kept.where(F.col("text").rlike(r"\S")), names)
