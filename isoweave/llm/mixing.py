@@ -134,7 +134,7 @@ def flattened_weights(docs: DataFrame, power: float = 0.5) -> DataFrame:
     return docs.groupBy("source").agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int | None = None, cell_rows: int = 65_536) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int | None = None, cell_rows: int = 8192) -> DataFrame:
     """Orders `docs` so that every prefix of it holds the target weights.
 
     Adds source_rank, mix_slot, release, deadline, mix_pos and in_mix; columns of these names are

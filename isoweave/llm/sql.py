@@ -29,7 +29,7 @@ OP5 = f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex
     FROM words w LEFT JOIN member m ON m.doc_id = w.doc_id LEFT JOIN component c ON c.node = m.rep LEFT JOIN linked l ON l.a = m.rep"""
 
 OP7 = """WITH RECURSIVE docs AS (SELECT doc_id, source, n_chars, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(source, '')) AS h FROM documents),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(16, (SELECT count(*) FROM docs) // 65536), h, doc_id) - 1 AS source_rank FROM docs),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(16, (SELECT count(*) FROM docs) // 8192), h, doc_id) - 1 AS source_rank FROM docs),
     sizes AS (SELECT source, count(*) AS n, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM docs GROUP BY source),
     share AS (SELECT source, n, CAST(greatest(1, round(w / max(w) OVER () / sum(w / (SELECT max(w) FROM sizes)) OVER () * least(CAST(1125899906842624 AS DOUBLE), CAST(2305843009213693952 AS DOUBLE) / (sum((n + 3) // 4) OVER () + 2)))) AS BIGINT) AS a FROM sizes),
     total AS (SELECT CAST(sum(a) AS BIGINT) AS total, CAST(min(((n // 4 + 1) * (SELECT CAST(sum(a) AS HUGEINT) FROM share) + a - 1) // a) AS BIGINT) AS until, list(a ORDER BY source NULLS FIRST) AS s FROM share),
