@@ -408,7 +408,8 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...], hot_rows: int, as_
     same, size = F.sha2("text", 256), F.octet_length("text").cast("long")
     first = staged(rows.select("doc", same.alias("same")).groupBy("same").agg(F.min("doc").alias("doc")).select("doc"), "first-texts")
     name, path = f"texts_{uuid.uuid4().hex}", f"{work_dir(spark)}/texts-{uuid.uuid4().hex}"
-    unique = rows.select("doc", "text", "doc_id", *keep).join(first, "doc", "left_semi")
+    # a shuffle at every size: it also deals the rows to their buckets
+    unique = rows.select("doc", "text", "doc_id", *keep).join(first.hint("merge"), "doc", "left_semi")
     unique.write.option("path", path).option("compression", "zstd").bucketBy(parts, "doc").saveAsTable(name)
     texts = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, the name isn't needed beyond this plan
@@ -449,7 +450,8 @@ def _cut(docs: DataFrame, length: int, keep: tuple[str, ...], hot_rows: int, as_
     long_enough = size >= length
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    others = rows.join(first, "doc", "left_anti").select("doc", "doc_id", *keep, size.alias("n_bytes"), F.when(long_enough, whole).otherwise(none).alias("spans"), F.when(long_enough, F.lit(b"")).otherwise(F.col("text")).cast(kind).alias("kept"))
+    slim = rows.select("doc", "doc_id", *keep, size.alias("n_bytes"), F.when(long_enough, whole).otherwise(none).alias("spans"), F.when(long_enough, F.lit(b"")).otherwise(F.col("text")).cast(kind).alias("kept"))
+    others = slim.join(first.hint("merge"), "doc", "left_anti")
     return done.unionByName(others), repeated
 
 
