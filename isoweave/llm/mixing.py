@@ -159,10 +159,8 @@ def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int | None =
     cell = F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(cells)).cast("int")
     celled = base.withColumn("_key", key).withColumn("_cell", cell).withColumn("_src", F.struct("source"))
     counts = celled.groupBy("_src", "_cell").agg(F.count("*").alias("_n"))
-    starts = counts.select("_src", "_cell", (F.sum("_n").over(W.partitionBy("_src").orderBy("_cell")) - F.col("_n")).alias("_start"))
+    starts = counts.select("_src", "_cell", "_n", (F.sum("_n").over(W.partitionBy("_src").orderBy("_cell")) - F.col("_n")).alias("_start"))
     inside = W.partitionBy("_src", "_cell").orderBy("_key", F.col("doc_id").asc_nulls_first())
-    numbered = celled.withColumn("_in", F.row_number().over(inside)).join(starts, ["_src", "_cell"]).withColumn("source_rank", F.col("_start") + F.col("_in") - 1).drop("_start", "_in", "_cell", "_key")
-
     totals = staged(counts.groupBy("_src").agg(F.sum("_n").alias("_n")), "mix-totals")
     targets = weights if cycle is None else whole_weights(weights, cycle).select("source", F.col("slots").alias("weight"))
     # bounded tables from here on: one row for each source
@@ -185,9 +183,14 @@ def mix(docs: DataFrame, weights: DataFrame, block: int = 4, cycle: int | None =
     # blocks with an earlier deadline, or with the same one of an earlier source
     before = F.aggregate(others, F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0).cast("long"), F.least(x["blocks"], _until_due(x["a"], F.col("deadline") - F.when(x["i"] > F.col("_i"), 1).otherwise(0))) - x["ran"]))
     known = by_source.join(ordered.select(F.col("x._src").alias("_src"), F.col("i").alias("_i")), "_src").select("_src", "_a", "_total", "_i")
+    # each cell gets the slots of its blocks, so that whole rows are shuffled to their cells and nowhere else
+    block_of = lambda rank: F.floor(rank / block)
+    spans = starts.withColumn("_k", F.explode(F.sequence(block_of(F.col("_start")), block_of(F.col("_start") + F.col("_n") - 1))))
+    slots = spans.join(plan, ["_src", "_k"], "left").groupBy("_src", "_cell", "_start").agg(F.array_sort(F.collect_list(F.struct("_k", "_at"))).alias("_slots"))
+    numbered = celled.withColumn("_in", F.row_number().over(inside)).join(slots.hint("merge"), ["_src", "_cell"]).withColumn("source_rank", F.col("_start") + F.col("_in") - 1)
     placed = (
-        numbered.withColumn("_k", F.floor(F.col("source_rank") / block)).join(F.broadcast(known), "_src", "left")
-        .join(plan, ["_src", "_k"], "left")
+        numbered.withColumn("_k", block_of(F.col("source_rank"))).withColumn("_at", F.get("_slots", (F.col("_k") - block_of(F.col("_start"))).cast("int"))["_at"])
+        .join(F.broadcast(known), "_src", "left")
         .withColumn("release", _whole(F.col("_k").cast("decimal(19,0)") * F.col("_total"), F.col("_a")))
         .withColumn("deadline", _due("_k"))
         .withColumn("in_mix", F.coalesce(F.col("_at") < last, F.lit(False)))
