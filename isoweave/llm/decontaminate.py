@@ -213,7 +213,10 @@ def _parts(pair: tuple[bytes, bytes], i: int, canon: Canon, way: int, overlap: i
         yield way, found, i, word, at > 0
         if end >= len(raw):
             return
-        keep = min(len(found.start), overlap + 2)
+        # a part begins at a plain word: there nothing depends on what stands before
+        at_word = max(0, len(found.start) - overlap - 2)
+        plain = np.flatnonzero(found.kinds[: at_word + 1] == 0)
+        keep = len(found.start) - (int(plain[-1]) if len(plain) and plain[-1] > 0 else at_word)
         step = int(found.start[-keep]) if 0 < keep < len(found.start) else end - at
         word += len(found.start) - (keep if step < end - at else 0)
         at += step
