@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isoweave.llm import class_lm, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, suffix_dedup, toxicity, url_rules, warc
+from isoweave.llm import class_lm, decontaminate, embedding_dedup, hard_negatives, html_text, jaccard_join, language_id, mixing, periodic_runs, suffix_dedup, toxicity, url_rules, warc
 from isoweave.llm.shared import crc_mod, table
 from isoweave.llm.sql import ORACLE_SQL as ORACLE_SQL
 
@@ -56,4 +57,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_embedding_near_dedup, op3_language_id, op4_warc_archive, op5_jaccard_join, op6_class_lm, op7_pfair_mixing, op8_suffix_dedup, op9_benchmark_leaks, op10_toxicity)}
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantised(rows.withColumn("label", label)), F.col("vec_id") % 50 == 0)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(table(spark, sf_dir, "documents"), crc_mod("doc_id", 1 << 32))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_embedding_near_dedup, op3_language_id, op4_warc_archive, op5_jaccard_join, op6_class_lm, op7_pfair_mixing, op8_suffix_dedup, op9_benchmark_leaks, op10_toxicity, op11_html_text, op12_hard_negatives, op13_periodic_runs)}

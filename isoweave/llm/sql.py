@@ -82,4 +82,19 @@ OP1 = """WITH rules(verdict, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'e
     best AS (SELECT page_id, arg_min(struct_pack(v := v, s := s), struct_pack(a := -sure, b := -share, c := -len(s), d := s)) AS b FROM known JOIN pruned ON list_has_all(t, s) WHERE verdict IS NULL GROUP BY page_id)
     SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, b.b.v, 'allow') AS verdict, array_to_string(b.b.s, ' ') AS mined_rule FROM parts p LEFT JOIN fit f USING (page_id) LEFT JOIN best b USING (page_id)"""
 
-ORACLE_SQL = {"op1_url_rules": OP1, "op2_embedding_near_dedup": OP2, "op4_warc_archive": OP4, "op5_jaccard_join": OP5, "op7_pfair_mixing": OP7, "op8_suffix_dedup": OP8}
+#: What lies in the article of a page, its tags taken out and its character references read.
+OP11 = r"""WITH article AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+    decoded AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g') AS t FROM article),
+    tidy AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+    SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM tidy"""
+
+#: All products of anchors and rows; integers below 2^53 are exact as doubles.
+OP12 = """WITH sound AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    scored AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM sound a JOIN sound r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id AND len(a.v) = len(r.v)),
+    positive AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    fit AS (SELECT p.anchor_id, positive_id, n.id AS negative_id, positive_score, n.score AS negative_score FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INT) AS rank, negative_id, positive_score, negative_score FROM fit
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) <= 3"""
+
+ORACLE_SQL = {"op1_url_rules": OP1, "op2_embedding_near_dedup": OP2, "op4_warc_archive": OP4, "op5_jaccard_join": OP5, "op7_pfair_mixing": OP7, "op8_suffix_dedup": OP8, "op11_html_text": OP11, "op12_hard_negatives": OP12}

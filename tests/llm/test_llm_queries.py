@@ -6,7 +6,7 @@ import pytest
 from isoweave.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLE = {"op1_url_rules": "pages", "op2_embedding_near_dedup": "embeddings", "op4_warc_archive": "pages"}
+TABLE = {"op1_url_rules": "pages", "op2_embedding_near_dedup": "embeddings", "op4_warc_archive": "pages", "op11_html_text": "pages"}
 
 
 @pytest.fixture(scope="module")
