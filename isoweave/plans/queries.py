@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoweave.functions import pileup, seq, trim
+from isoweave.functions import align, pileup, seq, trim
 from isoweave.operators import cluster, convert, intervals, junctions, loci, reads, runs, support, votes
 from isoweave.plans import cluster_isoforms as isoforms
 from isoweave.plans import formats as formats  # registers the queries of readers and writers
@@ -20,6 +20,28 @@ from isoweave.sources.scratch import written
 PRIMER = "ACGTTGCATTGCAC"
 
 
+#: Short reads: 100 bases from every 500th base of the sequences on, every second one from the other strand.
+PIECES = """SELECT CAST(id AS VARCHAR) || '/' || CAST(place AS VARCHAR) AS id, CASE WHEN place % 1000 = 0 THEN piece ELSE reverse(translate(piece, 'ATCG', 'TAGC')) END AS seq FROM (
+    SELECT id, place, substr(seq, CAST(place AS INT) + 1, 100) AS piece FROM (SELECT id, seq, unnest(range(0, length(seq) - 99, 500)) AS place FROM {sequences}) a) b WHERE regexp_full_match(piece, '[ACGT]+')"""
+
+
+def _pieces(get: Callable) -> DataFrame:
+    cut = F.when(F.length("seq") >= 100, F.sequence(F.lit(0), F.length("seq") - 100, F.lit(500))).otherwise(F.array().cast("array<int>"))
+    rows = get("sequences").select("id", "seq", F.explode(cut).alias("at")).withColumn("piece", F.substr("seq", F.col("at") + 1, F.lit(100))).where("piece rlike '^[ACGT]+$'")
+    return rows.select(F.concat_ws("/", F.col("id").cast("string"), F.col("at").cast("string")).alias("id"), F.when(F.col("at") % 1000 == 0, F.col("piece")).otherwise(seq.revcomp(F.col("piece"))).alias("seq"), F.lit(1.0).alias("weight"))
+
+
+@query(f"""WITH pieces AS ({PIECES}), turned AS (SELECT id, 0 AS flag, seq FROM pieces UNION ALL SELECT id, 16, reverse(translate(seq, 'ATCG', 'TAGC')) FROM pieces),
+    stretches AS (SELECT id, substr(seq, CAST(b + 1 AS INT), 1099) AS t FROM (SELECT id, seq, unnest(range(0, length(seq), 1000)) AS b FROM {{sequences}}) x),
+    windows AS (SELECT DISTINCT id, substr(t, CAST(i + 1 AS INT), 100) AS w FROM (SELECT id, t, unnest(range(0, length(t) - 99)) AS i FROM stretches) x)
+    SELECT t.id AS read_id, w.id AS long_id, CAST(t.flag AS INT) AS flag FROM turned t JOIN windows w ON w.w = t.seq""")
+def read_placements(get):
+    """Long reads that hold a short read whole, among all hits of its alignment."""
+    hits = align.align_reads(_pieces(get), get("sequences"), hits=100_000)
+    whole = hits.where(F.col("score") == align.MATCH * F.length("seq"))
+    return whole.select(F.col("qname").alias("read_id"), F.col("rname").alias("long_id"), "flag").distinct()
+
+
 # votes ---------------------------------------------------------------------------------------
 RANKED = "SELECT id, pos, allele, weight, row_number() OVER (PARTITION BY id, pos ORDER BY weight DESC, allele) AS rn, sum(weight) OVER (PARTITION BY id, pos) AS total FROM {tallied}"
 BEST = f"SELECT id, pos, allele AS best, weight AS w, total, CASE WHEN allele = 'Del' THEN '' ELSE allele END AS out FROM ({RANKED}) r WHERE rn = 1"

@@ -1,6 +1,7 @@
 """Readers and writers on small files."""
 
 import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,11 +48,34 @@ def test_lines_keep_their_order_over_files_and_splits(spark, tmp_path):
     assert [r.line_no for r in rows] == list(range(4800)) and [r.value for r in rows[::4]] == [f"@{a}" for a, _, _ in want]
 
 
-def test_shipped_votes_give_the_shipped_reads(spark):
-    """With ISOWEAVE_GOLDEN naming a folder of corrected.mod, .fa, .cov and .cov1: votes replayed give the same texts."""
-    folder = os.environ.get("ISOWEAVE_GOLDEN")
+def golden_folder():
+    """A folder of corrected.mod, .fa, .cov and .cov1: the one that ISOWEAVE_GOLDEN names, or one that lies beside the repository."""
+    beside = pathlib.Path(__file__).resolve().parents[2].glob("*/output/*/corrected.mod")
+    folder = os.environ.get("ISOWEAVE_GOLDEN") or next((str(p.parent) for p in sorted(beside)), None)
     if not folder:
         pytest.skip("no golden folder is named")
+    return folder
+
+
+def test_correction_of_the_example_gives_its_reads(spark):
+    """Long and short reads of the example, aligned and tallied: as many bases covered, and nearly all called alike."""
+    results = pathlib.Path(golden_folder())
+    data = results.parents[1] / "data"
+    long_, listed = next(data.glob("*.fa"), None), next(data.glob("*list*"), None)
+    if not long_ or not listed:
+        pytest.skip("the golden folder has no inputs")
+    shards = [sequences.read_fasta(spark, f"file://{data}/{os.path.basename(x)}").withColumn("weight", weight_of(F.col("id"))) for x in listed.read_text().split()]
+    (got,) = correct.correct(sequences.read_fasta(spark, f"file://{long_}"), shards).collect()
+    want = (results / "corrected.fa").read_text().split("\n")[1]
+    covered = int((results / "corrected.cov1").read_text().split("\t")[1])
+    assert abs(got.covered - covered) <= 3 and abs(got.len - len(want)) <= 3
+    pieces = [want[i : i + 20] in got.seq for i in range(0, len(want) - 20, 5)]
+    assert sum(pieces) >= 0.99 * len(pieces)
+
+
+def test_shipped_votes_give_the_shipped_reads(spark):
+    """Votes replayed from the golden folder give the same texts."""
+    folder = golden_folder()
     read = lambda ending: open(f"{folder}/corrected.{ending}").read()
     tallied = annotations.read_votes(spark, f"file://{folder}/corrected.mod")
     piled = votes.pileup(tallied)
