@@ -75,11 +75,22 @@ class Model:
         return (x @ self.weights) / np.sqrt(np.maximum(sizes, 1))[:, None]
 
 
-def _sample(train: DataFrame, counts: dict[str, int], each: int, seed: int) -> DataFrame:
-    """About `each` rows for each language, chosen by a hash of id and text alone."""
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, float(min(1.0, 1.2 * each / n)))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.length("text")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return train.where(draw < share)
+def _drawn(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.length("text"))
+
+
+def _sample(train: DataFrame, counts: dict[str, tuple[int, dict[int, int]]], each: int, seed: int) -> DataFrame:
+    """About `each` rows for each language, chosen by a hash of id and text length alone.
+
+    The row with the smallest hash of a language always belongs to them. Rows with one hash, as repeated
+    rows have, count once.
+    """
+    by_lang = lambda values: F.element_at(F.create_map(*[F.lit(v) for pair in values for v in pair]), F.col("lang"))
+    share = by_lang([(k, float(min(1.0, 1.2 * each / n))) for k, (n, _) in counts.items()])
+    least = by_lang([(k, first[seed]) for k, (_, first) in counts.items()])
+    rows = train.withColumn("_h", _drawn(seed))
+    draw = F.pmod("_h", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return rows.where((draw < share) | (F.col("_h") == least)).groupBy("lang", "_h").agg(F.min("text").alias("text"))
 
 
 def fit(train: DataFrame, landmarks: int = 48, rows: int = 1500, ridge: float = 1e-3, seed: int = 3) -> Model | None:
@@ -89,7 +100,8 @@ def fit(train: DataFrame, landmarks: int = 48, rows: int = 1500, ridge: float =
     both chosen by hash. Returns None when nothing can be learned from.
     """
     train = train.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    counted = train.groupBy("lang").agg(F.count("*").alias("n"), *[F.min(_drawn(x)).alias(f"first{x}") for x in (seed, seed + 1)]).collect()  # one row for each language
+    counts = {r["lang"]: (r["n"], {x: r[f"first{x}"] for x in (seed, seed + 1)}) for r in counted}
     if not counts:
         return None
     langs = sorted(counts)

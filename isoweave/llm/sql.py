@@ -28,23 +28,24 @@ OP5 = f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex
     SELECT w.doc_id, CAST(coalesce(m.copies - 1, 0) + coalesce(l.n, 0) AS BIGINT) AS n_links, coalesce(c.root, m.rep, w.doc_id) AS class_id, w.doc_id = coalesce(c.root, m.rep, w.doc_id) AS kept
     FROM words w LEFT JOIN member m ON m.doc_id = w.doc_id LEFT JOIN component c ON c.node = m.rep LEFT JOIN linked l ON l.a = m.rep"""
 
+#: The slot at virtual time v is what all sources have had by then: each the smaller of its blocks and its weight times v.
 OP7 = """WITH RECURSIVE docs AS (SELECT doc_id, source, n_chars, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(source, '')) AS h FROM documents),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(16, (SELECT count(*) FROM docs) // 8192), h, doc_id) - 1 AS source_rank FROM docs),
     sizes AS (SELECT source, count(*) AS n, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM docs GROUP BY source),
-    share AS (SELECT source, n, CAST(greatest(1, round(w / max(w) OVER () / sum(w / (SELECT max(w) FROM sizes)) OVER () * least(CAST(1125899906842624 AS DOUBLE), CAST(2305843009213693952 AS DOUBLE) / (sum((n + 3) // 4) OVER () + 2)))) AS BIGINT) AS a FROM sizes),
-    total AS (SELECT CAST(sum(a) AS BIGINT) AS total, CAST(min(((n // 4 + 1) * (SELECT CAST(sum(a) AS HUGEINT) FROM share) + a - 1) // a) AS BIGINT) AS until, list(a ORDER BY source NULLS FIRST) AS s FROM share),
-    source_number AS (SELECT source, n, a, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM share),
-    run AS (SELECT CAST(-1 AS BIGINT) AS slot, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS k, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ran FROM total
+    share AS (SELECT source, n, n // 4 AS full_blocks, CAST(greatest(1, round(w / max(w) OVER () / sum(w / (SELECT max(w) FROM sizes)) OVER () * least(CAST(1125899906842624 AS DOUBLE), CAST(2305843009213693952 AS DOUBLE) / (sum((n + 3) // 4) OVER () + 2)))) AS HUGEINT) AS a FROM sizes),
+    live AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM share WHERE full_blocks > 0),
+    edges AS (SELECT i, a, full_blocks, CAST(unnest(range(0, full_blocks + 1)) AS BIGINT) AS k FROM live),
+    reached AS (SELECT e.i, e.k, e.a, e.full_blocks, sum(least(s.full_blocks * e.a, e.k * s.a)) AS t FROM edges e CROSS JOIN live s GROUP BY e.i, e.k, e.a, e.full_blocks),
+    timed AS (SELECT i, k, CAST(t // a AS BIGINT) AS release, CAST((lead(t) OVER (PARTITION BY i ORDER BY k) + a - 1) // a AS BIGINT) AS deadline FROM reached),
+    windows AS (SELECT i, list(struct_pack(r := release, d := deadline) ORDER BY k) AS w FROM timed WHERE deadline IS NOT NULL GROUP BY i),
+    everything AS (SELECT list(w ORDER BY i) AS w, sum(len(w)) AS last FROM windows),
+    run AS (SELECT CAST(-1 AS BIGINT) AS slot, list_transform(w, lambda x: CAST(0 AS BIGINT)) AS k, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ran FROM everything
         UNION ALL SELECT slot + 1, list_transform(range(1, len(k) + 1), lambda j: k[j] + CASE WHEN j = p.i THEN 1 ELSE 0 END), p.i, k[p.i] FROM (
-            SELECT r.slot, r.k, list_min(list_filter(list_transform(range(1, len(r.k) + 1), lambda j: {'d': ((r.k[j] + 1) * t.total + t.s[j] - 1) // t.s[j], 'i': j, 'r': r.k[j] * t.total // t.s[j]}), lambda x: x.r <= r.slot + 1)) AS p FROM run r, total t WHERE r.slot + 1 < t.until) q),
-    plan AS (SELECT slot, i, ran AS k FROM run WHERE slot >= 0),
-    stop AS (SELECT min(p.slot) AS stop FROM plan p JOIN source_number s ON s.i = p.i AND p.k = s.n // 4),
-    blocks AS (SELECT s.i, s.source, CAST(unnest(range(0, (s.n + 3) // 4)) AS BIGINT) AS k, s.a FROM source_number s),
-    timed AS (SELECT b.*, CAST(CAST(k AS HUGEINT) * total // a AS BIGINT) AS release, CAST((CAST(k + 1 AS HUGEINT) * total + a - 1) // a AS BIGINT) AS deadline FROM blocks b, total),
-    placed AS (SELECT t.*, p.slot, coalesce(p.slot < stop, false) AS in_mix, stop FROM timed t CROSS JOIN stop LEFT JOIN plan p ON p.i = t.i AND p.k = t.k),
-    slots AS (SELECT *, CASE WHEN in_mix THEN slot ELSE stop + row_number() OVER (PARTITION BY in_mix ORDER BY deadline, i) - 1 END AS mix_slot FROM placed)
-    SELECT r.doc_id, r.source, r.n_chars, CAST(r.source_rank AS BIGINT) AS source_rank, CAST(s.mix_slot AS BIGINT) AS mix_slot, s.release, s.deadline, CAST(s.mix_slot * 4 + r.source_rank % 4 AS BIGINT) AS mix_pos, s.in_mix
-    FROM ranked r JOIN slots s ON s.source IS NOT DISTINCT FROM r.source AND s.k = r.source_rank // 4"""
+            SELECT r.slot, r.k, list_min(list_transform(list_filter(range(1, len(r.k) + 1), lambda j: r.k[j] < len(e.w[j]) AND e.w[j][r.k[j] + 1].r <= r.slot + 1), lambda j: {'d': e.w[j][r.k[j] + 1].d, 'i': j})) AS p FROM run r, everything e WHERE r.slot + 1 < e.last) q),
+    placed AS (SELECT s.source, r.ran AS k, r.slot, t.release, t.deadline FROM run r JOIN live s ON s.i = r.i JOIN timed t ON t.i = r.i AND t.k = r.ran WHERE r.slot >= 0),
+    tails AS (SELECT source, coalesce((SELECT last FROM everything), 0) + row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tail FROM share WHERE n % 4 > 0)
+    SELECT r.doc_id, r.source, r.n_chars, CAST(r.source_rank AS BIGINT) AS source_rank, CAST(coalesce(p.slot, t.tail) AS BIGINT) AS mix_slot, p.release, p.deadline, CAST(coalesce(p.slot, t.tail) * 4 + r.source_rank % 4 AS BIGINT) AS mix_pos, p.slot IS NOT NULL AS in_mix
+    FROM ranked r LEFT JOIN placed p ON p.source IS NOT DISTINCT FROM r.source AND p.k = r.source_rank // 4 LEFT JOIN tails t ON t.source IS NOT DISTINCT FROM r.source"""
 
 #: Texts as hexadecimal digits; every window of 100 bytes, cut out of overlapping stretches of a text.
 OP8 = """WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS t FROM documents),

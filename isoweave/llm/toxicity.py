@@ -28,7 +28,7 @@ PATTERNS = {
     "x:masked": re.compile(r"\b\w+[*@$#]+\w+\b"),
     "x:address": re.compile(r"\byou(?:\s+\w+){0,3}\s+(?:are|re|is)\b|\byou're\b", re.I),
     "x:suchas": re.compile(r"\bsuch\s+an?\b|\bwhat\s+an?\b", re.I),
-    "x:symbols": re.compile(r"(?:\w+[#$%&*]{3}[\s,.]+){3}"),
+    "x:symbols": re.compile(r"\b(?:\w+[#$%&*]{3}[\s,.]+){3}"),  # from the begin of a word, so that each is read once
 }
 PREFIX = 5
 SPOOL = 200_000
