@@ -78,7 +78,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Orders all documents by Pfair slots towards weights that favour small sources; drops none.
 
-    Adds the columns of mixing.mix() behind those of documents, and replaces columns of their names.
+    Adds the columns of mixing.mix() behind those of documents; a column of one of their names stays as `<name>_given`.
     """
     return mixing.mix(docs, mixing.flattened_weights(docs))
 
