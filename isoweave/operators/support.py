@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isoweave.functions.seq import overlap_length
+from isoweave.functions.seq import fixed3, overlap_length
+from isoweave.operators.coverage import overlay, totals
 from isoweave.operators.intervals import first_by, merge, neighbour_window, range_join
+from isoweave.sources.scratch import written
 
 KEYS = ["chr", "strand"]
 
@@ -89,69 +88,50 @@ def last_exons(tx: DataFrame) -> DataFrame:
     return tx.groupBy(*KEYS, "gene").agg(F.abs(F.max(start)).alias("s"), F.abs(F.max(end)).alias("e"))
 
 
-def covered(ranges: DataFrame, coverage: DataFrame, keys: list[str], width: int = 10_000) -> DataFrame:
-    """Adds total: the sum of value over the bases of [s, e) of each range; clipped, not exploded."""
-    c = coverage.select(*keys, F.col("start").alias("_cs"), F.col("end").alias("_ce"), "value")
-    part = F.col("value") * F.greatest(F.least("e", "_ce") - F.greatest("s", "_cs"), F.lit(0))
-    one = ranges.distinct()
-    joined = range_join(one, c, keys, F.lit(True), (F.col("s"), F.col("e")), (F.col("_cs"), F.col("_ce")), width)
-    sums = joined.groupBy(*[F.col(x).alias(f"_r_{x}") for x in ranges.columns]).agg(F.sum(part).alias("total"))
-    same = reduce(and_, [F.col(x).eqNullSafe(F.col(f"_r_{x}")) for x in ranges.columns])
-    return ranges.join(sums, same, "left").select(*ranges.columns, F.coalesce("total", F.lit(0)).alias("total"))
+def covered(ranges: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds total: the sum of the values of the bases in [s, e) of each range; the last row over a base counts."""
+    sums = totals(overlay(coverage.select(*keys, *_spans(coverage)), keys), keys, ranges.select(*keys, "s", "e").distinct(), F.col("s"), F.col("e"))
+    return ranges.join(sums, [*keys, "s", "e"], "left").select(*ranges.columns, F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def _spans(coverage: DataFrame) -> list[str]:
+    return [c for c in ("start", "end", "value", "line_no") if c in coverage.columns]
 
 
-def full_3end(exons: DataFrame, coverage: DataFrame, window: int = 100, cutoff: float = 0.05, mincov: float = 1, reach: int = 10_000) -> DataFrame:
+def full_3end(exons: DataFrame, coverage: DataFrame, window: int = 100, cutoff: float = 0.05, mincov: float = 1, steps: int = 16) -> DataFrame:
     """Adds means (of the exon, then of windows beyond it), ext and is_full to the last exons.
 
     Windows of `window` bases follow the 3' end in steps of half a window as long as their mean is
     above `cutoff` of the exon's; the locus is complete if coverage falls below `mincov` within two
-    steps. Coverage values count as int(1 + value) and means as three decimals. `coverage` has one
-    value for each base and strand. What lies within `reach` of the 3' end is looked at first; loci
-    whose coverage goes on for longer are looked at again with eight times the reach, to its end.
-    Loci on a chr without any coverage are left out.
+    steps. Coverage values count as int(1 + value), of rows over one base the last, and means as three
+    decimals. Coverage becomes a step function once; windows are rows, and a mean is the
+    difference of two of its sums. `steps` windows of each locus are looked at first; loci whose
+    coverage goes on go on from there with four times as many. Loci on a chr without any coverage
+    are left out. Exons must differ by chr, strand and gene.
     """
+    names = exons.columns
     known = exons.join(coverage.select("chr").distinct(), "chr", "left_semi")
-    done = None
-    while True:
-        found = _decay(known, coverage, window, cutoff, mincov, reach)
-        part = found.where("not _open").drop("_open")
-        done = part if done is None else done.unionByName(part)
-        rest = found.where("_open").select(*exons.columns)
-        if rest.isEmpty():
-            return done
-        known, reach = rest, 8 * reach
-
-
-def _decay(exons: DataFrame, coverage: DataFrame, window: int, cutoff: float, mincov: float, reach: int) -> DataFrame:
-    value = F.floor(1 + F.col("value"))
-    c = coverage.select(*KEYS, F.col("start").alias("_cs"), F.col("end").alias("_ce"), value.alias("_v"))
-    plus = F.col("strand") == "+"
-    lo = F.when(plus, F.col("s")).otherwise(F.col("s") - reach - 2 * window)
-    hi = F.when(plus, F.col("e") + reach + 2 * window).otherwise(F.col("e"))
-    joined = range_join(exons, c, KEYS, F.lit(True), (lo, hi), (F.col("_cs"), F.col("_ce")), 10_000, how="left")
-    grouped = joined.groupBy(*exons.columns).agg(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_cs", "_ce", "_v"))).alias("cov"))
-    step = window // 2
-
-    def decay(batches):
-        for b in batches:
-            rows = []
-            for r in b.itertuples():
-                parts = [(x["_cs"], x["_ce"], x["_v"]) for x in r.cov]
-                mean = lambda a, z, n: float("%.3f" % (sum(v * max(0, min(z, e) - max(a, s)) for s, e, v in parts) / n)) if n else 0.0
-                level = mean(r.s, r.e + 1, r.e - r.s)
-                means, n = [level], 0
-                while means[-1] > cutoff * level and n * step < reach:
-                    n += 1
-                    at = r.e - step + step * n if r.strand == "+" else r.s + step - step * n - window + 1
-                    means.append(mean(at, at + window, window))
-                drop = next((i for i, m in enumerate(means) if m < mincov), 0)
-                rows.append((means, len(means) - 1, drop <= 2, means[-1] > cutoff * level))
-            out = b.drop(columns="cov")
-            out["means"], out["ext"], out["is_full"], out["_open"] = ([x[i] for x in rows] for i in range(4))
-            yield out
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in exons.schema.fields)
-    return grouped.mapInPandas(decay, f"{schema}, means array<double>, ext int, is_full boolean, _open boolean")
+    step = written(overlay(coverage.select(*KEYS, *_spans(coverage)).withColumn("value", F.floor(1 + F.col("value"))), KEYS), "coverage-steps")
+    size = F.col("e") - F.col("s")
+    level = F.when(size != 0, fixed3(F.col("total") / size).cast("double")).otherwise(0.0)
+    far = totals(step, KEYS, known.select(*KEYS, "gene", "s", "e"), F.col("s"), F.col("e") + 1).select(*KEYS, "gene", level.alias("level"))
+    left = written(known.join(far, [*KEYS, "gene"]).withColumn("means", F.array("level")), "coverage-levels")
+    done, at = left.where(F.col("level") <= cutoff * F.col("level")), 0
+    left = left.where(F.col("level") > cutoff * F.col("level"))
+    while not left.isEmpty():
+        n = F.explode(F.sequence(F.lit(at + 1), F.lit(at + steps)))
+        begin = F.when(F.col("strand") == "+", F.col("e") - window // 2 + window // 2 * F.col("n")).otherwise(F.col("s") + window // 2 - window // 2 * F.col("n") - window + 1)
+        windows = left.select(*KEYS, "gene", "s", "e", n.alias("n")).withColumn("begin", begin).select(*KEYS, "gene", "n", "begin")
+        means = totals(step, KEYS, windows, F.col("begin"), F.col("begin") + window).withColumn("mean", fixed3(F.col("total") / window).cast("double"))
+        listed = means.groupBy(*KEYS, "gene").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "mean"))), lambda x: x["mean"]).alias("_more"))
+        low = F.array_position(F.transform("_more", lambda m: (m <= cutoff * F.col("level")).cast("int")), 1)
+        found = left.join(listed, [*KEYS, "gene"]).withColumn("_low", low.cast("int")).withColumn("means", F.concat("means", F.slice("_more", F.lit(1), F.when(F.col("_low") > 0, F.col("_low")).otherwise(F.size("_more")))))
+        found = written(found.select(*names, "level", "means", (F.col("_low") == 0).alias("_open")), "coverage-windows")
+        done = done.unionByName(found.where("not _open").drop("_open"))
+        left = found.where("_open").drop("_open")
+        at, steps = at + steps, 4 * steps
+    drop = F.array_position(F.transform("means", lambda m: (m < mincov).cast("int")), 1)
+    return done.select(*names, "means", (F.size("means") - 1).alias("ext"), (drop <= 3).alias("is_full"))
 
 
 def route_by_3end(tx: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -173,7 +153,8 @@ def end_report(verdicts: DataFrame) -> DataFrame:
 def flt_windows(borders: DataFrame, coverage: DataFrame, window: int = 1000, share: float = 0.05, compat: bool = True) -> DataFrame:
     """Coverage inside each locus and in the window around it, and where it passes `share` of its peak.
 
-    `borders` has chr, left, right, gl, strand, start, end; `coverage` has chr, start, end, value.
+    `borders` has chr, left, right, gl, strand, start, end and differs by chr, strand, gl and start;
+    `coverage` has chr, start, end, value and line_no, which says what row over a base is the last.
     Counts weigh the length of a coverage row by its overlap plus one. A locus alone on its strand has
     no neighbour: with `compat` its window shrinks into it by a third of its length.
     """
@@ -183,22 +164,23 @@ def flt_windows(borders: DataFrame, coverage: DataFrame, window: int = 1000, sha
     if compat:
         wide = wide.withColumn("win", F.when(alone, ((s - e) / 3).cast("long")).otherwise(F.col("win")))
     wide = wide.withColumn("win_start", s - F.col("win")).withColumn("win_end", e + F.col("win")).drop("prev_gap", "next_gap")
-    c = coverage.select("chr", F.col("start").alias("cs"), F.col("end").alias("ce"), "value")
+    c = coverage.select("chr", F.col("start").alias("cs"), F.col("end").alias("ce"), *_spans(coverage)[2:])
     outer = (F.least("left", "win_start"), F.greatest("right", "win_end"))
-    met = range_join(wide, c, ["chr"], F.lit(True), outer, (F.col("cs"), F.col("ce")), 10_000)
     inside = overlap_length(F.col("cs"), F.col("ce"), F.col("left"), F.col("right"))
     around = overlap_length(F.col("cs"), F.col("ce"), F.col("win_start"), F.col("win_end"))
-    met = met.withColumn("o1", inside).withColumn("o2", around).where((F.col("o1") > 0) | (F.col("o2") > 0))
+    met = range_join(wide, c, ["chr"], F.lit(True), outer, (F.col("cs"), F.col("ce")), 10_000)
+    met = written(met.withColumn("o1", inside).withColumn("o2", around).where((F.col("o1") > 0) | (F.col("o2") > 0)), "locus-coverage")
     is_in, size = F.col("o1") > 0, F.col("ce") - F.col("cs")
     keys = wide.columns
     sums = met.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(is_in, F.col("value"))), F.lit(1.0)).alias("cov_in"), F.coalesce(F.max(F.when(~is_in, F.col("value"))), F.lit(0.0)).alias("cov_out"),
         F.coalesce(F.sum(F.when(is_in, size * F.col("o1"))), F.lit(1)).alias("cnt_in"), F.coalesce(F.sum(F.when(~is_in, size * F.col("o2"))), F.lit(0)).alias("cnt_out"))
-    # a second aggregation looks at the rows above a share of the peak that the first one has found
-    limit = sums.select(*[F.col(x).alias(f"_k_{x}") for x in keys], (share * F.greatest("cov_in", "cov_out")).alias("_limit"))
-    same = lambda p: reduce(and_, [F.col(x).eqNullSafe(F.col(f"{p}{x}")) for x in keys])
-    strong = met.join(limit, same("_k_")).where(F.col("value") > F.col("_limit")).groupBy(*[F.col(x).alias(f"_s_{x}") for x in keys]).agg(F.min("cs").alias("_l"), F.max(F.col("ce") - 1).alias("_r"))
-    return sums.join(strong, same("_s_"), "left").select(
+    # a base has the value of the last row over it that meets the locus; whole rows count, not their overlap
+    own = ["chr", "strand", "gl", "start"]
+    pieces = overlay(met.select(*own[:-1], F.col("start").alias("_locus"), F.col("cs").alias("start"), F.col("ce").alias("end"), "value", *(["line_no"] if "line_no" in met.columns else [])), [*own[:-1], "_locus"])
+    limit = sums.select(*own[:-1], F.col("start").alias("_locus"), (share * F.greatest("cov_in", "cov_out")).alias("_limit"))
+    strong = pieces.join(limit, [*own[:-1], "_locus"]).where(F.col("value") > F.col("_limit")).groupBy(*own[:-1], "_locus").agg(F.min("s").alias("_l"), F.max(F.col("e") - 1).alias("_r")).withColumnRenamed("_locus", "start")
+    return sums.join(strong, own, "left").select(
         *keys, "cov_in", "cov_out", (F.col("cov_out") / F.col("cov_in")).alias("cov_ratio"), "cnt_in", "cnt_out", (F.col("cnt_out") / F.col("cnt_in")).alias("cnt_ratio"),
         F.coalesce("_l", F.lit(-1)).alias("new_left"), F.coalesce("_r", F.lit(-1)).alias("new_right"))
 

@@ -148,7 +148,7 @@ def bedgraph_scan(get):
         body = c.where(F.col("chr") % 3 == k).select(F.concat_ws(" ", F.concat(F.lit("chr"), "chr"), F.col("start").cast("string"), F.col("end").cast("string"), F.col("value").cast("string")).alias("value"))
         lines = c.sparkSession.createDataFrame([(head,)], "value string").unionByName(body).coalesce(1) if head else body  # a track is one file
         paths.append(put(lines, "bedgraph"))
-    return annotations.read_bedgraph(c.sparkSession, paths)
+    return annotations.read_bedgraph(c.sparkSession, paths).drop("line_no")
 
 
 @query('SELECT \'chr\' || CAST(chr AS VARCHAR) AS chr, strand, "start", max("end") AS "end", max("end") + 5 AS "right" FROM {peaks} GROUP BY chr, strand, "start"')

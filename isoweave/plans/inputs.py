@@ -36,9 +36,9 @@ SQL = {
     "peaks": """SELECT CAST(user_id % 8 AS INT) AS chr, CASE WHEN event_type = 'click' THEN '+' ELSE '-' END AS strand, CAST((event_id * 97) % 1000000 AS BIGINT) AS "start",
         CAST((event_id * 97) % 1000000 + 5 + user_id % 9 AS BIGINT) AS "end", CAST(floor(value) AS DOUBLE) AS score, event_id AS line_no FROM events""",
     "coverage": """SELECT CAST(user_id % 8 AS INT) AS chr, CAST((event_id * 131) % 1000000 AS BIGINT) AS "start", CAST((event_id * 131) % 1000000 + 20 + user_id % 30 AS BIGINT) AS "end",
-        CAST(floor(value) AS DOUBLE) AS value FROM events""",
+        CAST(floor(value) AS DOUBLE) AS value, event_id AS line_no FROM events""",
     # coverage that goes on for some while, on both strands
-    "deep": """SELECT chr, CASE WHEN "start" % 2 = 0 THEN '+' ELSE '-' END AS strand, "start", CASE WHEN "start" % 7 = 0 THEN "start" + 1500 ELSE "end" END AS "end", value FROM {coverage}""",
+    "deep": """SELECT chr, CASE WHEN "start" % 2 = 0 THEN '+' ELSE '-' END AS strand, "start", CASE WHEN "start" % 7 = 0 THEN "start" + 1500 ELSE "end" END AS "end", value, line_no FROM {coverage}""",
     "borders": """SELECT chr, strand, pos, sum(score) AS score FROM (SELECT chr, strand, "left" AS pos, score FROM {known} UNION ALL SELECT chr, strand, "right" AS pos, score FROM {known}) b GROUP BY chr, strand, pos""",
     # sequences: letters of the documents as bases
     "sequences": """SELECT doc_id AS id, translate(replace(replace(text, ' ', ''), chr(10), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzéèêçäöüßñóíÉÈÊÇÄÖÜÑÓÍ', 'ACGTACGTACGTACGTACGTACGTANACGTACGTACGTACGTACGTACGTANNNNNNNNNNNNNNNNNNNNNN') AS seq FROM documents""",

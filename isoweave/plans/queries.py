@@ -394,7 +394,15 @@ def last_exon(get):
     return support.last_exons(transcripts(get)).select("gene", "chr", "strand", "s", "e")
 
 
-@query("SELECT x.tx, x.s, x.e, coalesce(sum(c.value * (least(x.e, c.\"end\") - greatest(x.s, c.\"start\"))), 0) AS total FROM {exons} x LEFT JOIN {coverage} c ON x.chr = c.chr AND c.\"start\" < x.e AND x.s < c.\"end\" GROUP BY x.tx, x.s, x.e")
+def _pieces_of(table: str, keys: str) -> str:
+    """SQL: the pieces between all borders of coverage rows, with the value of the last row over each."""
+    same = " AND ".join(f"r.{k} = b.{k}" for k in keys.split(", "))
+    each = ", ".join(f"b.{k}" for k in keys.split(", "))
+    return f"""SELECT {each}, b.s AS "start", b.e AS "end", arg_max(r.value, r.line_no) AS value FROM (SELECT {keys}, p AS s, lead(p) OVER (PARTITION BY {keys} ORDER BY p) AS e FROM (
+        SELECT {keys}, "start" AS p FROM {table} UNION SELECT {keys}, "end" FROM {table}) q) b JOIN {table} r ON {same} AND r."start" <= b.s AND r."end" >= b.e GROUP BY {each}, b.s, b.e"""
+
+
+@query(f"WITH c AS ({_pieces_of('{coverage}', 'chr')}) SELECT x.tx, x.s, x.e, coalesce(sum(c.value * (least(x.e, c.\"end\") - greatest(x.s, c.\"start\"))), 0) AS total FROM {{exons}} x LEFT JOIN c ON x.chr = c.chr AND c.\"start\" < x.e AND x.s < c.\"end\" GROUP BY x.tx, x.s, x.e")
 def exon_coverage(get):
     x = get("exons").select("tx", "chr", "s", "e")
     return support.covered(x, get("coverage"), ["chr"]).select("tx", "s", "e", "total")
@@ -414,7 +422,7 @@ def _borders(get: Callable) -> DataFrame:
 OVER = lambda s, e: f"CASE WHEN least(c.\"end\", {e}) > greatest(c.\"start\", {s}) THEN least(c.\"end\", {e}) - greatest(c.\"start\", {s}) + 1 ELSE -1 END"
 
 
-WINDOWED = f"""SELECT * FROM (SELECT b.gl, b.chr, b.win, c."start" AS cs, c."end" AS ce, c.value, c."end" - c."start" AS size, {OVER('b."start"', 'b."end"')} AS o1, {OVER('b."start" - b.win', 'b."end" + b.win')} AS o2 FROM (
+WINDOWED = f"""SELECT * FROM (SELECT b.gl, b.chr, b.win, c."start" AS cs, c."end" AS ce, c.value, c.line_no, c."end" - c."start" AS size, {OVER('b."start"', 'b."end"')} AS o1, {OVER('b."start" - b.win', 'b."end" + b.win')} AS o2 FROM (
     SELECT *, CASE WHEN a IS NULL AND z IS NULL THEN CAST(trunc(("start" - "end") / 3.0) AS BIGINT) WHEN least(a, z) <= 2000 THEN CAST(trunc(least(a, z) / 3.0) AS BIGINT) ELSE 1000 END AS win FROM (
     SELECT chr, "start", "end", CAST(chr AS VARCHAR) || '_' || strand || '_' || CAST("start" AS VARCHAR) AS gl, "start" - lag("end") OVER w AS a, lead("start") OVER w - "end" AS z FROM ({LOCI}) l WINDOW w AS (PARTITION BY chr, strand ORDER BY "start")) g) b
     JOIN {{coverage}} c ON b.chr = c.chr) x WHERE o1 > 0 OR o2 > 0"""
@@ -430,7 +438,7 @@ def flt_inside_outside(get):
 LAST = """(SELECT chr, strand, gene, CASE WHEN strand = '+' THEN max(ls) ELSE min(fs) END AS s, CASE WHEN strand = '+' THEN max(le) ELSE min(fe) END AS e FROM (
     SELECT tx, chr, strand, 'g' || CAST(min(s) // 2000 AS VARCHAR) AS gene, max(s) AS ls, max(e) AS le, min(s) AS fs, min(e) AS fe FROM {exons} GROUP BY tx, chr, strand) x GROUP BY gene, chr, strand)"""
 #: One step of the walk beyond the 3' end after the other, for all loci at once.
-DECAY = f"""WITH RECURSIVE c AS (SELECT chr, strand, "start", "end", floor(1 + value) AS v FROM {{deep}}), x AS (SELECT * FROM {LAST} l WHERE chr IN (SELECT chr FROM c)),
+DECAY = f"""WITH RECURSIVE c AS (SELECT chr, strand, "start", "end", floor(1 + value) AS v FROM ({_pieces_of('{deep}', 'chr, strand')}) p), x AS (SELECT * FROM {LAST} l WHERE chr IN (SELECT chr FROM c)),
     exon AS (SELECT x.chr, x.strand, x.gene, x.s, x.e, CAST(printf('%.3f', coalesce(sum(v * greatest(least(x.e + 1, c."end") - greatest(x.s, c."start"), 0)), 0) / (x.e - x.s)) AS DOUBLE) AS level FROM x LEFT JOIN c ON c.chr = x.chr AND c.strand = x.strand AND c."start" < x.e + 1 AND c."end" > x.s GROUP BY x.chr, x.strand, x.gene, x.s, x.e),
     walk AS (SELECT chr, strand, gene, s, e, level, CAST(0 AS INT) AS n, level AS mean FROM exon
         UNION ALL SELECT w.chr, w.strand, w.gene, w.s, w.e, w.level, w.n + 1, CAST(printf('%.3f', coalesce(sum(v * greatest(least(place + 100, c."end") - greatest(place, c."start"), 0)), 0) / 100) AS DOUBLE) FROM (
@@ -439,7 +447,7 @@ DECAY = f"""WITH RECURSIVE c AS (SELECT chr, strand, "start", "end", floor(1 + v
 
 
 def _deep(get: Callable) -> DataFrame:
-    return support.full_3end(support.last_exons(transcripts(get)), get("deep"), reach=500)
+    return support.full_3end(support.last_exons(transcripts(get)), get("deep"), steps=8)
 
 
 @query(f"{DECAY} SELECT chr, strand, gene, s, e, ext, level, last_mean, is_full FROM verdict")
@@ -530,6 +538,8 @@ def shard_list(get):
     return reads.file_list(get("votes").select(F.concat(F.lit("shard_"), "shard").alias("path")))
 
 
-@query(f"SELECT gl, chr, new_left, new_right FROM (SELECT gl, chr, coalesce(min(CASE WHEN value > 0.05 * top THEN cs END), -1) AS new_left, coalesce(max(CASE WHEN value > 0.05 * top THEN ce - 1 END), -1) AS new_right FROM (SELECT *, greatest(coalesce(max(CASE WHEN o1 > 0 THEN value END) OVER (PARTITION BY gl), 1), coalesce(max(CASE WHEN o1 <= 0 THEN value END) OVER (PARTITION BY gl), 0)) AS top FROM ({WINDOWED}) w) t GROUP BY gl, chr) z")
+@query(f"""WITH met AS ({WINDOWED}), top AS (SELECT gl, chr, greatest(coalesce(max(CASE WHEN o1 > 0 THEN value END), 1), coalesce(max(CASE WHEN o1 <= 0 THEN value END), 0)) AS top FROM met GROUP BY gl, chr),
+    seen AS (SELECT gl, cs AS "start", ce AS "end", value, line_no FROM met), pieces AS ({_pieces_of('seen', 'gl')})
+    SELECT t.gl, t.chr, coalesce(min(CASE WHEN value > 0.05 * top THEN "start" END), -1) AS new_left, coalesce(max(CASE WHEN value > 0.05 * top THEN "end" - 1 END), -1) AS new_right FROM top t LEFT JOIN pieces p ON p.gl = t.gl GROUP BY t.gl, t.chr""")
 def flt_new_borders(get):
     return support.flt_windows(_borders(get), get("coverage")).select("gl", "chr", "new_left", "new_right")

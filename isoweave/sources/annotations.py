@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoweave.functions.seq import fixed2, fixed3, plain_number
-from isoweave.sources.text import columns, int_array, last_by_key, lines, with_chr
+from isoweave.sources.text import columns, int_array, last_by_key, lines, numbered, with_chr
 
 REFFLAT = ("gene", "tx", "chr", "strand", "tx_start", "tx_end", "cds_start", "cds_end", "n_exon", "exon_starts", "exon_ends", "members")
 
@@ -55,18 +55,18 @@ def write_bed12(df: DataFrame, path: str, track: str) -> None:
 
 
 def read_bedgraph(spark: SparkSession, paths: str | list[str], swap: bool = False) -> DataFrame:
-    """chr, start, end, value, strand; the track line of each file names its strand.
+    """chr, start, end, value, strand, line_no; the track line of each file names its strand.
 
     A `plus` track covers the minus strand and the other way round, unless `swap`. Files without such
     a track line are left out.
     """
-    raw = spark.read.text(paths).select(F.input_file_name().alias("file"), "value")
+    raw = numbered(spark, paths).select("file", "line_no", "value")
     plus, minus = ("+", "-") if swap else ("-", "+")
     named = F.when(F.contains("value", F.lit("plus")), plus).when(F.contains("value", F.lit("minus")), minus)
     strand = raw.where(F.col("value").startswith("track")).groupBy("file").agg(F.max(named).alias("strand")).where("strand is not null")
     c = F.split("value", r"\s+")
     return raw.where(~F.col("value").startswith("track")).join(strand, "file").select(
-        F.get(c, F.lit(0)).alias("chr"), F.get(c, F.lit(1)).cast("long").alias("start"), F.get(c, F.lit(2)).cast("long").alias("end"), F.get(c, F.lit(3)).cast("double").alias("value"), "strand")
+        F.get(c, F.lit(0)).alias("chr"), F.get(c, F.lit(1)).cast("long").alias("start"), F.get(c, F.lit(2)).cast("long").alias("end"), F.get(c, F.lit(3)).cast("double").alias("value"), "strand", "line_no")
 
 
 def read_borders(spark: SparkSession, paths: str | list[str]) -> DataFrame:

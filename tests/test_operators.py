@@ -194,7 +194,7 @@ def test_islands_over_many_cells(spark):
 def test_decay_goes_on_to_the_end_of_coverage(spark):
     x = spark.createDataFrame([("c", s, "g", 100_000, 101_000) for s in "+-"], "chr string, strand string, gene string, s long, e long")
     cov = spark.createDataFrame([("c", "+", 100_000, 190_000, 9.0), ("c", "-", 20_000, 101_000, 9.0)], "chr string, strand string, start long, end long, value double")
-    got = {r.strand: r for r in support.full_3end(x, cov, reach=1000).collect()}
+    got = {r.strand: r for r in support.full_3end(x, cov, steps=4).collect()}
     assert not got["+"].is_full and not got["-"].is_full
     # 89 000 bases in steps of 50, then windows that reach beyond the end by half
     assert abs(got["+"].ext - 89_000 / 50) <= 3 and abs(got["-"].ext - 80_000 / 50) <= 3 and got["+"].means[-1] == 0.0
