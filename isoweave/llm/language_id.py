@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3)
 CHUNK = 1 << 20
+#: N-grams of the landmarks that are multiplied at once.
+BLOCK = 1 << 14
 BITS = np.uint64(21)  # a code point and the symbol of all non-letters fit
 LETTER = regex.compile(r"\p{L}")
 LETTERS: list[np.ndarray] = []
@@ -52,15 +54,20 @@ def spectrum(text: str) -> np.ndarray:
     return parts[0] if len(parts) == 1 else distinct(np.concatenate(parts))
 
 
+def known(text: str, keep: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of a text's n-grams among `keep`, and the number of its distinct n-grams."""
+    ids = spectrum(text)
+    at = np.minimum(np.searchsorted(keep, ids), len(keep) - 1)
+    return at[keep[at] == ids], len(ids)
+
+
 def presence(texts: list[str | None], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Presence of the `keep` n-grams by text, and each text's number of distinct n-grams."""
     out, sizes = np.zeros((len(texts), len(keep)), dtype=np.float32), np.zeros(len(texts))
     for k, t in enumerate(texts):
         if t:
-            ids = spectrum(t)
-            at = np.minimum(np.searchsorted(keep, ids), len(keep) - 1)
-            out[k, at[keep[at] == ids]] = 1
-            sizes[k] = len(ids)
+            at, sizes[k] = known(t, keep)
+            out[k, at] = 1
     return out, sizes
 
 
@@ -116,33 +123,36 @@ def fit(train: DataFrame, landmarks: int = 48, rows: int = 1500, ridge: float =
     if not found:
         return None
     keep = np.unique(np.concatenate([np.asarray(r["ids"], dtype=np.uint64) for r in found]))
-    sets = np.zeros((len(found), len(keep)), dtype=np.float32)
+    held = np.zeros((len(keep), len(found)), dtype=np.uint8)  # which landmark has which n-gram
     for k, r in enumerate(found):
-        sets[k, np.searchsorted(keep, np.asarray(r["ids"], dtype=np.uint64))] = 1
-    unit = sets / np.sqrt(sets.sum(axis=1))[:, None]
-    kernel = (unit @ unit.T).astype(np.float64)
-    value, vector = np.linalg.eigh(kernel)
+        held[np.searchsorted(keep, np.asarray(r["ids"], dtype=np.uint64)), k] = 1
+    blocks = [slice(x, x + BLOCK) for x in range(0, len(keep), BLOCK)]
+    common = sum(held[x].astype(np.float32).T @ held[x].astype(np.float32) for x in blocks).astype(np.float64)
+    length = np.sqrt(np.diag(common))
+    value, vector = np.linalg.eigh(common / np.outer(length, length))
     large = value > 1e-6 * value.max()
-    features = unit.T.astype(np.float64) @ (vector[:, large] / np.sqrt(value[large]))  # n-gram to Nystroem feature
+    project = vector[:, large] / np.sqrt(value[large]) / length[:, None]  # common n-grams with each landmark to Nystroem features
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = features.shape[1]
+        d = project.shape[1]
         total = np.zeros((d, d + len(langs)))
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                x, size = presence(part.column(0).to_pylist(), keep)
-                z = (x @ features) / np.sqrt(np.maximum(size, 1))[:, None]
+                z = np.empty((part.num_rows, d))
+                for k, text in enumerate(part.column(0).to_pylist()):
+                    at_, size = known(text, keep)
+                    z[k] = held[at_].sum(axis=0, dtype=np.int64) @ project / np.sqrt(max(size, 1))
                 y = np.array([[lang == k for k in langs] for lang in part.column(1).to_pylist()], dtype=np.float64)
                 total += z.T @ np.hstack([z, y])
         yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
     parts = _sample(train, counts, rows, seed + 1).select("text", "lang").repartition(8).mapInArrow(sums, "total binary").collect()
-    d = features.shape[1]
+    d = project.shape[1]
     total = sum(np.frombuffer(r["total"]).reshape(d, d + len(langs)) for r in parts)
     gram, aim = total[:, :d], total[:, d:]
     solved = np.linalg.solve(gram + ridge * np.trace(gram) / d * np.eye(d), aim)
-    return Model(langs, keep, (features @ solved).astype(np.float32))
+    return Model(langs, keep, np.concatenate([held[x].astype(np.float64) @ (project @ solved) for x in blocks]).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
