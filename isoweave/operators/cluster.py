@@ -1,109 +1,151 @@
-"""Isoforms of a locus: reads with one junction pattern over what they span are one isoform."""
+"""Isoforms of a locus: reads with one junction pattern over what they span are one isoform.
 
-from __future__ import annotations
+The slots of a locus are its junctions in order. What decides where a read goes is which slots it
+uses, which it spans, its 3' end and whether a peak is near its 5' end. Reads that agree in all of
+that are a class: they are collapsed first, the greedy pass of a locus takes its classes, and their
+reads are joined back afterwards.
+"""
 
-from collections import Counter
+from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isoweave.operators.intervals import first_by
+from isoweave.sources.scratch import written
+
 FUZZY = 10
 NEAR = 100
-OUT = "chr {c}, strand string, start long, end long, tx string, status string, tx_start long, tx_end long, exon_starts array<long>, exon_ends array<long>, members array<string>"
+BIN = 50
 
 
 class Locus:
-    """Stranded reads of one locus: dicts with tx, tx_start, tx_end, junctions, size and cage."""
-
-    def __init__(self, strand: str, reads: list[dict]) -> None:
-        self.plus = strand == "+"
-        self.slots = sorted({j for r in reads if not r["is_rare"] for j in r["junctions"]})
-        self.reads = [r for r in reads if not r["is_rare"]]
-        place = {j: i for i, j in enumerate(self.slots)}
-        n = len(self.slots)
-        for r in self.reads:
-            used = [place[j] for j in r["junctions"]]
-            bits = bytearray(b"0" * n)
-            for i in used:
-                bits[i] = 49
-            r["bits"] = bits.decode()
-            r["span"] = self.window(r)
-            # whole numbers: the junction nearest to the 3' end weighs most, however many there are
-            r["score"] = sum(1 << (i if self.plus else n - i) for i in used)
-            r["three"] = r["tx_end"] if self.plus else r["tx_start"]
-
-    def window(self, r: dict) -> tuple[int, int]:
-        """First and one past the last slot that the read reaches."""
-        n = len(self.slots)
-        first, last = 0, n - 1
-        five, three = (r["tx_start"] + FUZZY, r["tx_end"]) if self.plus else (r["tx_start"], r["tx_end"] - FUZZY)
-        for j, (left, right) in enumerate(self.slots):
-            if five > right:
-                first = j + 1
-            if three < left and last == n - 1:
-                last = j - 1
-        return first, last + 1
-
-    @staticmethod
-    def part(bits: str, span: tuple[int, int]) -> str:
-        first, end = span
-        return bits[first:end] if end >= first else bits[first : len(bits) + end - first]
-
-    def clusters(self) -> tuple[list[list[dict]], list[dict]]:
-        """Isoforms (representative first) and truncated reads."""
-        found: list[list[dict]] = []
-        short: list[dict] = []
-        # for each window that reads span: clusters by what their representative has there, and how many are listed
-        listed: dict[tuple[int, int], tuple[dict[str, list[list[dict]]], list[int]]] = {}
-        order = sorted(self.reads, key=lambda r: (-(r["span"][1] - r["span"][0]), -r["score"], -r["size"], r["tx"]))
-        for r in order:
-            if "1" not in r["bits"]:
-                short.append(r)
-                continue
-            own = self.part(r["bits"], r["span"])
-            by_part, seen = listed.setdefault(r["span"], ({}, [0]))
-            for c in found[seen[0] :]:
-                by_part.setdefault(self.part(c[0]["bits"], r["span"]), []).append(c)
-            seen[0] = len(found)
-            alike = by_part.get(own, [])
-            cut_off = bool(alike) and not self.plus and own in ("", "0")
-            if cut_off:
-                alike = []
-            if not found or not alike:
-                if found and cut_off:
-                    short.append(r)
-                else:
-                    found.append([r])
-                continue
-            home = next((c for c in alike if abs(r["three"] - c[0]["three"]) < NEAR and not r["cage"]), None)
-            if home is None:
-                found.append([r])
-            else:
-                home.append(r)
-        return found, short
-
-    def row(self, members: list[dict], compat: bool) -> dict:
-        """The isoform: snapped exons of the representative, outer borders over all members."""
-        rep = members[0]
-        starts = [rep["tx_start"], *(right for _, right in rep["junctions"])]
-        ends = [*(left for left, _ in rep["junctions"]), rep["tx_end"]]
-        if self.plus or not compat:
-            starts[0] = min(m["tx_start"] for m in members)
-            ends[-1] = max(m["tx_end"] for m in members)
-        sane = all(s < e for s, e in zip(starts, ends)) and all(e <= s for e, s in zip(ends, starts[1:]))
-        return {"tx": rep["tx"], "status": "cluster" if sane else "negative_exon", "tx_start": starts[0], "tx_end": ends[-1], "exon_starts": starts, "exon_ends": ends, "members": [m["tx"] for m in members]}
-
-
-def unstranded_row(reads: list[dict], width: int = 50) -> dict:
-    """One exon over all reads; the representative has both most frequent end bins, or is the first."""
-    top = lambda f: min(Counter(f(r) for r in reads).items(), key=lambda x: (-x[1], x[0]))[0]
-    left, right = top(lambda r: r["tx_start"] // width), top(lambda r: r["tx_end"] // width)
-    ids = sorted(reads, key=lambda r: r["tx"])
-    rep = next((r for r in ids if r["tx_start"] // width == left and r["tx_end"] // width == right), ids[0])
-    s, e = min(r["tx_start"] for r in reads), max(r["tx_end"] for r in reads)
-    return {"tx": rep["tx"], "status": "cluster", "tx_start": s, "tx_end": e, "exon_starts": [s], "exon_ends": [e], "members": [rep["tx"], *(r["tx"] for r in ids if r is not rep)]}
+    """Greedy pass over the classes of one locus; patterns and what lies inside a span are whole numbers."""
+
+    def __init__(self, strand: str, slots: int) -> None:
+        self.plus, self.slots = strand == "+", slots
+        self.reps: list[tuple[int, int, str]] = []  # pattern, 3' end and id of each isoform's first read
+        self.listed: dict[tuple[int, int], tuple[dict[int, list[int]], int]] = {}
+
+    def order(self, c: dict) -> tuple[int, int]:
+        """Wide spans first; then the junction nearest to the 3' end weighs most, however many there are."""
+        return (c["first"] - c["end"], -sum(1 << (i if self.plus else self.slots - i) for i in c["uses"]))
+
+    def part(self, bits: int, first: int, end: int) -> tuple[int, int]:
+        """The pattern inside a span, and its length; a span that ends before it begins is counted from the back."""
+        stop = end if end >= first else max(first, self.slots + end - first)
+        return (bits >> first) & ((1 << (stop - first)) - 1), stop - first
+
+    def alike(self, span: tuple[int, int], own: int) -> list[int]:
+        """Isoforms whose first read has this pattern inside the span, in their order."""
+        by_part, seen = self.listed.get(span, ({}, 0))
+        for k in range(seen, len(self.reps)):
+            by_part.setdefault(self.part(self.reps[k][0], *span)[0], []).append(k)
+        self.listed[span] = by_part, len(self.reps)
+        return by_part.get(own, [])
+
+    def place(self, c: dict) -> tuple[str, str]:
+        """(how, isoform) of a class: all its reads join the isoform, each is one of its own, the first is one and the
+        others are short, or all are short."""
+        bits = sum(1 << i for i in c["uses"])
+        span = c["first"], c["end"]
+        own, size = self.part(bits, *span)
+        alike = self.alike(span, own)
+        empty = not self.plus and (size == 0 or (size == 1 and own == 0))
+        if alike and empty:
+            return "short", c["lead"]
+        home = next((self.reps[k] for k in alike if abs(self.reps[k][1] - c["three"]) < NEAR and not c["cage"]), None)
+        if home is not None:
+            return "join", home[2]
+        self.reps.append((bits, c["three"], c["lead"]))
+        return "first" if empty else "each" if c["cage"] else "join", c["lead"]
+
+
+def _exons(row: dict[str, Column], junctions: Column) -> tuple[Column, Column]:
+    """Exon borders of a read from its own borders and its junctions."""
+    return F.concat(F.array(row["tx_start"]), F.transform(junctions, lambda j: j["right"])), F.concat(F.transform(junctions, lambda j: j["left"]), F.array(row["tx_end"]))
+
+
+def _plain(reads: DataFrame, status: str) -> DataFrame:
+    """Reads that are no isoform, as they are."""
+    starts, ends = _exons({c: F.col(c).cast("long") for c in ("tx_start", "tx_end")}, F.col("junctions"))
+    return reads.select("_locus", "tx", F.lit(status).alias("status"), F.col("tx_start").cast("long").alias("tx_start"), F.col("tx_end").cast("long").alias("tx_end"), starts.alias("exon_starts"), ends.alias("exon_ends"), F.array("tx").alias("members"))
+
+
+def _unstranded(reads: DataFrame) -> DataFrame:
+    """One exon over all reads of each locus; the representative has both most frequent end bins, or is the first."""
+    binned = reads.select("_locus", "tx", "tx_start", "tx_end", F.floor(F.col("tx_start") / BIN).alias("_l"), F.floor(F.col("tx_end") / BIN).alias("_r"))
+    top = lambda c: first_by(binned.groupBy("_locus", c).agg(F.count("*").alias("n")), ["_locus"], F.desc("n"), F.col(c)).select("_locus", F.col(c).alias(f"_top{c}"))
+    both = (F.col("_l") == F.col("_top_l")) & (F.col("_r") == F.col("_top_r"))
+    one = binned.join(top("_l"), "_locus").join(top("_r"), "_locus").groupBy("_locus").agg(
+        F.coalesce(F.min(F.when(both, F.col("tx"))), F.min("tx")).alias("tx"), F.min("tx_start").cast("long").alias("tx_start"), F.max("tx_end").cast("long").alias("tx_end"), F.array_sort(F.collect_list("tx")).alias("_ids"))
+    members = F.concat(F.array("tx"), F.filter("_ids", lambda x: x != F.col("tx")))
+    return one.select("_locus", "tx", F.lit("cluster").alias("status"), "tx_start", "tx_end", F.array("tx_start").alias("exon_starts"), F.array("tx_end").alias("exon_ends"), members.alias("members"))
+
+
+def _classes(reads: DataFrame) -> DataFrame:
+    """_locus, n_slots, uses, first, end, three, cage, junctions, lead and reads of each class.
+
+    `reads` has the slots of its locus. `first` to `end` are the slots that a read spans; reads of a class
+    are sorted as they are taken: long ones first, then by id, and `lead` is the first.
+    """
+    slots = F.col("slots")
+    plus = F.col("_locus.strand") == "+"
+    five = F.when(plus, F.col("tx_start") + FUZZY).otherwise(F.col("tx_start"))
+    three = F.when(plus, F.col("tx_end")).otherwise(F.col("tx_end") - FUZZY)
+    first = F.coalesce(F.array_max(F.transform(slots, lambda x, i: F.when(five > x["right"], i + 1))), F.lit(0))
+    end = F.coalesce(F.array_min(F.transform(slots, lambda x, i: F.when(three < x["left"], i))), F.size(slots))
+    uses = F.array_sort(F.array_distinct(F.transform("junctions", lambda j: (F.array_position(slots, j) - 1).cast("int"))))
+    rows = reads.select("_locus", F.size(slots).alias("n_slots"), uses.alias("uses"), first.alias("first"), end.alias("end"), F.when(plus, F.col("tx_end")).otherwise(F.col("tx_start")).cast("long").alias("three"), "cage", "junctions", F.struct((-F.col("size")).cast("long").alias("size"), "tx", F.col("tx_start").cast("long").alias("tx_start"), F.col("tx_end").cast("long").alias("tx_end")).alias("r"))
+    grouped = rows.groupBy("_locus", "n_slots", "uses", "first", "end", "three", "cage").agg(F.first("junctions").alias("junctions"), F.array_sort(F.collect_list("r")).alias("reads"))
+    return grouped.withColumn("lead", F.col("reads")[0]["tx"])
+
+
+def _isoforms(classes: DataFrame, compat: bool, region: int) -> DataFrame:
+    """Isoforms and truncated reads of the classes of all loci."""
+
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        loci: dict[tuple, list[dict]] = {}
+        for values in zip(*[pdf[c].tolist() for c in names]):
+            c = dict(zip(names, values))
+            c["uses"] = [int(i) for i in c["uses"]]
+            loci.setdefault((c["chr"], c["strand"], c["start"], c["stop"]), []).append(c)
+        out = []
+        for key, rows in loci.items():
+            locus = Locus(key[1], rows[0]["n_slots"])
+            rank, before = -1, None
+            for order, _, lead, c in sorted(((locus.order(c), c["longest"], c["lead"], c) for c in rows), key=lambda x: x[:3]):
+                rank, before = rank + (order != before), order
+                out.append((*key, lead, *locus.place(c), rank))
+        return pd.DataFrame(out, columns=["chr", "strand", "start", "stop", "lead", "how", "rep", "rank"])
+
+    kind = classes.schema["_locus"].dataType["chr"].dataType.simpleString()
+    slim = classes.select("_locus.chr", "_locus.strand", "_locus.start", F.col("_locus.end").alias("stop"), "n_slots", "uses", "first", "end", "three", "cage", "lead", F.col("reads")[0]["size"].alias("longest"))
+    names = slim.columns
+    placed = slim.groupBy("chr", "strand", F.floor(F.col("start") / region).alias("cell")).applyInPandas(several, f"chr {kind}, strand string, start long, stop long, lead string, how string, rep string, rank int")
+    placed = placed.select(F.struct("chr", "strand", "start", F.col("stop").alias("end")).alias("_locus"), "lead", "how", "rep", "rank")
+    known = written(classes.select("_locus", "lead", "junctions", "reads").join(placed, ["_locus", "lead"]), "placed-classes")
+    ranked = F.transform("reads", lambda r: F.struct(F.col("rank"), r["size"].alias("size"), r["tx"].alias("tx"), r["tx_start"].alias("tx_start"), r["tx_end"].alias("tx_end")))
+    own = known.select("_locus", "lead", "how", "rep", "junctions", ranked.alias("m"))
+    joined = own.where("how = 'join'").drop("how")
+    alone = own.where("how = 'each'").select("_locus", F.explode("m").alias("x"), "junctions").select("_locus", F.col("x.tx").alias("lead"), F.col("x.tx").alias("rep"), "junctions", F.array("x").alias("m"))
+    opened = own.where("how = 'first'").select("_locus", "lead", "rep", "junctions", F.slice("m", 1, 1).alias("m"))
+    grown = joined.unionByName(alone).unionByName(opened).groupBy("_locus", "rep").agg(F.max_by("junctions", F.col("lead") == F.col("rep")).alias("junctions"), F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    rep = F.col("m")[0]
+    starts, ends = _exons({"tx_start": rep["tx_start"], "tx_end": rep["tx_end"]}, F.col("junctions"))
+    outer = F.lit(True) if not compat else F.col("_locus.strand") == "+"
+    low, high = F.array_min(F.transform("m", lambda x: x["tx_start"])), F.array_max(F.transform("m", lambda x: x["tx_end"]))
+    starts = F.when(outer, F.concat(F.array(low), F.slice(starts, F.lit(2), F.size(starts)))).otherwise(starts)
+    ends = F.when(outer, F.concat(F.slice(ends, F.lit(1), F.size(ends) - 1), F.array(high))).otherwise(ends)
+    rows = grown.select("_locus", F.col("rep").alias("tx"), starts.alias("exon_starts"), ends.alias("exon_ends"), F.transform("m", lambda x: x["tx"]).alias("members"))
+    later = F.slice("exon_starts", F.lit(2), F.size("exon_starts"))
+    sane = F.forall(F.zip_with("exon_starts", "exon_ends", lambda s, e: s < e), lambda x: x) & F.forall(F.zip_with(F.slice("exon_ends", F.lit(1), F.size("exon_ends") - 1), later, lambda e, s: e <= s), lambda x: x)
+    isoforms = rows.select("_locus", "tx", F.when(sane, "cluster").otherwise("negative_exon").alias("status"), F.col("exon_starts")[0].alias("tx_start"), F.element_at("exon_ends", -1).alias("tx_end"), "exon_starts", "exon_ends", "members")
+    rest = F.when(F.col("how") == "short", F.col("reads")).when(F.col("how") == "first", F.slice("reads", F.lit(2), F.size("reads")))
+    short = known.select("_locus", "junctions", F.explode(rest).alias("r")).select("_locus", "junctions", "r.tx", "r.tx_start", "r.tx_end")
+    return isoforms.unionByName(_plain(short, "truncated"))
 
 
 def cluster(assigned: DataFrame, compat: bool = True, region: int = 100_000) -> DataFrame:
@@ -111,34 +153,27 @@ def cluster(assigned: DataFrame, compat: bool = True, region: int = 100_000) ->
 
     `assigned` has chr, strand (null: unknown), start, end (the locus), tx, tx_start, tx_end, size,
     is_rare, cage (a peak is near the 5' end) and junctions (array of left, right; snapped). A locus
-    with one read gives it as single. The order inside a locus decides, so a locus is one group; what
-    is grouped is a read's borders and junctions, never its sequence. Loci that begin within `region`
-    bases of a strand are worked on in one call, one after the other.
+    with one read gives it as single. The order inside a locus decides, so a locus is one group, of
+    the classes of its reads: where many reads have few patterns the group is small. Loci that begin
+    within `region` bases of a strand are worked on in one call, one after the other. Ids must differ
+    inside a locus.
     """
-
-    def one(key: tuple, reads: list[dict]) -> list[dict]:
-        for r in reads:
-            r["junctions"] = [(j["left"], j["right"]) for j in r["junctions"]]
-        plain = lambda r, status: {"tx": r["tx"], "status": status, "tx_start": r["tx_start"], "tx_end": r["tx_end"], "exon_starts": [r["tx_start"], *(y for _, y in r["junctions"])], "exon_ends": [*(x for x, _ in r["junctions"]), r["tx_end"]], "members": [r["tx"]]}
-        if len(reads) == 1:
-            rows = [plain(reads[0], "single")]
-        elif key[1] is None:
-            rows = [unstranded_row(reads)]
-        else:
-            locus = Locus(key[1], reads)
-            found, short = locus.clusters()
-            rows = [locus.row(m, compat) for m in found] + [plain(r, "truncated") for r in short] + [plain(r, "rare") for r in reads if r["is_rare"]]
-        return [{"chr": key[0], "strand": key[1], "start": key[2], "end": key[3]} | r for r in rows]
-
-    names = [x.split(" ")[0] for x in OUT.format(c="x").split(", ")]
-
-    def several(pdf: pd.DataFrame) -> pd.DataFrame:
-        loci: dict[tuple, list[dict]] = {}
-        for r in pdf.to_dict("records"):
-            loci.setdefault((r["chr"], r["strand"], r["start"], r["end"]), []).append(r)
-        return pd.DataFrame([row for key, reads in loci.items() for row in one(key, reads)], columns=names)
-
-    return assigned.groupBy("chr", "strand", F.floor(F.col("start") / region).alias("cell")).applyInPandas(several, OUT.format(c=dict(assigned.dtypes)["chr"]))
+    located = assigned.withColumn("_locus", F.struct("chr", "strand", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    patterns = F.collect_set(F.when(~F.col("is_rare"), F.col("junctions")))
+    loci = located.groupBy("_locus").agg(F.count("*").alias("_n"), F.array_sort(F.array_distinct(F.flatten(patterns))).alias("slots"))
+    rows = written(located.join(loci, "_locus").select("_locus", "_n", "slots", "tx", "tx_start", "tx_end", "size", "is_rare", "cage", "junctions"), "reads-of-loci")
+    several = rows.where("_n > 1 and _locus.strand is not null")
+    parts = [
+        _plain(rows.where("_n = 1"), "single"),
+        _unstranded(rows.where("_n > 1 and _locus.strand is null")),
+        _plain(several.where("is_rare"), "rare"),
+        _plain(several.where("not is_rare and size(junctions) = 0"), "truncated"),
+        _isoforms(written(_classes(several.where("not is_rare and size(junctions) > 0")), "read-classes"), compat, region),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("_locus.*", *[c for c in out.columns if c != "_locus"])
 
 
 def number_loci(clustered: DataFrame, prefix: int = 12) -> DataFrame:

@@ -346,12 +346,53 @@ def _assigned(get: Callable) -> DataFrame:
     return isoforms.with_evidence(placed, moved, get("peaks"), options)
 
 
-@query()
+PLACE = 'chr, strand, "start", "end"'
+SAME = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in PLACE.split(", "))
+JUNCTION = "chr, strand, \"left\", \"right\""
+#: Reads in their loci with snapped junctions, rarity and peaks; the greedy pass takes one read of each locus in a step.
+ISOFORMS = SNAP[: SNAP.rindex("SELECT chr, strand")].rstrip() + f""",
+    moved AS (SELECT j.tx, j.chr, j.strand, w.target.l AS "left", w.target.r AS "right" FROM {{junctions}} j JOIN walk w ON w.k > 0 AND w.chr = j.chr AND w.strand = j.strand AND w."left" = j."left" AND w."right" = j."right"),
+    judged AS (SELECT c.*, n >= 2 OR (a.pos IS NOT NULL AND b.pos IS NOT NULL) OR k.chr IS NOT NULL AS good FROM (SELECT {JUNCTION}, count(*) AS n FROM moved GROUP BY {JUNCTION}) c
+        LEFT JOIN {{borders}} a ON a.chr = c.chr AND a.strand = c.strand AND a.pos = c."left" LEFT JOIN {{borders}} b ON b.chr = c.chr AND b.strand = c.strand AND b.pos = c."right"
+        LEFT JOIN (SELECT DISTINCT {JUNCTION} FROM {{known}}) k ON k.chr = c.chr AND k.strand = c.strand AND k."left" = c."left" AND k."right" = c."right"),
+    rare AS (SELECT tx, NOT bool_and(good) AS is_rare FROM moved JOIN judged USING ({JUNCTION}) GROUP BY tx),
+    sound AS (SELECT s.* FROM {{spans}} s LEFT JOIN rare r ON r.tx = s.tx WHERE NOT coalesce(r.is_rare, false)),
+    loci AS ({_merge_sql("(SELECT chr, strand, tx_start // 100 * 100 AS s, (tx_end // 100 + 1) * 100 AS e FROM sound) w", '"start"', '"end"', "chr, strand", "<=")}),
+    inside AS (SELECT s.*, l."start", l."end", coalesce(r.is_rare, false) AS is_rare FROM {{spans}} s JOIN loci l ON l.chr = s.chr AND l.strand = s.strand AND l."start" <= s.tx_start AND s.tx_end <= l."end" LEFT JOIN rare r ON r.tx = s.tx),
+    alive AS (SELECT * FROM inside QUALIFY NOT bool_and(is_rare) OVER (PARTITION BY {PLACE})),
+    near AS (SELECT DISTINCT a.tx FROM alive a JOIN {{peaks}} p ON p.chr = a.chr AND p.strand = a.strand AND p."start" // 1000 BETWEEN a.tx_start // 1000 - 1 AND a.tx_start // 1000 + 1 AND abs(p."start" - CASE WHEN a.strand = '+' THEN a.tx_start ELSE a.tx_end END) < 100),
+    own AS (SELECT tx, list(struct_pack(l := "left", r := "right") ORDER BY "left", "right") AS j FROM moved GROUP BY tx),
+    sized AS (SELECT tx, sum(e - s) AS size FROM {{exons}} GROUP BY tx),
+    reads AS (SELECT {", ".join(f"a.{c}" for c in PLACE.split(", "))}, CAST(a.tx AS VARCHAR) AS tx, a.tx_start, a.tx_end, z.size, a.is_rare, n.tx IS NOT NULL AS cage, coalesce(o.j, []) AS j, count(*) OVER (PARTITION BY {", ".join(f"a.{c}" for c in PLACE.split(", "))}) AS n
+        FROM alive a JOIN sized z ON z.tx = a.tx LEFT JOIN own o ON o.tx = a.tx LEFT JOIN near n ON n.tx = a.tx),
+    slotted AS (SELECT {PLACE}, list_sort(list_distinct(list(x))) AS s FROM (SELECT {PLACE}, unnest(j) AS x FROM reads WHERE NOT is_rare) u GROUP BY {PLACE}),
+    spliced AS (SELECT r.*, s.s AS slots, len(s.s) AS m, CASE WHEN strand = '+' THEN tx_end ELSE tx_start END AS t, array_to_string(list_transform(s.s, lambda x: CASE WHEN list_contains(r.j, x) THEN '1' ELSE '0' END), '') AS b,
+        coalesce(list_max(list_filter(range(1, len(s.s) + 1), lambda i: tx_start + CASE WHEN strand = '+' THEN 10 ELSE 0 END > s.s[i].r)), 0) AS f,
+        coalesce(list_min(list_filter(range(0, len(s.s)), lambda i: tx_end - CASE WHEN strand = '+' THEN 0 ELSE 10 END < s.s[i + 1].l)), len(s.s)) AS e
+        FROM reads r JOIN slotted s USING ({PLACE}) WHERE n > 1 AND NOT is_rare AND len(j) > 0),
+    spanned AS (SELECT *, CASE WHEN e >= f THEN e - f ELSE greatest(0, m + e - 2 * f) END AS w, row_number() OVER (PARTITION BY {PLACE} ORDER BY e - f DESC, CASE WHEN strand = '+' THEN reverse(b) ELSE b END DESC, size DESC, tx) AS k FROM spliced),
+    taken AS (SELECT {PLACE}, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(b VARCHAR, t BIGINT, tx VARCHAR)[]) AS found, CAST(NULL AS VARCHAR) AS tx, CAST(NULL AS VARCHAR) AS rep FROM spanned WHERE k = 1
+        UNION ALL SELECT {PLACE}, k, CASE WHEN NOT cut AND near IS NULL THEN list_append(found, struct_pack(b := b, t := t, tx := tx)) ELSE found END, tx, CASE WHEN NOT cut THEN coalesce(near, tx) END FROM (
+            SELECT *, CASE WHEN NOT cut AND NOT cage THEN list_filter(alike, lambda c: abs(c.t - x2.t) < 100)[1].tx END AS near FROM (
+                SELECT *, len(alike) > 0 AND strand = '-' AND substr(b, CAST(f + 1 AS INT), CAST(w AS INT)) IN ('', '0') AS cut FROM (
+                    SELECT {", ".join(f"r.{c}" for c in PLACE.split(", "))}, r.k, r.b, r.f, r.w, CAST(r.t AS BIGINT) AS t, r.tx, r.cage, w.found,
+                        list_filter(w.found, lambda c: substr(c.b, CAST(r.f + 1 AS INT), CAST(r.w AS INT)) = substr(r.b, CAST(r.f + 1 AS INT), CAST(r.w AS INT))) AS alike
+                    FROM taken w JOIN spanned r ON {SAME("r", "w")} AND r.k = w.k + 1) x) x2) y),
+    grown AS (SELECT {", ".join(f"t.{c}" for c in PLACE.split(", "))}, t.rep, list(t.tx ORDER BY t.k) AS members, min(s.tx_start) AS low, max(s.tx_end) AS high FROM taken t JOIN spanned s ON {SAME("s", "t")} AND s.tx = t.tx WHERE t.rep IS NOT NULL GROUP BY {", ".join(f"t.{c}" for c in PLACE.split(", "))}, t.rep),
+    rows AS (SELECT {PLACE}, tx, tx_start AS a, tx_end AS z, j, [tx] AS members, CASE WHEN n = 1 THEN 'single' WHEN is_rare THEN 'rare' ELSE 'truncated' END AS status FROM reads r
+            WHERE n = 1 OR is_rare OR len(j) = 0 OR EXISTS (SELECT 1 FROM taken t WHERE {SAME("t", "r")} AND t.tx = r.tx AND t.rep IS NULL)
+        UNION ALL SELECT {", ".join(f"g.{c}" for c in PLACE.split(", "))}, g.rep, CASE WHEN g.strand = '+' THEN low ELSE s.tx_start END, CASE WHEN g.strand = '+' THEN high ELSE s.tx_end END, s.j, g.members, 'cluster' FROM grown g JOIN spanned s ON {SAME("s", "g")} AND s.tx = g.rep),
+    borders AS (SELECT *, list_concat([a], list_transform(j, lambda x: x.r)) AS ss, list_concat(list_transform(j, lambda x: x.l), [z]) AS ee FROM rows),
+    isoforms AS (SELECT {PLACE}, tx, CASE WHEN status = 'cluster' AND (len(list_filter(range(1, len(ss) + 1), lambda i: ss[i] >= ee[i])) > 0 OR len(list_filter(range(1, len(ss)), lambda i: ee[i] > ss[i + 1])) > 0) THEN 'negative_exon' ELSE status END AS status, a, z, ss, ee, members FROM borders)"""
+
+
+@query(f"{ISOFORMS} SELECT {PLACE}, tx, status, a AS tx_start, z AS tx_end, array_to_string(ss, ',') AS exon_starts, array_to_string(ee, ',') AS exon_ends, array_to_string(members, ',') AS members FROM isoforms")
 def isoform_cluster(get):
-    return cluster.cluster(_assigned(get))
+    text_of = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("exon_starts", "exon_ends", "members")}
+    return cluster.cluster(_assigned(get)).withColumns(text_of)
 
 
-@query()
+@query(f"{ISOFORMS} SELECT {PLACE}, count(CASE WHEN status = 'cluster' THEN 1 END) AS n_isoforms, CAST(sum(len(members)) AS BIGINT) AS n_reads FROM isoforms GROUP BY {PLACE} HAVING count(CASE WHEN status = 'cluster' THEN 1 END) > 0")
 def locus_report(get):
     return cluster.loci_report(cluster.cluster(_assigned(get)))
 

@@ -131,15 +131,15 @@ def test_split_loci_renumbers(spark):
     assert rows(loci.split_loci(t), "tx", "gene") == [("a", "g.1"), ("b", "g.2"), ("c", "h"), ("d", "g.1")]
 
 
-def test_isoforms_join_by_what_they_span():
-    def read(tx, s, e, *j):
-        return {"tx": tx, "tx_start": s, "tx_end": e, "junctions": list(j), "size": e - s, "is_rare": False, "cage": False}
+READS = "chr string, strand string, start long, end long, tx string, tx_start long, tx_end long, size long, is_rare boolean, cage boolean, junctions array<struct<left:long,right:long>>"
 
-    a, b, c = read("a", 0, 1000, (100, 200), (300, 400), (500, 600)), read("b", 310, 990, (500, 600)), read("c", 0, 1000, (100, 200), (500, 600))
-    found, short = cluster.Locus("+", [a, b, c, read("d", 0, 90)]).clusters()
+
+def test_isoforms_join_by_what_they_span(spark):
+    read = lambda tx, s, e, *j: ("c", "+", 0, 1000, tx, s, e, e - s, False, False, list(j))
+    table = [read("a", 0, 1000, (100, 200), (300, 400), (500, 600)), read("b", 310, 990, (500, 600)), read("c", 0, 1000, (100, 200), (500, 600)), read("d", 0, 90)]
+    got = {r.tx: (r.status, r.members, r.exon_starts, r.exon_ends) for r in cluster.cluster(spark.createDataFrame(table, READS)).collect()}
     # b begins inside the second intron of a, so it is a piece of c alone
-    assert [[m["tx"] for m in g] for g in found] == [["a"], ["c", "b"]]
-    assert [r["tx"] for r in short] == ["d"]
+    assert got == {"a": ("cluster", ["a"], [0, 200, 400, 600], [100, 300, 500, 1000]), "c": ("cluster", ["c", "b"], [0, 200, 600], [100, 500, 1000]), "d": ("truncated", ["d"], [0], [90])}
 
 
 def test_peak_search_prefers_its_own_bin(spark):
@@ -206,25 +206,32 @@ def test_ids_are_renamed_one_to_one(spark):
     assert sorted(r.id for r in got) == sorted({f"r{i % 50}" for i in range(200) if i % 3}) and sorted(int(r.new_id[1:]) for r in got) == list(range(1, len(got) + 1))
 
 
-def greedy_isoforms(reads_):
-    """Isoforms of one plus-strand locus as plain lists: what each read spans, compared one by one."""
+def greedy_isoforms(reads_, plus):
+    """Isoforms of one locus as plain lists: what each read spans, compared one by one."""
     slots = sorted({j for r in reads_ for j in r["junctions"]})
-    spans, bits = {}, {}
+    n, spans, bits = len(slots), {}, {}
     for r in reads_:
-        first = sum(1 for _, right in slots if r["s"] + 10 > right)
-        beyond = [k for k, (left, _) in enumerate(slots) if r["e"] < left]
-        spans[r["tx"]] = (first, beyond[0] if beyond else len(slots))
+        five, three = (r["s"] + 10, r["e"]) if plus else (r["s"], r["e"] - 10)
+        before = [k for k, (_, right) in enumerate(slots) if five > right]
+        beyond = [k for k, (left, _) in enumerate(slots) if three < left]
+        spans[r["tx"]] = (before[-1] + 1 if before else 0, beyond[0] if beyond else n)
         bits[r["tx"]] = [j in r["junctions"] for j in slots]
-    weight = lambda r: sum(2**k for k, b in enumerate(bits[r["tx"]]) if b)
+    weight = lambda r: sum(2**k for k, b in enumerate(bits[r["tx"]] if plus else bits[r["tx"]][::-1]) if b)
     order = sorted(reads_, key=lambda r: (spans[r["tx"]][0] - spans[r["tx"]][1], -weight(r), -r["size"], r["tx"]))
+    three = lambda r: r["e"] if plus else r["s"]
     found, short = [], []
     for r in order:
         if not any(bits[r["tx"]]):
             short.append(r["tx"])
             continue
         a, b = spans[r["tx"]]
-        alike = [c for c in found if bits[c[0]["tx"]][a:b] == bits[r["tx"]][a:b]]
-        near = [c for c in alike if abs(c[0]["e"] - r["e"]) < 100]
+        cut = slice(a, b) if b >= a else slice(a, max(a, n + b - a))
+        own = bits[r["tx"]][cut]
+        alike = [c for c in found if bits[c[0]["tx"]][cut] == own]
+        if alike and not plus and own in ([], [False]):
+            short.append(r["tx"])
+            continue
+        near = [c for c in alike if abs(three(c[0]) - three(r)) < 100 and not r["cage"]]
         if near:
             near[0].append(r)
         else:
@@ -232,24 +239,31 @@ def greedy_isoforms(reads_):
     return sorted(tuple(m["tx"] for m in c) for c in found), sorted(short)
 
 
+def random_locus(rng, locus, n, slots=6):
+    every = [(100 + 200 * k, 200 + 200 * k) for k in range(slots)]
+    out = []
+    for i in range(n):
+        a, b = sorted(rng.sample(range(slots + 1), 2))
+        j = [x for x in every[a:b] if rng.random() < 0.8]
+        s, e = (j[0][0] if j else every[a][0]) - rng.choice((30, 45, 60)), (j[-1][1] if j else every[b - 1][1]) + rng.choice((30, 60, 90))
+        if rng.random() < 0.1:  # a read that lies inside one intron
+            s, e = every[a][0] + 20, every[a][0] + 60
+        out.append({"tx": f"l{locus}r{i:04}", "s": s, "e": e, "junctions": j, "size": (e - s) // rng.choice((1, 2)), "cage": rng.random() < 0.15})
+    return out
+
+
 def test_isoforms_against_plain_lists(spark):
     import random
 
     rng = random.Random(12)
-    every = [(100 + 200 * k, 200 + 200 * k) for k in range(6)]
     table, want = [], {}
-    for locus in range(12):
-        reads_ = []
-        for i in range(14):
-            a, b = sorted(rng.sample(range(7), 2))
-            j = [x for x in every[a:b] if rng.random() < 0.8]
-            s, e = (j[0][0] if j else every[a][0]) - rng.randrange(30, 90), (j[-1][1] if j else every[b - 1][1]) + rng.choice((30, 60, 90))
-            reads_.append({"tx": f"l{locus}r{i:02}", "s": s, "e": e, "junctions": j, "size": e - s})
-        want[locus * 10_000] = greedy_isoforms(reads_)
-        table += [("c", "+", locus * 10_000, locus * 10_000 + 5000, r["tx"], r["s"], r["e"], r["size"], False, False, r["junctions"]) for r in reads_]
-    d = spark.createDataFrame(table, "chr string, strand string, start long, end long, tx string, tx_start long, tx_end long, size long, is_rare boolean, cage boolean, junctions array<struct<left:long,right:long>>")
+    for locus in range(40):
+        strand = "+-"[locus % 2]
+        reads_ = random_locus(rng, locus, 4 + locus)
+        want[locus * 10_000] = greedy_isoforms(reads_, strand == "+")
+        table += [("c", strand, locus * 10_000, locus * 10_000 + 5000, r["tx"], r["s"], r["e"], r["size"], False, r["cage"], r["junctions"]) for r in reads_]
     got = {}
-    for r in cluster.cluster(d).collect():
+    for r in cluster.cluster(spark.createDataFrame(table, READS)).collect():
         isoforms, short = got.setdefault(r.start, ([], []))
         if r.status == "truncated":
             short.append(r.tx)
@@ -258,6 +272,29 @@ def test_isoforms_against_plain_lists(spark):
     assert {k: (sorted(a), sorted(b)) for k, (a, b) in got.items()} == want
 
 
+def test_a_locus_of_many_reads_is_placed_by_its_classes(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    few = random_locus(rng, 0, 25)
+    reads_ = [r | {"tx": f"r{i:05}", "size": 500 + i % 700, "cage": False} for i, r in enumerate(few * 400)]
+    table = [("c", "-", 0, 5000, r["tx"], r["s"], r["e"], r["size"], False, False, r["junctions"]) for r in reads_]
+    placed = cluster._classes
+    sizes = []
+    monkeypatch.setattr(cluster, "_classes", lambda rows: (sizes.append(placed(rows).count()), placed(rows))[1])
+    got = cluster.cluster(spark.createDataFrame(table, READS)).collect()
+    assert sizes[0] <= 25 < 10_000 == sum(len(r.members) for r in got)
+    assert (sorted(tuple(r.members) for r in got if r.status != "truncated"), sorted(r.tx for r in got if r.status == "truncated")) == greedy_isoforms(reads_, False)
+
+
+def test_unstranded_rare_and_single_reads_of_loci(spark):
+    read = lambda strand, start, tx, s, e, rare=False: ("c", strand, start, start + 900, tx, s, e, e - s, rare, False, [])
+    table = [read(None, 0, "a", 0, 100), read(None, 0, "b", 60, 210), read(None, 0, "c", 70, 220), read(None, 0, "d", 300, 390), read(None, 2000, "e", 2000, 2100), read("+", 4000, "f", 4000, 4100, True), read("+", 4000, "g", 4000, 4100)]
+    got = {r.tx: (r.status, r.tx_start, r.tx_end, r.members) for r in cluster.cluster(spark.createDataFrame(table, READS)).collect()}
+    assert got == {"b": ("cluster", 0, 390, ["b", "a", "c", "d"]), "e": ("single", 2000, 2100, ["e"]), "f": ("rare", 4000, 4100, ["f"]), "g": ("truncated", 4000, 4100, ["g"])}
+    assert cluster.cluster(spark.createDataFrame([], READS)).count() == 0
+
+
 def test_isoform_plan_routes_and_reports(spark, tmp_path):
     def tx(name, strand, *exons):
         return ("g", name, "c", strand, exons[0][0], exons[-1][1], len(exons), [s for s, _ in exons], [e for _, e in exons])
