@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from isoweave.llm.shared import components, lists, roots, staged
 
 
+#: Hashes that are held at once.
+CELLS = 1 << 21
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal length as unit vectors in double precision."""
     offsets, values = lists(column)
@@ -21,23 +25,46 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def passes_needed(rows: int, threshold: float, window: int, recall: float, least: int = 16) -> int:
+def passes_needed(rows: int, threshold: float, window: int, recall: float, least: int = 16, mean: float = 0.0) -> int:
     """Passes after which a pair at the threshold has met with the target recall.
 
-    Two such vectors agree in a hash with 1 - angle / pi. Where directions are spread evenly, a pass
-    parts all vectors into runs of `window` by log2(rows / window) hashes; the pair meets if it
-    agrees in those.
+    `mean` is the mean cosine of all pairs. Hashes look at what is left of the vectors without their
+    mean, where a pair at the threshold has (threshold - mean) / (1 - mean); where that would be below
+    0.5, links are so dense that it counts as 0.5. Two such vectors agree in a hash with
+    1 - angle / pi. A pass parts all vectors into runs of `window` by log2(rows / window) hashes; the
+    pair meets if it agrees in those.
     """
-    agree = 1 - math.acos(threshold) / math.pi
+    left = max(min(0.5, threshold), (threshold - mean) / (1 - mean)) if 0 < mean < 1 else threshold
+    agree = 1 - math.acos(left) / math.pi
     met = agree ** max(0.0, math.log2(max(rows, 1) / window))
     return max(least, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else least
 
 
+def _means(reps: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and mean of the unit vectors of each length: one row of sums for each task and length."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            size = np.diff(lists(batch.column(0))[0])
+            for d in np.unique(size).tolist():
+                x = _matrix(batch.column(0).take(pa.array(np.flatnonzero(size == d))))
+                total[d] = total.get(d, 0.0) + np.r_[len(x), x.sum(axis=0)]
+        for d, t in total.items():
+            yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "t": pa.array([t.tobytes()], pa.binary())})
+
+    found: dict[int, np.ndarray] = {}
+    for r in reps.select("v").mapInArrow(sums, "d int, t binary").collect():
+        found[r["d"]] = found.get(r["d"], 0.0) + np.frombuffer(r["t"])
+    return {d: (int(t[0]), t[1:] / t[0]) for d, t in found.items()}
+
+
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, recall: float = 0.99, bits: int = 62, window: int = 48, block: int = 512, seed: int = 7) -> DataFrame:
     """Links vectors whose cosine reaches `threshold`: columns vec_id, n_links, component_id, kept.
 
-    Each pass orders all vectors by `bits` concatenated random-hyperplane hashes and compares every
-    vector with the `window` next ones; the number of passes follows from that of vectors. Verified links of all passes are united. A window bounds the
+    Each pass orders all vectors by `bits` concatenated random-hyperplane hashes of what differs from
+    their mean and compares every vector with the `window` next ones; the number of passes follows from
+    that of vectors and from how alike all of them are. Verified links of all passes are united. A window bounds the
     partners that a pass sees, so afterwards all pairs inside each component are compared in blocks
     of `block` vectors; n_links counts those, in double precision.
 
@@ -56,7 +83,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     member = staged(sound.select("vec_id", "same", "v"), "vectors")
     reps = staged(member.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "vector-classes")
 
-    passes = passes_needed(reps.count(), threshold, window, recall)
+    means = _means(reps)
+    shared = lambda n, m: (n * float(m @ m) - 1) / (n - 1) if n > 1 else 0.0  # noqa: E731  mean cosine of different vectors
+    passes = max((passes_needed(n, threshold, window, recall, mean=shared(n, m)) for n, m in means.values()), default=1)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,14 +94,17 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             ids = np.asarray(batch.column(0))
             for d in np.unique(size).tolist():
                 at = np.flatnonzero(size == d)
-                x = _matrix(batch.column(1).take(pa.array(at)))
                 planes = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
-                on = (x @ planes > 0).reshape(len(at), passes, bits)
-                key = (on * (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))).sum(axis=2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at) * passes, d, dtype=np.int32)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(at))), pa.array(key.reshape(-1)), pa.array(np.repeat(ids[at], passes))],
-                    ["dim", "pass", "key", "rep"],
-                )
+                weights = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
+                several = max(1, CELLS // (passes * bits))
+                for first in range(0, len(at), several):
+                    own = at[first : first + several]
+                    x = _matrix(batch.column(1).take(pa.array(own))) - means[d][1]
+                    key = (x @ planes > 0).reshape(len(own), passes, bits) @ weights
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own) * passes, d, dtype=np.int32)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(own))), pa.array(key.reshape(-1)), pa.array(np.repeat(ids[own], passes))],
+                        ["dim", "pass", "key", "rep"],
+                    )
 
     keys = reps.select("rep", "v").mapInArrow(hashes, "dim int, pass int, key long, rep long")
     ordered = staged(keys.sort("dim", "pass", "key", "rep").select("dim", "pass", "rep", F.monotonically_increasing_id().alias("place")), "vector-order")

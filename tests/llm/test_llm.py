@@ -133,6 +133,26 @@ def test_recall_of_isolated_pairs(spark):
     assert embedding_dedup.passes_needed(10**9, 0.95, 48, 0.99) > 2 * embedding_dedup.passes_needed(10**6, 0.95, 48, 0.99)
 
 
+@pytest.mark.parametrize("mean", [0.7, 0.9])
+def test_links_in_a_cloud_of_like_vectors(spark, mean):
+    """Real embeddings share a direction: pairs just above the threshold must be found among vectors nearly as close."""
+    rng = np.random.default_rng(3)
+    n, d, pairs = 6000, 64, 150
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(1, d)))
+    apart = lambda x: unit(x - (x @ base.T) * base)
+    r = apart(rng.normal(size=(n, d)))
+    other = apart(rng.normal(size=(pairs, d)))
+    other = unit(other - (other * r[:pairs]).sum(axis=1, keepdims=True) * r[:pairs])
+    c = (0.955 - mean) / (1 - mean)
+    r[n - pairs :] = c * r[:pairs] + (1 - c * c) ** 0.5 * other
+    x = mean**0.5 * base + (1 - mean) ** 0.5 * r
+    near = np.triu(x @ x.T >= 0.95, 1)
+    got = {q.vec_id: q.n_links for q in embedding_dedup.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    want = near.sum(axis=0) + near.sum(axis=1)
+    assert pairs <= near.sum() and all(got[i] <= want[i] for i in range(n)) and sum(got.values()) >= 0.97 * want.sum()
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
