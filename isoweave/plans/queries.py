@@ -123,6 +123,23 @@ def trim_reads(get):
     return trim.trim_reads(get("sequences").select(F.col("id").cast("string").alias("id"), "seq"), t)
 
 
+#: The tail is looked at in stretches, one step of the recursion each: A up to the far edge, and how far the edge is from an A.
+COUNT_A = lambda n: f"CAST(length(substr(r, 1, CAST({n} + 1 AS INT))) - length(replace(substr(r, 1, CAST({n} + 1 AS INT)), 'a', '')) AS BIGINT)"
+EDGE = lambda n: f"coalesce(list_min(list_filter([0, 1, 2, 3, 4], lambda k: substr(r, CAST({n} - k + 1 AS INT), 1) = 'a')), 5)"
+
+
+@query(f"""WITH RECURSIVE tailed AS (SELECT id, lower(reverse(seq || repeat('A', CAST(id % 31 AS INT)) || substr('CG', 1, CAST(id % 3 AS INT)))) AS t FROM {{sequences}}),
+    wide AS (SELECT id, length(t) - 1 AS last, CASE WHEN length(t) < 17 THEN repeat(t, CAST(16 // length(t) + 2 AS INT)) ELSE t || substr(t, 1, 16) END AS r FROM tailed WHERE length(t) > 0),
+    walk AS (SELECT id, last, r, CAST(10 AS BIGINT) AS size, {COUNT_A(10)} AS n, CAST({EDGE(10)} AS BIGINT) AS other FROM wide
+        UNION ALL SELECT id, last, r, size + 5, n + {COUNT_A('size + 5')}, CAST(other + {EDGE('size + 5')} AS BIGINT) FROM walk WHERE n >= 0.8 * size AND other <= 3 AND size < last),
+    ended AS (SELECT id, max(size) AS size, arg_max(other, size) AS other, arg_min(n, size) AS first_n FROM walk GROUP BY id)
+    SELECT t.id, CAST(CASE WHEN e.first_n >= 8 AND e.size - e.other + 1 >= 5 THEN e.size - e.other + 1 ELSE 0 END AS INT) AS tail FROM tailed t LEFT JOIN ended e ON e.id = t.id""")
+def poly_a_tails(get):
+    """Each sequence with some more A and up to two other bases behind it."""
+    s = get("sequences").select("id", F.concat("seq", F.repeat(F.lit("A"), (F.col("id") % 31).cast("int")), F.substr(F.lit("CG"), F.lit(1), (F.col("id") % 3).cast("int"))).alias("seq"))
+    return s.select("id", trim.poly_a_length(F.col("seq")).alias("tail"))
+
+
 @query("""SELECT CAST(id AS VARCHAR) AS id, CAST(pos AS INT) AS pos, CASE WHEN length(seq) < 40 THEN substr(seq, CAST(pos + 1 AS INT), 1) WHEN pos = 9 THEN substr(seq, 10, 2) WHEN pos = 20 THEN 'Del' WHEN pos BETWEEN 10 AND 19 THEN substr(seq, CAST(pos + 2 AS INT), 1) ELSE substr(seq, CAST(pos + 1 AS INT), 1) END AS allele, CAST(1 AS DOUBLE) AS weight
     FROM (SELECT id, seq, unnest(range(0, length(seq))) AS pos FROM {sequences}) x""")
 def pileup_votes(get):

@@ -126,3 +126,36 @@ def test_segments_and_primers_against_plain_loops():
         assert t.segments(seq) == want
         rates = [plain_distance(seq[j : j + 14], t.adapter5) / 14 for j in range(min(101, len(seq) - 13))]
         assert t.primer(seq, t.adapter5) == (rates.index(min(rates)) if rates and min(rates) < 0.25 else None)
+
+
+def test_distances_of_words_of_any_length():
+    import random
+
+    import numpy as np
+
+    from isoweave.functions.trim import distances
+
+    rng = random.Random(2)
+    for size in (1, 5, 25, 63, 64, 70):
+        a = "".join(rng.choice("ACGTN") for _ in range(size))
+        for width in (0, 1, 9, 40):
+            rows = ["".join(rng.choice("acgtn") for _ in range(width)) for _ in range(4)]
+            codes = np.array([[ord(c) for c in r] for r in rows], np.uint8).reshape(4, width)
+            assert distances(a, codes).tolist() == [plain_distance(a, r) for r in rows]
+
+
+def test_many_reads_at_once_and_a_read_of_adapters_alone():
+    import random
+    import time
+
+    rng = random.Random(8)
+    t = Trimmer(adapter3="AAGCAGTGGTATCAACGCAGAGTAC", adapter5="ACGTTGCATTGCAC", error=0.2, least=40)
+    back = t.rc3
+    rows = [("none", ""), ("short", "ACGT")]
+    for k in range(60):
+        parts = [t.adapter5 + "".join(rng.choice("ACGT") for _ in range(rng.randrange(20, 200))) + "A" * rng.choice((0, 9, 25)) for _ in range(rng.randrange(1, 4))]
+        rows.append((f"r{k}", back.join(parts)))
+    assert t.reads(rows) == [x for i, s in rows for x in t.read(i, s)]
+    begun = time.time()
+    t.read("adapters", back * 2000)
+    assert time.time() - begun < 2
