@@ -117,29 +117,62 @@ def anchor_hits(get):
     return hits.groupBy("id").agg(F.count("*").alias("n_hits"), F.min("j").cast("long").alias("first_hit"))
 
 
-@query()
-def trim_reads(get):
-    t = trim.Trimmer(adapter3="AAGCAGTGGTATCAACGCAGAGTAC", adapter5=PRIMER, error=0.3, least=100)
-    return trim.trim_reads(get("sequences").select(F.col("id").cast("string").alias("id"), "seq"), t)
-
-
 #: The tail is looked at in stretches, one step of the recursion each: A up to the far edge, and how far the edge is from an A.
 COUNT_A = lambda n: f"CAST(length(substr(r, 1, CAST({n} + 1 AS INT))) - length(replace(substr(r, 1, CAST({n} + 1 AS INT)), 'a', '')) AS BIGINT)"
 EDGE = lambda n: f"coalesce(list_min(list_filter([0, 1, 2, 3, 4], lambda k: substr(r, CAST({n} - k + 1 AS INT), 1) = 'a')), 5)"
 
 
-@query(f"""WITH RECURSIVE tailed AS (SELECT id, lower(reverse(seq || repeat('A', CAST(id % 31 AS INT)) || substr('CG', 1, CAST(id % 3 AS INT)))) AS t FROM {{sequences}}),
-    wide AS (SELECT id, length(t) - 1 AS last, CASE WHEN length(t) < 17 THEN repeat(t, CAST(16 // length(t) + 2 AS INT)) ELSE t || substr(t, 1, 16) END AS r FROM tailed WHERE length(t) > 0),
-    walk AS (SELECT id, last, r, CAST(10 AS BIGINT) AS size, {COUNT_A(10)} AS n, CAST({EDGE(10)} AS BIGINT) AS other FROM wide
-        UNION ALL SELECT id, last, r, size + 5, n + {COUNT_A('size + 5')}, CAST(other + {EDGE('size + 5')} AS BIGINT) FROM walk WHERE n >= 0.8 * size AND other <= 3 AND size < last),
-    ended AS (SELECT id, max(size) AS size, arg_max(other, size) AS other, arg_min(n, size) AS first_n FROM walk GROUP BY id)
-    SELECT t.id, CAST(CASE WHEN e.first_n >= 8 AND e.size - e.other + 1 >= 5 THEN e.size - e.other + 1 ELSE 0 END AS INT) AS tail FROM tailed t LEFT JOIN ended e ON e.id = t.id""")
+#: tails(id, tail) of the reversed lower-case texts tailed(id, t).
+TAILS = f"""wide AS (SELECT id, length(t) - 1 AS last, CASE WHEN length(t) < 17 THEN repeat(t, CAST(16 // length(t) + 2 AS INT)) ELSE t || substr(t, 1, 16) END AS r FROM tailed WHERE length(t) > 0),
+    stretched AS (SELECT id, last, r, CAST(10 AS BIGINT) AS size, {COUNT_A(10)} AS n, CAST({EDGE(10)} AS BIGINT) AS other FROM wide
+        UNION ALL SELECT id, last, r, size + 5, n + {COUNT_A('size + 5')}, CAST(other + {EDGE('size + 5')} AS BIGINT) FROM stretched WHERE n >= 0.8 * size AND other <= 3 AND size < last),
+    ended AS (SELECT id, max(size) AS size, arg_max(other, size) AS other, arg_min(n, size) AS first_n FROM stretched GROUP BY id),
+    tails AS (SELECT t.id, CAST(CASE WHEN e.first_n >= 8 AND e.size - e.other + 1 >= 5 THEN e.size - e.other + 1 ELSE 0 END AS INT) AS tail FROM tailed t LEFT JOIN ended e ON e.id = t.id)"""
+
+
+@query(f"""WITH RECURSIVE tailed AS (SELECT id, lower(reverse(seq || repeat('A', CAST(id % 31 AS INT)) || substr('CG', 1, CAST(id % 3 AS INT)))) AS t FROM {{sequences}}), {TAILS} SELECT id, tail FROM tails""")
 def poly_a_tails(get):
     """Each sequence with some more A and up to two other bases behind it."""
     s = get("sequences").select("id", F.concat("seq", F.repeat(F.lit("A"), (F.col("id") % 31).cast("int")), F.substr(F.lit("CG"), F.lit(1), (F.col("id") % 3).cast("int"))).alias("seq"))
     return s.select("id", trim.poly_a_length(F.col("seq")).alias("tail"))
 
 
+TRIMMER = trim.Trimmer(adapter3="AAGCAGTGGTATCAACGCAGAGTAC", adapter5=PRIMER, error=0.3, least=100)
+SIZE3, SIZE5 = len(TRIMMER.adapter3), len(PRIMER)
+BACK = lambda x: f"reverse(translate({x}, 'ATCG', 'TAGC'))"
+BEST_OFFSET = lambda text, primer, start: f"""(SELECT min_by(j, struct_pack(d := d, j := j)) FROM (SELECT j, levenshtein(lower(substr({text}, CAST({start} + 1 AS INT), {len(primer)})), '{primer.lower()}') AS d
+        FROM (SELECT unnest(range(0, least(101, length({text}) - {len(primer) - 1}))) AS j) g) x WHERE CAST(d AS DOUBLE) / {len(primer)} < {TRIMMER.error})"""
+#: Places of anchors are united to copies, verified copies cut the reads, and each segment is looked at for its primer and tail.
+TRIMMED = f"""WITH RECURSIVE given AS (SELECT CAST(id AS VARCHAR) AS id, seq, length(seq) AS n FROM {{sequences}}), anchors(a, gram) AS (VALUES {", ".join(f"({i}, '{g}')" for i, g in TRIMMER.anchors.items())}),
+    found AS (SELECT p.id, p.place, a.a, row_number() OVER (PARTITION BY p.id ORDER BY a.a, p.place) AS k FROM (SELECT id, seq, unnest(range(0, n - 5)) AS place FROM given WHERE n >= {TRIMMER.least}) p JOIN anchors a ON substr(p.seq, CAST(p.place + 1 AS INT), 6) = a.gram),
+    united AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(p BIGINT, a BIGINT)[]) AS kept FROM found WHERE k = 1
+        UNION ALL SELECT u.id, f.k, CASE WHEN len(list_filter(u.kept, lambda x: abs((f.place - f.a) - (x.p - x.a)) <= 6)) > 0 THEN u.kept ELSE list_append(u.kept, struct_pack(p := CAST(f.place AS BIGINT), a := CAST(f.a AS BIGINT))) END FROM united u JOIN found f ON f.id = u.id AND f.k = u.k + 1),
+    copies AS (SELECT id, x.p, x.a, greatest(0, x.p - x.a) AS start FROM (SELECT id, unnest(arg_max(kept, k)) AS x FROM united GROUP BY id) y),
+    windowed AS (SELECT c.*, g.n, g.seq, substr(g.seq, CAST(c.start + 1 AS INT), {SIZE3}) AS w FROM copies c JOIN given g ON g.id = c.id),
+    cuts AS (SELECT id, start, row_number() OVER (PARTITION BY id ORDER BY p, a) AS k FROM windowed
+        WHERE CAST(levenshtein(lower(w), substr('{TRIMMER.rc3.lower()}', 1, CAST(length(w) AS INT))) - (length(w) - length(replace(replace(lower(w), 'n', ''), '.', ''))) AS DOUBLE) / length(w) < {TRIMMER.error}),
+    cutting AS (SELECT id, seq, n, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS part FROM given WHERE n >= {TRIMMER.least}
+        UNION ALL SELECT c.id, c.seq, c.n, c.k + 1, c.place + x.start + {SIZE3}, substr(c.seq, CAST(c.place + 1 AS INT), CAST(CASE WHEN x.start >= c.place THEN x.start - c.place ELSE greatest(0, c.n + x.start - 2 * c.place) END AS INT)) FROM cutting c JOIN cuts x ON x.id = c.id AND x.k = c.k + 1 WHERE c.place < c.n),
+    parts AS (SELECT id, k - 1 AS i, part, 1 AS cut FROM cutting WHERE k > 0 UNION ALL SELECT id, k, substr(seq, CAST(place + 1 AS INT)), 0 FROM (SELECT * FROM cutting QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1) l WHERE place < n),
+    long_parts AS (SELECT *, {BACK('part')} AS back FROM parts WHERE length(part) >= {TRIMMER.least}),
+    primed AS (SELECT p.*, {BEST_OFFSET('p.back', TRIMMER.rc3, f'length(p.back) - {SIZE3} - j')} AS back_at FROM long_parts p),
+    second AS (SELECT *, CASE WHEN back_at IS NULL THEN back ELSE substr(back, 1, CAST(greatest(0, length(back) - back_at - {SIZE5}) AS INT)) END AS body FROM primed),
+    tailed AS (SELECT id || '/' || i || '/1' AS id, lower(reverse(part)) AS t FROM second UNION ALL SELECT id || '/' || i || '/2', lower(reverse(body)) FROM second), {TAILS},
+    both_tails AS (SELECT s.*, a.tail AS t1, b.tail AS t2, substr(part, 1, CAST(length(part) - a.tail AS INT)) AS front FROM second s JOIN tails a ON a.id = s.id || '/' || i || '/1' JOIN tails b ON b.id = s.id || '/' || i || '/2'),
+    fronted AS (SELECT *, CASE WHEN t1 > 0 THEN {BEST_OFFSET('q.front', PRIMER, 'j')} END AS front_at FROM both_tails q),
+    told AS (SELECT id, i, CASE WHEN t1 > 0 THEN CASE WHEN front_at IS NULL THEN front ELSE substr(front, CAST(front_at + {SIZE5 + 1} AS INT)) END WHEN t2 > 0 OR back_at IS NULL THEN substr(body, 1, CAST(length(body) - t2 AS INT)) ELSE {BACK('body')} END AS seq,
+        CASE WHEN t1 > 0 THEN CASE WHEN front_at IS NULL THEN 'uNAp' ELSE 'pNAp' END WHEN back_at IS NULL THEN CASE WHEN t2 > 0 THEN 'uTN' ELSE 'utN' END || CASE WHEN cut = 1 THEN 'p' ELSE 'u' END WHEN t2 > 0 THEN 'pTN' || CASE WHEN cut = 1 THEN 'p' ELSE 'u' END ELSE CASE WHEN cut = 1 THEN 'pNAu' ELSE 'pNau' END END AS code,
+        CASE WHEN t1 > 0 THEN t1 ELSE t2 END AS poly_a FROM fronted)
+    SELECT id, seq, NULL AS code, CAST(NULL AS INT) AS poly_a, 'discard' AS status FROM given WHERE n < {TRIMMER.least}
+    UNION ALL SELECT id || '___' || i, part, NULL, NULL, 'discard' FROM parts WHERE length(part) < {TRIMMER.least}
+    UNION ALL SELECT id || '_SUB' || i || '_' || code || '_' || poly_a, seq, code, poly_a, CASE WHEN length(seq) > {TRIMMER.least} THEN 'kept' ELSE 'discard' END FROM told"""
+
+
+@query(TRIMMED)
+def trim_reads(get):
+    return trim.trim_reads(get("sequences").select(F.col("id").cast("string").alias("id"), "seq"), TRIMMER)
+
+
 @query("""SELECT CAST(id AS VARCHAR) AS id, CAST(pos AS INT) AS pos, CASE WHEN length(seq) < 40 THEN substr(seq, CAST(pos + 1 AS INT), 1) WHEN pos = 9 THEN substr(seq, 10, 2) WHEN pos = 20 THEN 'Del' WHEN pos BETWEEN 10 AND 19 THEN substr(seq, CAST(pos + 2 AS INT), 1) ELSE substr(seq, CAST(pos + 1 AS INT), 1) END AS allele, CAST(1 AS DOUBLE) AS weight
     FROM (SELECT id, seq, unnest(range(0, length(seq))) AS pos FROM {sequences}) x""")
 def pileup_votes(get):
@@ -426,7 +459,24 @@ def isoform_plan(get):
     return found.clusters.select("gl", "chr", "strand", "start", "end", "tx", "status", "tx_start", "tx_end", F.size("members").alias("n_members"))
 
 
-@query()
+SPLICED_LOCI = _merge_sql("(SELECT chr, strand, tx_start // 100 * 100 AS s, (tx_end // 100 + 1) * 100 AS e FROM {spans} WHERE n_exon > 1) w", '"start"', '"end"', "chr, strand", "<=")
+#: Neutral loci grow read by read, a step for each read of an island that no other island can touch.
+NEUTRAL = f"""WITH RECURSIVE loci AS ({SPLICED_LOCI}), near AS (SELECT s.tx, l.strand, min(struct_pack(s := l."start", e := l."end")) AS l FROM {{spans}} s JOIN loci l ON l.chr = s.chr AND s.tx_end >= l."start" - 10 AND s.tx_start <= l."end" + 10 WHERE s.n_exon = 1 GROUP BY s.tx, l.strand),
+    sided AS (SELECT s.tx, s.chr, s.tx_start, s.tx_end, p.l AS plus, m.l AS minus FROM {{spans}} s LEFT JOIN near p ON p.tx = s.tx AND p.strand = '+' LEFT JOIN near m ON m.tx = s.tx AND m.strand = '-' WHERE s.n_exon = 1),
+    free AS (SELECT *, plus IS NOT NULL AS both_sides FROM sided WHERE (plus IS NULL) = (minus IS NULL)),
+    apart AS (SELECT *, sum(fresh) OVER (PARTITION BY chr ORDER BY tx_start, tx_end ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT *, CASE WHEN tx_start - 100 <= max(tx_end + 110) OVER (PARTITION BY chr ORDER BY tx_start, tx_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM free) a),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY chr, island ORDER BY tx_start, tx_end, tx) AS k FROM apart),
+    grow AS (SELECT chr, island, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS loci, CAST(NULL AS BIGINT) AS tx, CAST(NULL AS STRUCT(s BIGINT, e BIGINT)) AS home FROM ordered WHERE k = 1
+        UNION ALL SELECT chr, island, k, CASE WHEN found IS NULL THEN list_sort(list_append(list_filter(loci, lambda x: x.s <> own.s), own)) ELSE loci END, tx, coalesce(found, own) FROM (
+            SELECT o.chr, o.island, o.k, o.tx, g.loci, struct_pack(s := CAST(o.tx_start // 100 * 100 AS BIGINT), e := CAST(o.tx_end // 100 * 100 + 100 AS BIGINT)) AS own,
+                coalesce(CASE WHEN o.both_sides THEN list_filter(g.loci, lambda x: x.s <= o.tx_start AND o.tx_end <= x.e)[1] END, list_filter(g.loci, lambda x: o.tx_end >= x.s - 10 AND o.tx_start <= x.e + 10)[1]) AS found
+            FROM grow g JOIN ordered o ON o.chr = g.chr AND o.island = g.island AND o.k = g.k + 1) x)
+    SELECT tx, chr, CASE WHEN plus IS NOT NULL THEN '+' ELSE '-' END AS strand, coalesce(plus.s, minus.s) AS "start", coalesce(plus.e, minus.e) AS "end" FROM sided WHERE (plus IS NULL) <> (minus IS NULL)
+    UNION ALL SELECT tx, chr, NULL, home.s, home.e FROM grow WHERE k > 0"""
+
+
+@query(NEUTRAL)
 def unstranded_reads(get):
     t = transcripts(get)
     return loci.assign_unstranded(t.where("n_exon = 1"), loci.build(t.where("n_exon > 1")))
