@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoweave.operators.intervals import first_by
-from isoweave.operators.reads import whole_wells
 from isoweave.operators.runs import run_lengths
 from isoweave.sources.text import renamed, with_chr
 
@@ -16,6 +16,12 @@ def best_path(paths: DataFrame) -> DataFrame:
     return first_by(paths, ["tx"], F.desc("matches"), F.col("line_no"))
 
 
+def bettered(paths: DataFrame) -> DataFrame:
+    """tx of the transcripts of which a later path has more matches than all paths before it."""
+    before = W.partitionBy("tx").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    return paths.select("tx", "line_no", "matches").withColumn("_before", F.max("matches").over(before)).where("matches > _before").select("tx").distinct()
+
+
 def with_cds_by_strand(tx: DataFrame) -> DataFrame:
     """Both CDS borders at the 5' end: the start on +, the end on -; transcripts of unknown strand go."""
     site = F.when(F.col("strand") == "+", F.col("tx_start")).otherwise(F.col("tx_end"))
@@ -31,8 +37,9 @@ def collect_exons(exons: DataFrame, *keys: str) -> DataFrame:
 def gff3_to_refflat(gff: DataFrame, lengths: DataFrame, use_best: bool = True, pacbio: bool = False, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(refFlat, coverage) of `read_gff3` rows from a cDNA aligner.
 
-    A transcript is the id before `.mrna`; starts become 0-based. With `pacbio` a read of a well in
-    which another read maps to two places is left out. Coverage has the aligned share of the read in
+    A transcript is the id before `.mrna`; starts become 0-based. Without `use_best` transcripts whose
+    first path is bettered by a later line are left out, with `pacbio` all reads of their wells too;
+    with it, `pacbio` makes no difference. Coverage has the aligned share of the read in
     per cent, one decimal, the strand of the first exon line and the scores of all exons in file order.
     """
     a = lambda k: F.col("attrs")[k]
@@ -42,12 +49,12 @@ def gff3_to_refflat(gff: DataFrame, lengths: DataFrame, use_best: bool = True, p
         a("identity").cast("double").alias("identity"), F.coalesce(a("matches").cast("long"), F.lit(0)).alias("matches")).withColumn("tx", F.substring_index("path", ".mrna", 1))
     chosen = best_path(mrna)
     if not use_best:
-        many = mrna.groupBy("tx").count().where("count > 1").select("tx")
-        chosen = chosen.join(many, "tx", "left_anti")
-    if pacbio:
-        well = F.regexp_extract("tx", r"^(.*?_?(?:ccs|sub)_[^_]+_[^_]+)", 1)
-        many = mrna.groupBy("tx").agg(F.count("*").alias("n"))
-        chosen = whole_wells(chosen.join(many, "tx").withColumn("well", F.when(well != "", well).otherwise(F.col("tx"))), F.col("n") > 1)
+        moved = bettered(mrna)
+        chosen = chosen.join(moved, "tx", "left_anti")
+        if pacbio:
+            well = F.regexp_extract("tx", r"^(.*?_?(?:ccs|sub)_[^_]+_[^_]+)", 1)
+            of = F.when(well != "", well).otherwise(F.col("tx")).alias("_well")
+            chosen = chosen.select("*", of).join(moved.select(of).distinct(), "_well", "left_anti").drop("_well")
     target = F.split(a("Target"), " ")
     parts = named.where("feature in ('exon', 'CDS')").select(
         "line_no", "feature", "strand", "score", (F.col("start") - 1).alias("s"), F.col("end").alias("e"), F.coalesce(a("Parent"), F.regexp_extract("attr_text", "Parent=([^;]+)", 1)).alias("path"),

@@ -53,10 +53,11 @@ def sam_scan(get):
     return got.select("qname", "flag", "rname", "pos", "cigar", "md", F.size("tags").alias("n_tags"))
 
 
-def _gff(get):
-    """mRNA and exon lines; every third transcript has a second, worse path on another chr."""
+def _gff(get, name=None):
+    """mRNA and exon lines; every third transcript has a second, worse path on another chr, half of them in front."""
+    name = F.concat(F.lit("t"), F.col("tx").cast("string")) if name is None else name
     t = transcripts(get).withColumn("copy", F.explode(F.when(F.col("tx") % 3 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    path = F.concat(F.lit("t"), F.col("tx").cast("string"), F.lit(".mrna"), F.col("copy").cast("string"))
+    path = F.concat(name, F.lit(".mrna"), F.col("copy").cast("string"))
     chrom = F.concat(F.lit("chr"), (F.col("chr") + 10 * (F.col("copy") - 1)).cast("string"))
     matches = exon_lengths(F.col("exon_starts"), F.col("exon_ends")) - 5 * (F.col("copy") - 1)
     mrna = t.select("tx", "copy", F.lit(0).alias("k"), tabs(chrom, F.lit("x"), F.lit("mRNA"), F.col("tx_start") + 1, "tx_end", F.lit("."), "strand", F.lit("."), F.concat(F.lit("ID="), path, F.lit(";Name=n;coverage=99.5;identity=98.5;matches="), matches.cast("string"), F.lit(";"))))
@@ -66,7 +67,7 @@ def _gff(get):
     strand = F.when((F.col("tx") + F.col("k")) % 50 == 0, F.when(F.col("strand") == "+", "-").otherwise("+")).otherwise(F.col("strand"))
     exons = parts.select("tx", "copy", (F.col("k") + 1).alias("k"), tabs("chrom", F.lit("x"), F.lit("exon"), F.col("x.exon_starts") + 1, "x.exon_ends", 90 + F.col("k") % 10, strand, F.lit("."), F.concat(F.lit("ID=e;Parent="), F.col("path"), F.lit(";Target=t "), first.cast("string"), F.lit(" "), (first + 79).cast("string"), F.lit(" +;"))))
     cds = t.where("tx % 4 = 0").select("tx", "copy", F.lit(99).alias("k"), tabs(chrom, F.lit("x"), F.lit("CDS"), F.col("tx_start") + 11, F.col("tx_end") - 10, F.lit("."), "strand", F.lit("0"), F.concat(F.lit("ID=c;Parent="), path, F.lit(";Target=t 1 9 +;"))))
-    lines = mrna.unionByName(exons).unionByName(cds).orderBy("tx", F.desc("copy"), "k").select("value")
+    lines = mrna.unionByName(exons).unionByName(cds).orderBy("tx", F.when(F.col("tx") % 6 == 0, F.col("copy")).otherwise(-F.col("copy")), "k").select("value")
     return alignments.read_gff3(lines.sparkSession, put(lines, "gff3"))
 
 
@@ -87,6 +88,22 @@ def gff3_coverage(get):
     return cov.select("tx", "read_start", "read_end", "covered", "pct", "identity", "read_strand", F.array_join(F.col("exon_scores").cast("array<int>").cast("array<string>"), ",").alias("scores"))
 
 
+@query("SELECT 't' || CAST(tx AS VARCHAR) AS tx, 'chr' || CAST(chr AS VARCHAR) AS chr, tx_start, tx_end FROM {spans} WHERE tx % 6 <> 3")
+def gff3_settled_paths(get):
+    """Without transcripts of which a later line betters the path: the better path of some comes first, and they stay."""
+    lengths = get("spans").select(F.concat(F.lit("t"), F.col("tx").cast("string")).alias("id"), F.lit(1000).alias("len"))
+    return convert.gff3_to_refflat(_gff(get), lengths, use_best=False)[0].select("tx", "chr", "tx_start", "tx_end")
+
+
+@query("""WITH named AS (SELECT *, 'sub_' || CAST(tx // 4 AS VARCHAR) || '_1' AS well FROM {spans}) SELECT well || '_' || CAST(tx AS VARCHAR) AS tx, tx_start, tx_end FROM named
+    WHERE well NOT IN (SELECT well FROM named WHERE tx % 6 = 3)""")
+def gff3_settled_wells(get):
+    """The same for reads of wells: all reads of a well with such a read go."""
+    name = F.concat(F.lit("sub_"), F.floor(F.col("tx") / 4).cast("string"), F.lit("_1_"), F.col("tx").cast("string"))
+    lengths = get("spans").select(name.alias("id"), F.lit(1000).alias("len"))
+    return convert.gff3_to_refflat(_gff(get, name), lengths, use_best=False, pacbio=True)[0].select("tx", "tx_start", "tx_end")
+
+
 @query("""SELECT 't' || CAST(tx AS VARCHAR) || '.mrna' || CAST(copy AS VARCHAR) AS path, 'chr' || CAST(chr + 10 * (copy - 1) AS VARCHAR) AS chr, CASE WHEN strand = '+' THEN '-' ELSE '+' END AS strand, strand AS path_strand
     FROM (SELECT DISTINCT tx, chr, strand FROM (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY s) - 1 AS k FROM {exons}) x WHERE (tx + k) % 50 = 0) y JOIN (VALUES (1), (2)) c(copy) ON copy = 1 OR tx % 3 = 0""")
 def gff3_errors(get):
