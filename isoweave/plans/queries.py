@@ -15,7 +15,7 @@ from isoweave.plans.registry import ORACLE_SQL as ORACLE_SQL
 from isoweave.plans.registry import QUERIES as QUERIES
 from isoweave.plans.registry import query, transcripts
 from isoweave.sources import text
-from isoweave.sources.scratch import written
+from isoweave.sources.scratch import new_path, written
 
 PRIMER = "ACGTTGCATTGCAC"
 
@@ -555,7 +555,7 @@ DECAY = f"""WITH RECURSIVE c AS (SELECT chr, strand, "start", "end", floor(1 + v
 
 
 def _deep(get: Callable) -> DataFrame:
-    return support.full_3end(support.last_exons(transcripts(get)), get("deep"), steps=8)
+    return support.full_3end(support.last_exons(transcripts(get)), get("deep"))
 
 
 @query(f"{DECAY} SELECT chr, strand, gene, s, e, ext, level, last_mean, is_full FROM verdict")
@@ -569,6 +569,16 @@ def full_length_routing(get):
     return support.route_by_3end(transcripts(get), _deep(get)).select("tx", "gene", "status")
 
 
+@query(f"""{DECAY}, listed AS (SELECT chr, strand, gene, string_agg(printf('%.3f', mean), ',' ORDER BY n) AS means FROM walk GROUP BY chr, strand, gene)
+    SELECT concat_ws(chr(9), v.gene, CAST(v.chr AS VARCHAR), v.strand, CAST(v.s AS VARCHAR), CAST(v.e AS VARCHAR), CAST(v.ext AS VARCHAR), CASE WHEN is_full THEN 'FLT' ELSE 'nonflt' END, l.means) AS value FROM verdict v JOIN listed l USING (chr, strand, gene)""")
+def end_report_lines(get):
+    """The report of the 3' ends, written and read back."""
+    lines = support.end_report(_deep(get))
+    path = new_path(lines.sparkSession, "3endinfo")
+    lines.write.text(path)
+    return lines.sparkSession.read.text(path)
+
+
 UNIONS = """(SELECT chr, strand, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY chr, strand ORDER BY "start", "end") AS island FROM (
     SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY chr, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {peaks}) a) b GROUP BY chr, strand, island)"""
 NEAREST = f"""SELECT tx, arg_min(dist, struct_pack(d := abs(dist), s := "start", e := "end")) AS dist, arg_min("start", struct_pack(d := abs(dist), s := "start", e := "end")) AS peak_start FROM (SELECT t.tx, p."start", p."end", {DIST} AS dist FROM {SITES} t JOIN {UNIONS} p ON t.chr = p.chr AND t.strand = p.strand) x GROUP BY tx"""
@@ -641,6 +651,13 @@ def well_order(get):
     return reads.in_well_order(get("subreads"), "zmw", "movie", "read_id").select("zmw", "read_id")
 
 
+@query("SELECT id, 'NEW' || CAST(row_number() OVER (ORDER BY id) AS VARCHAR) AS new_id FROM (SELECT DISTINCT 'm' || CAST(movie AS VARCHAR) || '/' || CAST(zmw AS VARCHAR) || '/' || CAST(read_id AS VARCHAR) AS id FROM {subreads} WHERE read_id % 3 > 0) x")
+def read_id_map(get):
+    """Short names for the reads that trimming keeps; here two of three."""
+    named = get("subreads").select(F.concat(F.lit("m"), F.col("movie").cast("string"), F.lit("/"), F.col("zmw").cast("string"), F.lit("/"), F.col("read_id").cast("string")).alias("id"), F.when(F.col("read_id") % 3 > 0, "kept").otherwise("discard").alias("status"))
+    return reads.renamed_ids(named, "NEW")
+
+
 @query("SELECT DISTINCT 'shard_' || shard AS path FROM {votes}")
 def shard_list(get):
     return reads.file_list(get("votes").select(F.concat(F.lit("shard_"), "shard").alias("path")))
