@@ -88,31 +88,43 @@ def _steps(runs: int, branch: int) -> Column:
     return F.array(*[F.get("steps", at(j)) for j in range(branch)])
 
 
+def _agreement(now: DataFrame, large: DataFrame, sketch: DataFrame, runs: int, small: int) -> DataFrame:
+    """path, agree: how often two sets of a large bucket take the same step, for each row of `large(path, m)`.
+
+    Estimated from about SOME to 2 * SOME of its sets, which decides on the work, not on the result. One set in a
+    power of two is taken, so that those no large bucket takes are left out before the join.
+    """
+    every = lambda m: F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), m / SOME)))).cast("long")
+    drawn = F.xxhash64("path", "rep")
+    some = hot_join(now.where(F.pmod(drawn, every(F.lit(small + 1))) == 0), large, ["path"], ["rep"]).where(F.pmod(drawn, every(F.col("m"))) == 0)
+    # written first, so that its size is known and the sketches need no shuffle where it is small
+    taken = staged(some.select("path", "rep"), "large-paths").join(sketch, "rep").select("path", F.posexplode(F.slice("steps", runs + 1, LOOKED_AT)).alias("k", "t"))
+    c = F.col("c")
+    by_step = taken.groupBy("path", "k", "t").agg(F.count("*").alias("c")).groupBy("path", "k").agg((F.sum(c * (c - 1)) / F.greatest(F.lit(1), F.sum("c") * (F.sum("c") - 1))).alias("agree"))
+    return by_step.groupBy("path").agg(F.avg("agree").alias("agree"))
+
+
 def _leaves(sketch: DataFrame, runs: int, branch: int, levels: int, small: int, alike: float) -> DataFrame:
     """path, rep, m: the buckets that are compared, with their sizes (2 or more)."""
     now = sketch.select("rep", F.posexplode(F.slice("steps", 1, runs)).alias("k", "t")).select("rep", F.xxhash64("k", "t").alias("path"))
     found = []
     for level in range(1, levels + 1):
-        sizes = now.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
-        # one path may hold a third of all sets
-        met = staged(hot_join(now, sizes, ["path"], ["rep"]), "paths")
+        now = staged(now, "next-paths")
+        sizes = staged(now.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "path-sizes")
         if level == levels:
-            found.append(met)
+            found.append(staged(hot_join(now, sizes, ["path"], ["rep"]), "paths"))
             break
-        found.append(met.where(F.col("m") <= small))
-        large = met.where(F.col("m") > small)
-        # sets of a large bucket that mostly take the same steps aren't parted by more of them; how much
-        # they agree is estimated from about SOME of them, which decides on the work, not on the result
-        some = large.where(F.pmod(F.xxhash64("path", "rep"), F.greatest(F.lit(1), F.floor(F.col("m") / SOME))) == 0)
-        taken = some.join(sketch, "rep").select("path", F.posexplode(F.slice("steps", runs + 1, LOOKED_AT)).alias("k", "t"))
-        c = F.col("c")
-        agree = taken.groupBy("path", "k", "t").agg(F.count("*").alias("c")).groupBy("path", "k").agg((F.sum(c * (c - 1)) / F.greatest(F.lit(1), F.sum("c") * (F.sum("c") - 1))).alias("agree")).groupBy("path").agg(F.avg("agree").alias("agree"))
-        judged = staged(hot_join(large, agree, ["path"], ["rep"], "left").na.fill(0.0, ["agree"]), "large-paths")
-        found.append(judged.where(F.col("agree") >= alike).select("path", "rep", "m"))
-        rest = judged.where(F.col("agree") < alike)
+        # how much buckets agree is known before their members are looked up, so that one join gives both
+        judged = sizes.join(_agreement(now, sizes.where(F.col("m") > small), sketch, runs, small), "path", "left").na.fill(0.0, ["agree"])
+        # one path may hold a third of all sets
+        met = staged(hot_join(now, judged, ["path"], ["rep"]), "paths")
+        # sets of a large bucket that mostly take the same steps aren't parted by more of them
+        split = (F.col("m") > small) & (F.col("agree") < alike)
+        found.append(met.where(~split))
+        rest = met.where(split)
         if rest.isEmpty():
             break
-        now = staged(rest.join(sketch, "rep").select("rep", "path", F.posexplode(_steps(runs, branch)).alias("k", "t")).select("rep", F.xxhash64("path", "k", "t").alias("path")), "next-paths")
+        now = rest.join(sketch, "rep").select("rep", "path", F.posexplode(_steps(runs, branch)).alias("k", "t")).select("rep", F.xxhash64("path", "k", "t").alias("path"))
     out = found[0].select("path", "rep", "m")
     for f in found[1:]:
         out = out.unionByName(f.select("path", "rep", "m"))
@@ -128,10 +140,13 @@ def _cells(leaves: DataFrame, own: DataFrame, block: int) -> DataFrame:
     """
     low = own.select("rep", F.element_at("paths", 1).alias("low"))
     rows = staged(leaves.join(low, "rep").select("path", "rep", "m", F.when(F.col("low") < F.col("path"), F.col("low")).alias("g")), "bucket-rows")
-    settled = rows.where("g is not null").groupBy("path", "g").agg(F.count("*").alias("c")).where(F.col("c") >= block)
+    # only a bucket of `block` or more can have a settled group
+    wide = rows.where(F.col("m") >= block)
+    settled = wide.where("g is not null").groupBy("path", "g").agg(F.count("*").alias("c")).where(F.col("c") >= block)
     shape = settled.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("g", F.ceil(F.col("c") / block).cast("int").alias("n")))).alias("groups"), F.sum("c").alias("c"))
     # large paths alone have settled groups: one row for each
-    known = hot_join(rows, staged(shape, "bucket-shapes"), ["path"], ["rep"], "left")
+    known = hot_join(wide, staged(shape, "bucket-shapes"), ["path"], ["rep"], "left")
+    known = known.unionByName(rows.where(F.col("m") < block), allowMissingColumns=True)
     groups = F.coalesce("groups", F.array().cast("array<struct<g:bigint,n:int>>"))
     mixed = F.greatest(F.lit(1), F.ceil((F.col("m") - F.coalesce("c", F.lit(0))) / block)).cast("int")
     before = lambda at: F.aggregate(F.slice(groups, F.lit(1), at), F.lit(0), lambda n, x: n + x["n"])

@@ -304,6 +304,33 @@ def test_jaccard_join_finds_pairs_behind_a_common_template(spark):
     assert there > 500 and found >= 0.999 * there and all(got[i].n_links <= sum(near[i]) for i in range(len(texts)))
 
 
+def test_jaccard_join_looks_up_members_of_large_buckets_once(spark, monkeypatch):
+    """Of the rows of each level one join asks for size and agreement; shapes are for buckets of a block or more."""
+    rng = random.Random(56)
+    near = prose(rng, 120).split()
+    texts = []
+    for _ in range(300):  # near copies in buckets that are large, some alike and some to be split
+        t = list(near)
+        for _ in range(rng.choice([1, 2, 3])):
+            t[rng.randrange(len(t))] = "edit" + rng.choice(WORDS)
+        texts.append(" ".join(t))
+    near_, label = brute_links(texts)
+    looked_up = {}
+
+    def counted(rows, dim, keys, by, how="inner"):
+        joined = hot_join(rows, dim, keys, by, how)
+        looked_up.setdefault(how, []).append(joined.count())
+        return joined
+
+    hot_join = jaccard_join.hot_join
+    monkeypatch.setattr(jaccard_join, "hot_join", counted)
+    got = {r.doc_id: r for r in jaccard_join.join(docs_of(spark, texts), small=32, block=400).collect()}
+    assert len(looked_up["inner"]) > 1 and sum(looked_up["left"]) == 0  # no bucket of 300 texts has a block
+    found, there = sum(got[i].n_links for i in range(len(texts))), sum(map(sum, near_))
+    assert found >= 0.999 * there and all(got[i].n_links <= sum(near_[i]) for i in range(len(texts)))
+    assert [got[i].class_id for i in range(len(texts))] == label
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert jaccard_join.join(docs_of(spark, ["x"]).where("false")).count() == 0
     long_ = prose(random.Random(2), 200_000)
