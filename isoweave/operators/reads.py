@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isoweave.sources.scratch import written
+
 
 def productive(wells: DataFrame) -> DataFrame:
     return wells.where(F.col("productive") == 1).select("zmw").distinct()
@@ -67,11 +69,13 @@ def file_list(paths: DataFrame) -> DataFrame:
 def renamed_ids(trimmed: DataFrame, prefix: str, cell_rows: int = 100_000) -> DataFrame:
     """id_map(id, new_id) of kept reads: `prefix` and a number by the order of the ids.
 
-    Numbers are counted in cells by a digest of the id, whose starts come from their sizes.
+    Ids are dealt into ranges of about `cell_rows`, which follow each other; numbers are counted in each
+    range, whose first number comes from the sizes of those before it. The ranges are written, as they
+    come from a sample.
     """
-    ids = trimmed.where("status = 'kept'").select("id").distinct()
+    ids = trimmed.where("status = 'kept' and id is not null").select("id").distinct()
     cells = max(1, ids.count() // cell_rows)
-    dealt = ids.withColumn("_cell", F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(cells)))
+    dealt = written(ids.repartitionByRange(cells, "id").withColumn("_cell", F.spark_partition_id()), "ranges-of-ids")
     start = dealt.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", (F.sum("_n").over(W.orderBy("_cell")) - F.col("_n")).alias("_before"))
     number = F.col("_before") + F.row_number().over(W.partitionBy("_cell").orderBy("id"))
-    return dealt.join(start, "_cell").select("id", F.concat(F.lit(prefix), number.cast("string")).alias("new_id"))
+    return dealt.join(F.broadcast(start), "_cell").select("id", F.concat(F.lit(prefix), number.cast("string")).alias("new_id"))

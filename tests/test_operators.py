@@ -206,6 +206,12 @@ def test_ids_are_renamed_one_to_one(spark):
     assert sorted(r.id for r in got) == sorted({f"r{i % 50}" for i in range(200) if i % 3}) and sorted(int(r.new_id[1:]) for r in got) == list(range(1, len(got) + 1))
 
 
+def test_new_ids_follow_the_order_of_the_ids_over_several_ranges(spark):
+    d = spark.createDataFrame([(f"m{i % 3}/{i}", "kept") for i in range(500)], "id string, status string")
+    got = {r.id: r.new_id for r in reads.renamed_ids(d, "N", cell_rows=20).collect()}
+    assert got == {x: f"N{k + 1}" for k, x in enumerate(sorted(got))} and len(got) == 500
+
+
 def greedy_isoforms(reads_, plus):
     """Isoforms of one locus as plain lists: what each read spans, compared one by one."""
     slots = sorted({j for r in reads_ for j in r["junctions"]})
