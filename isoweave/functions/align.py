@@ -274,3 +274,93 @@ def align_reads(reads: DataFrame, refs: DataFrame, band: int = 32, hits: int = 5
 
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     return pairs.mapInPandas(run, f"qname {kind['id']}, flag int, rname {kind['ref']}, pos int, cigar string, seq string, md string, score int, weight double")
+
+
+class Hasher:
+    """64-bit hashes of all strings of `k` bytes in a text: a difference of two running sums each."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def __call__(self, text: np.ndarray) -> np.ndarray:
+        n = len(text)
+        if n < self.k:
+            return np.zeros(0, np.uint64)
+        if len(self.powers) < n:
+            size = 2 * n
+            lines = (np.full(size, b, np.uint64) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+            self.powers, self.inverse = (np.multiply.accumulate(np.r_[np.ones(1, np.uint64), line]) for line in lines)
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * self.powers[:n])]
+        h = (sums[self.k :] - sums[: n - self.k + 1]) * self.inverse[: n - self.k + 1]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+
+def least_places(codes: np.ndarray, width: int, block: int = 1 << 20) -> np.ndarray:
+    """Places that hold the least code, the first of equal ones, of some `width` neighbouring places.
+
+    Codes are compared by their upper 43 bits; the lower ones hold places of a block, so that the
+    minimum over a sliding window says where it lies.
+    """
+    found = []
+    for first in range(0, len(codes) - width + 1, block):
+        part = codes[first : first + block + width - 1]
+        x = (part >> np.uint64(21) << np.uint64(21)) | np.arange(len(part), dtype=np.uint64)
+        rows = np.full(-(-len(x) // width) * width, ~np.uint64(0), np.uint64)
+        rows[: len(x)] = x
+        rows = rows.reshape(-1, width)
+        ahead = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()[: len(x) - width + 1]
+        behind = np.minimum.accumulate(rows, axis=1).ravel()[width - 1 : len(x)]
+        found.append(np.unique(np.minimum(ahead, behind) & np.uint64((1 << 21) - 1)).astype(np.int64) + first)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def anchors(seqs: DataFrame, keep: str, k: int, width: int, whole: bool) -> DataFrame:
+    """`keep`, place and key of the strings of `k` bytes of `seqs(keep, _text)` that stand for the windows of `width` such strings.
+
+    Equal windows have equal anchors at equal places. With `whole` all windows are taken, else the first.
+    """
+    kind = dict(seqs.dtypes)[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hasher(k)
+        for b in batches:
+            rows, places, keys = [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                line = np.frombuffer(text or b"", np.uint8)
+                codes = hashed(line if whole else line[: k + width - 1])
+                at = least_places(codes, width)
+                rows.append(np.full(len(at), i))
+                places.append(at)
+                keys.append(codes[at].view(np.int64))
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places)), pa.array(np.concatenate(keys))], [keep, "place", "key"])
+
+    return seqs.select(keep, "_text").mapInArrow(run, f"{keep} {kind}, place long, key long")
+
+
+def whole_hits(reads: DataFrame, refs: DataFrame) -> DataFrame:
+    """qname, rname, flag of the long reads of `refs(id, seq)` that hold one of `reads(id, seq)`, or its reverse complement, whole.
+
+    Those are the hits of align_reads() in which all bases agree, without a limit to their number. One
+    string of each window of a long read, and of each short read, is its anchor; places where both are
+    equal are cut out and joined by their text. What is joined grows with the sequences and
+    with what is found. Ids must be distinct.
+    """
+    both = F.array(F.struct(F.lit(0).alias("flag"), F.col("seq").alias("s")), F.struct(F.lit(16).alias("flag"), revcomp(F.col("seq")).alias("s")))
+    size = F.octet_length("seq")
+    # shorter ones don't reach the score of a hit
+    strands = reads.where(MATCH * F.length("seq") >= 20 + 8 * F.log(F.length("seq"))).select(F.col("id").alias("qname"), F.explode(both).alias("x")).select("qname", "x.flag", F.col("x.s").alias("seq"))
+    span = strands.agg(F.min(size)).first()[0] or SEED
+    k = max(SEED, span // 2)
+    width = span - k + 1
+    asked = anchors(strands.select("seq").distinct().withColumn("_text", F.col("seq").cast("binary")), "seq", k, width, whole=False)
+    asked = asked.select("key", F.col("place").alias("_at"), size.alias("_n")).distinct()
+    long_reads = refs.select(F.col("id").alias("rname"), F.col("seq").cast("binary").alias("_text"))
+    places = anchors(long_reads, "rname", k, width, whole=True).join(asked, "key").select("rname", (F.col("place") - F.col("_at")).cast("int").alias("_at"), "_n").where("_at >= 0")
+    cut = F.substr("_text", F.col("_at") + 1, F.col("_n"))
+    windows = places.join(long_reads, "rname").select("rname", cut.alias("_cut"), "_n").where("length(_cut) = _n").select("rname", F.col("_cut").cast("string").alias("seq")).distinct()
+    return windows.join(strands, "seq").select("qname", "rname", "flag")

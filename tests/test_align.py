@@ -1,8 +1,9 @@
 import random
 import tracemalloc
 
+import numpy as np
 
-from isoweave.functions.align import align_batch, align_reads, seed_codes
+from isoweave.functions.align import align_batch, align_reads, least_places, seed_codes, whole_hits
 from isoweave.functions.trim import revcomp
 from isoweave.plans.correct import correct
 
@@ -144,6 +145,26 @@ def test_seeds_with_one_mismatch_find_what_plain_alignment_finds(spark):
     assert len(expected) >= 40 and set(hits(spark, reads, refs)) == expected
 
 
+def test_whole_hits_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    line = "".join(rng.choices("ACGT", k=70))
+    texts = ["".join(rng.choices("ACGT", k=rng.randint(0, 300))) + (line * rng.randint(0, 4)) + "A" * rng.randint(0, 90) for _ in range(30)]
+    refs = {f"l{i}": t for i, t in enumerate([*texts, *texts[:5], "", "ACGT" * 60, "xé" + line + "Nñ" + texts[0], None])}
+    reads = {f"r{i}": t[at : at + rng.choice([50, 60, 100])] for i, t in enumerate(texts) for at in [rng.randrange(len(t) // 2 + 1)] if len(t) - at > 49}
+    reads |= {"same": line[:50], "turned": revcomp(line)[5:65], "a": "A" * 50, "palindrome": "ACGT" * 15, "none": "".join(rng.choices("ACGT", k=80)), "null": None, "short": line[:20]}
+    expected = {(q, r, f) for q, s in reads.items() for r, t in refs.items() for f, x in ((0, s), (16, s and revcomp(s))) if x and t and len(x) > 22 and x in t}
+    a = spark.createDataFrame(list(reads.items()), "id string, seq string")
+    b = spark.createDataFrame(list(refs.items()), "id string, seq string")
+    got = [tuple(x) for x in whole_hits(a, b).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len({q for q, _, _ in got}) > 20
+
+
+def test_least_places_of_windows_over_several_blocks():
+    codes = np.random.default_rng(3).integers(0, 40, 300).astype(np.uint64) << np.uint64(50)
+    for width in (1, 7, 40, 300, 301):
+        assert least_places(codes, width, block=64).tolist() == sorted({a + int(codes[a : a + width].argmin()) for a in range(len(codes) - width + 1)})
+
+
 def test_odd_sequences_have_no_hit(spark):
     assert hits(spark, {"a": "", "b": None, "c": "N" * 50, "d": "ACGTACGT"}, {"x": "ACGT" * 30, "y": None, "z": ""}) == []
 
