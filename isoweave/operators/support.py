@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from isoweave.functions.seq import fixed3, overlap_length
 from isoweave.operators.coverage import overlay, totals
-from isoweave.operators.intervals import first_by, merge, neighbour_window, range_join
+from isoweave.operators.intervals import merge, neighbour_window, range_join
 from isoweave.sources.scratch import written
 
 KEYS = ["chr", "strand"]
@@ -26,22 +26,44 @@ def signed_distance(strand: Column, site: Column, start: Column, end: Column) ->
     return F.when(strand == "+", d).otherwise(-d)
 
 
+def _spread(peaks: DataFrame, window: int) -> DataFrame:
+    """chr, strand, peak_start, peak_end, peak_score and bin of the peaks that count, a row for each bin of `window`."""
+    last = F.max_by(F.struct(F.col("end").alias("peak_end"), F.col("score").alias("peak_score")), "line_no").alias("_p")
+    p = peaks.groupBy(*KEYS, F.col("start").alias("peak_start")).agg(last).select(*KEYS, "peak_start", "_p.*")
+    return p.withColumn("bin", F.explode(F.sequence(F.floor(F.col("peak_start") / window), F.floor(F.col("peak_end") / window) + 1)))
+
+
+def _distance() -> Column:
+    return signed_distance(F.col("strand"), F.col("_at"), F.col("peak_start"), F.col("peak_end"))
+
+
+def _bins_with_hits(sites: DataFrame, spread: DataFrame, window: int) -> DataFrame:
+    """chr, strand, _at, bin of the `sites(chr, strand, _at)` with a peak in reach: the first bin that has one."""
+    own = F.floor(F.col("_at") / window)
+    looked = sites.withColumn("_look", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (own + d).alias("bin")) for k, d in ((0, 0), (1, -1), (2, 1))]))).select(*KEYS, "_at", "_look", "_look.bin")
+    near = looked.join(spread, [*KEYS, "bin"]).where(F.abs(_distance()) <= window)
+    first = near.groupBy(*KEYS, "_at").agg(F.min("_look.k").alias("_k"))
+    return first.select(*KEYS, "_at", (own + F.when(F.col("_k") == 0, 0).when(F.col("_k") == 1, -1).otherwise(1)).alias("bin"))
+
+
+def _ends(tx: DataFrame) -> DataFrame:
+    return tx.withColumn("_at", tss(F.col("strand"), F.col("tx_start"), F.col("tx_end")))
+
+
 def cage_support(tx: DataFrame, peaks: DataFrame, window: int = 50) -> DataFrame:
     """One row for each transcript and peak within `window` of its 5' end: adds peak_start, peak_end,
     peak_score and dist.
 
     Peaks lie in bins of `window`, from the bin of their start to the one behind that of their end. A
     site takes the peaks of its own bin; only without a hit there those of the bin before, then of
-    the bin behind. Of peaks with one chr, strand, bin and start the last line counts.
+    the bin behind. Of peaks with one chr, strand, bin and start the last line counts. Which bin it is
+    is asked once for each site, so the rows found are not shuffled.
     """
-    p = peaks.select(*KEYS, F.col("start").alias("peak_start"), F.col("end").alias("peak_end"), F.col("score").alias("peak_score"), "line_no")
-    p = first_by(p, [*KEYS, "peak_start"], F.desc("line_no")).drop("line_no")
-    spread = p.withColumn("bin", F.explode(F.sequence(F.floor(F.col("peak_start") / window), F.floor(F.col("peak_end") / window) + 1)))
-    sites = tx.withColumn("_tss", tss(F.col("strand"), F.col("tx_start"), F.col("tx_end"))).withColumn("_b", F.floor(F.col("_tss") / window))
-    looked = sites.withColumn("_look", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("_b") + d).alias("bin")) for k, d in ((0, 0), (1, -1), (2, 1))]))).withColumn("bin", F.col("_look.bin"))
-    near = looked.join(spread, [*KEYS, "bin"]).withColumn("dist", signed_distance(F.col("strand"), F.col("_tss"), F.col("peak_start"), F.col("peak_end"))).where(F.abs("dist") <= window)
-    best = near.groupBy("tx").agg(F.min("_look.k").alias("_k"))
-    return near.join(best, "tx").where(F.col("_look.k") == F.col("_k")).select(*tx.columns, "peak_start", "peak_end", "peak_score", "dist")
+    spread = _spread(peaks, window)
+    ends = _ends(tx)
+    found = _bins_with_hits(ends.select(*KEYS, "_at").distinct(), spread, window)
+    near = ends.join(found, [*KEYS, "_at"]).join(spread, [*KEYS, "bin"]).withColumn("dist", _distance()).where(F.abs("dist") <= window)
+    return near.select(*tx.columns, "peak_start", "peak_end", "peak_score", "dist")
 
 
 def cage_nearest(tx: DataFrame, peaks: DataFrame, width: int = 1_000_000) -> DataFrame:

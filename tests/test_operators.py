@@ -200,6 +200,31 @@ def test_decay_goes_on_to_the_end_of_coverage(spark):
     assert abs(got["+"].ext - 89_000 / 50) <= 3 and abs(got["-"].ext - 80_000 / 50) <= 3 and got["+"].means[-1] == 0.0
 
 
+def test_found_peaks_are_not_shuffled_and_equal_a_plain_search(spark):
+    import random
+    import re
+
+    rng = random.Random(8)
+    tx = [(f"t{i}", rng.choice("ab"), rng.choice("+-"), s, s + rng.randint(0, 300)) for i in range(200) for s in [rng.choice([rng.randrange(3000), 777])]]
+    peaks = [(rng.choice("abc"), rng.choice("+-"), s, s + rng.randint(0, 120), 1.0, i) for i in range(120) for s in [rng.randrange(40) * 60]]
+    t = spark.createDataFrame(tx, "tx string, chr string, strand string, tx_start long, tx_end long")
+    p = spark.createDataFrame(peaks, "chr string, strand string, start long, end long, score double, line_no long")
+    last = {x[:3]: x for x in sorted(peaks, key=lambda x: x[5])}
+
+    def away(strand, site, s, e):
+        return (0 if s <= site <= e else site - s if site < s else site - e) * (1 if strand == "+" else -1)
+
+    found = set()
+    for name, c, strand, a, z in tx:
+        site = a if strand == "+" else z
+        own = [(x, away(strand, site, x[2], x[3])) for x in last.values() if x[:2] == (c, strand)]
+        tried = [{(name, x[2], d) for x, d in own if abs(d) <= 50 and x[2] // 50 <= site // 50 + k <= x[3] // 50 + 1} for k in (0, -1, 1)]
+        found |= next(filter(None, tried), set())
+    near = support.cage_support(t, p)
+    assert set(rows(near, "tx", "peak_start", "dist")) == found and near.count() == len(found) > 100
+    assert re.search(r"Join \[([^\]]*)\]", near._jdf.queryExecution().executedPlan().toString())[1].count("bin#") == 1
+
+
 def test_ids_are_renamed_one_to_one(spark):
     d = spark.createDataFrame([(f"r{i % 50}", "kept" if i % 3 else "discard") for i in range(200)], "id string, status string")
     got = reads.renamed_ids(d, "N", cell_rows=10).collect()
