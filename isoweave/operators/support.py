@@ -93,12 +93,20 @@ def cage_nearest(tx: DataFrame, peaks: DataFrame, width: int = 1_000_000) -> Dat
 def cage_or_nearest(tx: DataFrame, peaks: DataFrame, window: int = 50) -> DataFrame:
     """tx, peak_start, dist, supported: the peaks within `window`, or the nearest one where there is none.
 
-    The nearest peak is sought among the unions of overlapping peaks.
+    The nearest peak is sought among the unions of overlapping peaks. Sites are judged once, however
+    many transcripts begin there.
     """
-    hits = cage_support(tx, peaks, window).select("tx", "peak_start", "dist", F.lit(True).alias("supported"))
+    spread = _spread(peaks, window)
+    ends = written(_ends(tx).select("tx", *KEYS, "_at"), "ends")
+    sites = written(ends.select(*KEYS, "_at").distinct(), "sites")
+    found = written(_bins_with_hits(sites, spread, window), "sites-with-peaks")
     unions = merge(peaks.select(*KEYS, "start", "end"), KEYS, "start", "end").drop("n")
-    rest = tx.join(hits.select("tx").distinct(), "tx", "left_anti")
-    return hits.unionByName(cage_nearest(rest, unions).select("tx", "peak_start", "dist", F.lit(False).alias("supported")))
+    rest = sites.join(found, [*KEYS, "_at"], "left_anti").select(F.struct(*KEYS, "_at").alias("tx"), *KEYS, F.col("_at").alias("tx_start"), F.col("_at").alias("tx_end"))
+    far = cage_nearest(rest, unions).select("tx.*", F.floor(F.col("tx._at") / window).alias("bin"), F.lit(False).alias("supported"), F.struct("peak_start", "dist").alias("_far"))
+    judged = found.withColumn("supported", F.lit(True)).unionByName(far, allowMissingColumns=True)
+    met = ends.join(judged, [*KEYS, "_at"]).join(spread.withColumn("supported", F.lit(True)), [*KEYS, "bin", "supported"], "left").withColumn("dist", _distance())
+    kept = met.where(~F.col("supported") | (F.abs("dist") <= window))
+    return kept.select("tx", F.coalesce("peak_start", "_far.peak_start").alias("peak_start"), F.coalesce("dist", "_far.dist").alias("dist"), "supported")
 
 
 def last_exons(tx: DataFrame) -> DataFrame:

@@ -223,6 +223,11 @@ def test_found_peaks_are_not_shuffled_and_equal_a_plain_search(spark):
     near = support.cage_support(t, p)
     assert set(rows(near, "tx", "peak_start", "dist")) == found and near.count() == len(found) > 100
     assert re.search(r"Join \[([^\]]*)\]", near._jdf.queryExecution().executedPlan().toString())[1].count("bin#") == 1
+    both = support.cage_or_nearest(t, p)
+    assert set(rows(both.where("supported"), "tx", "peak_start", "dist")) == found
+    unions = intervals.merge(p.select("chr", "strand", "start", "end"), ["chr", "strand"], "start", "end").drop("n")
+    expected = [r for r in rows(support.cage_nearest(t, unions), "tx", "peak_start", "dist") if r[0] not in {f[0] for f in found}]
+    assert rows(both.where("not supported"), "tx", "peak_start", "dist") == expected != []
 
 
 def test_ids_are_renamed_one_to_one(spark):
