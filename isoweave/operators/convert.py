@@ -16,10 +16,11 @@ def best_path(paths: DataFrame) -> DataFrame:
     return first_by(paths, ["tx"], F.desc("matches"), F.col("line_no"))
 
 
-def bettered(paths: DataFrame) -> DataFrame:
-    """tx of the transcripts of which a later path has more matches than all paths before it."""
-    before = W.partitionBy("tx").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    return paths.select("tx", "line_no", "matches").withColumn("_before", F.max("matches").over(before)).where("matches > _before").select("tx").distinct()
+def chosen_paths(paths: DataFrame) -> DataFrame:
+    """best_path() by aggregation, and _moved: whether a later line betters the first path of a transcript."""
+    best = F.max_by(F.struct(*[F.col(c) for c in paths.columns if c != "tx"]), F.struct("matches", -F.col("line_no"))).alias("_best")
+    moved = (F.max("matches") > F.min_by("matches", "line_no")).alias("_moved")
+    return paths.groupBy("tx").agg(best, moved).select("_best.*", "tx", "_moved")
 
 
 def with_cds_by_strand(tx: DataFrame) -> DataFrame:
@@ -47,28 +48,33 @@ def gff3_to_refflat(gff: DataFrame, lengths: DataFrame, use_best: bool = True, p
     mrna = named.where("feature = 'mRNA'").where(F.regexp_extract("attr_text", r"^ID=([\w.|]+);", 1) != "").select(
         "line_no", "chr", "strand", F.regexp_extract("attr_text", r"^ID=([\w.|]+);", 1).alias("path"), a("coverage").cast("double").alias("coverage"),
         a("identity").cast("double").alias("identity"), F.coalesce(a("matches").cast("long"), F.lit(0)).alias("matches")).withColumn("tx", F.substring_index("path", ".mrna", 1))
-    chosen = best_path(mrna)
+    chosen = chosen_paths(mrna)
     if not use_best:
-        moved = bettered(mrna)
-        chosen = chosen.join(moved, "tx", "left_anti")
         if pacbio:
             well = F.regexp_extract("tx", r"^(.*?_?(?:ccs|sub)_[^_]+_[^_]+)", 1)
-            of = F.when(well != "", well).otherwise(F.col("tx")).alias("_well")
-            chosen = chosen.select("*", of).join(moved.select(of).distinct(), "_well", "left_anti").drop("_well")
+            chosen = chosen.withColumn("_well", F.when(well != "", well).otherwise(F.col("tx")))
+            chosen = chosen.withColumn("_moved", F.max("_moved").over(W.partitionBy("_well")))
+        chosen = chosen.where("not _moved")
     target = F.split(a("Target"), " ")
     parts = named.where("feature in ('exon', 'CDS')").select(
         "line_no", "feature", "strand", "score", (F.col("start") - 1).alias("s"), F.col("end").alias("e"), F.coalesce(a("Parent"), F.regexp_extract("attr_text", "Parent=([^;]+)", 1)).alias("path"),
         F.get(target, F.lit(1)).cast("long").alias("t1"), F.get(target, F.lit(2)).cast("long").alias("t2"))
-    own = parts.join(chosen.select("path", "tx"), "path")
-    exons = collect_exons(own.where("feature = 'exon'"), "tx")
-    cds = own.where("feature = 'CDS'").groupBy("tx").agg(F.min("s").alias("cds_start"), F.max("e").alias("cds_end"))
-    span = own.where("feature = 'exon'").groupBy("tx").agg(F.min(F.least("t1", "t2")).alias("read_start"), F.max(F.greatest("t1", "t2")).alias("read_end"), F.min_by("strand", "line_no").alias("read_strand"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "score"))), lambda x: x["score"]).alias("exon_scores"), F.sum(F.col("e") - F.col("s")).alias("covered"))
+    # lines are gathered by path before they meet the chosen ones; a transcript has one path then
+    is_exon, is_cds = F.col("feature") == "exon", F.col("feature") == "CDS"
+    exon, cds = lambda c: F.when(is_exon, F.col(c)), lambda c: F.when(is_cds, F.col(c))
+    scores = F.transform(F.array_sort(F.collect_list(F.when(is_exon, F.struct("line_no", "score")))), lambda x: x["score"])
+    by_path = parts.groupBy("path").agg(
+        F.array_sort(F.collect_list(exon("s"))).alias("exon_starts"), F.array_sort(F.collect_list(exon("e"))).alias("exon_ends"), F.min(cds("s")).alias("cds_start"), F.max(cds("e")).alias("cds_end"),
+        F.min(F.least(exon("t1"), exon("t2"))).alias("read_start"), F.max(F.greatest(exon("t1"), exon("t2"))).alias("read_end"), F.min_by("strand", exon("line_no")).alias("read_strand"),
+        scores.alias("exon_scores"), F.sum(exon("e") - exon("s")).alias("covered"), F.count_if(is_exon).cast("int").alias("_exons")).where("_exons > 0")
+    own = chosen.join(by_path, "path")
     group = F.regexp_extract("tx", r"^(Isogroup_\d+)", 1)
     gene = F.when(group != "", group).otherwise(F.col("tx"))
-    flat = chosen.join(exons, "tx").join(cds, "tx", "left").select(
+    outer = own.withColumns({"n_exon": F.size("exon_starts"), "tx_start": F.array_min("exon_starts"), "tx_end": F.array_max("exon_ends")})
+    flat = outer.select(
         F.regexp_replace(gene, r"\|", "_").alias("gene"), "tx", "chr", "strand", "tx_start", "tx_end", F.coalesce("cds_start", "tx_start").alias("cds_start"), F.coalesce("cds_end", "tx_start").alias("cds_end"), "n_exon", "exon_starts", "exon_ends")
     share = 100 * (F.col("read_end") - F.col("read_start")) / F.col("len")
-    cov = chosen.join(span, "tx").join(lengths.select(F.col("id").alias("tx"), "len"), "tx").select("tx", F.round(share, 1).alias("pct"), "identity", "read_start", "read_end", "read_strand", "len", "covered", "coverage", "exon_scores")
+    cov = own.join(lengths.select(F.col("id").alias("tx"), "len"), "tx").select("tx", F.round(share, 1).alias("pct"), "identity", "read_start", "read_end", "read_strand", "len", "covered", "coverage", "exon_scores")
     return flat, cov
 
 

@@ -17,10 +17,10 @@ def clean(get):
     return get("sequences").select(F.col("id").cast("string").alias("id"), F.regexp_replace("seq", "[^ACGTN]", "").alias("seq"))
 
 
-def put(df, name: str) -> str:
+def put(df, name: str, compression: str = "none") -> str:
     """Writes lines and returns where."""
     path = new_path(df.sparkSession, name)
-    df.write.text(path)
+    df.write.text(path, compression=compression)
     return path
 
 
@@ -54,21 +54,27 @@ def sam_scan(get):
 
 
 def _gff(get, name=None):
-    """mRNA and exon lines; every third transcript has a second, worse path on another chr, half of them in front."""
+    """mRNA and exon lines; every third transcript has a second, worse path on another chr, half of them in front.
+
+    Transcripts are sorted, not their lines, which are made in order from each.
+    """
     name = F.concat(F.lit("t"), F.col("tx").cast("string")) if name is None else name
-    t = transcripts(get).withColumn("copy", F.explode(F.when(F.col("tx") % 3 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    path = F.concat(name, F.lit(".mrna"), F.col("copy").cast("string"))
-    chrom = F.concat(F.lit("chr"), (F.col("chr") + 10 * (F.col("copy") - 1)).cast("string"))
+    copies = F.when(F.col("tx") % 6 == 0, F.array(F.lit(1), F.lit(2))).when(F.col("tx") % 3 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))
+    t = transcripts(get).select("tx", "chr", "strand", "tx_start", "tx_end", "exon_starts", "exon_ends").orderBy("tx").withColumn("copy", F.explode(copies))
+    t = t.withColumn("path", F.concat(name, F.lit(".mrna"), F.col("copy").cast("string"))).withColumn("chrom", F.concat(F.lit("chr"), (F.col("chr") + 10 * (F.col("copy") - 1)).cast("string")))
     matches = exon_lengths(F.col("exon_starts"), F.col("exon_ends")) - 5 * (F.col("copy") - 1)
-    mrna = t.select("tx", "copy", F.lit(0).alias("k"), tabs(chrom, F.lit("x"), F.lit("mRNA"), F.col("tx_start") + 1, "tx_end", F.lit("."), "strand", F.lit("."), F.concat(F.lit("ID="), path, F.lit(";Name=n;coverage=99.5;identity=98.5;matches="), matches.cast("string"), F.lit(";"))))
-    parts = t.select("tx", "copy", "strand", path.alias("path"), chrom.alias("chrom"), F.posexplode(F.arrays_zip("exon_starts", "exon_ends")).alias("k", "x"))
-    first = F.col("k") * 100 + 1
-    # one exon in fifty lies on the other strand than its path
-    strand = F.when((F.col("tx") + F.col("k")) % 50 == 0, F.when(F.col("strand") == "+", "-").otherwise("+")).otherwise(F.col("strand"))
-    exons = parts.select("tx", "copy", (F.col("k") + 1).alias("k"), tabs("chrom", F.lit("x"), F.lit("exon"), F.col("x.exon_starts") + 1, "x.exon_ends", 90 + F.col("k") % 10, strand, F.lit("."), F.concat(F.lit("ID=e;Parent="), F.col("path"), F.lit(";Target=t "), first.cast("string"), F.lit(" "), (first + 79).cast("string"), F.lit(" +;"))))
-    cds = t.where("tx % 4 = 0").select("tx", "copy", F.lit(99).alias("k"), tabs(chrom, F.lit("x"), F.lit("CDS"), F.col("tx_start") + 11, F.col("tx_end") - 10, F.lit("."), "strand", F.lit("0"), F.concat(F.lit("ID=c;Parent="), path, F.lit(";Target=t 1 9 +;"))))
-    lines = mrna.unionByName(exons).unionByName(cds).orderBy("tx", F.when(F.col("tx") % 6 == 0, F.col("copy")).otherwise(-F.col("copy")), "k").select("value")
-    return alignments.read_gff3(lines.sparkSession, put(lines, "gff3"))
+    mrna = tabs("chrom", F.lit("x"), F.lit("mRNA"), F.col("tx_start") + 1, "tx_end", F.lit("."), "strand", F.lit("."), F.concat(F.lit("ID="), "path", F.lit(";Name=n;coverage=99.5;identity=98.5;matches="), matches.cast("string"), F.lit(";")))
+
+    def exon(x, k):
+        first = k * 100 + 1
+        # one exon in fifty lies on the other strand than its path
+        strand = F.when((F.col("tx") + k) % 50 == 0, F.when(F.col("strand") == "+", "-").otherwise("+")).otherwise(F.col("strand"))
+        return tabs("chrom", F.lit("x"), F.lit("exon"), x["exon_starts"] + 1, x["exon_ends"], 90 + k % 10, strand, F.lit("."), F.concat(F.lit("ID=e;Parent="), F.col("path"), F.lit(";Target=t "), first.cast("string"), F.lit(" "), (first + 79).cast("string"), F.lit(" +;")))
+
+    cds = tabs("chrom", F.lit("x"), F.lit("CDS"), F.col("tx_start") + 11, F.col("tx_end") - 10, F.lit("."), "strand", F.lit("0"), F.concat(F.lit("ID=c;Parent="), "path", F.lit(";Target=t 1 9 +;")))
+    own = F.concat(F.array(mrna), F.transform(F.arrays_zip("exon_starts", "exon_ends"), exon), F.when(F.col("tx") % 4 == 0, F.array(cds)).otherwise(F.array().cast("array<string>")))
+    lines = t.select(F.explode(own).alias("value"))
+    return alignments.read_gff3(lines.sparkSession, put(lines, "gff3", "gzip"))
 
 
 @query("""SELECT 't' || CAST(tx AS VARCHAR) AS tx, 't' || CAST(tx AS VARCHAR) AS gene, 'chr' || CAST(chr AS VARCHAR) AS chr, strand, tx_start, tx_end, CASE WHEN tx % 4 = 0 THEN tx_start + 10 ELSE tx_start END AS cds_start, CASE WHEN tx % 4 = 0 THEN tx_end - 10 ELSE tx_start END AS cds_end, CAST(n_exon AS INT) AS n_exon, starts, ends

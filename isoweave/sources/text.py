@@ -16,11 +16,11 @@ def numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")
     raw = spark.read.text(paths).select(*at, F.monotonically_increasing_id().alias("_id"), "value")
     splits = raw.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    # one row for each split of the input
+    # one row for each split of the input, which all tasks are given
     before = lambda w: F.sum("_n").over(w) - F.col("_n")
     starts = splits.select("file", "_block", "_first", before(W.partitionBy("file").orderBy("_block")).alias("_own"), before(W.orderBy("file", "_block")).alias("_all"))
     place = F.col("_id") - F.col("_first")
-    return raw.join(starts, ["file", "_block"]).select("file", (F.col("_own") + place).alias("n"), (F.col("_all") + place).alias("line_no"), "value")
+    return raw.join(F.broadcast(starts), ["file", "_block"]).select("file", (F.col("_own") + place).alias("n"), (F.col("_all") + place).alias("line_no"), "value")
 
 
 def lines(spark: SparkSession, paths: str | list[str], skip: str | None = None) -> DataFrame:

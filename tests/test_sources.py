@@ -123,6 +123,29 @@ def test_gff3(spark, tmp_path):
     assert (c.read_start, c.read_end, c.covered, c.pct) == (1, 60, 60, 98.3)
 
 
+def test_gff3_lines_are_shuffled_once_and_wells_settled(spark, tmp_path):
+    line = lambda kind, s, e, more: f"chr1\tx\t{kind}\t{s}\t{e}\t90\t+\t.\t{more}"
+    body = []
+    # matches of the paths of each read, in file order: the second, third and fifth are bettered
+    for k, paths in enumerate([[9], [5, 9], [5, 5, 9], [9, 5, 9], [5, 4, 6], [0], [3], [2, 2]]):
+        for n, m in enumerate(paths):
+            path = f"sub_w{k // 2}_1_r{k}.mrna{n + 1}"
+            body += [line("mRNA", 11 + n, 100, f"ID={path};coverage=99;identity=98;matches={m};")]
+            body += [line("CDS", 21, 90, f"ID=c;Parent={path};Target=t 1 2 +;"), line("exon", 61, 100, f"ID=e;Parent={path};Target=t 51 90 +;"), line("exon", 11 + n, 40, f"ID=e;Parent={path};Target=t 1 30 +;")]
+    body.append(line("mRNA", 1, 9, "ID=sub_w9_1_empty.mrna1;coverage=99;identity=98;matches=1;"))
+    gff = alignments.read_gff3(spark, put(tmp_path, "w.gff", "\n".join(body) + "\n"))
+    lengths = spark.createDataFrame([(f"sub_w{k // 2}_1_r{k}", 100) for k in range(8)], "id string, len long")
+    start = lambda flat: {r.tx[-1]: (r.tx_start, r.cds_start, r.exon_ends) for r in flat.collect()}
+    all_ = {str(k): (10 + n, 20, [40, 100]) for k, n in enumerate([0, 1, 2, 0, 2, 0, 0, 0])}
+    flat, cov = convert.gff3_to_refflat(gff, lengths)
+    assert start(flat) == all_ and {(r.read_start, r.read_end, tuple(r.exon_scores)) for r in cov.collect()} == {(1, 90, (90.0, 90.0))} and cov.count() == 8
+    assert start(convert.gff3_to_refflat(gff, lengths, use_best=False)[0]) == {k: all_[k] for k in "03567"}
+    assert start(convert.gff3_to_refflat(gff, lengths, use_best=False, pacbio=True)[0]) == {k: all_[k] for k in "67"}
+    for rows in (flat, cov):
+        text = rows.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Scan text") <= 4 and text.count("hashpartitioning(path#") <= 2 and text.count("hashpartitioning(file#") <= 4
+
+
 def test_gtf_runs(spark, tmp_path):
     line = lambda t, s, e: f'1\tc\texon\t{s}\t{e}\t.\t+\t.\tgene_id "G"; transcript_id "{t}"; gene_name "N";\n'
     gtf = alignments.read_gtf(spark, put(tmp_path, "a.gtf", line("t1", 1, 10) + line("t1", 21, 30) + line("t2", 5, 9)))
