@@ -8,7 +8,7 @@ from isoweave.functions.seq import exon_lengths
 from isoweave.operators import convert, junctions, votes
 from isoweave.plans.registry import query, transcripts
 from isoweave.sources import alignments, annotations, sequences
-from isoweave.sources.scratch import new_path
+from isoweave.sources.scratch import new_path, written
 
 CLEAN = "regexp_replace(seq, '[^ACGTN]', '', 'g')"
 
@@ -53,14 +53,15 @@ def sam_scan(get):
     return got.select("qname", "flag", "rname", "pos", "cigar", "md", F.size("tags").alias("n_tags"))
 
 
-def _gff(get, name=None):
+def _gff(get, name=None, of=None):
     """mRNA and exon lines; every third transcript has a second, worse path on another chr, half of them in front.
 
     Transcripts are sorted, not their lines, which are made in order from each.
     """
     name = F.concat(F.lit("t"), F.col("tx").cast("string")) if name is None else name
     copies = F.when(F.col("tx") % 6 == 0, F.array(F.lit(1), F.lit(2))).when(F.col("tx") % 3 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))
-    t = transcripts(get).select("tx", "chr", "strand", "tx_start", "tx_end", "exon_starts", "exon_ends").orderBy("tx").withColumn("copy", F.explode(copies))
+    t = transcripts(get) if of is None else of
+    t = t.select("tx", "chr", "strand", "tx_start", "tx_end", "exon_starts", "exon_ends").orderBy("tx").withColumn("copy", F.explode(copies))
     t = t.withColumn("path", F.concat(name, F.lit(".mrna"), F.col("copy").cast("string"))).withColumn("chrom", F.concat(F.lit("chr"), (F.col("chr") + 10 * (F.col("copy") - 1)).cast("string")))
     matches = exon_lengths(F.col("exon_starts"), F.col("exon_ends")) - 5 * (F.col("copy") - 1)
     mrna = tabs("chrom", F.lit("x"), F.lit("mRNA"), F.col("tx_start") + 1, "tx_end", F.lit("."), "strand", F.lit("."), F.concat(F.lit("ID="), "path", F.lit(";Name=n;coverage=99.5;identity=98.5;matches="), matches.cast("string"), F.lit(";")))
@@ -89,8 +90,8 @@ def gff3_to_refflat(get):
 @query("""SELECT 't' || CAST(tx AS VARCHAR) AS tx, CAST(1 AS BIGINT) AS read_start, CAST((n - 1) * 100 + 80 AS BIGINT) AS read_end, covered, round(100 * (CAST((n - 1) * 100 + 80 AS BIGINT) - 1) / 1000.0, 1) AS pct, CAST(98.5 AS DOUBLE) AS identity,
     read_strand, scores FROM (SELECT tx, string_agg(CAST(90 + k % 10 AS VARCHAR), ',' ORDER BY k) AS scores, count(*) AS n, sum(e - s) AS covered, CASE WHEN tx % 50 = 0 THEN CASE WHEN min(strand) = '+' THEN '-' ELSE '+' END ELSE min(strand) END AS read_strand FROM (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY s) - 1 AS k FROM {exons}) e GROUP BY tx) x""")
 def gff3_coverage(get):
-    lengths = transcripts(get).select(F.concat(F.lit("t"), F.col("tx").cast("string")).alias("id"), F.lit(1000).alias("len"))
-    cov = convert.gff3_to_refflat(_gff(get), lengths)[1]
+    t = written(transcripts(get), "transcripts")
+    cov = convert.gff3_to_refflat(_gff(get, of=t), t.select(F.concat(F.lit("t"), F.col("tx").cast("string")).alias("id"), F.lit(1000).alias("len")))[1]
     return cov.select("tx", "read_start", "read_end", "covered", "pct", "identity", "read_strand", F.array_join(F.col("exon_scores").cast("array<int>").cast("array<string>"), ",").alias("scores"))
 
 
