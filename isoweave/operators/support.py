@@ -216,15 +216,19 @@ def flt_windows(borders: DataFrame, coverage: DataFrame, window: int = 1000, sha
 
 
 def near_peak(reads: DataFrame, peaks: DataFrame, near: int = 100, width: int = 1000, compat: bool = True) -> DataFrame:
-    """Adds cage: whether a peak starts within `near` of the 5' end of each read.
+    """Adds cage: whether a peak starts within `near` of the 5' end of each read; asked once for each such end.
 
     With `compat` the bin is that of tx_start on both strands, so long minus reads look in vain.
     """
     five = tss(F.col("strand"), F.col("tx_start"), F.col("tx_end"))
-    at = F.col("tx_start") if compat else five
-    looked = reads.select("tx", *KEYS, five.alias("_five"), F.explode(F.array(*[F.floor(at / width) + d for d in (0, 1, -1)])).alias("_bin"))
-    p = peaks.select(*KEYS, F.col("start").alias("_ps"), F.floor(F.col("start") / width).alias("_bin"))
-    hit = looked.join(p, [*KEYS, "_bin"]).where(F.abs(F.col("_ps") - F.col("_five")) < near).select("tx").distinct().withColumn("cage", F.lit(True))
-    return reads.join(hit, "tx", "left").withColumn("cage", F.coalesce("cage", F.lit(False)))
-
-
+    own = reads.withColumn("_five", five).withColumn("_bin", F.floor((F.col("tx_start") if compat else five) / width))
+    sites = own.select(*KEYS, "_five", "_bin").distinct()
+    low, high = F.greatest(F.col("_five") - near + 1, (F.col("_bin") - 1) * width), F.least(F.col("_five") + near - 1, (F.col("_bin") + 2) * width - 1)
+    sites = sites.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    # a range has parts of two cells at most; what a cell holds doesn't grow with the peaks
+    cell = lambda x: F.floor(x / (2 * near))
+    looked = sites.withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))))
+    p = peaks.groupBy(*KEYS, cell(F.col("start")).alias("_cell")).agg(F.collect_set("start").alias("_starts"))
+    met = looked.join(p, [*KEYS, "_cell"]).where(F.exists("_starts", lambda x: x.between(F.col("_low"), F.col("_high"))))
+    hit = met.select(*KEYS, "_five", "_bin").distinct().withColumn("cage", F.lit(True))
+    return own.join(hit, [*KEYS, "_five", "_bin"], "left").select(*reads.columns, F.coalesce("cage", F.lit(False)).alias("cage"))

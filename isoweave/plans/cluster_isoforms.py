@@ -72,6 +72,7 @@ def place(tx: DataFrame, known: DataFrame, annotated: DataFrame, options: Option
 def with_evidence(placed: DataFrame, moved: DataFrame, peaks: DataFrame, options: Options) -> DataFrame:
     """The columns that clustering takes: snapped junctions and whether a peak is near the 5' end."""
     own = moved.groupBy("tx").agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias("junctions"))
+    placed = written(placed.select("chr", "strand", "start", "end", "tx", "tx_start", "tx_end", "size", "is_rare"), "reads-in-loci")
     near = support.near_peak(placed, peaks, options.peak_distance, compat=options.compat)
     return near.join(own, "tx", "left").select("chr", "strand", "start", "end", F.col("tx").cast("string").alias("tx"), "tx_start", "tx_end", "size", "is_rare", "cage", F.coalesce("junctions", F.array().cast(STRUCTURE)).alias("junctions"))
 

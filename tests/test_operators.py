@@ -242,6 +242,39 @@ def test_new_ids_follow_the_order_of_the_ids_over_several_ranges(spark):
     assert got == {x: f"N{k + 1}" for k, x in enumerate(sorted(got))} and len(got) == 500
 
 
+def test_peaks_near_5end_equal_a_plain_search_by_cells(spark):
+    import random
+
+    rng = random.Random(6)
+    tx = [(f"t{i}", rng.choice("ab"), rng.choice("+-"), s, s + rng.choice([50, 900, 2500])) for i in range(300) for s in [rng.randrange(12_000)]]
+    peaks = [(rng.choice("abc"), rng.choice("+-"), rng.choice([4000 + rng.randrange(40), rng.randrange(12_000)])) for _ in range(250)]
+    t = spark.createDataFrame(tx, "tx string, chr string, strand string, tx_start long, tx_end long")
+    p = spark.createDataFrame(peaks, "chr string, strand string, start long")
+    for compat in (True, False):
+        expected = set()
+        for name, c, strand, a, z in tx:
+            five = a if strand == "+" else z
+            bin_ = (a if compat else five) // 1000
+            expected.add((name, any(q[:2] == (c, strand) and abs(q[2] - five) < 100 and abs(q[2] // 1000 - bin_) < 2 for q in peaks)))
+        near = support.near_peak(t, p, compat=compat)
+        assert set(rows(near, "tx", "cage")) == expected and len({x for _, x in expected}) == 2
+        # peaks are gathered by cell before they are joined
+        assert "_starts" in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_classes_of_one_pattern_are_placed_in_proportional_time():
+    import time
+
+    began = time.process_time()
+    locus, n = cluster.Locus("+", 3), 30_000
+    for k in range(n):
+        assert locus.place({"uses": [0, 1], "first": 0, "end": 2, "three": k * 7, "cage": True, "lead": f"a{k}"})[0] == "each"
+    found = [locus.place({"uses": [0, 1, 2][: 2 + k % 2], "first": 0, "end": 2, "three": n * 7 + k, "cage": False, "lead": f"b{k}"}) for k in range(0, 300, 50)]
+    # the first isoform in reach, then those of the classes themselves
+    assert found == [("join", "a29986"), ("join", "a29993"), ("join", "b100"), ("join", "b100"), ("join", "b200"), ("join", "b200")]
+    assert time.process_time() - began < 10
+
+
 def greedy_isoforms(reads_, plus):
     """Isoforms of one locus as plain lists: what each read spans, compared one by one."""
     slots = sorted({j for r in reads_ for j in r["junctions"]})
