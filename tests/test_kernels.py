@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from isoweave.functions.pileup import expand, overlay, votes
+from isoweave.functions.pileup import Alleles, coded_votes, expand, overlay, pile, piled, votes
 from isoweave.functions.trim import Trimmer, distance, poly_a, revcomp
 
 PILEUPS = [
@@ -159,3 +159,39 @@ def test_many_reads_at_once_and_a_read_of_adapters_alone():
     begun = time.time()
     t.read("adapters", back * 2000)
     assert time.time() - begun < 2
+
+
+def odd_alignments(n):
+    """CIGARs, MD tags that need not fit them, and reads that may be longer."""
+    import random
+
+    rng = random.Random(12)
+    for _ in range(n):
+        ops = [(rng.randint(1, 12), rng.choice("MMMMIDSN")) for _ in range(rng.randint(0, 7))]
+        size = sum(k for k, op in ops if op != "D") + rng.choice([0, 0, 0, 2])
+        md = "".join(rng.choice([str(rng.randint(0, 9)), str(rng.randint(0, 30)), rng.choice("ACGT"), "^" + "ACGT"[: rng.randint(1, 4)]]) for _ in range(rng.randint(0, 6)))
+        yield "".join(f"{k}{op}" for k, op in ops), md, "".join(rng.choices("ACGTNSDIM" if rng.random() < 0.2 else "ACGT", k=max(0, size))) + rng.choice([""] * 9 + ["é"])
+
+
+def test_votes_as_arrays_equal_plain_votes():
+    alleles, some = Alleles(), 0
+    for cigar, md, seq in odd_alignments(4000):
+        expected = votes(cigar, md, seq, 5)
+        got = coded_votes(cigar, md, seq, alleles)
+        assert [(5 + i, alleles.names[c]) for i, c in enumerate(got)] == expected, (cigar, md, seq)
+        some += bool(expected)
+    assert some > 1000
+
+
+def test_votes_are_summed_without_a_shuffle_of_votes(spark):
+    rows = [(f"r{k % 40 if k % 3 else 7}", 0, 1 + k % 5, cigar, md, seq, float(k % 4)) for k, (cigar, md, seq) in enumerate(odd_alignments(1500))]
+    a = spark.createDataFrame(rows, "rname string, flag int, pos int, cigar string, md string, seq string, weight double")
+    expected = {}
+    for r, _, pos, cigar, md, seq, w in rows:
+        for p, allele in votes(cigar, md, seq, pos - 1):
+            expected[r, p, allele] = expected.get((r, p, allele), 0.0) + w
+    for held, least in ((100, 10_000), (1 << 19, 100)):  # with the second, one long read is large
+        got = piled(a, least=least, share=1 << 20, held=held)
+        assert {(x.id, x.pos, x.allele): x.weight for x in got.collect()} == expected and got.count() == len(expected)
+    assert "hashpartitioning(id" not in piled(a)._jdf.queryExecution().executedPlan().toString()
+    assert sum(x.weight for x in pile(a).collect()) == sum(expected.values())
